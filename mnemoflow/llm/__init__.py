@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 OPERATORS = (
-    "op3_substring_dedup",
-    "op6_bpe_tree", "op7_quality_rules", "op10_mixing",
+    "op2_topk", "op3_substring_dedup",
+    "op6_bpe_tree", "op7_quality_rules", "op8_line_dedup", "op9_warc", "op10_mixing",
 )
 
 
