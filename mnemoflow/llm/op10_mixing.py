@@ -92,11 +92,11 @@ def _choose(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"source": table["source"], "size": table["size"], "extra": pa.array(taken, pa.int64())})
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, seed: int = 17, keep: tuple[str, ...] = (), keep_source: bool = False) -> DataFrame:
     """How often the mix takes each document.
 
     docs: doc_id, text, source. Returns doc_id, size (words), source_size, target (of its source),
-    taken (words, repeats counted), times (0 to ``most``), and the columns named in ``keep``. Sources are
+    taken (words, repeats counted), times (0 to ``most``), and the columns named in ``keep``, with ``keep_source`` the source too. Sources are
     ordered by code point, null last, and weighed by ``weights``, repeating; they share ``budget`` times
     all words.
 
@@ -126,7 +126,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     rank = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("h", "doc_id"))
     times = F.col("passes") + (F.col("left") >= rank).cast("long")
     docs = docs.withColumn("times", F.when(F.col("size") > 0, times).otherwise(F.lit(0).cast("long")))
-    return docs.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", *keep)
+    return docs.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", *(["source"] if keep_source else []), *keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

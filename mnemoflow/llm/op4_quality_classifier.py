@@ -190,8 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     return co_train(x[mixed], m[mixed], y[mixed])
 
 
-def classify(docs: DataFrame, model: CoTrained | None, least: float = 0.3) -> DataFrame:
-    """Scores all documents: doc_id, text_score, meta_score, score (of being good) and kept (score >= least).
+def classify(docs: DataFrame, model: CoTrained | None, least: float = 0.3, keep_rows: bool = False) -> DataFrame:
+    """Scores all documents: doc_id, text_score, meta_score, score (of being good) and kept (score >= least); with ``keep_rows`` text, lang, source and n_chars too.
 
     docs: doc_id, text, lang, source, n_chars; other columns are not read. Null and empty texts have the
     features of no words, and nulls in the metadata are values of their own; rows with null or
@@ -202,9 +202,12 @@ def classify(docs: DataFrame, model: CoTrained | None, least: float = 0.3) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, text, meta in _batches(batches):
             scores = model.score(text, meta) if model else (np.ones(part.num_rows),) * 3
-            yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, scores), pa.array(scores[2] >= least)], ["doc_id", "text_score", "meta_score", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, scores), pa.array(scores[2] >= least), *(part.column(c) for c in extra)], names)
 
-    return _columns(docs).mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, kept boolean")
+    extra = (1, 2, 3, 4) if keep_rows else ()
+    names = ["doc_id", "text_score", "meta_score", "score", "kept", *(["text", "lang", "source", "n_chars"] if keep_rows else [])]
+    schema = "doc_id long, text_score double, meta_score double, score double, kept boolean" + (", text string, lang string, source string, n_chars long" if keep_rows else "")
+    return _columns(docs).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
