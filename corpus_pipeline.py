@@ -1,12 +1,60 @@
-"""The corpus pipeline: documents to tokens in five stages."""
+"""The corpus pipeline: from raw documents to tokens in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again
+as the next one's documents. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mnemoflow.llm import op4_quality_classifier as op4
+from mnemoflow.llm import op5_minhash_forest as op5
+from mnemoflow.llm import op6_bpe_tree as op6
+from mnemoflow.llm import op8_line_dedup as op8
+from mnemoflow.llm import op10_mixing as op10
+from mnemoflow.llm.scratch import materialize
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go. The classifier is fitted on the labelled ones among the stage's documents."""
+    model = op4.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return op4.classify(docs, model, keep_rows=True).where("kept").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share go, but for one copy; n_chars follows the text."""
+    out = op8.line_dedup(docs, keep=("lang", "source"))
+    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
+    kept = op5.near_dedup(docs, 5, 80).where("kept").select("doc_id").distinct()
+    return docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as the mix takes them."""
+    out = op10.mix(docs, keep=("text", "lang", "n_chars"), keep_source=True)
+    return out.where("times > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the decoded text."""
+    return op6.bpe(docs)
+
 
-STAGES: list = []
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("near dedup", near_dups), ("mixing", mixing), ("bpe", tokens)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages in order, each written into the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return docs
