@@ -262,12 +262,12 @@ def near_dedup(docs: DataFrame, width: int = 5, least_percent: int = 80) -> Data
     ids = classes.select("cid", "rep")
     named = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct().join(ids, "cid")
     named = materialize(named, "named")
-    texts = docs.join(named, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text")
+    texts = docs.join(named.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text")
     texts = materialize(texts, "texts")
 
     def confirmed(some: DataFrame) -> DataFrame:
-        two = some.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
-        two = two.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
+        two = some.hint("merge").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
+        two = two.hint("merge").join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
         return two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, least_percent), "a long, b long")
 
     links = materialize(confirmed(pairs.where("star").select("a", "b")), "links")
