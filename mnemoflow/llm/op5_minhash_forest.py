@@ -4,10 +4,10 @@ Each document becomes a set of word shingles and a MinHash signature. Documents
 collapse into one class before anything else. Every tree of the forest is a sorted order of the
 classes by its own part of the signature: rows are range-partitioned and sorted by (prefix, rest), so
 classes with a long common prefix are neighbours and a crowded prefix spreads over many tasks. In a
-region of equal prefix all pairs are candidates while it is small; a larger region splits by the next
-signature values (a depth of its own), and at each level joins its neighbours in order and its most
-central and first members to all others, so that candidates grow with the rows and not with the
-square of a group.
+region of equal prefix all pairs are candidates while it is small; a larger region joins its
+neighbours in order and its most central member (in some trees its first one too) to all others, and
+splits by the next signature values, a depth of its own, down to small regions. So candidates grow
+with the rows and not with the square of a group.
 
 Candidates are confirmed on the full sets in two rounds: first the stars of some trees, which already
 connect nearly every group; then all candidates that are still in different components. Confirmed
@@ -27,7 +27,7 @@ from mnemoflow.llm.scratch import materialize
 from mnemoflow.llm.textkit import Words, buffers, column_words, mix, rolling, slices, words
 
 #: Trees; signature values of a prefix at least and of a tree; trees whose stars are confirmed first; classes whose pairs are all candidates.
-TREES, LEAST_DEPTH, DEPTH, STARS, REGION = 16, 3, 7, 4, 24
+TREES, LEAST_DEPTH, DEPTH, STARS, REGION = 16, 3, 7, 4, 8
 _RNG = np.random.default_rng(5)
 _MUL = _RNG.integers(1, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _XOR = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
@@ -111,14 +111,15 @@ def _region(rest: np.ndarray, cid: np.ndarray, lo: int, hi: int, depth: int, out
         i, j = np.triu_indices(m, 1)
         out.append(np.stack([i + lo, j + lo]))
         return
-    at = np.arange(lo, hi)
-    for step in (1, 2, 3):
-        out.append(np.stack([at[:-step], at[step:]]))
-    agree = np.zeros(m, np.int64)
-    for d in range(rest.shape[1]):
-        _, inverse, count = np.unique(rest[lo:hi, d], return_inverse=True, return_counts=True)
-        agree += inverse == np.argmax(count)
-    for lead in {int(np.lexsort((cid[lo:hi], -agree))[0]), int(np.argmin(cid[lo:hi]))}:
+    if depth == 0:
+        at = np.arange(lo, hi)
+        for step in (1, 2):
+            out.append(np.stack([at[:-step], at[step:]]))
+        agree = np.zeros(m, np.int64)
+        for d in range(rest.shape[1]):
+            _, inverse, count = np.unique(rest[lo:hi, d], return_inverse=True, return_counts=True)
+            agree += inverse == np.argmax(count)
+        lead = int(np.lexsort((cid[lo:hi], -agree))[0])
         out.append(np.stack([np.full(m - 1, lo + lead), np.delete(at, lead)]))
     if depth < rest.shape[1]:
         cuts = np.flatnonzero(np.diff(rest[lo:hi, depth])) + 1
@@ -137,7 +138,8 @@ def _pairs(key: int, rest: list[bytes], cid: np.ndarray, n: np.ndarray, least: f
     star = int(np.argmin(cid))
     if key & (TREES - 1) < STARS:
         found.append(np.stack([np.full(len(cid), star), np.arange(len(cid))]))
-    i, j = np.concatenate(found, axis=1)
+    pairs = np.concatenate(found, axis=1)
+    i, j = np.divmod(np.unique(pairs.min(0) * len(cid) + pairs.max(0)), len(cid))
     fine = (cid[i] != cid[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]))
     i, j = i[fine], j[fine]
     a, b = np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
