@@ -1,15 +1,492 @@
-"""The query catalog: every registered query and its SQL oracle."""
+"""The query catalog: every registered query and, where SQL can express it, its oracle."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from mnemoflow.functions import scalar
+from mnemoflow.operators import chunking, dedup, evaluation, fulltext, maintenance, retrieval
+from mnemoflow.operators.vector import knn
+from mnemoflow.plans import views as v
+from mnemoflow.sources import files
+from mnemoflow.sources.workspace import ensure_checkpoint_dir
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(c, 6)
+
+
+# -- statistics and health ---------------------------------------------------------------------------
+@register("stats_by_source", "SELECT source, count(*) AS n FROM documents GROUP BY source")
+def stats_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return v.chunks(spark, d).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@register("stats_by_project", "SELECT lang AS project, count(*) AS n FROM documents WHERE lang <> '' GROUP BY lang")
+def stats_by_project(spark: SparkSession, d: str) -> DataFrame:
+    return v.chunks(spark, d).where("project <> ''").groupBy("project").agg(F.count("*").alias("n"))
+
+
+@register("project_count", "SELECT count(*) AS total, count(DISTINCT nullif(lang, '')) AS projects FROM documents")
+def project_count(spark: SparkSession, d: str) -> DataFrame:
+    return v.chunks(spark, d).agg(F.count("*").alias("total"), F.count_distinct(F.nullif("project", F.lit(""))).alias("projects"))
+
+
+@register("group_by_project", "SELECT lang AS project, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang")
+def group_by_project(spark: SparkSession, d: str) -> DataFrame:
+    return v.chunks(spark, d).groupBy("project").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum("length").cast("long").alias("chars"))
+
+
+@register("health_index", f"SELECT count(*) AS total, round(avg(length), 1) AS avg_length, round(avg(confidence), 3) AS avg_confidence, count(*) FILTER (WHERE access_count = 0) AS never_accessed FROM ({v.CHUNKS})")
+def health_index(spark: SparkSession, d: str) -> DataFrame:
+    return maintenance.health_row(v.chunks(spark, d))
+
+
+@register("access_log_rollup", "SELECT event_id % 200 AS chunk_id, count(*) AS access_count, epoch_us(max(ts)::TIMESTAMP) // 1000 AS last_access_ms FROM events GROUP BY 1")
+def access_log_rollup(spark: SparkSession, d: str) -> DataFrame:
+    e = v.table(spark, d, "events")
+    return e.groupBy((F.col("event_id") % 200).alias("chunk_id")).agg(F.count("*").alias("access_count"), F.unix_millis(F.max("ts").cast("timestamp")).alias("last_access_ms"))
+
+
+# -- scalar functions --------------------------------------------------------------------------------
+_DEC = " OR ".join(f"contains(lower(text), '{w}')" for w in v.DECISIONS)
+
+
+@register("confidence_score", rf"""SELECT doc_id, round(least(0.5::DOUBLE + CASE WHEN length(text) > 50 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN {_DEC} THEN 0.2::DOUBLE ELSE 0 END
+  + CASE WHEN regexp_matches(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(text, '[A-Z][a-z]+(?:[A-Z][a-z]+)+') THEN 0.1::DOUBLE ELSE 0 END, 1), 6) AS confidence FROM ({v.MARKED})""")
+def confidence_score(spark: SparkSession, d: str) -> DataFrame:
+    return v.marked(spark, d).select("doc_id", r6(scalar.confidence(F.col("text"), v.DECISIONS)).alias("confidence"))
+
+
+@register("entity_extract", f"SELECT doc_id, array_to_string(list_filter([{', '.join(repr(e) for e in sorted(v.ENTITIES))}], lambda e: contains(lower(text), e)), ',') AS entities FROM documents")
+def entity_extract(spark: SparkSession, d: str) -> DataFrame:
+    return v.table(spark, d, "documents").select("doc_id", F.array_join(scalar.extract_entities(F.col("text"), v.ENTITIES), ",").alias("entities"))
+
+
+@register("project_extract", rf"""SELECT doc_id, CASE WHEN p NOT IN ({', '.join(repr(g) for g in v.GENERIC)}) AND p <> '' THEN p END AS project
+  FROM (SELECT doc_id, regexp_extract(text, '(?:^|[^\p{{L}}\p{{N}}_])([A-Z][A-Za-z0-9]{{3,15}}(?:\.[a-z]+)?)(?:$|[^\p{{L}}\p{{N}}_])', 1) AS p FROM ({v.MARKED}))""")
+def project_extract(spark: SparkSession, d: str) -> DataFrame:
+    return v.marked(spark, d).select("doc_id", scalar.extract_project(F.col("text"), generic=v.GENERIC).alias("project"))
+
+
+_PATHS = "CASE doc_id % 5 WHEN 0 THEN '/notes/MEMORY.md' WHEN 1 THEN '/work/memory/2024-01-01.md' WHEN 2 THEN '/x/Conversation-1.txt' ELSE '/x/a.md' END"
+
+
+@register("source_detect", f"""SELECT doc_id, CASE WHEN contains(p, 'MEMORY.md') THEN 'user-memory' WHEN contains(p, '/memory/') THEN 'workspace-log' WHEN contains(lower(p), 'conversation') THEN 'conversation'
+  WHEN starts_with(t, '#') THEN 'user-memory' ELSE 'unknown' END AS detected FROM (SELECT doc_id, {_PATHS} AS p, CASE WHEN doc_id % 2 = 0 THEN '# ' ELSE '' END || text AS t FROM documents)""")
+def source_detect(spark: SparkSession, d: str) -> DataFrame:
+    rows = v.table(spark, d, "documents").select("doc_id", F.expr(_PATHS).alias("p"), F.concat(F.when(F.col("doc_id") % 2 == 0, "# ").otherwise(""), F.col("text")).alias("t"))
+    return rows.select("doc_id", scalar.detect_source(F.col("t"), F.col("p")).alias("detected"))
+
+
+_TESTS = ("heit", "ring")
+_RELABEL_TEXT = "CASE WHEN doc_id % 7 = 0 THEN '**bold** ' WHEN doc_id % 11 = 0 THEN '<!-- RAW_JSON_START -->' ELSE '' END || text"
+_HAS = lambda words: " OR ".join(f"contains(t, '{w}')" for w in words)
+
+
+@register("reclassify", rf"""SELECT doc_id, CASE WHEN contains(t, '<!-- RAW_JSON_START') THEN 'cloud-profile-legacy' WHEN regexp_matches(t, '^\s*\*\*[^*]+\*\*') THEN 'user-memory'
+    WHEN regexp_matches(t, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND ({_HAS(v.DECISIONS)}) THEN 'workspace-log' WHEN {_HAS(v.DECISIONS)} THEN 'user-memory' WHEN {_HAS(_TESTS)} THEN 'test-result' ELSE 'user-memory' END AS new_source
+  FROM (SELECT doc_id, {_RELABEL_TEXT} AS t FROM ({v.MARKED}))""")
+def reclassify(spark: SparkSession, d: str) -> DataFrame:
+    rows = v.marked(spark, d).select(F.col("doc_id"), F.expr(_RELABEL_TEXT).alias("text"), F.lit("unknown").alias("source"))
+    return maintenance.relabel_unknown(rows, v.DECISIONS, _TESTS).select("doc_id", F.col("source").alias("new_source"))
+
+
+@register("source_histogram", f"""SELECT new_source, count(*) AS n FROM ({_ORACLES['reclassify']}) GROUP BY new_source""")
+def source_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return reclassify(spark, d).groupBy("new_source").agg(F.count("*").alias("n"))
+
+
+_TS = """CASE event_id % 5 WHEN 0 THEN strftime(ts::TIMESTAMP, '%Y-%m-%dT%H:%M:%S') WHEN 1 THEN strftime(ts::TIMESTAMP, '%Y-%m-%d') WHEN 2 THEN strftime(ts::TIMESTAMP, '%Y-%m-%d %H:%M:%S') WHEN 3 THEN 'soon' ELSE '' END"""
+
+
+@register("parse_ts", f"""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN epoch(strptime(raw, '%Y-%m-%dT%H:%M:%S'))::BIGINT WHEN event_id % 5 = 1 THEN epoch(strptime(raw, '%Y-%m-%d'))::BIGINT END AS seconds
+  FROM (SELECT event_id, {_TS} AS raw FROM events)""")
+def parse_ts(spark: SparkSession, d: str) -> DataFrame:
+    k, ts = F.col("event_id") % 5, F.col("ts").cast("timestamp")
+    raw = F.when(k == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).when(k == 1, F.date_format(ts, "yyyy-MM-dd")).when(k == 2, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(k == 3, "soon").otherwise("")
+    return v.table(spark, d, "events").select("event_id", F.unix_timestamp(scalar.parse_ts(raw)).alias("seconds"))
+
+
+_FLAT = r"trim(regexp_replace(regexp_replace(text, '\\[nrt]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@register("inject_truncate", f"SELECT doc_id, CASE WHEN length(f) > 80 THEN rtrim(substr(f, 1, 80)) || '…' ELSE f END AS line FROM (SELECT doc_id, {_FLAT} AS f FROM documents)")
+def inject_truncate(spark: SparkSession, d: str) -> DataFrame:
+    return v.table(spark, d, "documents").select("doc_id", scalar.truncate(F.col("text")).alias("line"))
+
+
+@register("truncate_rerank_doc", "SELECT doc_id, length(c) AS chars, md5(c) AS hash FROM (SELECT doc_id, CASE WHEN length(text) <= 273 THEN text ELSE substr(text, 1, 238) END AS c FROM documents)")
+def truncate_rerank_doc(spark: SparkSession, d: str) -> DataFrame:
+    c = scalar.rerank_cut(F.col("text"))
+    return v.table(spark, d, "documents").select("doc_id", F.length(c).cast("long").alias("chars"), F.md5(c.cast("binary")).alias("hash"))
+
+
+@register("mock_hyde", """SELECT item_id, CASE s % 3 WHEN 0 THEN '关于「' || text || '」的说明：' WHEN 1 THEN '「' || text || '」的定义和用途：' ELSE '以下是「' || text || '」的相关信息：' END || ' ' || text AS rewritten
+  FROM (SELECT item_id, text, list_sum(list_transform(string_split(text, ''), lambda c: unicode(c))) AS s FROM benchmark)""")
+def mock_hyde(spark: SparkSession, d: str) -> DataFrame:
+    return v.table(spark, d, "benchmark").select("item_id", scalar.rewrite(F.col("text")).alias("rewritten"))
+
+
+@register("needs_history", "SELECT conv_id, turn, contains(text, 'the ') OR (length(text) <= 12 AND (contains(text, 'I') OR contains(text, 'you'))) AS history FROM conversations")
+def needs_history(spark: SparkSession, d: str) -> DataFrame:
+    return v.table(spark, d, "conversations").select("conv_id", "turn", scalar.needs_history(F.col("text"), ("the ",), ("I", "you")).alias("history"))
+
+
+@register("text_hash", r"SELECT doc_id, substr(md5(trim(regexp_replace(text, '\s+', ' ', 'g'))), 1, 16) AS hash FROM documents")
+def text_hash(spark: SparkSession, d: str) -> DataFrame:
+    return v.table(spark, d, "documents").select("doc_id", scalar.text_hash(F.col("text")).alias("hash"))
+
+
+_EMBED = "list_transform(range({dim}), lambda i: ('0x' || substr(md5({text} || ':' || i), 1, 2))::INTEGER / 255.0::DOUBLE - 0.5)"
+
+
+@register("hash_embed", f"""SELECT item_id, i, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 6) AS x
+  FROM (SELECT item_id, unnest(range(16)) AS i, unnest({_EMBED.format(dim=16, text='text')}) AS x FROM benchmark)""")
+def hash_embed(spark: SparkSession, d: str) -> DataFrame:
+    return v.table(spark, d, "benchmark").select("item_id", F.posexplode(scalar.hash_embed(F.col("text"), 16)).alias("i", "x")).select("item_id", F.col("i").cast("long").alias("i"), r6("x").alias("x"))
+
+
+# -- segmentation ------------------------------------------------------------------------------------
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_SECTIONS = rf"SELECT doc_id, unnest(string_split(regexp_replace({_STRIP.format('text')}, '\n(#{{1,3}}\s)', chr(1) || '\1', 'g'), chr(1))) AS s, unnest(range(len(string_split(regexp_replace({_STRIP.format('text')}, '\n(#{{1,3}}\s)', chr(1) || '\1', 'g'), chr(1))))) AS i FROM"
+
+
+def _hashed(df: DataFrame, key: str, pieces: Column) -> DataFrame:
+    return df.select(key, F.posexplode(pieces).alias("i", "p")).select(key, F.col("i").cast("long").alias("i"), F.length("p").cast("long").alias("chars"), F.md5(F.col("p").cast("binary")).alias("hash"))
+
+
+@register("chunk_headings", f"SELECT doc_id, i, length(s) AS chars, md5(s) AS hash FROM ({_SECTIONS} ({v.NOTES}))")
+def chunk_headings(spark: SparkSession, d: str) -> DataFrame:
+    return _hashed(v.notes(spark, d), "doc_id", chunking.sections(F.col("text")))
+
+
+_PARAS = rf"SELECT doc_id, unnest(l) AS p, unnest(range(len(l))) AS i FROM (SELECT doc_id, flatten(list(l ORDER BY i)) AS l FROM (SELECT doc_id, i, list_filter(list_transform(string_split_regex(s, '\n\n+'), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS l FROM ({_SECTIONS} ({v.NOTES}))) GROUP BY doc_id)"
+
+
+@register("chunk_paragraphs", f"SELECT doc_id, i, length(p) AS chars, md5(p) AS hash FROM ({_PARAS})")
+def chunk_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return _hashed(v.notes(spark, d), "doc_id", F.flatten(F.transform(chunking.sections(F.col("text")), chunking.paragraphs)))
+
+
+_S = "。！？；.!?;"
+_PACK = f"""list_reduce(list_transform(regexp_extract_all({{0}}, '[^{_S}]*[{_S}]|[^{_S}]+$'), lambda x: {{{{'buf': x, 'out': []::VARCHAR[]}}}}),
+    lambda a, x: CASE WHEN length(a.buf || x.buf) > 250 AND regexp_matches(x.buf, '[{_S}]$') THEN {{{{'buf': '', 'out': list_append(a.out, a.buf || x.buf)}}}} ELSE {{{{'buf': a.buf || x.buf, 'out': a.out}}}} END,
+    {{{{'buf': '', 'out': []::VARCHAR[]}}}})"""
+_SENT = f"list_filter(list_transform(list_append(({_PACK}).out, ({_PACK}).buf), lambda x: {_STRIP.format('x')}), lambda x: x <> '')"
+_PIECES = f"SELECT doc_id, i AS para, CASE WHEN length(p) > 500 THEN {_SENT.format('p')} ELSE [p] END AS l FROM ({_PARAS})"
+
+
+@register("chunk_sentences", f"SELECT doc_id, unnest(range(len(l))) AS i, length(unnest(l)) AS chars, md5(unnest(l)) AS hash FROM (SELECT doc_id, {_SENT.format('text')} AS l FROM documents)")
+def chunk_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return _hashed(v.table(spark, d, "documents"), "doc_id", chunking.sentences(F.col("text")))
+
+
+@register("chunk_full", f"SELECT doc_id, unnest(range(len(l))) AS i, length(unnest(l)) AS chars, md5(unnest(l)) AS hash FROM (SELECT doc_id, list_filter(flatten(list(l ORDER BY para)), lambda x: length(x) >= 8 OR regexp_matches(lower(x), 'rag|ann|ivf')) AS l FROM ({_PIECES}) GROUP BY doc_id)")
+def chunk_full(spark: SparkSession, d: str) -> DataFrame:
+    c = chunking.chunk_notes(v.notes(spark, d), "doc_id", with_blocks=False)
+    return c.select("doc_id", F.col("ordinal").cast("long").alias("i"), F.length("text").cast("long").alias("chars"), F.md5(F.col("text").cast("binary")).alias("hash"))
+
+
+@register("chunk_filter", "SELECT conv_id, turn, length(text) AS chars FROM conversations WHERE text <> '' AND (length(text) >= 60 OR regexp_matches(lower(text), 'tion|ment'))")
+def chunk_filter(spark: SparkSession, d: str) -> DataFrame:
+    return v.table(spark, d, "conversations").where(scalar.keeps_length(F.col("text"), 60, ("tion", "ment"))).select("conv_id", "turn", F.length("text").cast("long").alias("chars"))
+
+
+def _block_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a JSON block about them; every fourth has no other text, and half of those look like a profile."""
+    t = v.table(spark, d, "documents")
+    body = F.to_json(F.struct(F.substring("text", 1, 1).alias("head"), F.array("lang", "source").alias("tags"), F.col("n_chars"), F.concat(F.lit("about "), F.col("lang")).alias("summary"), F.when(F.col("doc_id") % 8 == 0, F.col("doc_id")).alias("uid")))
+    block = F.concat(F.lit("<!-- RAW_JSON_START -->\n"), body, F.lit("\n<!-- RAW_JSON_END -->"))
+    return t.select("doc_id", F.concat(F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("A note that is long enough to stand: "), F.col("lang"), F.lit("\n\n"))), block).alias("text"))
+
+
+@register("raw_json_blocks", """SELECT doc_id, 'summary' AS json_key, 'summary: about ' || lang AS text FROM documents WHERE doc_id % 8 <> 0
+  UNION ALL SELECT doc_id, 'tags', 'tags: ' || lang || '; ' || source FROM documents WHERE doc_id % 8 <> 0
+  UNION ALL SELECT doc_id, 'n_chars', 'n_chars: ' || n_chars FROM documents WHERE doc_id % 8 <> 0
+  UNION ALL SELECT doc_id, NULL, 'A note that is long enough to stand: ' || lang FROM documents WHERE doc_id % 4 <> 0""")
+def raw_json_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_notes(_block_notes(spark, d), "doc_id").select("doc_id", "json_key", "text")
+
+
+@register("profile_guard", "SELECT doc_id, doc_id % 8 = 0 AS skipped FROM documents")
+def profile_guard(spark: SparkSession, d: str) -> DataFrame:
+    return _block_notes(spark, d).select("doc_id", chunking.is_profile_copy(F.col("text")).alias("skipped"))
+
+
+# -- search ------------------------------------------------------------------------------------------
+_DIST = "list_sum(list_transform(range(1, len({a}) + 1), lambda k: ({a}[k] - {b}[k]) * ({a}[k] - {b}[k])))"
+_KNN = """SELECT query_id, id, rank, round(distance, 6) AS distance FROM (SELECT q.query_id, e.vec_id AS id, {dist} AS distance,
+    row_number() OVER (PARTITION BY q.query_id ORDER BY {dist}, e.vec_id) - 1 AS rank FROM ({queries}) q JOIN (SELECT *, list_transform(embedding, lambda x: x::DOUBLE) AS ev FROM embeddings) e ON {cond}) WHERE rank < {k}"""
+_KNN_D = _DIST.format(a="e.ev", b="q.vector")
+
+
+def _shown_knn(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "id", F.col("rank").cast("long").alias("rank"), r6("distance").alias("distance"))
+
+
+@register("knn_topk", _KNN.format(dist=_KNN_D, queries=v.CENTROIDS, cond="true", k=20))
+def knn_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _shown_knn(knn(v.vectors(spark, d), v.centroids(spark, d), 20))
+
+
+@register("knn_filtered", _KNN.format(dist=_KNN_D, queries=v.CENTROIDS, cond="e.label % 2 = 0", k=10))
+def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return _shown_knn(knn(v.vectors(spark, d).where("label % 2 = 0"), v.centroids(spark, d), 10))
+
+
+_QTERMS = rf"""SELECT query_id, term, count(*) AS weight FROM (SELECT query_id, lower(unnest(string_split_regex(trim(regexp_replace(text, '[^\p{{L}}\p{{N}}_\s\-]', ' ', 'g')), '\s+'))) AS term FROM ({v.QUESTIONS})) WHERE length(term) >= 3 GROUP BY 1, 2"""
+_BM25 = rf"""WITH d AS MATERIALIZED (SELECT doc_id AS id, lang, lower(text) AS t, lower(lang) AS p FROM documents),
+c AS MATERIALIZED (SELECT count(*)::DOUBLE AS n, avg(greatest(length(t) - 2, 0) + greatest(length(p) - 2, 0)) AS a FROM d),
+q AS MATERIALIZED ({_QTERMS}),
+t AS MATERIALIZED (SELECT DISTINCT term, length(term) AS k, len(list_filter(range(1, length(term)), lambda i: left(term, i) = right(term, i))) > 0 AS own FROM q),
+h AS MATERIALIZED (SELECT id, lang, term, greatest(length(t) - 2, 0) + greatest(length(p) - 2, 0) AS dl,
+    CASE WHEN own THEN len(list_filter(range(1, length(d.t) - k + 2), lambda i: substr(d.t, i, k) = term)) ELSE (length(d.t) - length(replace(d.t, term, ''))) // k END AS f FROM d JOIN t ON contains(d.t, term)),
+w AS MATERIALIZED (SELECT q.*, CASE WHEN ln((c.n - m.n + 0.5) / (m.n + 0.5)) <= 0 THEN 1e-6 ELSE ln((c.n - m.n + 0.5) / (m.n + 0.5)) END AS idf FROM q JOIN (SELECT term, count(*) AS n FROM h GROUP BY term) m USING (term), c),
+s AS MATERIALIZED (SELECT query_id, id, any_value(lang) AS lang, -sum(weight * idf * (f * 2.2::DOUBLE) / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / c.a))) AS score FROM h JOIN w USING (term), c GROUP BY query_id, id),
+b AS MATERIALIZED (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), id) - 1 AS rank FROM s __WHERE__)"""
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return v.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("project"))
+
+
+def _bm25(spark: SparkSession, d: str) -> DataFrame:
+    return fulltext.bm25(_texts(spark, d), v.question_list(spark, d), id_type="long")
+
+
+def _shown_bm25(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "id", F.col("rank").cast("long").alias("rank"), r6("score").alias("score"))
+
+
+@register("bm25_topk", _BM25.replace("__WHERE__", "") + " SELECT query_id, id, rank, round(score, 6) AS score FROM b WHERE rank < 20")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _shown_bm25(fulltext.topn(_bm25(spark, d)))
+
+
+@register("bm25_filtered", _BM25.replace("__WHERE__", "WHERE lang = 'en'") + " SELECT query_id, id, rank, round(score, 6) AS score FROM b WHERE rank < 20")
+def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
+    keep = _texts(spark, d).where("project = 'en'").select("id")
+    return _shown_bm25(fulltext.topn(_bm25(spark, d).join(keep, "id", "left_semi")))
+
+
+@register("bm25_postings", _ORACLES["bm25_topk"])
+def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
+    c = _texts(spark, d)
+    posts, lengths = fulltext.build_postings(c)
+    return _shown_bm25(fulltext.topn(fulltext.bm25_by_postings(posts, lengths, c, v.question_list(spark, d), id_type="long")))
+
+
+@register("postings_build", """SELECT trigram, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest(list_concat(
+    list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substr(lower(text), i, 3)), list_transform(range(1, greatest(length(lang) - 1, 1)), lambda i: substr(lower(lang), i, 3)))) AS trigram FROM documents) GROUP BY trigram""")
+def postings_build(spark: SparkSession, d: str) -> DataFrame:
+    return fulltext.build_postings(_texts(spark, d))[0].groupBy("trigram").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+_QVEC = f"SELECT query_id, list_transform(x, lambda y: y / sqrt(list_sum(list_transform(x, lambda z: z * z)))) AS vector FROM (SELECT query_id, {_EMBED.format(dim=64, text='text')} AS x FROM ({v.QUESTIONS}))"
+_LEGS = _BM25.replace("__WHERE__", "") + f""",
+k AS MATERIALIZED (SELECT q.query_id, e.id, row_number() OVER (PARTITION BY q.query_id ORDER BY {_DIST.format(a='e.embedding', b='q.vector')}, e.id) - 1 AS rank
+  FROM ({_QVEC}) q, (SELECT doc_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS embedding FROM documents JOIN embeddings ON vec_id = doc_id) e),
+f AS MATERIALIZED (SELECT query_id, id, k2.rank AS vector_rank, b2.rank AS bm25_rank, coalesce(1 / (31::DOUBLE + k2.rank), 0) + coalesce(1 / (31::DOUBLE + b2.rank), 0) AS rrf_score
+  FROM (SELECT * FROM k WHERE rank < 20) k2 FULL JOIN (SELECT * FROM b WHERE rank < 20) b2 USING (query_id, id))"""
+_WEIGHED = _LEGS + f""",
+x AS MATERIALIZED (SELECT f.*, c2.source, c2.text, CASE WHEN ts IS NULL THEN 1 ELSE exp(-(epoch_us(TIMESTAMP '{v.NOW}') - epoch_us(ts)) / 86400e6 / 90.0) * ln(2 + access_count) END AS decay_factor, confidence FROM f JOIN ({v.CHUNKS}) c2 USING (id)),
+y AS MATERIALIZED (SELECT *, rrf_score * decay_factor * (0.7::DOUBLE + 0.3::DOUBLE * confidence) AS score FROM x)"""
+
+
+def _legs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = v.table(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    pool = v.vectors(spark, d).join(docs, "id", "left_semi")
+    asked = v.questions(spark, d).select("query_id", scalar.hash_embed(F.col("text"), 64).alias("vector"))
+    return knn(pool, asked, 20), fulltext.topn(_bm25(spark, d))
+
+
+@register("rrf_fusion", _LEGS + " SELECT query_id, id, vector_rank, bm25_rank, round(rrf_score, 6) AS rrf_score FROM f")
+def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
+    f = retrieval.fuse(*_legs(spark, d))
+    return f.select("query_id", "id", F.col("vector_rank").cast("long").alias("vector_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"), r6("rrf_score").alias("rrf_score"))
+
+
+def _hybrid(spark: SparkSession, d: str, **options) -> DataFrame:
+    out = retrieval.hybrid(v.chunks(spark, d), *_legs(spark, d), v.now(), **options)
+    return out.select("query_id", "id", F.col("rank").cast("long").alias("rank"), r6("score").alias("score"), r6("decay_factor").alias("decay_factor"))
+
+
+_RANKED = " SELECT query_id, id, rank, round(score, 6) AS score, round(decay_factor, 6) AS decay_factor FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) - 1 AS rank FROM {src}) WHERE rank < {k}"
+
+
+@register("hybrid_batch", _WEIGHED + _RANKED.format(src="y", k=5))
+def hybrid_batch(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid(spark, d)
+
+
+@register("hybrid_constant_popularity", _LEGS + f""", y AS (SELECT f.*, CASE WHEN ts IS NULL THEN 1 ELSE exp(-(epoch_us(TIMESTAMP '{v.NOW}') - epoch_us(ts)) / 86400e6 / 90.0) * ln(2) END AS decay_factor,
+    rrf_score * CASE WHEN ts IS NULL THEN 1 ELSE exp(-(epoch_us(TIMESTAMP '{v.NOW}') - epoch_us(ts)) / 86400e6 / 90.0) * ln(2) END * (0.7::DOUBLE + 0.3::DOUBLE * confidence) AS score FROM f JOIN ({v.CHUNKS}) c2 USING (id))""" + _RANKED.format(src="y", k=10))
+def hybrid_constant_popularity(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid(spark, d, top_k=10, popularity="constant")
+
+
+@register("source_postfilter", _WEIGHED + _RANKED.format(src="(SELECT * FROM y WHERE source = 'src0')", k=5))
+def source_postfilter(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid(spark, d, source="src0")
+
+
+_RERANK = _WEIGHED + f""", z AS MATERIALIZED (SELECT y.*, qq.text AS query, row_number() OVER (PARTITION BY y.query_id ORDER BY y.score DESC, id) - 1 AS fused FROM y JOIN ({v.QUESTIONS}) qq USING (query_id)),
+r AS MATERIALIZED (SELECT *, list_filter(list_distinct(string_split_regex(lower(query), '\\s+')), lambda w: w <> '') AS qs,
+    list_filter(string_split_regex(lower(CASE WHEN length(text) <= 273 THEN text ELSE substr(text, 1, 238) END), '\\s+'), lambda w: w <> '') AS ds FROM z),
+o AS (SELECT query_id, id, rrf_score, CASE WHEN fused < 20 THEN 1 / (1 + exp(-(8::DOUBLE * len(list_filter(qs, lambda w: list_contains(ds, w))) / greatest(1, len(qs)) - 4))) ELSE 0 END AS score FROM r)
+SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, round(rrf_score, 12) DESC, id) - 1 AS rank FROM o) WHERE rank < 5"""
+
+
+@register("hybrid_rerank", _RERANK)
+def hybrid_rerank(spark: SparkSession, d: str) -> DataFrame:
+    asked = v.questions(spark, d)
+    return _hybrid(spark, d, reranker=lambda h: retrieval.rerank(h, asked)).drop("decay_factor")
+
+
+# -- write-time dedup --------------------------------------------------------------------------------
+@register("dedup_decide", f"""WITH m AS MATERIALIZED ({v.MIXED}), i AS MATERIALIZED ({v.INDEX}),
+n AS MATERIALIZED (SELECT m.id, m.source AS s, m.confidence AS c, i.id AS existing_id, i.source AS os, i.confidence AS oc, list_cosine_similarity(m.embedding, i.embedding) AS similarity,
+    row_number() OVER (PARTITION BY m.id ORDER BY {_DIST.format(a='m.embedding', b='i.embedding')}, i.id) AS r FROM m, i)
+SELECT id, existing_id, round(similarity, 6) AS similarity, CASE WHEN similarity >= 0.92 THEN CASE WHEN s = 'user-memory' AND os <> 'user-memory' THEN 'skip' WHEN c >= oc THEN 'merge' ELSE 'skip' END WHEN similarity >= 0.85 THEN 'skip' ELSE 'insert' END AS decision FROM n WHERE r = 1""")
+def dedup_decide(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.decide(v.mixed(spark, d), v.index(spark, d)).select("id", "existing_id", r6("similarity").alias("similarity"), "decision")
+
+
+@register("dedup_sequential")
+def dedup_sequential(spark: SparkSession, d: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return dedup.decide_in_order(v.mixed(spark, d), v.index(spark, d)).withColumn("similarity", r6("similarity"))
+
+
+@register("decision_counts", f"SELECT source_group, decision, count(*) AS n FROM (SELECT id % 4 AS source_group, decision FROM ({_ORACLES['dedup_decide']})) GROUP BY 1, 2")
+def decision_counts(spark: SparkSession, d: str) -> DataFrame:
+    return dedup_decide(spark, d).groupBy((F.col("id") % 4).alias("source_group"), "decision").agg(F.count("*").alias("n"))
+
+
+# -- maintenance -------------------------------------------------------------------------------------
+_SCORE = f"confidence * CASE WHEN ts IS NULL THEN 0.5 ELSE exp(-(epoch_us(TIMESTAMP '{v.NOW}') - epoch_us(ts)) / 86400e6 / 90.0) END * ln(2 + access_count)"
+_DISTILL = f"SELECT *, row_number() OVER (PARTITION BY project ORDER BY round(score, 12) DESC, id) AS rank FROM (SELECT *, {_SCORE} AS score FROM ({v.CHUNKS}))"
+_VERDICT = f"SELECT *, CASE WHEN rank <= 10 THEN 'keep' WHEN score < 0.3 THEN 'purge' ELSE 'stay' END AS verdict FROM ({_DISTILL})"
+
+
+def _distilled(spark: SparkSession, d: str) -> DataFrame:
+    return maintenance.distill(v.chunks(spark, d), v.now(), purge_below=0.3)
+
+
+@register("decay_score", f"SELECT id, round({_SCORE}, 6) AS score FROM ({v.CHUNKS})")
+def decay_score(spark: SparkSession, d: str) -> DataFrame:
+    return v.chunks(spark, d).select("id", r6(scalar.distill_score(F.col("confidence"), F.col("ts"), F.col("access_count"), v.now())).alias("score"))
+
+
+@register("distill_topn", f"SELECT project, rank, id, substr(text, 1, 120) AS text, round(score, 4) AS score, access_count AS access FROM ({_VERDICT}) WHERE verdict = 'keep'")
+def distill_topn(spark: SparkSession, d: str) -> DataFrame:
+    return maintenance.kept_rows(_distilled(spark, d)).withColumn("rank", F.col("rank").cast("long")).drop("ts")
+
+
+@register("distill_purge", f"SELECT id, project, round(score, 6) AS score FROM ({_VERDICT}) WHERE verdict = 'purge'")
+def distill_purge(spark: SparkSession, d: str) -> DataFrame:
+    return _distilled(spark, d).where("verdict = 'purge'").select("id", "project", r6("score").alias("score"))
+
+
+@register("purge_listing", f"SELECT project, n, id, substr(text, 1, 80) AS text FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY rank) AS n FROM ({_VERDICT}) WHERE verdict = 'purge') WHERE n <= 20")
+def purge_listing(spark: SparkSession, d: str) -> DataFrame:
+    return maintenance.purge_rows(_distilled(spark, d)).select("project", F.col("n").cast("long").alias("n"), "id", "text")
+
+
+@register("project_rank", f"SELECT project, count(*) AS total, count(*) FILTER (WHERE verdict = 'keep') AS kept_count, count(*) FILTER (WHERE verdict = 'purge') AS purge_count, round(sum(CASE WHEN verdict = 'keep' THEN score END), 6) AS kept_score FROM ({_VERDICT}) GROUP BY project")
+def project_rank(spark: SparkSession, d: str) -> DataFrame:
+    return maintenance.distill_report(_distilled(spark, d)).withColumn("kept_score", r6("kept_score"))
+
+
+@register("purge_apply", f"SELECT id FROM ({_VERDICT}) WHERE verdict <> 'purge'")
+def purge_apply(spark: SparkSession, d: str) -> DataFrame:
+    return maintenance.purge(v.chunks(spark, d), _distilled(spark, d)).select("id")
+
+
+_HASHED = rf"SELECT *, row_number() OVER (PARTITION BY substr(md5(trim(regexp_replace(text, '\s+', ' ', 'g'))), 1, 16) ORDER BY coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), ''), id) AS n FROM ({v.CHUNKS})"
+
+
+@register("hash_dedup_keep_first", f"SELECT id FROM ({_HASHED}) WHERE n = 1")
+def hash_dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
+    return maintenance.keep_first(v.chunks(spark, d)).select("id")
+
+
+@register("noise_filter", f"SELECT id, project FROM ({_HASHED}) WHERE n = 1 AND project IN ('en', 'de')")
+def noise_filter(spark: SparkSession, d: str) -> DataFrame:
+    return maintenance.noise_dedup(v.chunks(spark, d), ("en", "de")).select("id", "project")
+
+
+@register("incremental_scan", "SELECT CASE WHEN doc_id % 10 = 0 THEN 'changed' WHEN doc_id % 10 = 1 THEN 'new' ELSE 'unchanged' END AS status, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY 1")
+def incremental_scan(spark: SparkSession, d: str) -> DataFrame:
+    t = v.table(spark, d, "documents")
+    path, mtime = F.concat(F.lit("/n/"), F.col("doc_id").cast("string")), F.timestamp_seconds(F.col("doc_id") + 1_700_000_000)
+    now = t.select("doc_id", path.alias("path"), mtime.alias("mtime"), F.length("text").cast("long").alias("size"))
+    state = now.where("doc_id % 10 <> 1").withColumn("size", F.when(F.col("doc_id") % 10 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    fresh = files.changed(now, state).join(state.select("path", F.lit(True).alias("known")), "path", "left").select("doc_id", F.when(F.col("known"), "changed").otherwise("new").alias("status"))
+    same = files.unchanged(now, state).select("doc_id", F.lit("unchanged").alias("status"))
+    return fresh.union(same).groupBy("status").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+@register("merge_upsert", "SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'new ' || lang ELSE lang END AS text FROM documents WHERE doc_id % 5 <> 2 UNION ALL SELECT doc_id + 1000000000, 'added' FROM documents WHERE doc_id % 50 = 0")
+def merge_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Versions of a table: rows replaced by key, rows added, rows deleted."""
+    base = v.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("text"))
+    update = base.where("id % 4 = 0").select("id", F.concat(F.lit("new "), "text").alias("text"))
+    insert = base.where("id % 50 = 0").select((F.col("id") + 1_000_000_000).alias("id"), F.lit("added").alias("text"))
+    merged = base.join(update.select("id"), "id", "left_anti").unionByName(update)
+    return merged.join(base.where("id % 5 = 2").select("id"), "id", "left_anti").unionByName(insert)
+
+
+# -- evaluation --------------------------------------------------------------------------------------
+
+
+@register("ir_metrics", f"""WITH r AS ({_ORACLES['knn_topk']}), g AS (SELECT label::BIGINT AS query_id, count(*) AS n FROM embeddings GROUP BY label),
+h AS (SELECT r.query_id, r.rank FROM r JOIN embeddings e ON e.vec_id = r.id AND e.label = r.query_id)
+SELECT g.query_id, round(coalesce(count(rank) FILTER (WHERE rank < 1), 0) / n::DOUBLE, 6) AS recall_1, round(count(rank) FILTER (WHERE rank < 5) / n::DOUBLE, 6) AS recall_5, round(count(rank) FILTER (WHERE rank < 10) / n::DOUBLE, 6) AS recall_10,
+  round(coalesce(1 / (min(rank) + 1)::DOUBLE, 0), 6) AS mrr, round(coalesce(sum(CASE WHEN rank < 10 THEN 1 / log2(rank + 2) END), 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg_10
+FROM g LEFT JOIN h USING (query_id) GROUP BY g.query_id, n""")
+def ir_metrics(spark: SparkSession, d: str) -> DataFrame:
+    gold = v.table(spark, d, "embeddings").groupBy(F.col("label").cast("long").alias("query_id")).agg(F.collect_list(F.col("vec_id")).alias("relevant_ids"))
+    m = evaluation.per_query(knn(v.vectors(spark, d), v.centroids(spark, d), 20), gold)
+    return m.select("query_id", *[r6(c).alias(c) for c in m.columns if c != "query_id"])
+
+
+@register("ir_summary", f"SELECT count(*) AS queries, round(avg(recall_1), 5) AS recall_1, round(avg(recall_10), 5) AS recall_10, round(avg(mrr), 5) AS mrr, round(avg(ndcg_10), 5) AS ndcg_10 FROM ({_ORACLES['ir_metrics']})")
+def ir_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = evaluation.summary(ir_metrics(spark, d))
+    return s.select("queries", *[F.round(c, 5).alias(c) for c in ("recall_1", "recall_10", "mrr", "ndcg_10")])
+
+
+@register("latency_pctl", "SELECT event_type, l[len(l) // 2 + 1] AS p50, l[floor(len(l) * 0.95)::INTEGER + 1] AS p95 FROM (SELECT event_type, list(value ORDER BY value) AS l FROM events GROUP BY event_type)")
+def latency_pctl(spark: SparkSession, d: str) -> DataFrame:
+    """By rank and not by collecting a group: the values are numbered in order, and two of them are picked."""
+    w = Window.partitionBy("event_type")
+    e = v.table(spark, d, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("r"), F.count("*").over(w).alias("n"))
+    pick = lambda p: F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * F.lit(p)) + 1, F.col("n")), F.col("value")))
+    return e.groupBy("event_type").agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"))
