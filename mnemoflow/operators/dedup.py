@@ -114,7 +114,8 @@ def decide_in_order(batch: DataFrame, index: DataFrame, merge_at: float = MERGE_
     """(id, decision, existing_id, similarity) as a sequential writer decides; existing_id and similarity are null below ``skip_at``.
 
     batch: id, ordinal (a number or a string that sorts), embedding, source, confidence; index: the same but ordinal. Rows that are similar
-    to nothing skip Python.
+    to nothing skip Python. Vectors have unit length, as embedders give them, so that the nearest row is the
+    most similar one.
     """
     cols, kinds = ["id", "v", "source", "confidence"], dict(batch.dtypes)
     conf = F.coalesce(F.col("confidence"), F.lit(0.5)).alias("confidence")

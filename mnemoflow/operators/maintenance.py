@@ -12,11 +12,12 @@ from mnemoflow.functions import scalar, vocab
 PURGE_BELOW, TOP = 0.005, 10
 #: Characters of the digest block and of one project in it, rows of a project, characters of a row.
 BLOCK_CHARS, PROJECT_CHARS, PROJECT_ROWS, ROW_CHARS = 2200, 500, 5, 80
+FULL = "- _… (budget of the block is used up)_"
 DIGEST_START, DIGEST_END = "<!-- AUTO_DIGEST_START -->", "<!-- AUTO_DIGEST_END -->"
 
 
-def project_or_none(c: Column = F.col("project"), label: str = vocab.NO_PROJECT) -> Column:
-    return F.coalesce(F.when(c != "", c), F.lit(label))
+def project_or_none(name: str = "project", label: str = vocab.NO_PROJECT) -> Column:
+    return F.coalesce(F.when(F.col(name) != "", F.col(name)), F.lit(label))
 
 
 def distill(chunks: DataFrame, now: Column, project: str | None = None, top: int = TOP, purge_below: float = PURGE_BELOW, tau_days: float = 90.0) -> DataFrame:
@@ -155,7 +156,8 @@ def render_digest(rows: Iterable[dict], projects: int, total: int, stamp: str) -
         used += len(own[0]["header"]) + 1
         for r in own:
             if used + len(r["line"]) + 1 > BLOCK_CHARS:
-                out.append("- _… (budget of the block is used up)_")
+                if FULL not in out:
+                    out.append(FULL)
                 break
             if not r["fits"]:
                 break

@@ -168,7 +168,8 @@ def test_decisions_in_order_are_those_of_one_writer(spark):
     for seed in range(4):
         rng = np.random.default_rng(seed)
         centres = rng.normal(size=(6, 5))
-        row = lambda k: (centres[rng.integers(6)] + rng.normal(size=5) * rng.choice([0.05, 0.3])).tolist()
+        unit = lambda x: (x / np.linalg.norm(x)).tolist()
+        row = lambda k: unit(centres[rng.integers(6)] + rng.normal(size=5) * rng.choice([0.05, 0.3]))
         src = lambda: str(rng.choice(["user-memory", "workspace-log", "other"]))
         index = [(f"i{k}", row(k), src(), float(rng.integers(10)) / 10) for k in range(8)]
         batch = [(f"b{k:02d}", k, row(k), src(), float(rng.integers(10)) / 10) for k in range(25)]
