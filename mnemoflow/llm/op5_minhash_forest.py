@@ -9,13 +9,16 @@ neighbours in order and its most central member (in some trees its first one too
 splits by the next signature values, a depth of its own, down to small regions. So candidates grow
 with the rows and not with the square of a group.
 
-Candidates are confirmed on the full sets in two rounds: first the stars of some trees, which already
-connect nearly every group; then all candidates that are still in different components. Confirmed
-links give connected components by label propagation.
+Candidates are confirmed on the full sets in rounds: first the stars of some trees, which already
+connect nearly every group; then all candidates that are still in different components; at last, for
+each crowded region, the classes that are not in its largest component against all its members, in
+blocks inside a task that give back confirmed links alone. Confirmed links give connected components by label
+propagation.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 from mnemoflow.llm.scratch import materialize
 from mnemoflow.llm.textkit import Words, buffers, column_words, mix, rolling, slices, words
 
+#: Classes of a crowded region (of the first trees) that are compared as a whole (a larger one is first split by further signature values); signatures that agree less than the similarity by this margin in percent (over three standard deviations) are left out.
+CROWD, MARGIN, CROWD_TREES = 4096, 12, 8
 #: Trees; signature values of a prefix at least and of a tree; trees whose stars are confirmed first; classes whose pairs are all candidates.
 TREES, LEAST_DEPTH, DEPTH, STARS, REGION = 16, 3, 7, 4, 8
 _RNG = np.random.default_rng(5)
@@ -146,11 +151,72 @@ def _pairs(key: int, rest: list[bytes], cid: np.ndarray, n: np.ndarray, least: f
     return a, b, ((i == star) | (j == star)) & (key & (TREES - 1) < STARS)
 
 
+def _crowds(key: int, rest: list[bytes]) -> np.ndarray:
+    """Names of the crowds of sorted rows of one region: the region itself, or parts of at most CROWD rows that agree on more values."""
+    out = np.full(len(rest), key, np.int64)
+    todo = [(0, len(rest), 0)]
+    while todo:
+        lo, hi, used = todo.pop()
+        if hi - lo <= CROWD or used >= len(rest[lo]):
+            out[lo:hi] = key if not used else np.frombuffer(hashlib.blake2b(rest[lo][:used], digest_size=8, key=key.to_bytes(8, "big", signed=True)).digest(), np.int64)[0]
+            continue
+        used += 2
+        heads = [x[:used] for x in rest[lo:hi]]
+        cuts = [lo, *(lo + k for k in range(1, hi - lo) if heads[k] != heads[k - 1]), hi]
+        todo += [(a, b, used) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return out
+
+
+def _settle(width: int, least_percent: int):
+    """Confirmed links of a crowd's outsiders with a part of its members, as many as connect them; full sets are compared inside the task, and no pair leaves it unconfirmed."""
+
+    def read(table: pa.Table) -> list:
+        """cid, label, signatures, sizes, and the sorted distinct (row, shingle) of the rows whose text is of their class."""
+        row, win, at = [], [], 0
+        n, cid = [], []
+        for i, j, w in column_words(table["text"]):
+            r, h = _sets(w, width)
+            sizes, _, names = _class_ids(r, h, j - i)
+            row.append(r + i), win.append(h), n.append(sizes), cid.append(names)
+            at = j
+        row, win, n, cid = (np.concatenate(x) if at else np.zeros(0, np.int64) for x in (row, win, n, cid))
+        own = table["cid"].to_numpy()
+        n = np.where(cid == own, n, 0) if at else n
+        return [own, table["label"].to_numpy().copy(), np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(table), -1), n, row, win.astype(np.uint64)]
+
+    def run(outsiders: pa.Table, members: pa.Table) -> pa.Table:
+        links: list[tuple[int, int]] = []
+        if len(outsiders) and len(members):
+            (cu, lu, su, nu, row_u, win_u), (cm, lm, sm, nm, row_m, win_m) = read(outsiders), read(members)
+            order = np.argsort(win_m, kind="stable")
+            posts, who = win_m[order], row_m[order]
+            first = np.searchsorted(row_u, np.arange(len(cu) + 1))
+            for k in range(len(cu)):
+                fine = (lm != lu[k]) & (100 * np.minimum(nm, nu[k]) >= least_percent * np.maximum(nm, nu[k])) & (nm > 0)
+                near = np.flatnonzero(fine)
+                near = near[100 * (sm[near] == su[k]).mean(1) >= least_percent - MARGIN]
+                if not len(near):
+                    continue
+                own = win_u[first[k] : first[k + 1]]
+                lo, hi = np.searchsorted(posts, own, "left"), np.searchsorted(posts, own, "right")
+                found = np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange((hi - lo).sum())
+                both = np.bincount(who[found], minlength=len(cm))[near]
+                for m in near[100 * both >= least_percent * (nm[near] + nu[k] - both)]:
+                    if lm[m] != lu[k]:
+                        links.append((int(cu[k]), int(cm[m])))
+                        old, new = lu[k], lm[m]
+                        lu[lu == old] = new
+                        lm[lm == old] = new
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    return run
+
+
 def _walk(least: float):
-    """Regions of a sorted partition. What touches the partition's ends may go on in another one: up to 2 * REGION rows there are passed on (star is null) to be joined by key."""
+    """Regions of a sorted partition. What touches the partition's ends may go on in another one: up to 2 * REGION rows there are passed on (star is null) to be joined by key. Rows of crowded regions are passed on with the name of their crowd."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "star", "key", "rest", "n"]
+        names = ["a", "b", "star", "key", "rest", "n", "crowd"]
         held: list[pa.RecordBatch] = []
         begun = False
 
@@ -166,10 +232,13 @@ def _walk(least: float):
                 if rows:
                     rows = sorted(rows)
                     nulls = pa.nulls(len(rows), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(cid[rows]), nulls, pa.nulls(len(rows), pa.bool_()), pa.array(key[rows]), pa.array([rest[x] for x in rows], pa.binary()), pa.array(n[rows])], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(cid[rows]), nulls, pa.nulls(len(rows), pa.bool_()), pa.array(key[rows]), pa.array([rest[x] for x in rows], pa.binary()), pa.array(n[rows]), nulls], names)
+                if int(key[i]) & (TREES - 1) < CROWD_TREES and (rows or j - i > REGION):
+                    nulls = pa.nulls(j - i, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(cid[i:j]), nulls, pa.nulls(j - i, pa.bool_()), nulls, pa.nulls(j - i, pa.binary()), nulls, pa.array(_crowds(int(key[i]), rest[i:j]))], names)
             if out:
                 a, b, star = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(star), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(star), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64())], names)
 
         def take(table: pa.Table, final: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, begun
@@ -256,8 +325,8 @@ def near_dedup(docs: DataFrame, width: int = 5, least_percent: int = 80) -> Data
     classes = materialize(classes, "classes")
     forest = classes.select("cid", "n", "sig").mapInArrow(_forest, "key long, rest binary, cid long, n long")
     forest = forest.repartitionByRange("key", "rest", "cid").sortWithinPartitions("key", "rest", "cid")
-    walked = materialize(forest.mapInArrow(_walk(least_percent / 100), "a long, b long, star boolean, key long, rest binary, n long"), "walked")
-    seams = walked.where("star IS NULL").select("key", "rest", F.col("a").alias("cid"), "n").groupBy("key").applyInArrow(_seam(least_percent / 100), "a long, b long, star boolean")
+    walked = materialize(forest.mapInArrow(_walk(least_percent / 100), "a long, b long, star boolean, key long, rest binary, n long, crowd long"), "walked")
+    seams = walked.where("star IS NULL AND crowd IS NULL").select("key", "rest", F.col("a").alias("cid"), "n").groupBy("key").applyInArrow(_seam(least_percent / 100), "a long, b long, star boolean")
     pairs = walked.where("star IS NOT NULL").select("a", "b", "star").union(seams)
     pairs = materialize(pairs.groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
 
@@ -280,6 +349,20 @@ def near_dedup(docs: DataFrame, width: int = 5, least_percent: int = 80) -> Data
     links = links.union(materialize(confirmed(others), "links"))
     labels = components(links)
 
+    crowds = walked.where("crowd IS NOT NULL").select(F.col("crowd").alias("key"), F.col("a").alias("cid")).distinct()
+    crowds = materialize(crowds.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), "crowds")
+    sizes = crowds.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most"))
+    split = materialize(sizes.where("most < size").select("key", "main", F.ceil(F.col("size") / CROWD).cast("int").alias("parts")), "split")
+    parts = F.greatest(F.col("parts"), F.lit(1))
+    rest = crowds.join(split, "key").join(classes.select("cid", "sig"), "cid")
+    rest = materialize(rest.hint("merge").join(texts, "cid"), "unsettled")
+    members = rest.select("key", F.pmod(F.xxhash64("cid"), parts).cast("int").alias("part"), "cid", "label", "sig", "text")
+    outsiders = rest.where("label <> main").select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "cid", "label", "sig", "text")
+    outsiders, members = outsiders.toDF(*outsiders.columns), members.toDF(*members.columns)
+    settled = outsiders.groupBy("key", "part").cogroup(members.groupBy("key", "part")).applyInArrow(_settle(width, least_percent), "a long, b long")
+    links = links.union(materialize(settled, "links"))
+    labels = components(links)
+
     known = ids.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     first = known.groupBy("label").agg(F.min("rep").alias("component_id"))
     known = materialize(known.join(first, "label").select("cid", "component_id"), "components")

@@ -72,6 +72,26 @@ def test_near_dedup_of_a_crowded_group(spark):
     assert {r[2] for r in got} == {0}
 
 
+@pytest.mark.parametrize("crowd", [4096, 20])
+def test_near_dedup_of_a_template(spark, monkeypatch, crowd):
+    """Many texts about as similar to each other as the threshold, so that some links exist and most do not."""
+    import random
+
+    monkeypatch.setattr(op5_minhash_forest, "CROWD", crowd)
+    rng = random.Random(7)
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(200)]
+    docs = []
+    for k in range(250):
+        own = base[:]
+        for at in rng.sample(range(200), rng.choice([2, 3, 4, 5, 6])):
+            own[at] = f"x{rng.randint(0, 10**9)}"
+        docs.append((k, " ".join(own)))
+    got = rows(op5_minhash_forest.near_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), 3, 85), "doc_id", "n_shingles", "component_id", "kept")
+    want = sorted(brute.near_dedup(docs, 3, 85), key=repr)
+    assert 10 < len({r[2] for r in want}) < 240
+    assert got == want
+
+
 def test_line_dedup(mixed_docs, edge, empty):
     got = rows(op8_line_dedup.line_dedup(mixed_docs), "doc_id", "n_lines", "n_dropped", "kept_text")
     assert got == sorted(brute.line_dedup(pairs(mixed_docs)), key=repr)
