@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a leaf; pieces in a task's memory; tokens on each side of a join to begin with.
-LEAF, MEMORY, WINDOW = 2048, 400_000, 4
+LEAF, MEMORY, WINDOW = 2048, 100_000, 4
 
 
 def joined(left: list[int], right: list[int], encode: Callable[[bytes], list[int]], spell: Callable[[int], bytes]) -> list[int]:
