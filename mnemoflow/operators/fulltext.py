@@ -1,6 +1,6 @@
 """BM25 over three columns with trigram phrases: a term matches wherever it is a substring.
 
-Two physical forms with the same scores: a scan that tests the (few) query terms on every chunk, and
+Two physical forms with the same scores: a scan that meets every chunk with the (few) query terms, and
 postings of trigrams, built once and partitioned by trigram, for corpora that are searched often.
 """
 
@@ -84,12 +84,13 @@ def bm25(chunks: DataFrame, queries: list[tuple[object, str]], id_col: str = "id
     terms = sorted({t for _, q in queries for t in (x.lower() for x in query_terms(q)) if len(t) >= 3})
     if not terms or not n:
         return spark.createDataFrame([], f"query_id {id_type}, id {dict(low.dtypes)['id']}, score double")
-    listed = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(_overlaps_itself(t)).alias("own")) for t in terms])
-    found = lambda row, x: sum((occurrences(row[c], x["term"], x["own"]) for c in COLUMNS[1:]), occurrences(row[COLUMNS[0]], x["term"], x["own"]))
-    count = lambda row: F.filter(F.transform(listed, lambda x: F.struct(x["term"].alias("term"), found(row, x).alias("f"))), lambda x: x["f"] > 0)
-    # The lowered columns are bound as one value, so that they are made once a row and not once a term.
-    bound = F.element_at(F.transform(F.array(F.struct(*COLUMNS)), count), 1)
-    hits = low.select("id", "dl", F.explode(bound).alias("h")).select("id", "dl", "h.*")
+    # Every place of the text gives a window as long as the longest term; windows meet the terms by their first trigram.
+    # So a text is read once for all terms, overlapping places count, and a row never carries its text.
+    wanted = spark.createDataFrame([(t, t[:3]) for t in terms], "term string, head string")
+    pattern = F.lit(f"(?s)(?=(.{{3,{max(map(len, terms))}}}))")
+    windows = F.explode(F.concat(*[F.regexp_extract_all(F.col(c), pattern, F.lit(1)) for c in COLUMNS]))
+    places = low.select("id", "dl", windows.alias("w")).withColumn("head", F.substring("w", 1, 3))
+    hits = places.join(F.broadcast(wanted), "head").where(F.startswith("w", "term")).groupBy("id", "dl", "term").agg(F.count("*").alias("f"))
     return scores(hits, table, n, average)
 
 
