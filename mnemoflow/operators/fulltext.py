@@ -58,7 +58,13 @@ def _lowered(chunks: DataFrame, id_col: str) -> DataFrame:
     return chunks.select(F.col(id_col).alias("id"), *[one(c).alias(c) for c in COLUMNS])
 
 
-def doc_length(low: DataFrame) -> Column:
+def spread(df: DataFrame) -> DataFrame:
+    """Input of fewer partitions than cores (a few small files) is dealt to all of them; larger input stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def doc_length() -> Column:
     return sum((F.greatest(F.length(c) - 2, F.lit(0)) for c in COLUMNS), F.lit(0)).cast("long")
 
 
@@ -77,8 +83,8 @@ def bm25(chunks: DataFrame, queries: list[tuple[object, str]], id_col: str = "id
     Statistics are those of all chunks; filters on project or source come after (see ``topn``).
     """
     spark = chunks.sparkSession
-    low = _lowered(chunks, id_col)
-    low = low.withColumn("dl", doc_length(low))
+    low = _lowered(spread(chunks), id_col)
+    low = low.withColumn("dl", doc_length())
     n, average = low.agg(F.count("*"), F.avg("dl")).first()
     table = term_table(spark, queries, id_type)
     terms = sorted({t for _, q in queries for t in (x.lower() for x in query_terms(q)) if len(t) >= 3})
@@ -96,11 +102,11 @@ def bm25(chunks: DataFrame, queries: list[tuple[object, str]], id_col: str = "id
 
 def build_postings(chunks: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
     """(trigram, id, tf) and (id, dl): the inverted index. Rebuilding is calling this again."""
-    low = _lowered(chunks, id_col)
+    low = _lowered(spread(chunks), id_col)
     every = lambda c: F.regexp_extract_all(F.col(c), F.lit("(?s)(?=(...))"), F.lit(1))
     grams = lambda c: F.when(F.length(c) >= 3, every(c)).otherwise(F.array().cast("array<string>"))
     posts = low.select("id", F.explode(F.concat(*map(grams, COLUMNS))).alias("trigram")).groupBy("trigram", "id").agg(F.count("*").alias("tf"))
-    return posts, low.select("id", doc_length(low).alias("dl"))
+    return posts, low.select("id", doc_length().alias("dl"))
 
 
 def bm25_by_postings(postings: DataFrame, lengths: DataFrame, chunks: DataFrame, queries: list[tuple[object, str]], id_col: str = "id", id_type: str = "string") -> DataFrame:
