@@ -490,3 +490,27 @@ def latency_pctl(spark: SparkSession, d: str) -> DataFrame:
     e = v.table(spark, d, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("r"), F.count("*").over(w).alias("n"))
     pick = lambda p: F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * F.lit(p)) + 1, F.col("n")), F.col("value")))
     return e.groupBy("event_type").agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"))
+
+
+@register("unknown_listing", f"SELECT id, access_count, length FROM ({v.CHUNKS}) WHERE id % 4 = 1")
+def unknown_listing(spark: SparkSession, d: str) -> DataFrame:
+    c = v.chunks(spark, d).withColumn("source", F.when(F.col("id") % 4 == 1, "unknown").otherwise(F.col("source")))
+    return maintenance.unknown_listing(c).select("id", "access_count", F.col("length").cast("long").alias("length"))
+
+
+_TOP = f"SELECT *, {_FLAT.replace('text', 'substr(text, 1, 120)')} AS f FROM ({_DISTILL}) WHERE rank <= 5"
+_LINES = f"SELECT *, '- `' || printf('%.3f', score) || '` acc=' || access_count || '  ' || CASE WHEN length(f) > 80 THEN rtrim(substr(f, 1, 80)) || '…' ELSE f END AS line FROM ({_TOP})"
+
+
+@register("digest_rows", f"""SELECT project, rank, line, round(sum(round(score, 4)) OVER (PARTITION BY project), 6) AS heat,
+    sum(length(line) + 1) OVER (PARTITION BY project ORDER BY rank) + length('### ' || project || ' (' || count(*) OVER (PARTITION BY project) || ' chunks)') + 1 <= 500 AS fits FROM ({_LINES})""")
+def digest_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = maintenance.digest_rows(_distilled(spark, d))
+    return rows.select("project", F.col("rank").cast("long").alias("rank"), "line", r6("heat").alias("heat"), "fits")
+
+
+@register("fuse_weights", _WEIGHED + " SELECT query_id, id, round(score, 6) AS score FROM y")
+def fuse_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Every fused hit with its weight, before any cut."""
+    hits = retrieval.fuse(*_legs(spark, d)).join(v.chunks(spark, d), "id")
+    return retrieval.weigh(hits, v.now()).select("query_id", "id", r6("score").alias("score"))
