@@ -18,7 +18,6 @@ propagation.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from mnemoflow.llm.scratch import materialize
 from mnemoflow.llm.textkit import Words, buffers, column_words, mix, rolling, slices, words
 
-#: Classes of a crowded region (of the first trees) that are compared as a whole (a larger one is first split by further signature values); signatures that agree less than the similarity by this margin in percent (over three standard deviations) are left out.
+#: Outsiders and members of a crowded region (of the first trees) in a block; every block of outsiders meets every block of members. Signatures that agree less than the similarity by this margin in percent (over three standard deviations) are left out.
 CROWD, MARGIN, CROWD_TREES = 4096, 12, 8
 #: Trees; signature values of a prefix at least and of a tree; trees whose stars are confirmed first; classes whose pairs are all candidates.
 TREES, LEAST_DEPTH, DEPTH, STARS, REGION = 16, 3, 7, 4, 8
@@ -151,22 +150,6 @@ def _pairs(key: int, rest: list[bytes], cid: np.ndarray, n: np.ndarray, least: f
     return a, b, ((i == star) | (j == star)) & (key & (TREES - 1) < STARS)
 
 
-def _crowds(key: int, rest: list[bytes]) -> np.ndarray:
-    """Names of the crowds of sorted rows of one region: the region itself, or parts of at most CROWD rows that agree on more values."""
-    out = np.full(len(rest), key, np.int64)
-    todo = [(0, len(rest), 0)]
-    while todo:
-        lo, hi, used = todo.pop()
-        if hi - lo <= CROWD or used >= len(rest[lo]):
-            out[lo:hi] = key if not used else np.frombuffer(hashlib.blake2b(rest[lo][:used], digest_size=8, key=key.to_bytes(8, "big", signed=True)).digest(), np.int64)[0]
-            continue
-        used += 2
-        heads = [x[:used] for x in rest[lo:hi]]
-        cuts = [lo, *(lo + k for k in range(1, hi - lo) if heads[k] != heads[k - 1]), hi]
-        todo += [(a, b, used) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return out
-
-
 def _settle(width: int, least_percent: int):
     """Confirmed links of a crowd's outsiders with a part of its members, as many as connect them; full sets are compared inside the task, and no pair leaves it unconfirmed."""
 
@@ -213,7 +196,7 @@ def _settle(width: int, least_percent: int):
 
 
 def _walk(least: float):
-    """Regions of a sorted partition. What touches the partition's ends may go on in another one: up to 2 * REGION rows there are passed on (star is null) to be joined by key. Rows of crowded regions are passed on with the name of their crowd."""
+    """Regions of a sorted partition. What touches the partition's ends may go on in another one: up to 2 * REGION rows there are passed on (star is null) to be joined by key. Rows of crowded regions are passed on with their key as the name of the crowd, the same in all partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "b", "star", "key", "rest", "n", "crowd"]
@@ -235,7 +218,7 @@ def _walk(least: float):
                     yield pa.RecordBatch.from_arrays([pa.array(cid[rows]), nulls, pa.nulls(len(rows), pa.bool_()), pa.array(key[rows]), pa.array([rest[x] for x in rows], pa.binary()), pa.array(n[rows]), nulls], names)
                 if int(key[i]) & (TREES - 1) < CROWD_TREES and (rows or j - i > REGION):
                     nulls = pa.nulls(j - i, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(cid[i:j]), nulls, pa.nulls(j - i, pa.bool_()), nulls, pa.nulls(j - i, pa.binary()), nulls, pa.array(_crowds(int(key[i]), rest[i:j]))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(cid[i:j]), nulls, pa.nulls(j - i, pa.bool_()), nulls, pa.nulls(j - i, pa.binary()), nulls, pa.array(key[i:j])], names)
             if out:
                 a, b, star = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(star), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64())], names)
@@ -352,14 +335,16 @@ def near_dedup(docs: DataFrame, width: int = 5, least_percent: int = 80) -> Data
     crowds = walked.where("crowd IS NOT NULL").select(F.col("crowd").alias("key"), F.col("a").alias("cid")).distinct()
     crowds = materialize(crowds.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), "crowds")
     sizes = crowds.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most"))
-    split = materialize(sizes.where("most < size").select("key", "main", F.ceil(F.col("size") / CROWD).cast("int").alias("parts")), "split")
-    parts = F.greatest(F.col("parts"), F.lit(1))
+    blocks = lambda n: F.ceil(n / CROWD).cast("int")
+    split = materialize(sizes.where("most < size").select("key", "main", blocks(F.col("size")).alias("parts"), blocks(F.col("size") - F.col("most")).alias("blocks")), "split")
+    dealt = lambda to: F.pmod(F.xxhash64("cid"), F.greatest(F.col(to), F.lit(1))).cast("int")
+    every = lambda to: F.explode(F.sequence(F.lit(0), F.greatest(F.col(to), F.lit(1)) - 1))
     rest = crowds.join(split, "key").join(classes.select("cid", "sig"), "cid")
     rest = materialize(rest.hint("merge").join(texts, "cid"), "unsettled")
-    members = rest.select("key", F.pmod(F.xxhash64("cid"), parts).cast("int").alias("part"), "cid", "label", "sig", "text")
-    outsiders = rest.where("label <> main").select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "cid", "label", "sig", "text")
+    members = rest.select("key", dealt("parts").alias("part"), every("blocks").alias("block"), "cid", "label", "sig", "text")
+    outsiders = rest.where("label <> main").select("key", every("parts").alias("part"), dealt("blocks").alias("block"), "cid", "label", "sig", "text")
     outsiders, members = outsiders.toDF(*outsiders.columns), members.toDF(*members.columns)
-    settled = outsiders.groupBy("key", "part").cogroup(members.groupBy("key", "part")).applyInArrow(_settle(width, least_percent), "a long, b long")
+    settled = outsiders.groupBy("key", "part", "block").cogroup(members.groupBy("key", "part", "block")).applyInArrow(_settle(width, least_percent), "a long, b long")
     links = links.union(materialize(settled, "links"))
     labels = components(links)
 

@@ -92,6 +92,26 @@ def test_near_dedup_of_a_template(spark, monkeypatch, crowd):
     assert got == want
 
 
+def walked_crowds(key, sizes):
+    """The names of the crowds that _walk passes on, for partitions of so many classes of one key."""
+    import pyarrow as pa
+
+    found = set()
+    for part, n in enumerate(sizes):
+        rest = pa.array([bytes([part, k // 256, k % 256, 0, 0, 0, 0, 0]) for k in range(n)], pa.binary())
+        batch = pa.RecordBatch.from_arrays([pa.array([key] * n), rest, pa.array([part * 10_000 + k for k in range(n)]), pa.array([100] * n)], ["key", "rest", "cid", "n"])
+        for out in op5_minhash_forest._walk(0.85)(iter([batch])):
+            found |= {(c, a) for c, a in zip(out["crowd"].to_pylist(), out["a"].to_pylist(), strict=True) if c is not None}
+    return found
+
+
+def test_near_dedup_names_a_crowd_alike_in_all_partitions(monkeypatch):
+    """One partition holds more rows of the key than a block, the next one fewer."""
+    monkeypatch.setattr(op5_minhash_forest, "CROWD", 20)
+    found = walked_crowds(1600, (60, 12))
+    assert {c for c, _ in found} == {1600} and len(found) == 72
+
+
 def test_line_dedup(mixed_docs, edge, empty):
     got = rows(op8_line_dedup.line_dedup(mixed_docs), "doc_id", "n_lines", "n_dropped", "kept_text")
     assert got == sorted(brute.line_dedup(pairs(mixed_docs)), key=repr)
