@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from mnemoflow.llm.scratch import materialize
 from mnemoflow.llm.textkit import Words, buffers, column_words, mix, rolling, slices, words
 
-#: Outsiders and members of a crowded region (of the first trees) in a block; every block of outsiders meets every block of members. Signatures that agree less than the similarity by this margin in percent (over three standard deviations) are left out.
-CROWD, MARGIN, CROWD_TREES = 4096, 12, 8
+#: Outsiders and members of a crowded region in a block; every block of outsiders meets every block of members.
+CROWD = 4096
 #: Trees; signature values of a prefix at least and of a tree; trees whose stars are confirmed first; classes whose pairs are all candidates.
 TREES, LEAST_DEPTH, DEPTH, STARS, REGION = 16, 3, 7, 4, 8
 _RNG = np.random.default_rng(5)
@@ -154,7 +154,7 @@ def _settle(width: int, least_percent: int):
     """Confirmed links of a crowd's outsiders with a part of its members, as many as connect them; full sets are compared inside the task, and no pair leaves it unconfirmed."""
 
     def read(table: pa.Table) -> list:
-        """cid, label, signatures, sizes, and the sorted distinct (row, shingle) of the rows whose text is of their class."""
+        """cid, label, sizes, and the sorted distinct (row, shingle) of the rows whose text is of their class."""
         row, win, at = [], [], 0
         n, cid = [], []
         for i, j, w in column_words(table["text"]):
@@ -165,19 +165,18 @@ def _settle(width: int, least_percent: int):
         row, win, n, cid = (np.concatenate(x) if at else np.zeros(0, np.int64) for x in (row, win, n, cid))
         own = table["cid"].to_numpy()
         n = np.where(cid == own, n, 0) if at else n
-        return [own, table["label"].to_numpy().copy(), np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(table), -1), n, row, win.astype(np.uint64)]
+        return [own, table["label"].to_numpy().copy(), n, row, win.astype(np.uint64)]
 
     def run(outsiders: pa.Table, members: pa.Table) -> pa.Table:
         links: list[tuple[int, int]] = []
         if len(outsiders) and len(members):
-            (cu, lu, su, nu, row_u, win_u), (cm, lm, sm, nm, row_m, win_m) = read(outsiders), read(members)
+            (cu, lu, nu, row_u, win_u), (cm, lm, nm, row_m, win_m) = read(outsiders), read(members)
             order = np.argsort(win_m, kind="stable")
             posts, who = win_m[order], row_m[order]
             first = np.searchsorted(row_u, np.arange(len(cu) + 1))
             for k in range(len(cu)):
                 fine = (lm != lu[k]) & (100 * np.minimum(nm, nu[k]) >= least_percent * np.maximum(nm, nu[k])) & (nm > 0)
                 near = np.flatnonzero(fine)
-                near = near[100 * (sm[near] == su[k]).mean(1) >= least_percent - MARGIN]
                 if not len(near):
                     continue
                 own = win_u[first[k] : first[k + 1]]
@@ -216,7 +215,7 @@ def _walk(least: float):
                     rows = sorted(rows)
                     nulls = pa.nulls(len(rows), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(cid[rows]), nulls, pa.nulls(len(rows), pa.bool_()), pa.array(key[rows]), pa.array([rest[x] for x in rows], pa.binary()), pa.array(n[rows]), nulls], names)
-                if int(key[i]) & (TREES - 1) < CROWD_TREES and (rows or j - i > REGION):
+                if rows or j - i > REGION:
                     nulls = pa.nulls(j - i, pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(cid[i:j]), nulls, pa.nulls(j - i, pa.bool_()), nulls, pa.nulls(j - i, pa.binary()), nulls, pa.array(key[i:j])], names)
             if out:
@@ -314,7 +313,8 @@ def near_dedup(docs: DataFrame, width: int = 5, least_percent: int = 80) -> Data
     pairs = materialize(pairs.groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
 
     ids = classes.select("cid", "rep")
-    named = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct().join(ids, "cid")
+    named = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).union(walked.where("crowd IS NOT NULL").select(F.col("a").alias("cid")))
+    named = named.distinct().join(ids, "cid")
     named = materialize(named, "named")
     texts = docs.join(named.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text")
     texts = materialize(texts, "texts")
@@ -339,10 +339,9 @@ def near_dedup(docs: DataFrame, width: int = 5, least_percent: int = 80) -> Data
     split = materialize(sizes.where("most < size").select("key", "main", blocks(F.col("size")).alias("parts"), blocks(F.col("size") - F.col("most")).alias("blocks")), "split")
     dealt = lambda to: F.pmod(F.xxhash64("cid"), F.greatest(F.col(to), F.lit(1))).cast("int")
     every = lambda to: F.explode(F.sequence(F.lit(0), F.greatest(F.col(to), F.lit(1)) - 1))
-    rest = crowds.join(split, "key").join(classes.select("cid", "sig"), "cid")
-    rest = materialize(rest.hint("merge").join(texts, "cid"), "unsettled")
-    members = rest.select("key", dealt("parts").alias("part"), every("blocks").alias("block"), "cid", "label", "sig", "text")
-    outsiders = rest.where("label <> main").select("key", every("parts").alias("part"), dealt("blocks").alias("block"), "cid", "label", "sig", "text")
+    rest = materialize(crowds.join(split, "key").hint("merge").join(texts, "cid"), "unsettled")
+    members = rest.select("key", dealt("parts").alias("part"), every("blocks").alias("block"), "cid", "label", "text")
+    outsiders = rest.where("label <> main").select("key", every("parts").alias("part"), dealt("blocks").alias("block"), "cid", "label", "text")
     outsiders, members = outsiders.toDF(*outsiders.columns), members.toDF(*members.columns)
     settled = outsiders.groupBy("key", "part", "block").cogroup(members.groupBy("key", "part", "block")).applyInArrow(_settle(width, least_percent), "a long, b long")
     links = links.union(materialize(settled, "links"))

@@ -112,6 +112,26 @@ def test_near_dedup_names_a_crowd_alike_in_all_partitions(monkeypatch):
     assert {c for c, _ in found} == {1600} and len(found) == 72
 
 
+@pytest.mark.parametrize("tree", range(op5_minhash_forest.TREES))
+def test_near_dedup_passes_crowds_on_in_every_tree(tree):
+    assert {c for c, _ in walked_crowds(1600 + tree, (60,))} == {1600 + tree}
+
+
+def test_near_dedup_settles_whatever_the_signatures_say():
+    """A link at the threshold whose signatures agree nowhere, and a class whose size alone excludes its region's other ones."""
+    import pyarrow as pa
+
+    base = [f"w{k}" for k in range(100)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(base[:40])]
+    cid = []
+    for _, _, w in textkit.column_words(pa.array(texts)):
+        cid += op5_minhash_forest._class_ids(*op5_minhash_forest._sets(w, 3), len(texts))[2].tolist()
+    tables = [pa.table({"cid": [c], "label": [c], "sig": [bytes([k]) * 224], "text": [t]}) for k, (c, t) in enumerate(zip(cid, texts, strict=True))]
+    settle = op5_minhash_forest._settle(3, 85)
+    assert settle(tables[0], tables[1]).to_pylist() == [{"a": cid[0], "b": cid[1]}]
+    assert settle(tables[0], tables[2]).num_rows == 0
+
+
 def test_line_dedup(mixed_docs, edge, empty):
     got = rows(op8_line_dedup.line_dedup(mixed_docs), "doc_id", "n_lines", "n_dropped", "kept_text")
     assert got == sorted(brute.line_dedup(pairs(mixed_docs)), key=repr)
