@@ -33,6 +33,31 @@ def test_oracle(spark, con, name):
     assert shown([tuple(r) for r in df.collect()], df.columns) == want
 
 
+@pytest.fixture(scope="session")
+def small(tmp_path_factory):
+    """Tables of 25 documents and six benchmark texts, on which the SQL can search for whole texts."""
+    folder, c = tmp_path_factory.mktemp("small"), duckdb.connect()
+    for t in ("events", "embeddings"):
+        c.execute(f"COPY (FROM '{SF}/{t}.parquet') TO '{folder}/{t}.parquet'")
+    c.execute(f"COPY (FROM '{SF}/documents.parquet' WHERE doc_id % 8 = 0) TO '{folder}/documents.parquet'")
+    c.execute(f"COPY (FROM '{SF}/benchmark.parquet' ORDER BY item_id LIMIT 6) TO '{folder}/benchmark.parquet'")
+    for t in ("events", "embeddings", "documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return str(folder), c
+
+
+@pytest.mark.parametrize("name", sorted(catalog.SMALL))
+def test_searches_for_whole_texts(spark, small, name):
+    folder, c = small
+    first_words, whole = catalog.v.QUESTIONS, "SELECT item_id AS query_id, text FROM benchmark"
+    sql = catalog.small_oracle_sql()[name]
+    assert first_words in sql
+    df = catalog.queries()[name](spark, folder)
+    cur = c.execute(sql.replace(first_words, whole))
+    want = shown(cur.fetchall(), [x[0] for x in cur.description])
+    assert shown([tuple(r) for r in df.collect()], df.columns) == want and want
+
+
 def test_every_branch_has_rows(spark):
     values = lambda name, c: {r[0] for r in catalog.queries()[name](spark, SF).select(c).distinct().collect()}
     assert values("dedup_decide", "decision") == {"insert", "merge", "skip"} == values("dedup_sequential", "decision")
