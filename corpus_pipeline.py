@@ -32,9 +32,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
-    kept = op5.near_dedup(docs, 5, 80).where("kept").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    """One row of each group of near duplicates stays, one with the smallest doc_id (null last), and all rows without words."""
+    docs = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = op5.near_dedup(docs.select(F.col("row").alias("doc_id"), "text"), 5, 80).select(F.col("doc_id").alias("row"), "n_shingles", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+    alone = found.where("n_shingles = 0").select("row")
+    first = found.where("n_shingles > 0").join(docs.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min_by("row", order).alias("row"))
+    return docs.join(first.select("row").union(alone), "row", "left_semi").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

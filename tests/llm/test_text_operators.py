@@ -92,6 +92,18 @@ def test_near_dedup_of_a_template(spark, monkeypatch, crowd):
     assert got == want
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    """Repeated rows, rows that share an id, and null ids."""
+    import corpus_pipeline
+
+    text = lambda a: " ".join(f"{a}{k}" for k in range(120))
+    near = text("a").replace("a119", "other")
+    docs = [(7, text("a")), (7, text("a")), (9, near), (None, near), (None, text("b")), (None, text("b")), (None, ""), (None, None), (5, ""), (3, text("c")), (3, text("d"))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = [(7, text("a")), (None, text("b")), (None, ""), (None, None), (5, ""), (3, text("c")), (3, text("d"))]
+    assert rows(corpus_pipeline.near_dups(spark, df, ""), "doc_id", "text") == sorted(want, key=repr)
+
+
 def walked_crowds(key, sizes):
     """The names of the crowds that _walk passes on, for partitions of so many classes of one key."""
     import pyarrow as pa
