@@ -22,6 +22,14 @@ from mnemoflow.llm.scratch import materialize
 BLANKS, UPPER, LOWER = " \t\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows of a batch, about; batches at least, one more than the default fanout, so that runs are compacted at any size.
+BATCH_ROWS, LEAST_BATCHES = 1 << 21, 5
+
+
+def n_batches(rows: int) -> int:
+    return max(LEAST_BATCHES, -(-rows // BATCH_ROWS))
+
+
 def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
 
@@ -70,17 +78,19 @@ class LineRuns:
         return self._merge(self._union())
 
 
-def line_dedup(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int = 3, fanout: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+def line_dedup(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int | None = None, fanout: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
     """Drops lines that many documents share, except in the document with the largest doc_id among them.
 
     docs: doc_id (long) and text. Returns doc_id, n_lines (before), n_dropped, kept_text, and the columns
-    named in ``keep``. A line's key is the line stripped of ASCII white space with A-Z in lower case; keys
+    named in ``keep``. ``batches`` follows the rows where it is not given. A line's key is the line stripped of ASCII white space with A-Z in lower case; keys
     of ``least_chars`` code points or more that ``least_docs`` rows hold lose all their lines elsewhere.
 
     A null or empty text is one empty line. Rows with the same doc_id are documents each, and all of
     them keep the line if theirs is the largest id. A row with a null doc_id counts as a document and
     owns a line only where all its holders are such rows. An empty table gives no rows.
     """
+    if batches is None:
+        batches = n_batches(docs.count())
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
     keys = F.array_distinct(F.filter(F.transform(_lines(F.col("text")), line_key), lambda x: F.length(x) >= least_chars))
     at = F.col("key")

@@ -152,6 +152,16 @@ def test_line_dedup(mixed_docs, edge, empty):
     assert op8_line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_compacts_runs_by_default(mixed_docs, monkeypatch):
+    """Runs are compacted with the parameters of production, and the number of batches follows the rows."""
+    made, init = [], op8_line_dedup.LineRuns.__init__
+    monkeypatch.setattr(op8_line_dedup.LineRuns, "__init__", lambda self, *a: (init(self, *a), made.append(self))[0])
+    got = rows(op8_line_dedup.line_dedup(mixed_docs), "doc_id", "n_lines", "n_dropped", "kept_text")
+    assert got == sorted(brute.line_dedup(pairs(mixed_docs)), key=repr)
+    assert [len(x) for x in made[0].levels] == [1, 1]
+    assert [op8_line_dedup.n_batches(n) for n in (0, 1 << 20, 100 << 20)] == [5, 5, 50]
+
+
 def test_line_runs_are_compacted(spark):
     runs = op8_line_dedup.LineRuns(fanout=2)
     for k in range(5):
