@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from mnemoflow.llm.scratch import materialize
 
-#: Words at most that the dynamic programme fills, besides a document's length; slices of the hash.
+#: Words at most that the dynamic programme fills, or twice the longest length; slices of the hash.
 DP_WORDS, SLICES = 1 << 16, 64
 WEIGHTS, BUDGET, MOST = (5, 2, 1), 1.5, 2
 
@@ -32,22 +32,22 @@ def n_words(text: Column) -> Column:
 def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many documents of each length to take so that their words come as near to the budget, from below, as the method can.
 
-    An even share of each length comes first. Then longest lengths fill while over DP_WORDS remain,
-    and a bounded knapsack (lengths split into powers of two, reachable sums as bits of an integer)
-    fills the rest: its best sum is reached exactly.
+    An even share of each length comes first, rounded down. Where that leaves over DP_WORDS, shares are
+    rounded by one running remainder over the sorted lengths instead, which begins anywhere; so their
+    words are off by the longest length at most, and as much is reserved. A bounded knapsack (lengths split into powers of two, reachable sums as bits of an
+    integer) fills the rest: its best sum is reached exactly.
     """
     total = sum(a * b for a, b in zip(lengths, counts, strict=True))
     if total <= budget:
         return list(counts)
+    order = sorted((k for k in range(len(lengths)) if lengths[k]), key=lambda k: -lengths[k])
     taken = [b * budget // total if a else 0 for a, b in zip(lengths, counts, strict=True)]
     rest = budget - sum(a * b for a, b in zip(lengths, taken, strict=True))
-    order = sorted((k for k in range(len(lengths)) if lengths[k]), key=lambda k: -lengths[k])
-    for k in order:
-        if rest <= DP_WORDS:
-            break
-        more = min(counts[k] - taken[k], (rest - DP_WORDS) // lengths[k])
-        taken[k] += more
-        rest -= more * lengths[k]
+    if rest > DP_WORDS:
+        share, run = max(0, budget - max(lengths[order[0]], DP_WORDS // 2)), (total * 2654435761 % (1 << 32)) * total >> 32
+        for k in order:
+            taken[k], run = divmod(run + counts[k] * share, total)
+        rest = budget - sum(a * b for a, b in zip(lengths, taken, strict=True))
     bits, mask, steps = 1, (1 << (rest + 1)) - 1, []
     for k in order:
         free, power = min(counts[k] - taken[k], rest // lengths[k]), 1

@@ -219,3 +219,19 @@ def test_pipeline(spark):
         assert list(r["ids"]) == library.encode(texts[r["doc_id"]], add_special_tokens=False).ids and r["decoded"] == texts[r["doc_id"]]
     whole = corpus_pipeline.run(spark, SF)
     assert rows(whole, "doc_id", "n_tokens") == sorted(((r["doc_id"], r["n_tokens"]) for r in out), key=repr)
+
+
+def test_fit_has_no_preference_for_length_at_any_size():
+    """Many lengths that one document each has: short ones are taken as often as long ones, and the budget is met."""
+    from mnemoflow.llm import op10_mixing
+
+    for lengths, count in ((list(range(1, 20_000, 7)), 1), (list(range(20_000, 0, -3)), 1), ([*range(1, 5000)], 3)):
+        counts = [count] * len(lengths)
+        total = count * sum(lengths)
+        for budget in (total // 2, total // 3, total * 9 // 10):
+            taken = op10_mixing.fit(lengths, counts, budget)
+            assert all(0 <= t <= n for t, n in zip(taken, counts, strict=True))
+            assert sum(a * t for a, t in zip(lengths, taken, strict=True)) == budget
+            by = sorted(zip(lengths, taken, strict=True))
+            parts = [sum(t for _, t in by[k * len(by) // 4 : (k + 1) * len(by) // 4]) / (count * len(by) / 4) for k in range(4)]
+            assert max(abs(x - budget / total) for x in parts) < 0.03, parts
