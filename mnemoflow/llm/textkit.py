@@ -1,12 +1,17 @@
 """Vectorised words and hashes over Arrow text columns (numpy, no per-word Python).
 
 A word is a maximal run of ``[^\\x20\\x09-\\x0D]``. All of those separators are single UTF-8 bytes that
-never occur inside a longer sequence, so the byte buffers are cut directly. Hash arithmetic is modulo
-2**64 over a fixed random byte table.
+never occur inside a longer sequence, so the byte buffers are cut directly.
+
+A word's hash is a keyed chain of non-linear mixing steps over its bytes, eight at a time; no two words
+of the same length up to eight bytes share one, and the structured words that make a polynomial
+modulo a power of two collide do not. Windows have two Rabin-Karp hashes: one modulo 2**64 and one in
+the prime field of 2**31 - 1, whose errors have nothing in common.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,35 +22,61 @@ import pyarrow.compute as pc
 #: Bytes of text that are held as arrays at a time.
 SLICE_BYTES = 1 << 20
 
+#: Longer words are hashed by a keyed BLAKE2 instead of by steps of eight bytes.
+LONG_WORD = 256
+#: Powers that stay in memory.
+KEPT_POWERS = 1 << 18
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = np.random.default_rng(20240917).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: _FIRST[n] keeps the first n bytes of a little-endian number of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 _MASK = (1 << 64) - 1
-BYTE_BASE = 0x9E3779B97F4A7C15
-ROLL_BASES = (0xD1342543DE82EF95, 0xAEF17502108EF2D9)
+_WORD_KEY = b"words of a corpus"
+ROLL_BASES = (0xD1342543DE82EF95, 0x2C5E8F3B)
+PRIME = (1 << 31) - 1
 
 
-class _Powers:
-    """base**i and base**-i modulo 2**64, grown on demand."""
+def _mod_prime(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1, for x below 2**62."""
+    p = np.uint64(PRIME)
+    x = (x & p) + (x >> np.uint64(31))
+    x = (x & p) + (x >> np.uint64(31))
+    return np.where(x >= p, x - p, x)
 
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
+
+class _Powers:
+    """base**i and base**-i, modulo 2**64 or the prime; up to KEPT_POWERS of each are remembered."""
+
+    def __init__(self, base: int, prime: bool) -> None:
+        self.bases, self.prime = (base, pow(base, -1, PRIME if prime else 1 << 64)), prime
+        self.kept = (np.ones(1, np.uint64),) * 2
+
+    def _table(self, base: int, n: int) -> np.ndarray:
+        out = np.ones(n, np.uint64)
+        if not self.prime:
+            out[1:] = base
+            return np.cumprod(out)
+        done, power = 1, base % PRIME
+        while done < n:
+            more = min(done, n - done)
+            out[done : done + more] = _mod_prime(out[:more] * np.uint64(power))
+            done, power = done + more, power * power % PRIME
+        return out
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, min(2 * len(self.up), 1 << 22))
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                x = np.full(size, base & _MASK, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.cumprod(x))
-        return self.up[:n], self.down[:n]
+        if len(self.kept[0]) >= n:
+            return self.kept[0][:n], self.kept[1][:n]
+        found = tuple(self._table(b, n if n > KEPT_POWERS else min(2 * n, KEPT_POWERS)) for b in self.bases)
+        if len(found[0]) <= KEPT_POWERS:
+            self.kept = found
+        return found[0][:n], found[1][:n]
 
 
-_POWERS = {b: _Powers(b) for b in (BYTE_BASE, *ROLL_BASES)}
+_POWERS = [_Powers(ROLL_BASES[0], False), _Powers(ROLL_BASES[1], True)]
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -60,15 +91,17 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a text column and its n + 1 offsets; a null counts as empty."""
+    """The bytes of a text column and its n + 1 offsets, without a copy where there are no nulls and one chunk; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
+        column = column.chunk(0) if column.num_chunks == 1 else column.cast(pa.large_binary()).combine_chunks()
     n = len(column)
-    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    if column.null_count:
+        column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1]
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
@@ -100,10 +133,20 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word; lower: A-Z count as a-z."""
-        up, down = _POWERS[BYTE_BASE].get(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[self.data] * up[:-1], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start])
+        data = np.zeros(len(self.data) + 8, np.uint8)
+        data[:-8] = _LOWER[self.data] if lower else self.data
+        eight = np.ndarray(len(self.data) + 1, "<u8", data, strides=(1,))
+        size = self.end - self.start
+        out = mix((eight[self.start] & _FIRST[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)), 11)
+        at, rest = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+        while len(at):
+            value = eight[self.start[at] + rest] & _FIRST[np.minimum(size[at] - rest, 8)]
+            out[at] = mix(out[at] * np.uint64(0xD6E8FEB86659FD93) + value, 13)
+            rest += 8
+            at = at[size[at] > rest]
+        for k in np.flatnonzero(size > LONG_WORD):
+            out[k] = int.from_bytes(hashlib.blake2b(data[self.start[k] : self.end[k]], digest_size=8, key=_WORD_KEY).digest(), "little")
+        return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> Words:
@@ -130,13 +173,15 @@ def column_words(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) ->
 
 
 def rolling(hashes: np.ndarray, first: np.ndarray, width: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Rabin-Karp: the hash of every window of that many words inside one document, and the windows' first words."""
+    """Rabin-Karp: the hash of every window of that many words inside one document, and the windows' first words; which: 0 modulo 2**64, 1 in the prime field."""
     n = len(hashes)
     if n < width:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    up, down = _POWERS[ROLL_BASES[which]].get(n + 1)
+    up, down = _POWERS[which].get(n + 1)
+    terms = _mod_prime((mix(hashes, which) >> np.uint64(33)) * up[:-1]) if which else hashes * up[:-1]
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((mix(hashes, which) if which else hashes) * up[:-1], out=sums[1:])
+    np.cumsum(terms, out=sums[1:])
     at = np.arange(n - width + 1)
     at = at[at + width <= np.repeat(first[1:], np.diff(first))[: n - width + 1]]
-    return mix((sums[at + width] - sums[at]) * down[at], width), at
+    own = sums[at + width] - sums[at]
+    return mix(_mod_prime(_mod_prime(own) * down[at]) if which else own * down[at], width), at
