@@ -4,11 +4,13 @@ Documents are dealt into blocks by a hash of their content. In each block every
 document gets a rolling hash; equal windows of a block are merged before the shuffle, so that a
 passage which a third of all documents share is sent once per block. The distinct hashes travel as
 packed, sorted binaries, cut by hash range into buckets; a bucket's task counts how many blocks hold
-each hash and answers every block with a bit mask. Back at its block each document turns its
+each hash and answers every block with a bit mask. Blocks and buckets are partitions of their own,
+whose number follows the bytes of the corpus. Back at its block each document turns its
 repeated windows into maximal removal intervals. Text moves once, hashes once, and no group grows
 with the frequency of a passage.
 
-80 bits of hash decide whether windows are equal; an error is expected once in 2**80 pairs.
+Two Rabin-Karp hashes decide whether windows are equal: 64 bits modulo 2**64 and 16 bits from a prime
+field, over word hashes that are not polynomials. A false match is expected once in about 2**80 pairs.
 """
 
 from __future__ import annotations
@@ -65,8 +67,8 @@ def _hash_block(width: int, buckets: int):
         cut = np.searchsorted(_bucket(a, buckets), np.arange(buckets + 1))
         rows = [(k, i, j) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
         return pa.table({
-            "block": pa.array([key[0].as_py()] * len(rows), pa.int64()),
-            "bucket": pa.array([k for k, _, _ in rows], pa.int64()),
+            "block": pa.array([key[0].as_py()] * len(rows), pa.int32()),
+            "bucket": pa.array([k for k, _, _ in rows], pa.int32()),
             "one": pa.array([a[i:j].tobytes() for _, i, j in rows], pa.binary()),
             "two": pa.array([b[i:j].tobytes() for _, i, j in rows], pa.binary()),
             "twice": pa.array([np.packbits(twice[i:j]).tobytes() for _, i, j in rows], pa.binary()),
@@ -91,7 +93,7 @@ def _count_bucket(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     some = [x.any() for x in masks]
     return pa.table({
         "block": table["block"].combine_chunks().filter(pa.array(some)),
-        "bucket": pa.array([key[0].as_py()] * sum(some), pa.int64()),
+        "bucket": pa.array([key[0].as_py()] * sum(some), pa.int32()),
         "mask": pa.array([np.packbits(x).tobytes() for x in compress(masks, some)], pa.binary()),
     })
 
@@ -147,11 +149,11 @@ def substring_dedup(docs: DataFrame, width: int = 35, keep_text: bool = True) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks, buckets = max(1, math.ceil(size / BLOCK_BYTES)), max(1, math.ceil(size * 1.8 / BUCKET_BYTES))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    hashed = docs.groupBy("block").applyInArrow(_hash_block(width, buckets), "block long, bucket long, one binary, two binary, twice binary")
-    counted = hashed.groupBy("bucket").applyInArrow(_count_bucket, "block long, bucket long, mask binary")
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartitionById(blocks, "block")
+    hashed = docs.groupBy("block").applyInArrow(_hash_block(width, buckets), "block int, bucket int, one binary, two binary, twice binary")
+    counted = hashed.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(_count_bucket, "block int, bucket int, mask binary")
     schema = "doc_id long, n_words long, n_removed long, " + ("kept_text string" if keep_text else "kept_sha256 string")
-    return docs.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_cut_block(width, buckets, keep_text), schema)
+    return docs.groupBy("block").cogroup(counted.repartitionById(blocks, "block").groupBy("block")).applyInArrow(_cut_block(width, buckets, keep_text), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
