@@ -12,8 +12,9 @@ with the rows and not with the square of a group.
 Candidates are confirmed on the full sets in rounds: first the stars of some trees, which already
 connect nearly every group; then all candidates that are still in different components; at last, for
 each crowded region, the classes that are not in its largest component against all its members, in
-blocks inside a task that give back confirmed links alone. Confirmed links give connected components by label
-propagation.
+blocks of bounded rows and bytes inside a task that give back confirmed links alone. Confirmed links
+give connected components by label propagation; each later round works on the components of the one
+before, so only the first meets all links.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoflow.llm.scratch import materialize
+from mnemoflow.llm.scratch import mark, materialize, release
 from mnemoflow.llm.textkit import Words, buffers, column_words, mix, rolling, slices, words
 
-#: Outsiders and members of a crowded region in a block; every block of outsiders meets every block of members.
-CROWD = 4096
+#: Outsiders and members of a crowded region in a block, and bytes of their texts; every block of outsiders meets every block of members.
+CROWD, CROWD_BYTES = 4096, 8 << 20
 #: Trees; signature values of a prefix at least and of a tree; trees whose stars are confirmed first; classes whose pairs are all candidates.
 TREES, LEAST_DEPTH, DEPTH, STARS, REGION = 16, 3, 7, 4, 8
 _RNG = np.random.default_rng(5)
@@ -69,25 +70,35 @@ def _class_ids(row: np.ndarray, win: np.ndarray, docs: int) -> tuple[np.ndarray,
     return n, first, cid.view(np.int64)
 
 
+def _packed(rows: np.ndarray, there: np.ndarray | None = None) -> pa.Array:
+    """The rows of a matrix as binaries; null where there is none."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.shape[1] * rows.dtype.itemsize
+    valid = None if there is None else pa.py_buffer(np.packbits(there, bitorder="little"))
+    return pa.Array.from_buffers(pa.binary(), len(rows), [valid, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32)), pa.py_buffer(rows.view(np.uint8))])
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """Signatures (or parts of them) as a matrix."""
+    data, offsets = buffers(column)
+    return data.view(">u2").reshape(len(offsets) - 1, -1)
+
+
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, w in column_words(batch.column(1)):
+            for i, j, w in column_words(batch.column(3)):
                 row, win = _sets(w, width)
                 n, first, cid = _class_ids(row, win, j - i)
-                sig = np.zeros((j - i, TREES * DEPTH), ">u2")
+                sig, full = np.zeros((j - i, TREES * DEPTH), ">u2"), n > 0
                 if len(first):
                     short = (win >> np.uint64(32)).astype(np.uint32)
-                    buffer, full = np.empty_like(short), n > 0
+                    buffer = np.empty_like(short)
                     for p in range(TREES * DEPTH):
                         np.bitwise_xor(short, _XOR[p], out=buffer)
                         np.multiply(buffer, _MUL[p], out=buffer)
                         sig[full, p] = (np.minimum.reduceat(buffer, first) * np.uint32(2654435761)) >> np.uint32(16)
-                some = pa.array(n > 0)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(cid, pa.int64(), mask=n == 0),
-                    pa.array([x.tobytes() for x in sig], pa.binary(), mask=~some.to_numpy(zero_copy_only=False)),
-                ], ["doc_id", "n", "cid", "sig"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(3)), pa.array(n, pa.int64()), pa.array(cid, pa.int64(), mask=~full), _packed(sig, full)], ["doc_id", "row", "bytes", "n", "cid", "sig"])
 
     return run
 
@@ -97,15 +108,14 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 4096):
             part = batch.slice(i, 4096)
-            sig = np.frombuffer(b"".join(part.column(2).to_pylist()), ">u2").reshape(-1, TREES * DEPTH)
+            sig = _unpacked(part.column(2))
             for t in range(TREES):
                 own = sig[:, t * DEPTH : (t + 1) * DEPTH].astype(np.uint64)
                 key = np.zeros(len(own), np.uint64)
                 for d in range(LEAST_DEPTH):
                     key = key << np.uint64(16) | own[:, d]
                 key = mix(key, 7 + t) & ~np.uint64(TREES - 1) | np.uint64(t)
-                rest = np.ascontiguousarray(sig[:, t * DEPTH + LEAST_DEPTH : (t + 1) * DEPTH])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array([x.tobytes() for x in rest], pa.binary()), part.column(0), part.column(1)], ["key", "rest", "cid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), _packed(sig[:, t * DEPTH + LEAST_DEPTH : (t + 1) * DEPTH]), part.column(0), part.column(1)], ["key", "rest", "cid", "n"])
 
 
 def _region(rest: np.ndarray, cid: np.ndarray, lo: int, hi: int, depth: int, out: list[np.ndarray]) -> None:
@@ -275,7 +285,11 @@ def _confirm(width: int, least_percent: int):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each node of the links (a, b) reaches, by minimum labels and pointer jumping."""
+    """(node, label): the smallest node that each node of the links (a, b) reaches, by minimum labels and pointer jumping.
+
+    Labels are unique by node, so in every join the side that a popular node or label repeats on can be
+    split by the skew handling of adaptive execution.
+    """
     links = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = materialize(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
@@ -288,6 +302,25 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _named(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds a_label and b_label to pairs (a, b); a node without a label is its own."""
+    for x in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label")), x, "left").withColumn(f"{x}_label", F.coalesce(f"{x}_label", x))
+    return pairs
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of the links so far and of some more, worked out on the components alone."""
+    links = _named(links, labels).where("a_label <> b_label").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()
+    links = materialize(links, "contracted")
+    if links.isEmpty():
+        return labels
+    new = components(links)
+    moved = new.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    old = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return materialize(old.union(new.join(labels, "node", "left_anti").select("node", "label")), "labels")
+
+
 def near_dedup(docs: DataFrame, width: int = 5, least_percent: int = 80) -> DataFrame:
     """Groups documents whose sets of ``width``-word shingles have a Jaccard similarity of ``least_percent`` percent or more.
 
@@ -299,12 +332,14 @@ def near_dedup(docs: DataFrame, width: int = 5, least_percent: int = 80) -> Data
     shingles, are linked with nothing and kept. Equal sets are linked, so repeated rows share a
     component; rows that repeat the smallest doc_id are all kept. Rows with a null doc_id take part; a
     component of such rows alone has a null component_id and is kept. An empty table gives no rows.
-    Classes are told apart by 64-bit names.
+    Shingles and classes are told apart by 64-bit hashes of their words.
     """
+    spark, began = docs.sparkSession, mark()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(docs.mapInArrow(_sign(width), "doc_id long, n long, cid long, sig binary"), "signed")
-    classes = signed.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = materialize(classes, "classes")
+    docs = docs.select("doc_id", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text").alias("row"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), "text")
+    signed = materialize(docs.mapInArrow(_sign(width), "doc_id long, row long, bytes long, n long, cid long, sig binary"), "signed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "bytes")).alias("rep")
+    classes = materialize(signed.where("n > 0").groupBy("cid").agg(first, F.first("n").alias("n"), F.first("sig").alias("sig")).select("cid", "n", "sig", "rep.doc_id", "rep.row", "rep.bytes"), "classes")
     forest = classes.select("cid", "n", "sig").mapInArrow(_forest, "key long, rest binary, cid long, n long")
     forest = forest.repartitionByRange("key", "rest", "cid").sortWithinPartitions("key", "rest", "cid")
     walked = materialize(forest.mapInArrow(_walk(least_percent / 100), "a long, b long, star boolean, key long, rest binary, n long, crowd long"), "walked")
@@ -312,44 +347,40 @@ def near_dedup(docs: DataFrame, width: int = 5, least_percent: int = 80) -> Data
     pairs = walked.where("star IS NOT NULL").select("a", "b", "star").union(seams)
     pairs = materialize(pairs.groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
 
-    ids = classes.select("cid", "rep")
+    # The text of each class that is in a pair or a crowd, once: that of its first row, whose hash is unique but for repeated rows.
     named = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).union(walked.where("crowd IS NOT NULL").select(F.col("a").alias("cid")))
-    named = named.distinct().join(ids, "cid")
-    named = materialize(named, "named")
-    texts = docs.join(named.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text")
-    texts = materialize(texts, "texts")
+    named = materialize(named.distinct().join(classes.select("cid", "row"), "cid"), "named")
+    texts = materialize(docs.select("row", "text").join(named.hint("merge"), "row").dropDuplicates(["row", "cid"]).select("cid", "text"), "texts")
 
     def confirmed(some: DataFrame) -> DataFrame:
         two = some.hint("merge").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
         two = two.hint("merge").join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
-        return two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, least_percent), "a long, b long")
+        return materialize(two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, least_percent), "a long, b long"), "confirmed")
 
-    links = materialize(confirmed(pairs.where("star").select("a", "b")), "links")
-    labels = components(links)
-    label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
-    others = pairs.where("NOT star").join(label("a"), "a", "left").join(label("b"), "b", "left")
-    others = others.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
-    links = links.union(materialize(confirmed(others), "links"))
-    labels = components(links)
+    labels = components(confirmed(pairs.where("star").select("a", "b")))
+    others = _named(pairs.where("NOT star").select("a", "b"), labels).where("a_label <> b_label").select("a", "b")
+    labels = extended(labels, confirmed(others))
 
     crowds = walked.where("crowd IS NOT NULL").select(F.col("crowd").alias("key"), F.col("a").alias("cid")).distinct()
-    crowds = materialize(crowds.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), "crowds")
-    sizes = crowds.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most"))
-    blocks = lambda n: F.ceil(n / CROWD).cast("int")
-    split = materialize(sizes.where("most < size").select("key", "main", blocks(F.col("size")).alias("parts"), blocks(F.col("size") - F.col("most")).alias("blocks")), "split")
-    dealt = lambda to: F.pmod(F.xxhash64("cid"), F.greatest(F.col(to), F.lit(1))).cast("int")
-    every = lambda to: F.explode(F.sequence(F.lit(0), F.greatest(F.col(to), F.lit(1)) - 1))
-    rest = materialize(crowds.join(split, "key").hint("merge").join(texts, "cid"), "unsettled")
+    crowds = crowds.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    crowds = materialize(crowds.join(classes.select("cid", "bytes"), "cid"), "crowds")
+    sizes = crowds.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = sizes.groupBy("key").agg(F.max_by(F.struct("label", "n", "bytes"), F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / CROWD), F.ceil(size / CROWD_BYTES), F.lit(1)).cast("int")
+    split = sizes.where("main.n < n").select("key", F.col("main.label").alias("main"), blocks(F.col("n"), F.col("bytes")).alias("parts"), blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("blocks"))
+    dealt = lambda to: F.pmod(F.xxhash64("cid"), F.col(to)).cast("int")
+    every = lambda to: F.explode(F.sequence(F.lit(0), F.col(to) - 1))
+    rest = materialize(crowds.join(materialize(split, "split"), "key").drop("bytes").hint("merge").join(texts, "cid"), "unsettled")
     members = rest.select("key", dealt("parts").alias("part"), every("blocks").alias("block"), "cid", "label", "text")
     outsiders = rest.where("label <> main").select("key", every("parts").alias("part"), dealt("blocks").alias("block"), "cid", "label", "text")
     outsiders, members = outsiders.toDF(*outsiders.columns), members.toDF(*members.columns)
     settled = outsiders.groupBy("key", "part", "block").cogroup(members.groupBy("key", "part", "block")).applyInArrow(_settle(width, least_percent), "a long, b long")
-    links = links.union(materialize(settled, "links"))
-    labels = components(links)
+    labels = extended(labels, materialize(settled, "settled"))
 
-    known = ids.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    first = known.groupBy("label").agg(F.min("rep").alias("component_id"))
+    known = classes.select("cid", "doc_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    first = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     known = materialize(known.join(first, "label").select("cid", "component_id"), "components")
+    release(spark, began, keep=("signed", "components"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(known, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
