@@ -1,12 +1,17 @@
 """Line dedup over levelled sorted runs of line hashes, in DataFrame functions alone.
 
-A run is a table (k1, k2, n, keeper), sorted by the line's 128-bit hash: in how many documents of its
-batches the line stands, and which document owns it. Batches are ranges of doc_id, the largest ids
-first. Each new batch aggregates its lines, is merge-anti-joined with the runs (lines that no run has
-are new: the batch's largest doc_id becomes their keeper; of the others only the counts are added)
-and adds its own run on level 0. Whenever a level has ``fanout`` runs, they are compacted into one run
-of the next level. The merged runs name the lines to drop; those are gathered by document, and each
-document then filters its own lines.
+A run is a table (k1, k2, n, keeper), bucketed and sorted by the line's 128-bit hash: in how many
+documents of its batches the line stands, and which document owns it. Lines are hashed once, into a
+table by batch; batches are ranges of doc_id, the largest ids first. Each new batch aggregates its
+lines and is merged with the runs, bucket by bucket: a line without a partner in any run (the
+anti-join) is new and gets the batch's largest doc_id as its keeper, of the others only the counts are
+added. The outcome becomes the batch's own run on level 0. Whenever a level has ``fanout`` runs, they
+are compacted into one run of the next level. For a merge only the batch's own lines are shuffled, after
+they were counted on their side; the runs are read in their buckets.
+
+The runs name the shared lines. Those that very many documents hold are met by broadcast (their number
+is bounded, whatever the corpus), the others by a shuffled join. Positions to drop are gathered by
+document, and each document then leaves out its own lines.
 """
 
 from __future__ import annotations
@@ -16,108 +21,139 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoflow.llm.scratch import materialize
+from mnemoflow.llm.scratch import SortedRun, carried, carry, mark, materialize, release
 
 #: Fixed values of the line key: what is stripped, and letters that are lower-cased.
 BLANKS, UPPER, LOWER = " \t\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-#: Rows of a batch, about; batches at least, one more than the default fanout, so that runs are compacted at any size.
-BATCH_ROWS, LEAST_BATCHES = 1 << 21, 5
+#: Rows of a batch, about; batches at least, one more than the default fanout, so that runs are compacted at any size, and at most, beyond which batches grow.
+BATCH_ROWS, LEAST_BATCHES, MOST_BATCHES = 1 << 21, 5, 16
+#: A line is hot if more than one in so many of all lines is a copy of it, so fewer than so many lines are hot.
+HOT = 10_000
+GRID = 240
+RUN = ("k1", "k2")
 
 
 def n_batches(rows: int) -> int:
-    return max(LEAST_BATCHES, -(-rows // BATCH_ROWS))
+    return min(MOST_BATCHES, max(LEAST_BATCHES, -(-rows // BATCH_ROWS)))
 
 
 def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once although body may use it many times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def hashed_lines(text: Column, least_chars: int) -> Column:
+    """Array of (k1, k2, pos, first) of the lines with a long enough key, sorted by hash; first marks one of each key."""
+    one = lambda x, i: _let(line_key(x), lambda k: F.when(F.length(k) >= least_chars, F.struct(F.xxhash64(k).alias("k1"), F.xxhash64(F.lit(1), k).alias("k2"), i.alias("pos"))))
+    found = F.array_sort(F.array_compact(F.transform(_lines(text), one)))
+
+    def marked(a: Column) -> Column:
+        same = lambda x, j: F.get(a, j - 1)["k1"].eqNullSafe(x["k1"]) & F.get(a, j - 1)["k2"].eqNullSafe(x["k2"])
+        return F.transform(a, lambda x, j: F.struct(x["k1"].alias("k1"), x["k2"].alias("k2"), x["pos"].alias("pos"), (~same(x, j)).alias("first")))
+
+    return _let(found, marked)
+
+
 class LineRuns:
-    """The levelled runs; every run is a table in the shared folder."""
+    """The levelled runs; every run is a bucketed, sorted table in the shared folder."""
 
-    def __init__(self, fanout: int = 4) -> None:
-        self.fanout = fanout
-        self.levels: list[list[DataFrame]] = []
+    def __init__(self, buckets: int, fanout: int = 4) -> None:
+        self.buckets, self.fanout = buckets, fanout
+        self.levels: list[list[SortedRun]] = []
 
-    def _union(self) -> DataFrame | None:
-        runs = [r for level in self.levels for r in level]
-        return reduce(DataFrame.union, runs) if runs else None
+    def runs(self) -> list[SortedRun]:
+        return [r for level in self.levels for r in level]
 
     @staticmethod
-    def _merge(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
-
-    def add(self, keys: DataFrame) -> DataFrame:
-        """Takes a batch (k1, k2, doc_id; a document's line once) in and returns its run; keeper is null where an older run has the line."""
-        own = keys.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
-        seen = self._union()
-        if seen is not None:
-            own = materialize(own, "batch")
-            new = own.join(seen.select("k1", "k2"), ["k1", "k2"], "left_anti").select("k1", "k2", F.lit(0).cast("long").alias("n"), "keeper")
-            own = self._merge(own.select("k1", "k2", "n", F.lit(None).cast("long").alias("keeper")).union(new))
-        run = materialize(own.sortWithinPartitions("k1", "k2"), "run")
-        self._put(run, 0)
-        return run
-
-    def _put(self, run: DataFrame, level: int) -> None:
+    def _merge(runs: list[SortedRun]) -> DataFrame:
+        return reduce(DataFrame.union, [r.plain for r in runs]).groupBy(*RUN).agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
+
+    def add(self, keys: DataFrame) -> None:
+        """Takes a batch (k1, k2, doc_id; a document's line once) in; keeper is null in its run where an older run has the line."""
+        own = keys.groupBy(*RUN).agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
+        known = F.lit(False)
+        for k, run in enumerate(self.runs()):
+            own = own.join(run.df.select(*RUN, F.lit(True).alias(f"run{k}")).hint("merge"), list(RUN), "left")
+            known = known | F.col(f"run{k}").isNotNull()
+        self._put(SortedRun.write(own.select(*RUN, "n", F.when(~known, F.col("keeper")).alias("keeper")), "run", RUN, self.buckets), 0)
+
+    def _put(self, run: SortedRun, level: int) -> None:
         if len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged = materialize(self._merge(reduce(DataFrame.union, self.levels[level])).sortWithinPartitions("k1", "k2"), "run")
+            merged = SortedRun.write(self._merge(self.levels[level]), "run", RUN, self.buckets)
+            for old in self.levels[level]:
+                old.drop()
             self.levels[level] = []
             self._put(merged, level + 1)
 
     def merged(self) -> DataFrame:
-        return self._merge(self._union())
+        return self._merge(self.runs())
+
+    def drop(self) -> None:
+        for run in self.runs():
+            run.drop()
 
 
 def line_dedup(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int | None = None, fanout: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
     """Drops lines that many documents share, except in the document with the largest doc_id among them.
 
     docs: doc_id (long) and text. Returns doc_id, n_lines (before), n_dropped, kept_text, and the columns
-    named in ``keep``. ``batches`` follows the rows where it is not given. A line's key is the line stripped of ASCII white space with A-Z in lower case; keys
-    of ``least_chars`` code points or more that ``least_docs`` rows hold lose all their lines elsewhere.
+    named in ``keep``, whatever their names (one named like a column of the result comes as ``name_in``).
+    ``batches`` follows the rows where it is not given. A line's key is the line stripped of ASCII white
+    space with A-Z in lower case; keys of ``least_chars`` code points or more that ``least_docs`` rows
+    hold lose all their lines elsewhere.
 
     A null or empty text is one empty line. Rows with the same doc_id are documents each, and all of
     them keep the line if theirs is the largest id. A row with a null doc_id counts as a document and
-    owns a line only where all its holders are such rows. An empty table gives no rows.
+    owns a line only where all its holders are such rows. An empty table gives no rows. Lines are told
+    apart by 128-bit hashes.
     """
-    if batches is None:
-        batches = n_batches(docs.count())
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
-    keys = F.array_distinct(F.filter(F.transform(_lines(F.col("text")), line_key), lambda x: F.length(x) >= least_chars))
-    at = F.col("key")
-    held = docs.select("doc_id", F.xxhash64("text").alias("t"), F.explode(keys).alias("key"))
-    held = held.select("doc_id", "t", F.xxhash64(at).alias("k1"), F.xxhash64(F.lit(1), at).alias("k2"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
-    cuts = sorted(set(cuts or []), reverse=True)
-    runs = LineRuns(fanout)
+    spark, began = docs.sparkSession, mark()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry(keep))
+    docs = docs.withColumn("t", F.xxhash64("text"))
+    rows, grid = docs.agg(F.count("*"), F.percentile_approx("doc_id", [k / GRID for k in range(1, GRID)], 1000)).first()
+    batches = batches or n_batches(rows)
+    cuts = sorted({grid[round(k * GRID / batches) - 1] for k in range(1, batches)} if grid else (), reverse=True)
+    batch = sum((F.when(F.col("doc_id") <= c, 1).when(F.col("doc_id").isNull(), 1).otherwise(0) for c in cuts), F.lit(0))
+    held = docs.select("doc_id", "t", batch.alias("batch"), F.explode(hashed_lines(F.col("text"), least_chars)).alias("x")).select("doc_id", "t", "batch", "x.*")
+    held = materialize(held, "lines", by=("batch",))
+
+    runs = LineRuns(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), fanout)
     for k in range(len(cuts) + 1):
-        part = F.lit(True)
-        if k:
-            part = part & F.coalesce(F.col("doc_id") <= cuts[k - 1], F.lit(True))
-        if k < len(cuts):
-            part = part & (F.col("doc_id") > cuts[k])
-        runs.add(held.where(part))
-    shared = materialize(runs.merged().where(F.col("n") >= least_docs).select("k1", "k2", "keeper"), "shared")
-    mine = F.col("doc_id").eqNullSafe(F.col("keeper"))
-    drops = held.join(shared, ["k1", "k2"]).where(~mine).groupBy("doc_id", "t").agg(F.collect_set("k1").alias("drops"))
-    drops = drops.select(F.col("doc_id").alias("d_id"), F.col("t").alias("d_t"), "drops")
-    docs = docs.withColumn("t", F.xxhash64("text")).join(drops, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("t") == F.col("d_t")), "left")
-    stays = lambda x: (F.length(line_key(x)) < least_chars) | ~F.array_contains(F.col("drops"), F.xxhash64(line_key(x)))
-    kept = F.when(F.col("drops").isNotNull(), F.filter(_lines(F.col("text")), stays))
-    docs = docs.withColumn("kept", kept)
-    n = F.size(_lines(F.col("text"))).cast("long")
+        runs.add(held.where(F.col("first") & (F.col("batch") == k)).select(*RUN, "doc_id"))
+    shared = materialize(runs.merged().where(F.col("n") >= least_docs), "shared")
+    runs.drop()
+    lines = held.count()
+    often = F.col("n") * HOT > lines
+    hot, others = shared.where(often).select(*RUN, "keeper"), shared.where(~often).select(*RUN, "keeper")
+    held = held.select("doc_id", "t", "pos", *RUN)
+    met = held.join(F.broadcast(hot), list(RUN)).union(held.join(F.broadcast(hot.select(*RUN)), list(RUN), "left_anti").join(others, list(RUN)).select(*RUN, "doc_id", "t", "pos", "keeper"))
+    drops = met.where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy(F.col("doc_id").alias("d_id"), F.col("t").alias("d_t")).agg(F.collect_list("pos").alias("drops"))
+    drops = materialize(drops, "drops")
+    release(spark, began, keep=("drops",))
+    docs = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("t") == F.col("d_t")), "left")
+
+    def left(lines: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(lines) - 1)
+        return F.transform(F.when(F.col("drops").isNull(), every).otherwise(F.array_except(every, "drops")), lambda i: F.get(lines, i))
+
+    changed = F.when(F.col("drops").isNotNull(), _let(_lines(F.col("text")), lambda x: F.struct(F.size(x).alias("n"), left(x).alias("kept"))))
+    docs = docs.select("*", changed.alias("changed"))
+    n = F.coalesce(F.col("changed.n"), F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long")
+    own = ("doc_id", "n_lines", "n_dropped", "kept_text")
     return docs.select(
-        "doc_id", n.alias("n_lines"), F.coalesce(n - F.size("kept"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.coalesce(F.array_join("kept", "\n"), F.col("text")).alias("kept_text"), *keep,
+        "doc_id", n.alias("n_lines"), F.coalesce(F.col("changed.n") - F.size("changed.kept"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.array_join("changed.kept", "\n"), F.col("text")).alias("kept_text"), *carried(keep, own),
     )
 
 
