@@ -1,18 +1,22 @@
 """WARC archives as seekable Zstandard bundles.
 
 Pages with equal payloads are found by digest; the one with the smallest page_id becomes a response
-record, the others revisit it. Each task writes bundles: records are grouped into independent
-Zstandard frames, a seek table in a skippable frame ends the file (the public seekable format), and
-an index maps each record to its bundle, frame and place in the frame. Files are first written under
-a name of their own and then renamed, so a lost or repeated task leaves nothing half-written behind;
-only bundles that the index names count. Reading back opens a bundle through its seek table, decodes
-each frame that the index asks for once, and parses the records at their offsets.
+record, the others revisit it. Pages meet the table of first copies by digest and page_id together, so
+a payload that a third of all pages share is spread out, and a revisit leaves its payload behind. Each
+task writes bundles: records are grouped into independent Zstandard frames, a seek table in a
+skippable frame ends the file (the public seekable format), and an index maps each record's
+WARC-Record-ID to its bundle, frame and place in the frame. Record ids follow from the record's content,
+so a rerun gives the same ones. Files are first written under a name of their own and then renamed, so
+a lost or repeated task leaves nothing half-written behind; only bundles that the index names count.
+Reading back opens a bundle through its seek table, decodes each frame that the index asks for once, and
+parses the records at their offsets; bundles are dealt to tasks by their number.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import struct
 import uuid
@@ -23,28 +27,35 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoflow.llm.scratch import materialize, new_folder
+from mnemoflow.llm.scratch import mark, materialize, new_folder, release
 
 #: Bytes of records in a frame and of payloads in a bundle, roughly (one record may exceed either).
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256 << 10, 64 << 20, 3
 #: Fixed values of the seekable format: skippable frame magic and footer magic.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "2024-01-01T00:00:00Z"
-INDEX = "page_id long, bundle string, frame int, start long, length long"
+INDEX = "record_id string, page_id long, bundle string, frame int, start long, length long"
+#: A payload is hot if more than one page in so many has it, so fewer than so many payloads are hot. Bundles that a task reads at most.
+HOT, BUNDLES = 10_000, 16
 
 
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None, ordinal: str, date: str = DATE) -> bytes:
-    """One WARC record; a revisit carries the payload's digest and size but not the payload."""
+def record_id(page_id: int | None, url: str | None, digest: str) -> str:
+    """The same for the same page, url and payload, in every run."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, repr((page_id, url, digest)))}"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None, ident: str, date: str = DATE) -> bytes:
+    """One WARC record: a response, or without a payload a revisit, which carries the payload's digest and size alone."""
     clean = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "urn:page:" + str(page_id))
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    body = http + (payload if kind == "response" else b"")
+    kind = "revisit" if payload is None else "response"
+    body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + (payload or b"")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {ordinal} {clean}')}>", f"WARC-Date: {date}", f"WARC-Target-URI: {clean}",
-        f"WARC-Payload-Digest: sha1:{payload_digest(payload)}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{ident}>", f"WARC-Date: {date}", f"WARC-Target-URI: {clean}",
+        f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}",
     ]
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
@@ -117,23 +128,27 @@ class BundleReader:
 
 
 def _writer(folder: str):
+    """Rows (page_id, url, html, sha1, size, first): html is null in revisits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        bundle, rows, n = None, [], 0
+        bundle, rows = None, []
 
         def done() -> pa.RecordBatch:
             bundle.close()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["page_id", "bundle", "frame", "start", "length"])
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["record_id", "page_id", "bundle", "frame", "start", "length"])
 
         for batch in batches:
-            for page_id, url, html, first in zip(*batch.columns, strict=True):
+            for page_id, url, html, sha1, size, first in zip(*batch.columns, strict=True):
                 if bundle is None:
                     bundle, rows = BundleWriter(fs, f"{base}/bundle-{uuid.uuid4().hex}.warc.zst"), []
-                page_id, url, first, n = page_id.as_py(), url.as_py(), first.as_py(), n + 1
-                kind = "response" if page_id == first else "revisit"
-                place = bundle.add(record(page_id, url, (html.as_py() or "").encode(), kind, first if kind == "revisit" else None, f"{bundle.path} {n}"))
-                rows.append((page_id, bundle.path.rpartition("/")[2], *place))
+                page_id, url, payload = page_id.as_py(), url.as_py(), html.as_py()
+                digest = base64.b32encode(bytes.fromhex(sha1.as_py())).decode()
+                ident = record_id(page_id, url, digest)
+                place = bundle.add(record(page_id, url, None if payload is None else payload.encode(), size.as_py(), digest, first.as_py(), ident))
+                rows.append((ident, page_id, bundle.path.rpartition("/")[2], *place))
                 if bundle.size >= BUNDLE_BYTES:
                     yield done()
                     bundle = None
@@ -146,54 +161,70 @@ def _writer(folder: str):
 def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Writes all pages as bundles into ``folder`` (a URI that all executors reach and pyarrow can open) and returns the index.
 
-    pages: page_id (long), url, html; other columns are not read. The index: page_id, bundle (file name),
-    frame, start and length of the record in the decoded frame. Payloads below ``least_bytes`` are all
-    responses.
+    pages: page_id (long), url, html; other columns are not read. The index: record_id (the record's
+    WARC-Record-ID), page_id, bundle (file name), frame, start and length of the record in the decoded
+    frame. Payloads below ``least_bytes`` are all responses.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    pages = pages.withColumn("key", F.sha2("html", 256))
-    if least_bytes > 0:
-        alone = F.concat_ws(":", "key", F.monotonically_increasing_id())
-        pages = pages.withColumn("key", F.when(F.octet_length("html") < least_bytes, alone).otherwise(F.col("key")))
-        first = pages.groupBy("key").agg(F.min("page_id").alias("first"))
-        pages = pages.join(first.where(F.length("key") == 64), "key", "left").withColumn("first", F.when(F.length("key") == 64, F.col("first")).otherwise(F.col("page_id")))
-    else:
-        first = materialize(pages.groupBy("key").agg(F.min("page_id").alias("first")), "payloads")
-        pages = pages.join(first, "key")
-    return materialize(pages.select("page_id", "url", "html", "first").mapInArrow(_writer(folder), INDEX), "index")
+    pages = pages.withColumns({"sha1": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html").cast("long"), "key": F.sha2("html", 256)})
+    large = F.col("size") >= least_bytes
+    first = materialize(pages.where(large).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")), "payloads")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    # The response of a payload is its first page; the others are found by the absence of a partner.
+    one = first.select(F.col("key").alias("f_key"), "first", F.lit(True).alias("response"))
+    met = pages.join(one, (F.col("key") == F.col("f_key")) & F.col("page_id").eqNullSafe(F.col("first")), "left")
+    small = ["page_id", "url", "html", "sha1", "size"]
+    own = F.coalesce("response", ~large)
+    met = materialize(met.select("key", "page_id", "url", F.when(own, F.col("html")).alias("html"), "sha1", "size", own.alias("own")), "records")
+    again = met.where("NOT own")
+    often = F.col("n") * HOT > total
+    hot, others = (first.where(c).select("key", "first") for c in (often, ~often & (F.col("n") > 1)))
+    revisits = again.join(F.broadcast(hot), "key").unionByName(again.join(F.broadcast(hot.select("key")), "key", "left_anti").join(others, "key"))
+    rows = met.where("own").select(*small, F.lit(None).cast("long").alias("first")).union(revisits.select(*small, "first"))
+    return materialize(rows.mapInArrow(_writer(folder), INDEX), "index")
 
 
 def _reader(folder: str):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+
+    def run(key: tuple[pa.Scalar, ...], table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         bundle = BundleReader(fs, f"{base}/{key[0].as_py()}")
-        held, data, out = -1, b"", []
-        for frame, start, length in zip(*(c.to_pylist() for c in table.sort_by([("frame", "ascending"), ("start", "ascending")]).select(["frame", "start", "length"]).columns), strict=True):
+        held, data, out, bytes_out = -1, b"", [], 0
+        index = pa.Table.from_batches(list(table)).sort_by([("frame", "ascending"), ("start", "ascending")])
+        for ident, frame, start, length in zip(*(index[c].to_pylist() for c in ("record_id", "frame", "start", "length")), strict=True):
             if frame != held:
                 held, data = frame, bundle.frame(frame)
             h, payload = parse(data[start : start + length])
             digest = h["warc-payload-digest"].removeprefix("sha1:")
-            if h["warc-type"] == "response" and payload_digest(payload) != digest:
+            if h["warc-record-id"] != f"<{ident}>" or h["warc-type"] == "response" and payload_digest(payload) != digest:
                 raise ValueError(f"damaged record in {key[0].as_py()}, frame {frame}")
             size = len(payload) if h["warc-type"] == "response" else int(h["x-payload-length"])
             page, refers = h.get("x-page-id"), h.get("x-refers-to-page-id")
             text = payload.decode() if h["warc-type"] == "response" else None
-            out.append((page and int(page), h["warc-target-uri"], size, digest, h["warc-type"], refers and int(refers), text))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
+            out.append((page and int(page), h["warc-target-uri"], size, digest, h["warc-type"], None if refers in (None, "None") else int(refers), text))
+            bytes_out += len(payload)
+            if bytes_out > 4 * FRAME_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                out, bytes_out = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "table": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return run
 
 
 def read_archive(index: DataFrame, folder: str) -> DataFrame:
     """The records that the index names (all, or those left by a filter): page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits).
 
-    One bundle, which has a bounded size, is read by one task; a response whose payload does not have
-    its digest raises an error.
+    A task reads a few bundles, one after the other and frame by frame; a record without the id that the
+    index gives it, or a response whose payload does not have its digest, raises an error.
     """
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
-    return index.groupBy("bundle").applyInArrow(_reader(folder), schema)
+    bundles = index.select("bundle").distinct().count()
+    tasks = max(1, min(bundles, max(4 * index.sparkSession.sparkContext.defaultParallelism, math.ceil(bundles / BUNDLES))))
+    return index.repartition(tasks, "bundle").groupBy("bundle").applyInArrow(_reader(folder), schema)
 
 
 def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -201,10 +232,14 @@ def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     A null html is an empty payload; a null url becomes a urn. Of equal payloads all rows with the
     smallest page_id are responses; rows with a null page_id revisit it, or are responses if no row of
-    theirs has an id. An empty table writes no bundle and gives no rows.
+    theirs has an id. Equal rows give a record each, with the same record id. An empty table writes no bundle and gives no
+    rows.
     """
-    folder = new_folder(pages.sparkSession, "warc")
-    return read_archive(write_archive(pages, folder, least_bytes), folder)
+    spark, began = pages.sparkSession, mark()
+    folder = new_folder(spark, "warc")
+    index = write_archive(pages, folder, least_bytes)
+    release(spark, began, keep=("warc", "index"))
+    return read_archive(index, folder)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
