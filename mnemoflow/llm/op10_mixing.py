@@ -7,7 +7,8 @@ lengths that are left chooses how many documents of each to add for the remainin
 documents of a length are taken is settled by a seeded hash, so reruns agree.
 
 Only counts by length are gathered, one source in a task. Documents are ranked inside (source,
-length, slice of the hash), so that a length which a third of all documents share is spread out.
+length, slice of the hash of id and text), so that a length which a third of all documents share is
+spread out. Sources are ranked in ranges, so no task has all of them.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemoflow.llm.scratch import materialize
+from mnemoflow.llm.scratch import carried, carry, mark, materialize, release
 
 #: Words at most that the dynamic programme fills, or twice the longest length; slices of the hash.
 DP_WORDS, SLICES = 1 << 16, 64
@@ -70,9 +71,18 @@ def targets(sources: DataFrame, weights: tuple[float, ...], budget: float, most:
     The rounds run over the table of sources, one small aggregate each; at most as many rounds as
     there are sources, and few in practice.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    order = [F.col("source").isNull(), F.col("source")]
+    place = F.monotonically_increasing_id()  # the partition's number in the upper bits, the row's in the lower 33
+    placed = materialize(sources.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", place), "ranges")
+    part, row = F.shiftrightunsigned("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    before, parts = 0, []
+    for p, n in sorted(tuple(r) for r in placed.groupBy(part.alias("part")).agg(F.count("*")).collect()):  # a row for each partition
+        parts.append((p, before))
+        before += n
+    starts = sources.sparkSession.createDataFrame(parts, "part long, before long")
+    rank = F.col("before") + row
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    sources = materialize(sources.withColumn("weight", weight), "sources")
+    sources = materialize(placed.withColumn("part", part).join(F.broadcast(starts), "part").select("source", "source_size", weight.alias("weight")), "sources")
     limit = most * F.col("source_size")
     whole = sources.agg(F.sum("source_size")).first()[0] or 0
     level = -1.0
@@ -96,17 +106,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     """How often the mix takes each document.
 
     docs: doc_id, text, source. Returns doc_id, size (words), source_size, target (of its source),
-    taken (words, repeats counted), times (0 to ``most``), and the columns named in ``keep``, with ``keep_source`` the source too. Sources are
-    ordered by code point, null last, and weighed by ``weights``, repeating; they share ``budget`` times
-    all words.
-
-    A null text has size 0 and is never taken; a null source is a source. Documents are told apart by
-    doc_id only to settle the order, so repeated rows and null ids count as documents of their own.
-    An empty table gives no rows. The order of ties (equal hash) does not change the result's rows.
+    taken (words, repeats counted), times (0 to ``most``), with ``keep_source`` the source, and the
+    columns named in ``keep``, whatever their names (one named like a column of the result comes as
+    ``name_in``). Sources are ordered by code point, null last, and weighed by ``weights``, repeating;
+    they share ``budget`` times all words.
+
+    A null text has size 0 and is never taken; a null source is a source. Repeated rows and null ids
+    count as documents of their own. An empty table gives no rows. The order of ties (equal id and text)
+    does not change the result's rows.
     """
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), *keep)
-    docs = docs.withColumns({"h": h, "slice": F.pmod(h, F.lit(SLICES))})
+    spark, began = docs.sparkSession, mark()
+    h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), h.alias("h"), *carry(keep))
+    docs = docs.withColumn("slice", F.pmod("h", F.lit(SLICES)))
     small = ["source", "size", "slice"]
     counts = materialize(docs.groupBy(*small).agg(F.count("*").alias("n")), "lengths")
     sources = targets(counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, budget, most)
@@ -121,12 +133,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     c = chosen.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), "extra")
     first = counts.withColumn("before", before).join(c, same(F.col("source"), F.col("c_source")) & (F.col("size") == F.col("c_size")))
     first = materialize(first.join(s, same(F.col("source"), F.col("s_source"))).select("source", "size", "slice", "n", (F.col("extra") - F.col("before")).alias("left"), "source_size", "target", "passes"), "choices")
-    f = first.select(F.col("source").alias("f_source"), F.col("size").alias("f_size"), F.col("slice").alias("f_slice"), "n", "left", "source_size", "target", "passes")
+    release(spark, began, keep=("choices",))
+    f = first.select(F.col("source").alias("f_source"), F.col("size").alias("f_size"), F.col("slice").alias("f_slice"), "left", "source_size", "target", "passes")
     docs = docs.join(f, same(F.col("source"), F.col("f_source")) & (F.col("size") == F.col("f_size")) & (F.col("slice") == F.col("f_slice")))
     rank = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("h", "doc_id"))
     times = F.col("passes") + (F.col("left") >= rank).cast("long")
     docs = docs.withColumn("times", F.when(F.col("size") > 0, times).otherwise(F.lit(0).cast("long")))
-    return docs.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", *(["source"] if keep_source else []), *keep)
+    own = ["doc_id", "size", "source_size", "target", "taken", "times", *(["source"] if keep_source else [])]
+    return docs.withColumn("taken", F.col("size") * F.col("times")).select(*own, *carried(keep, own))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
