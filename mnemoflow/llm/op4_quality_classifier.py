@@ -1,10 +1,13 @@
 """Quality classifier by co-training two views.
 
 One view sees the text (hashed words and shape), the other the page's metadata (language, source,
-size). Both are logistic regressions over a bounded labelled sample. Over some rounds each view labels
-the documents of an unlabelled pool that it is most certain of and hands them to the other. Each view
-is then calibrated on labelled rows held back from training, and a logistic combination of the
-calibrated views scores every document of the table in one pass.
+size). Both are logistic regressions, first fitted on a bounded sample of labelled rows. In every round
+each view scores all unlabelled documents and hands some that it is certain of, with its labels, to the
+other view. Which of them is settled by a hash and not by how certain it is, as the most extreme
+documents teach least. Tasks keep the first of their own, so a bounded number of rows leaves each, and
+the fit's rows are bounded too. Each view is then calibrated by models that have not seen the row (four
+folds of the labelled rows), and a logistic combination of the calibrated views scores every document
+of the table in one pass.
 """
 
 from __future__ import annotations
@@ -15,13 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemoflow.llm.textkit import Words, column_words
 
-#: Bounds of the fit: labelled rows, pool rows. Rounds; documents a view hands over in a round; how sure it must be.
-LABELLED, POOL, ROUNDS, HANDED, SURE = 12000, 8000, 4, 400, 0.95
+#: Labelled rows of the fit at most. Rounds; documents a view hands over in a round; how sure it must be.
+LABELLED, ROUNDS, HANDED, SURE = 12000, 2, 800, 0.95
 HASHED, META_HASHED = 128, 64
 _SYMBOL, _DIGIT, _UPPER, _SHOUT = (np.zeros(256, bool) for _ in range(4))
 _SYMBOL[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:!?'\"-()"]] = True
@@ -118,40 +122,52 @@ class CoTrained:
         return _p(views[:, 0]), _p(views[:, 1]), _p(self.combine.logit(views))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray) -> CoTrained | None:
-    """y: 1 good, 0 bad, nan unlabelled. Null without labels of both kinds."""
-    known = np.flatnonzero(~np.isnan(y))
-    held, train = known[::4], np.setdiff1d(known, known[::4])
-    if any(len(np.unique(y[x])) < 2 for x in (held, train)):
-        held = train = known
-    if len(np.unique(y[train])) < 2:
-        return None
-    views, pool = (text, meta), np.flatnonzero(np.isnan(y))
-    own = [{int(i): y[i] for i in train} for _ in views]
-
-    def fit(k: int) -> Logistic:
-        at = np.array(sorted(own[k]))
-        return Logistic.fit(views[k][at], np.array([own[k][i] for i in at]))
-
-    models = [fit(0), fit(1)]
-    for _ in range(ROUNDS if len(pool) else 0):
-        for k, other in ((0, 1), (1, 0)):
-            free = np.array([i for i in pool if int(i) not in own[other]], int)
-            if not len(free):
-                continue
-            p = _p(models[k].logit(views[k][free]))
-            share = float(np.mean(y[train]))
-            for label, sure, most in ((1.0, p, round(HANDED * share)), (0.0, 1 - p, round(HANDED * (1 - share)))):
-                best = np.argsort(-sure, kind="stable")[:most]
-                own[other].update((int(free[i]), label) for i in best if sure[i] >= SURE)
-        models = [fit(0), fit(1)]
-    calibration = []
-    for m, x in zip(models, views, strict=True):
-        c = Logistic.fit(m.logit(x[held])[:, None], y[held])
-        a = float(c.weight[0] / c.scale[0])
-        calibration.append((max(a, 0.0), float(c.weight[1] - a * c.mean[0])) if a > 0 else (0.0, float(np.log((y[held].mean() + 1e-3) / (1 - y[held].mean() + 1e-3)))))
-    stacked = np.stack([a * m.logit(x[held]) + b for (a, b), m, x in zip(calibration, models, views, strict=True)], 1)
-    return CoTrained(*models, calibration, Logistic.fit(stacked, y[held]))
+class CoTraining:
+    """The rows that each view learns from, and the models of the last round."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray) -> None:
+        self.rows = [[(x, y)] for x in (text, meta)]
+        self.share = float(np.mean(y))
+        self.fit()
+
+    def fit(self) -> None:
+        self.models = [self._model(rows) for rows in self.rows]
+
+    @staticmethod
+    def _model(rows: list[tuple[np.ndarray, np.ndarray]]) -> Logistic:
+        return Logistic.fit(np.concatenate([x for x, _ in rows]), np.concatenate([y for _, y in rows]))
+
+    def _unseen(self, view: int) -> np.ndarray:
+        """Logits of the labelled rows by models that were fitted without them; by the view's own where a fold leaves one label alone."""
+        (x, y), *given = self.rows[view]
+        out, fold = self.models[view].logit(x), np.arange(len(y)) % 4
+        for f in range(4):
+            if len(np.unique(y[fold != f])) == 2 and (fold == f).any():
+                out[fold == f] = self._model([(x[fold != f], y[fold != f]), *given]).logit(x[fold == f])
+        return out
+
+    def quota(self, label: int) -> int:
+        """Documents of a label that a view hands over in a round."""
+        return round(HANDED * (self.share if label else 1 - self.share))
+
+    def certain(self, text: np.ndarray, meta: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(view, label, how sure) for each view and label."""
+        p = [_p(m.logit(x)) for m, x in zip(self.models, (text, meta), strict=True)]
+        return [(view, label, p[view] if label else 1 - p[view]) for view in (0, 1) for label in (0, 1)]
+
+    def learn(self, view: int, label: int, text: np.ndarray, meta: np.ndarray) -> None:
+        """Documents that a view is certain of, for the other view."""
+        self.rows[1 - view].append(((meta, text)[view], np.full(len(text), float(label))))
+
+    def finish(self) -> CoTrained:
+        y = self.rows[0][0][1]
+        unseen, calibration = [self._unseen(view) for view in (0, 1)], []
+        for z in unseen:
+            c = Logistic.fit(z[:, None], y)
+            a = float(c.weight[0] / c.scale[0])
+            calibration.append((max(a, 0.0), float(c.weight[1] - a * c.mean[0])) if a > 0 else (0.0, float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))))
+        stacked = np.stack([a * z + b for (a, b), z in zip(calibration, unseen, strict=True)], 1)
+        return CoTrained(*self.models, calibration, Logistic.fit(stacked, y))
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -162,32 +178,77 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
             yield part, text_features(w), meta_features(*(part.column(c).to_pylist() for c in (2, 3, 4)))
 
 
-def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, text, meta in _batches(batches):
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(5), pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], ["doc_id", "quality", "x", "m"])
 
 
+def _certain(state: CoTraining, taken: list[np.ndarray]):
+    """The first documents of a task, by their hash, that a view is certain of and has not handed over, with the features of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], tuple] = {}
+        for part, text, meta in _batches(batches):
+            ids, mixed = part.column(0).to_numpy(zero_copy_only=False), part.column(5).to_numpy()
+            for view, label, sure in state.certain(text, meta):
+                at = np.flatnonzero((sure >= SURE) & ~np.isin(ids, taken[view]))
+                old = best.get((view, label))
+                new = tuple(x[at] for x in (mixed, ids, text, meta))
+                new = new if old is None else tuple(np.concatenate(x) for x in zip(old, new, strict=True))
+                order = np.argsort(new[0], kind="stable")[: state.quota(label)]
+                best[view, label] = tuple(x[order] for x in new)
+        for (view, label), (mixed, ids, text, meta) in best.items():
+            n = len(mixed)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([view] * n, pa.int32()), pa.array([label] * n, pa.int32()), pa.array(mixed, pa.int64()), pa.array(ids, pa.int64()),
+                pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary()),
+            ], ["view", "label", "h", "doc_id", "x", "m"])
+
+    return run
+
+
 def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained | None:
-    """Fits on at most ``labelled`` labelled documents and ``pool`` unlabelled ones, chosen by a hash of doc_id; null without labels of both kinds."""
+def _matrices(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(b"".join(rows[c].to_pylist()), np.float32).reshape(rows.num_rows, -1) for c in ("x", "m"))
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> CoTrained | None:
+    """Fits on at most ``labelled`` labelled documents, chosen by a hash of doc_id, and in each round on unlabelled documents that a view is certain of, out of all; null without labels of both kinds.
+
+    docs: doc_id, text, lang, source, n_chars; labels: doc_id, quality (1 good, 0 bad). Documents whose
+    doc_id is null or whose label is in the fit are never handed over; a doc_id that several rows have is
+    one document of the fit, and several labels of one are averaged.
+    """
     order = F.xxhash64(F.lit(29), "doc_id")
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).dropna()
     known = labels.groupBy("doc_id").agg(F.round(F.avg("quality")).alias("quality")).orderBy(order, "doc_id").limit(labelled)
-    others = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct().orderBy(order, "doc_id").limit(pool)
-    others = others.join(labels, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("double").alias("quality"))
-    sample = known.union(others)  # bounded by the two parameters, so it can be broadcast at any size of the corpus
-    rows = _columns(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "lang", "source", "n_chars", "quality")
-    rows = rows.mapInArrow(_collect, "doc_id long, quality double, x binary, m binary")
+    # Bounded by the parameter, so it can be broadcast at any size of the corpus.
+    rows = _columns(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "lang", "source", "n_chars", "quality")
+    rows = rows.mapInArrow(_features, "doc_id long, quality double, x binary, m binary")
     found = rows.groupBy("doc_id").agg(F.min(F.struct("quality", "x", "m")).alias("r")).select("doc_id", "r.*").toArrow().sort_by("doc_id")
-    if not found.num_rows:
+    y = np.array(found["quality"].to_pylist(), float)
+    if len(np.unique(y)) < 2:
         return None
-    x, m = (np.frombuffer(b"".join(found[c].to_pylist()), np.float32).reshape(found.num_rows, -1) for c in ("x", "m"))
     mixed = np.random.default_rng(11).permutation(found.num_rows)
-    y = np.array([np.nan if q is None else q for q in found["quality"].to_pylist()], float)
-    return co_train(x[mixed], m[mixed], y[mixed])
+    state = CoTraining(*(x[mixed] for x in _matrices(found)), y[mixed])
+    free = _columns(docs).where("doc_id IS NOT NULL").join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti").withColumn("h", order)
+    taken = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    for _ in range(rounds):
+        certain = free.mapInArrow(_certain(state, taken), "view int, label int, h long, doc_id long, x binary, m binary")
+        certain = certain.groupBy("view", "label", "doc_id").agg(F.min(F.struct("h", "x", "m")).alias("r"))
+        rank = F.row_number().over(Window.partitionBy("view", "label").orderBy("r", "doc_id"))
+        certain = certain.withColumn("rank", rank).where(F.col("rank") <= HANDED).select("view", "label", "rank", "doc_id", "r.x", "r.m").toArrow().sort_by("rank")
+        for view in (0, 1):
+            for label in (0, 1):
+                own = certain.filter((pc.field("view") == view) & (pc.field("label") == label)).slice(0, state.quota(label))
+                if own.num_rows:
+                    taken[view] = np.concatenate([taken[view], own["doc_id"].to_numpy()])
+                    state.learn(view, label, *_matrices(own))
+        state.fit()
+    return state.finish()
 
 
 def classify(docs: DataFrame, model: CoTrained | None, least: float = 0.3, keep_rows: bool = False) -> DataFrame:

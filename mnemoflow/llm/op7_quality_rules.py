@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemoflow.llm.scratch import carried, carry
+
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
     "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with",
@@ -111,21 +113,25 @@ def compile_rules(m: Column, rules: tuple[Rule, ...]) -> Column:
     return ~failed
 
 
-def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
     """Measures every whole text and judges it by the rules.
 
-    docs: doc_id and text; other columns are not read. Returns doc_id, n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, base_failed, kept, n_lines and n_stop_words. base_failed: fewer than
-    ten words, or over a fifth of the words in repeated five-word windows.
+    docs: doc_id and text. Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, kept, n_lines and n_stop_words, and the columns named in ``keep``, whatever their names
+    (one named like a column of the result comes as ``name_in``). base_failed: fewer than ten words, or
+    over a fifth of the words in repeated five-word windows.
 
     Null and empty texts count zero everywhere and fail. Rows with null or repeated doc_id are judged
     like others; an empty table gives no rows.
     """
     m = F.col("m")
     base = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
-    return docs.select("doc_id", measures(F.col("text")).alias("m")).select(
-        "doc_id", *[m[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        base.alias("base_failed"), (~base & compile_rules(m, rules)).alias("kept"), m["n_lines"].alias("n_lines"), m["n_stop_words"].alias("n_stop_words"),
+    out = docs.select("doc_id", measures(F.col("text")).alias("m"), *carry(keep))
+    counted = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    own = ("doc_id", *counted, "base_failed", "kept", "n_lines", "n_stop_words")
+    return out.select(
+        "doc_id", *[m[x].alias(x) for x in counted], base.alias("base_failed"), (~base & compile_rules(m, rules)).alias("kept"),
+        m["n_lines"].alias("n_lines"), m["n_stop_words"].alias("n_stop_words"), *carried(keep, own),
     )
 
 
