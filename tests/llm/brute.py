@@ -96,3 +96,46 @@ def pii(text):
 
     found = sorted((m.start(), n, m.end()) for n, (k, p) in enumerate(BASE) for m in re.finditer(p, text or "") if fine(k, m[0]))
     return [sum(n == k for _, n, _ in found) for k in range(4)], ",".join(f"{BASE[n][0]}:{s}:{e}" for s, n, e in found)
+
+
+def secrets(text):
+    """Values after an assignment to something that is named like a secret: letters and digits, 20 or more."""
+    return [(m.start(1), m.end(1)) for m in re.finditer(r"(?i)(?:token|api_key|secret|password)\s?[=:]\s?[\"']?([A-Za-z0-9]{20,})(?![A-Za-z0-9])", text or "") if re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1])]
+
+
+def em(counts, rounds=30):
+    """Two classes, each labeler with a distribution of votes in each; starts at the majority, the first labeler's vote twice."""
+    import numpy as np
+
+    votes, n = np.array(list(counts)), np.array(list(counts.values()), float)
+    p = np.clip(0.5 + 0.2 * (votes[:, 0] + votes.sum(1)), 0.05, 0.95)
+    for _ in range(rounds):
+        z = np.log((1 + (n * p).sum()) / (1 + (n * (1 - p)).sum())) + np.zeros(len(n))
+        for j in range(votes.shape[1]):
+            good, bad = np.array([0.5, 1.0, 1.5]), np.array([1.5, 1.0, 0.5])
+            np.add.at(good, votes[:, j] + 1, n * p)
+            np.add.at(bad, votes[:, j] + 1, n * (1 - p))
+            z += np.log(good / good.sum())[votes[:, j] + 1] - np.log(bad / bad.sum())[votes[:, j] + 1]
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return {tuple(v): x for v, x in zip(votes.tolist(), p.tolist(), strict=True)}
+
+
+def co_train(text, meta, y, free_text, free_meta, order, rounds):
+    """The classifier's rounds on arrays: labelled rows, unlabelled rows, and the order of ties."""
+    import numpy as np
+
+    from mnemoflow.llm import op4_quality_classifier as op4
+
+    state = op4.CoTraining(text, meta, y)
+    given = [np.zeros(len(free_text), bool), np.zeros(len(free_text), bool)]
+    for _ in range(rounds):
+        hand = []
+        for view, label, sure in state.certain(free_text, free_meta):
+            at = [k for k in sorted(range(len(sure)), key=lambda k: order[k]) if sure[k] >= op4.SURE and not given[view][k]][: state.quota(label)]
+            hand.append((view, label, at))
+        for view, label, at in hand:
+            if at:
+                given[view][at] = True
+                state.learn(view, label, free_text[at], free_meta[at])
+        state.fit()
+    return state.finish()

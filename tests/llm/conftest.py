@@ -5,7 +5,10 @@ import pytest
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use inside.
-CLASH = ["block", "key", "n", "size", "h", "slice", "first", "t", "kept", "cid", "sig", "vector", "base", "raw", "m", "label", "rank", "times", "drops", "line", "bundle"]
+CLASH = [
+    "block", "key", "n", "size", "h", "slice", "first", "t", "kept", "cid", "sig", "vector", "base", "raw", "m", "label", "rank", "times", "drops", "line", "bundle",
+    "row", "bytes", "batch", "pos", "k1", "changed", "d_id", "found", "leaf", "ids", "quality", "view", "n_words", "source_size", "target", "n_dropped", "carried columns",
+]
 
 
 def edge_rows():
@@ -36,9 +39,9 @@ def edge(spark):
 
 @pytest.fixture(scope="session")
 def mixed_docs(spark, edge):
-    """The edge cases and a whole small table."""
+    """The edge cases and a whole small table, with the clashing columns."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    return edge.select(*docs.columns).union(docs.selectExpr("doc_id + 1000", "text", "lang", "source", "n_chars")).cache()
+    return edge.unionByName(docs.withColumn("doc_id", docs.doc_id + 1000), allowMissingColumns=True).cache()
 
 
 @pytest.fixture(scope="session")

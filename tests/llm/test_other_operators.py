@@ -48,24 +48,23 @@ def test_topk_of_large_components(spark):
 def test_classifier_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    model = op4_quality_classifier.train(docs, labels.where("doc_id % 2 = 0"), 1500, 1000)
+    model = op4_quality_classifier.train(docs, labels.where("doc_id % 2 = 0"), 1500)
     held = op4_quality_classifier.classify(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
     good = held.quality == 1
     assert held.kept[good].mean() > 0.99 and held.kept[~good].mean() < 0.1
-    again = op4_quality_classifier.classify(docs, op4_quality_classifier.train(docs, labels.where("doc_id % 2 = 0").repartition(7), 1500, 1000)).limit(50)
+    again = op4_quality_classifier.classify(docs, op4_quality_classifier.train(docs, labels.where("doc_id % 2 = 0").repartition(7), 1500)).limit(50)
     want = {r["doc_id"]: r["score"] for r in again.collect()}
     assert all(abs(want[i] - s) < 1e-9 for i, s in zip(held.doc_id, held.score, strict=True) if i in want)
 
 
 def test_co_training_uses_the_other_view():
-    """Few labels; the second view settles the pool, and its labels teach the first."""
+    """Few labels; the second view settles the others, and its labels teach the first."""
     rng = np.random.default_rng(0)
     n = 1500
     y = rng.integers(0, 2, n).astype(float)
     text = np.concatenate([y[:, None] * 1.2 + rng.normal(0, 1, (n, 1)), rng.normal(0, 1, (n, 30))], 1)
     meta = y[:, None] * 8 + rng.normal(0, 1, (n, 1))
-    known = np.where(np.arange(n) < 40, y, np.nan)
-    model = op4_quality_classifier.co_train(text, meta, known)
+    model = brute.co_train(text[:40], meta[:40], y[:40], text[40:], meta[40:], np.arange(n - 40), 2)
     alone = op4_quality_classifier.Logistic.fit(text[:40], y[:40])
     both, _, combined = model.score(text[40:], meta[40:])
     acc = lambda p: ((p > 0.5) == y[40:]).mean()
@@ -73,6 +72,24 @@ def test_co_training_uses_the_other_view():
     assert acc(combined) > 0.97 and len(both) == n - 40
 
 
+def test_classifier_equals_one_on_arrays(spark):
+    """The rounds over all documents in Spark against the same rounds on arrays."""
+    from pyspark.sql import functions as F
+
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = op4_quality_classifier.train(docs.repartition(5), labels)
+    got = {r["doc_id"]: r["score"] for r in op4_quality_classifier.classify(docs, model).collect()}
+    rows_ = docs.withColumn("h", F.xxhash64(F.lit(29), "doc_id")).join(labels, "doc_id", "left").orderBy("doc_id").toArrow()
+    text = np.concatenate([op4_quality_classifier.text_features(w) for _, _, w in op4_quality_classifier.column_words(rows_["text"])])
+    meta = op4_quality_classifier.meta_features(*(rows_[c].to_pylist() for c in ("lang", "source", "n_chars")))
+    y = np.array([np.nan if q is None else q for q in rows_["quality"].to_pylist()], float)
+    known = np.flatnonzero(~np.isnan(y))
+    mixed, free = known[np.random.default_rng(11).permutation(len(known))], np.flatnonzero(np.isnan(y))
+    plain = brute.co_train(text[mixed], meta[mixed], y[mixed], text[free], meta[free], rows_["h"].to_numpy()[free], op4_quality_classifier.ROUNDS)
+    want = dict(zip(rows_["doc_id"].to_pylist(), plain.score(text, meta)[2].tolist(), strict=True))
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-6
+
+
 def test_classifier_edges(spark, edge, empty):
     labels = spark.createDataFrame([(4, 1, 0), (8, 0, 1), (None, 1, 0), (9, None, 0), (8, 0, 1), (15, 1, 0)], "doc_id long, quality int, toxic int")
     model = op4_quality_classifier.train(edge, labels)
@@ -107,6 +124,12 @@ def test_archive_round_trip(spark, monkeypatch):
     assert texts[5] == PAGES[4][2] and texts[6] == PAGES[5][2]
     one = op9_warc.read_archive(index.where("page_id = 6"), folder).collect()
     assert [r["payload"] for r in one] == [PAGES[5][2]]
+    ids = [r["record_id"] for r in index.collect()]
+    assert len(ids) == len(PAGES) and len(set(ids)) == len(set(PAGES))
+    again = op9_warc.write_archive(pages.repartition(7), new_folder(spark, "test"))
+    assert {(r["record_id"], r["page_id"]) for r in again.collect()} == {(r["record_id"], r["page_id"]) for r in index.collect()}
+    wanted = op9_warc.record_id(None, "http://h", op9_warc.payload_digest(b"only null"))
+    assert [r["payload"] for r in op9_warc.read_archive(index.where(index.record_id == wanted), folder).collect()] == ["only null"]
 
 
 def test_bundles_are_plain_zstandard(spark, tmp_path):
@@ -115,7 +138,7 @@ def test_bundles_are_plain_zstandard(spark, tmp_path):
 
     fs = pafs.LocalFileSystem()
     w = op9_warc.BundleWriter(fs, str(tmp_path / "b.zst"))
-    records = [op9_warc.record(k, f"http://x/{k}", b"p" * (k * 5000), "response", None, "o") for k in range(120)]
+    records = [op9_warc.record(k, f"http://x/{k}", b"p" * (k * 5000), k * 5000, "D", None, "urn:o") for k in range(120)]
     places = [w.add(r) for r in records]
     w.close()
     raw = (tmp_path / "b.zst").read_bytes()
@@ -221,6 +244,57 @@ def test_pipeline(spark):
     assert rows(whole, "doc_id", "n_tokens") == sorted(((r["doc_id"], r["n_tokens"]) for r in out), key=repr)
 
 
+def test_mixing_takes_what_a_plain_version_takes(spark, mixed_docs):
+    """The same choice by lists: passes, the fit by lengths, and the documents of a length in the order of their hash."""
+    from pyspark.sql import functions as F
+
+    h = F.xxhash64(F.lit(17), F.col("doc_id"), F.col("text"))
+    docs = [(r["doc_id"], r["source"], len(brute.words(r["text"])), r["h"]) for r in mixed_docs.select("doc_id", "source", "text", h.alias("h")).collect()]
+    got = op10_mixing.mix(mixed_docs, keep_source=True).collect()
+    target = {r["source"]: r["target"] for r in got}
+    want = []
+    for source, t in target.items():
+        own = [(i, n, x) for i, s, n, x in docs if s == source]
+        size = sum(n for _, n, _ in own)
+        passes = min(2, int(t // size)) if size else 0
+        lengths = sorted({n for _, n, _ in own})
+        extra = dict(zip(lengths, op10_mixing.fit(lengths, [sum(n == k for _, n, _ in own) for k in lengths], max(0, round(t - passes * size))), strict=True))
+        for n in lengths:
+            same = sorted(((x % 64, x, i is not None, i or 0, i) for i, k, x in own if k == n))
+            want += [(i, source, n * (passes + (k < extra[n]))) for k, (*_, i) in enumerate(same)]
+    assert rows(op10_mixing.mix(mixed_docs, keep_source=True), "doc_id", "source", "taken") == sorted(want, key=repr)
+
+
+def test_mixing_ranks_many_sources_by_code_point(spark):
+    names = [chr(c) + x for c in (0x1F600, 0xE9, 0x7A, 0x41, 0xFFFD) for x in ("", "1", "2", "10")] + [None, ""]
+    docs = spark.createDataFrame([(k, "w " * (5 + k % 7), s, "clash") for k, s in enumerate(names * 8)], "doc_id long, text string, source string, part string").repartition(6)
+    sizes = docs.groupBy("source").agg({"doc_id": "count"}).selectExpr("source", "`count(doc_id)` * 100 AS source_size")
+    got = {r["source"]: r["weight"] for r in op10_mixing.targets(sizes, (5, 2, 1), 0.5, 2).selectExpr("source", "target / 100 AS weight").collect()}
+    order = [*sorted((x for x in names if x is not None), key=lambda x: x.encode()), None]
+    assert [round(got[s] / min(got.values())) for s in order] == [(5, 2, 1)[k % 3] for k in range(len(order))]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stages_on_edges(spark, edge, empty, stage):
+    """Nulls, empty and long texts, repeated rows, clashing columns and an empty table, for each stage alone."""
+    import corpus_pipeline
+
+    name, f = corpus_pipeline.STAGES[stage]
+    out = f(spark, edge, SF)
+    n, got = edge.count(), out.count()
+    assert got <= 2 * n and (stage > 1 or got <= n)
+    if stage < 4:
+        assert out.columns == list(corpus_pipeline.COLUMNS)
+    if stage == 1:
+        assert got == n
+    if stage == 2:
+        texts = [t for _, t in rows(out, "doc_id", "text")]
+        assert sum(not brute.words(t) for t in texts) == sum(not brute.words(t) for _, t in rows(edge, "doc_id", "text"))
+    if stage == 4:
+        assert got == n
+    assert f(spark, empty, SF).count() == 0
+
+
 def test_fit_has_no_preference_for_length_at_any_size():
     """Many lengths that one document each has: short ones are taken as often as long ones, and the budget is met."""
     from mnemoflow.llm import op10_mixing
