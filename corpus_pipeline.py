@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again
 as the next one's documents. All stages but the last return the columns of documents.
+
+Null and empty texts pass the classifier like others, are one empty line, have no shingles and so are
+near duplicates of nothing, have no words and so are never taken into the mix. Rows with null or
+repeated doc_id are documents of their own; of equal texts one row stays. Further columns of documents
+are left out by the first stage, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from mnemoflow.llm import op5_minhash_forest as op5
 from mnemoflow.llm import op6_bpe_tree as op6
 from mnemoflow.llm import op8_line_dedup as op8
 from mnemoflow.llm import op10_mixing as op10
-from mnemoflow.llm.scratch import materialize
+from mnemoflow.llm.scratch import mark, materialize, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -60,5 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each written into the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        began, written = mark(), f"stage_{name.replace(' ', '_')}"
+        docs = materialize(stage(spark, docs, sf_dir), written)
+        release(spark, began, keep=(written,))
     return docs
