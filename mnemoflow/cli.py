@@ -54,7 +54,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "scan":
         show(memory.scan(a.folders or None, project=a.project, incremental=not a.full, dry_run=a.dry_run))
     elif a.command == "query":
-        show(memory.search(a.text, a.top_k, project=a.project, source=a.source, rerank=a.rerank, use_hyde=not a.no_hyde))
+        show(memory.ask(a.text, a.top_k, project=a.project, source=a.source, rerank=a.rerank, use_hyde=not a.no_hyde))
     elif a.command == "distill":
         show({k: v for k, v in memory.distill(a.project, dry_run=a.dry_run).items() if k != "rows"})
     elif a.command == "inject":

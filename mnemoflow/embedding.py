@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -57,6 +58,18 @@ class ModelEmbedder:
         return F.pandas_udf(run, "array<double>")(text)
 
 
+def loaded(name: str, device: str) -> Callable[[], object]:
+    """What ``module:function`` gives for a device, as a function that a worker calls."""
+    module, _, function = name.partition(":")
+    return lambda: getattr(importlib.import_module(module), function)(device)
+
+
+def embedder_of(settings: dict) -> Embedder:
+    """The embedder that the settings name: "hash", or ``module:function``, a function of the device that gives a model."""
+    name = settings["embedding_model"]
+    return HashEmbedder(settings["embedding_dim"]) if name == "hash" else ModelEmbedder(loaded(name, settings["device"]))
+
+
 def mock_rewrite(query: str) -> str:
     """The template answer without a language model."""
     if not query.strip():

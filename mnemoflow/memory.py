@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable
 from datetime import datetime
 from pathlib import Path
@@ -9,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoflow.embedding import Embedder, HashEmbedder, Rewriter
+from mnemoflow.embedding import Embedder, Rewriter, embedder_of
 from mnemoflow.operators import chunking, dedup, evaluation, fulltext, maintenance, retrieval
 from mnemoflow.operators.vector import knn
 from mnemoflow.sources import config, files
@@ -38,25 +39,25 @@ class Memory:
         ensure_checkpoint_dir(spark)
         self.spark, self.settings = spark, settings or config.load(env={})
         self.store = ChunkStore(spark, index_dir)
-        self.embedder = embedder or HashEmbedder(self.settings["embedding_dim"])
-        self.scorer, self.rewriter = scorer, rewriter
+        self.embedder = embedder or embedder_of(self.settings)
+        self.scorer, self.rewriter = scorer or retrieval.scorer_of(self.settings), rewriter
 
     # -- writing -----------------------------------------------------------------------------------
     def add(self, text: str, source: str | None = None, project: str | None = None) -> list[dict]:
         """Chunks of one text in; the decision on each, in order."""
         notes = self.spark.createDataFrame([(source or "", text)], "path string, text string")
-        return self.add_notes(notes, project)
+        return [r.asDict() for r in self.add_notes(notes, project).orderBy("ordinal").drop("ordinal").collect()]
 
-    def add_notes(self, notes: DataFrame, project: str | None = None) -> list[dict]:
-        """Chunks, embeds (once) and judges notes (path, text) in the order of their paths, and writes a new version."""
+    def add_notes(self, notes: DataFrame, project: str | None = None) -> DataFrame:
+        """Chunks, embeds (once) and judges notes (path, text) in the order of their paths, and writes what they change; a row for each decision."""
         rows = chunking.metadata(chunking.chunk_notes(notes), "path")
         if project:
             rows = rows.withColumn("project", F.lit(project))
         rows = rows.withColumn("embedding", self.embedder.embed(F.col("text"))).checkpoint()
         return self.add_chunks(rows.withColumn("ordinal", F.concat_ws("\0", "path", F.lpad(F.col("ordinal").cast("string"), 10, "0"))))
 
-    def add_chunks(self, rows: DataFrame) -> list[dict]:
-        """rows: the store's columns and an ordinal that settles their order."""
+    def add_chunks(self, rows: DataFrame) -> DataFrame:
+        """rows: the store's columns and an ordinal that settles their order. Returns id, decision, existing_id, similarity, ordinal and path, if there is one."""
         order = rows.dropDuplicates(["id"]).checkpoint()
         index = self.store.chunks()
         if self.embedder.backend == "hash" or order.isEmpty():
@@ -64,43 +65,47 @@ class Memory:
         else:
             found = dedup.decide_in_order(order, index, self.settings["dedup_threshold"], self.settings["dedup_skip_low"])
         found = found.checkpoint()
-        self.store.replace(dedup.apply_decisions(index, order, found))
-        out = found.join(order.select("id", "ordinal", *(["path"] if "path" in order.columns else [])), "id").orderBy("ordinal").drop("ordinal")
-        return [r.asDict() for r in out.collect()]
+        if not order.isEmpty():
+            self.store.append(dedup.changes(order, found))
+        return found.join(order.select("id", "ordinal", *(["path"] if "path" in order.columns else [])), "id")
 
     def add_file(self, path: str, project: str | None = None) -> int:
         """Chunks inserted or merged from one file."""
         raw = self.spark.read.format("binaryFile").load(path).select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
-        return sum(r["decision"] != "skip" for r in self.ingest_files(raw, project))
+        return self.ingest_files(raw, project).where("decision <> 'skip'").count()
 
-    def ingest_files(self, found: DataFrame, project: str | None = None) -> list[dict]:
+    def ingest_files(self, found: DataFrame, project: str | None = None) -> DataFrame:
         return self.add_notes(files.decode(found).select("path", "text"), project)
 
     def scan(self, folders: Iterable[str] | None = None, ignore: Iterable[str] | None = None, project: str | None = None, incremental: bool = True, dry_run: bool = False, patterns: Iterable[str] | None = None) -> dict:
-        """Reads changed notes of some folders in; the report counts files and decisions."""
+        """Reads changed notes of some folders in; the report counts files and decisions. Only files that changed are opened."""
         s = self.settings
-        found = files.scan(self.spark, folders or s["memory_dirs"], patterns or s["memory_patterns"], s["ignore_patterns"] if ignore is None else ignore).cache()
+        found = files.scan(self.spark, folders or s["memory_dirs"], patterns or s["memory_patterns"], s["ignore_patterns"] if ignore is None else ignore, with_content=False).checkpoint()
         state = self.store.scan_state.read()
         kept = found.where("NOT ignored")
-        todo = files.changed(kept, state) if incremental else kept
-        n, left_out = found.count(), found.where("ignored").count()
-        report = {"scanned": n, "skipped": left_out, "unchanged": n - left_out - todo.count(), "chunks_total": 0, "inserted": 0, "merged": 0, "skipped_dup": 0, "files": [], "incremental": incremental, "dry_run": dry_run}
+        n, left_out, rows_before = found.count(), found.where("ignored").count(), self.store.chunks().count()
+        todo = [r.asDict() for r in (files.changed(kept, state) if incremental else kept).select("path", "mtime", "size").orderBy("path").collect()]  # the report names them
+        report = {
+            "scanned": n, "skipped": left_out, "unchanged": n - left_out - len(todo), "chunks_total": 0, "inserted": 0, "merged": 0, "skipped_dup": 0, "files": [], "incremental": incremental, "dry_run": dry_run,
+            "search_width": dedup.search_width(rows_before, most=s["max_search_k"], large=s["large_index_threshold"]),
+        }
         if dry_run:
-            report["files"] = [r.asDict() | {"changed": True} for r in todo.select("path", "mtime", "size").orderBy("path").collect()]
+            report["files"] = [r | {"changed": True} for r in todo]
             return report
-        rows = self.ingest_files(todo, project)
-        by: dict[str, dict[str, int]] = {r["path"]: {} for r in todo.select("path").collect()}
-        for r in rows:
-            own = by.setdefault(r["path"], {})
-            own[r["decision"]] = own.get(r["decision"], 0) + 1
+        by: dict[str, dict[str, int]] = {r["path"]: {} for r in todo}
+        for r in dedup.decision_counts(self.ingest_files(files.read(self.spark, list(by)), project), "path").collect():
+            by.setdefault(r["path"], {})[r["decision"]] = r["n"]
         total = lambda d: sum(c.get(d, 0) for c in by.values())
-        report |= {"chunks_total": len(rows), "inserted": total("insert"), "merged": total("merge"), "skipped_dup": total("skip"), "files": [{"path": p, "chunks": sum(c.values()), "decisions": c} for p, c in sorted(by.items())]}
+        report |= {"chunks_total": sum(map(total, ("insert", "merge", "skip"))), "inserted": total("insert"), "merged": total("merge"), "skipped_dup": total("skip"), "files": [{"path": p, "chunks": sum(c.values()), "decisions": c} for p, c in sorted(by.items())]}
         if incremental:
             self.store.scan_state.write(files.new_state(found))
-        found.unpersist()
         return report
 
     # -- searching ---------------------------------------------------------------------------------
+    def ask(self, query: str, top_k: int = 5, **options) -> list[dict]:
+        """A search for tools that do not check their requests: the number of results is brought into bounds."""
+        return self.search(query, clamp_results(top_k), **options)
+
     def search(self, query: str, top_k: int = 5, **options) -> list[dict]:
         check_request(query, top_k, options.get("candidates", 20))
         return self.batch_search([query], top_k, **options)[0]
@@ -115,7 +120,11 @@ class Memory:
         table = self.spark.createDataFrame([(i, q, rewriter.generate(q) if use_hyde else q) for i, q in enumerate(queries)], "query_id long, text string, embedded string")
         pool = chunks.where(F.col("project") == project) if project else chunks
         vectors = knn(pool, table.select("query_id", self.embedder.embed(F.col("embedded")).alias("vector")), candidates)
-        scored = fulltext.bm25(chunks, list(enumerate(queries)), id_type="long")
+        asked = list(enumerate(queries))
+        if self.store.has_postings():
+            scored = fulltext.bm25_by_postings(self.store.postings.read(), self.store.lengths.read(), chunks, asked, id_type="long")
+        else:
+            scored = fulltext.bm25(chunks, asked, id_type="long")
         if project:
             scored = scored.join(pool.select("id"), "id", "left_semi")
         texts = fulltext.topn(scored, candidates)
@@ -169,13 +178,19 @@ class Memory:
             self.store.delete(before.join(kept.select("id"), "id", "left_anti"))
         return {"before": n[0], "kept": n[1], "dropped": n[0] - n[1]}
 
-    def evaluate(self, gold: DataFrame, top_k: int = 10, **options) -> dict:
-        """Mean metrics over a gold set (query_id, query, relevant_ids)."""
-        rows = gold.collect()
-        found = [x for i in range(0, len(rows), MOST_QUERIES) for x in self.batch_search([r["query"] for r in rows[i : i + MOST_QUERIES]], top_k, record=False, **options)]
+    def evaluate(self, gold: DataFrame, top_k: int = 10, timed: int = 10, **options) -> dict:
+        """Mean metrics over a gold set (query_id, query, relevant_ids), and the latency of its first ``timed`` queries, searched one by one; the others come in batches."""
+        rows = gold.orderBy("query_id").collect()
+        found, times = [], []
+        for r in rows[:timed]:
+            began = time.perf_counter()
+            found.append(self.batch_search([r["query"]], top_k, record=False, **options)[0])
+            times.append((1000 * (time.perf_counter() - began),))
+        found += [x for i in range(timed, len(rows), MOST_QUERIES) for x in self.batch_search([r["query"] for r in rows[i : i + MOST_QUERIES]], top_k, record=False, **options)]
         ranked = [(r["query_id"], h["id"], h["rank"]) for r, hits in zip(rows, found, strict=True) for h in hits]
         metrics = evaluation.per_query(self.spark.createDataFrame(ranked, "query_id string, id string, rank int"), gold)
-        return evaluation.summary(metrics).first().asDict()
+        ms = evaluation.latency(self.spark.createDataFrame(times, "ms double"), "ms").first() if times else None
+        return evaluation.summary(metrics).first().asDict() | {"latency_p50_ms": ms["p50"] if ms else None, "latency_p95_ms": ms["p95"] if ms else None}
 
     def health(self) -> dict:
         return maintenance.health(self.store.with_access(), self.settings["large_index_threshold"], self.store.files())

@@ -1,12 +1,15 @@
 """Write-time near-duplicate decisions: insert, merge or skip.
 
 ``decide`` judges a batch against a frozen index. ``decide_in_order`` gives what a strictly sequential
-writer would: two rows can only influence each other if they are similar, so the fold runs on each
-connected component of the similarity graph alone, in the order of the batch.
+writer would: two rows can only influence each other if they are similar, so the fold runs on each connected component
+of the similarity graph alone, in the order of the batch. The graph has the pairs that a row of the
+batch is in, compared as blocks of matrices.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -14,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoflow.functions import scalar, vocab
-from mnemoflow.operators.vector import knn
+from mnemoflow.operators.vector import knn, meet, tiles
 
 MERGE_AT, SKIP_AT = 0.92, 0.85
 
@@ -46,32 +49,38 @@ def decide(batch: DataFrame, index: DataFrame, merge_at: float = MERGE_AT, skip_
     return out.select("id", verdict.alias("decision"), "existing_id", "similarity")
 
 
-def similar_pairs(rows: DataFrame, least: float, blocks: int = 16) -> DataFrame:
-    """(a, b) of all rows (node, v) of cosine ``least`` or more, by a grid of blocks: each task compares two blocks as matrices, and only similar pairs leave it."""
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
-    kind = dict(rows.dtypes)["node"]
+def _alike(least: float):
+    def compare(ids: pa.Array, vectors: np.ndarray | None):
+        if vectors is None:
+            return lambda _: pa.table([pa.array([], pa.string())] * 2, ["a", "b"])
+        unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]
+        own, names = unit(vectors), np.array(ids.to_pylist(), object)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, rows in tiles(batches):
+                i, j = np.nonzero(own @ unit(rows).T >= least - 1e-9)
+                a, b = names[i], np.array(part.column(0).to_pylist(), object)[j]
+                fine = np.array([y[0] == "i" or x < y for x, y in zip(a, b, strict=True)], bool)
+                yield pa.RecordBatch.from_arrays([pa.array(a[fine], pa.string()), pa.array(b[fine], pa.string())], ["a", "b"])
 
-    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        v = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1).astype(float)
-        norm = np.linalg.norm(v, axis=1)
-        v = v / np.where(norm == 0, 1, norm)[:, None]
-        block = table["block"].to_numpy()
-        left, right = np.flatnonzero(block == key[0].as_py()), np.flatnonzero(block == key[1].as_py())
-        i, j = np.nonzero(v[left] @ v[right].T >= least - 1e-9)
-        names = np.array(table["node"].to_pylist(), object)
-        a, b = names[left[i]], names[right[j]]
-        fine = [x < y if key[0] == key[1] else True for x, y in zip(a, b, strict=True)]
-        field = table.schema.field("node").type
-        return pa.table({"a": pa.array(a[fine], field), "b": pa.array(b[fine], field)})
+        return run
 
-    return rows.withColumn("cell", F.explode(cells)).select("node", "v", "block", "cell.i", "cell.j").groupBy("i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
+    return compare
 
 
-def connected(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, component): smallest reachable node, by minimum labels and pointer jumping."""
+def similar_pairs(batch: DataFrame, index: DataFrame, least: float) -> DataFrame:
+    """(a, b) of cosine ``least`` or more, of rows (node, v): each row of the batch with the index, and the batch's own pairs once. Rows of the index are not compared with each other.
+
+    Nodes of the batch begin with another letter than those of the index, whose is an i.
+    """
+    found = meet(batch, index.union(batch), _alike(least), "a string, b string")
+    return batch.sparkSession.createDataFrame([], "a string, b string") if found is None else found
+
+
+def connected(pairs: DataFrame) -> DataFrame:
+    """(node, component) of the nodes in pairs: smallest reachable node, by minimum labels and pointer jumping."""
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = nodes.select("node", F.col("node").alias("component")).checkpoint()
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")).checkpoint()
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         new = labels.join(near, "node", "left").select("node", F.least("component", "near").alias("new"), "component")
@@ -84,17 +93,16 @@ def connected(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def fold(rows: pd.DataFrame, merge_at: float, skip_at: float) -> pd.DataFrame:
     """One component in order: index rows first, then the batch; each decision sees the effects of those before."""
-    out, ids, vectors, sources, confs = [], [], [], [], []
+    rows = rows.sort_values(["in_batch", "ordinal", "node"])
+    given = np.stack([np.asarray(v, float) for v in rows["v"]])
+    vectors, n = np.empty_like(given), 0
+    out, ids, sources, confs = [], [], [], []
     level = lambda s: vocab.SOURCE_LEVELS.get(s or "unknown", "full")
-    for r in rows.sort_values(["in_batch", "ordinal", "node"]).itertuples():
-        v = np.asarray(r.v, float)
-        if not r.in_batch:
-            ids.append(r.id), vectors.append(v), sources.append(r.source), confs.append(r.confidence)
-            continue
+    for r, v in zip(rows.itertuples(), given, strict=True):
         at, sim, verdict = -1, None, "insert"
-        if vectors:
-            far = [((x - v) ** 2).sum() for x in vectors]
-            at = min(range(len(far)), key=lambda k: (far[k], ids[k]))
+        if r.in_batch and n:
+            far = ((vectors[:n] - v) ** 2).sum(1)
+            at = min(np.flatnonzero(far == far.min()).tolist(), key=lambda k: ids[k])
             norm = np.linalg.norm(vectors[at]) * np.linalg.norm(v)
             sim = float(vectors[at] @ v / norm) if norm else 0.0
             if sim >= merge_at:
@@ -102,48 +110,50 @@ def fold(rows: pd.DataFrame, merge_at: float, skip_at: float) -> pd.DataFrame:
                 verdict = "merge" if not blocked and r.confidence >= confs[at] else "skip"
             elif sim >= skip_at:
                 verdict = "skip"
-        out.append((r.id, verdict, ids[at] if vectors and sim is not None and sim >= skip_at else None, sim if sim is not None and sim >= skip_at else None))
+        if r.in_batch:
+            met = sim is not None and sim >= skip_at
+            out.append((r.id, verdict, ids[at] if met else None, sim if met else None))
         if verdict == "insert":
-            ids.append(r.id), vectors.append(v), sources.append(r.source), confs.append(r.confidence)
+            vectors[n], n = v, n + 1
+            ids.append(r.id), sources.append(r.source), confs.append(r.confidence)
         elif verdict == "merge":
             vectors[at], sources[at], confs[at] = v, r.source, r.confidence
     return pd.DataFrame(out, columns=["id", "decision", "existing_id", "similarity"])
 
 
-def decide_in_order(batch: DataFrame, index: DataFrame, merge_at: float = MERGE_AT, skip_at: float = SKIP_AT, blocks: int = 16) -> DataFrame:
+def decide_in_order(batch: DataFrame, index: DataFrame, merge_at: float = MERGE_AT, skip_at: float = SKIP_AT) -> DataFrame:
     """(id, decision, existing_id, similarity) as a sequential writer decides; existing_id and similarity are null below ``skip_at``.
 
-    batch: id, ordinal (a number or a string that sorts), embedding, source, confidence; index: the same but ordinal. Rows that are similar
-    to nothing skip Python. Vectors have unit length, as embedders give them, so that the nearest row is the
-    most similar one.
+    batch: id, ordinal (a number or a string that sorts), embedding, source, confidence; index: the same but
+    ordinal. Rows of the batch that are similar to nothing are inserted without Python, and rows of the
+    index that no row of the batch can reach are only compared. Vectors have unit length, as embedders
+    give them, so that the nearest row is the most similar one. One task decides over a group of rows that
+    are similar by chains, as each of its decisions depends on those before.
     """
-    cols, kinds = ["id", "v", "source", "confidence"], dict(batch.dtypes)
+    kinds = dict(batch.dtypes)
     conf = F.coalesce(F.col("confidence"), F.lit(0.5)).alias("confidence")
     one = lambda df, flag, ordinal: df.select(F.concat(F.lit("b:" if flag else "i:"), F.col("id").cast("string")).alias("node"), "id", F.col("embedding").cast("array<double>").alias("v"), "source", conf, F.lit(flag).alias("in_batch"), ordinal.alias("ordinal"))
-    rows = one(index, False, F.lit("" if kinds["ordinal"] == "string" else 0).cast(kinds["ordinal"])).unionByName(one(batch, True, F.col("ordinal"))).checkpoint()
-    pairs = similar_pairs(rows.select("node", "v"), skip_at, blocks)
-    labels = connected(rows, pairs)
-    rows = rows.join(labels, "node")
-    size = F.count("*").over(Window.partitionBy("component"))
-    rows = rows.withColumn("size", size)
-    kind = dict(rows.dtypes)["id"]
+    new = one(batch, True, F.col("ordinal")).checkpoint()
+    old = one(index, False, F.lit("" if kinds["ordinal"] == "string" else 0).cast(kinds["ordinal"]))
+    labels = connected(similar_pairs(new.select("node", "v"), old.select("node", "v"), skip_at))
+    kind = kinds["id"]
     schema = f"id {kind}, decision string, existing_id {kind}, similarity double"
-    alone = rows.where("size = 1 AND in_batch").select("id", F.lit("insert").alias("decision"), F.lit(None).cast(kind).alias("existing_id"), F.lit(None).cast("double").alias("similarity"))
-    groups = rows.where("size > 1").select("component", "node", *cols, "in_batch", "ordinal")
+    alone = new.join(labels, "node", "left_anti").select("id", F.lit("insert").alias("decision"), F.lit(None).cast(kind).alias("existing_id"), F.lit(None).cast("double").alias("similarity"))
+    groups = old.unionByName(new).join(labels, "node").select("component", "node", "id", "v", "source", "confidence", "in_batch", "ordinal")
     return alone.union(groups.groupBy("component").applyInPandas(lambda pdf: fold(pdf, merge_at, skip_at), schema))
 
 
-def apply_decisions(index: DataFrame, batch: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The index after a batch: inserted rows are added, merged rows replace text, vector and metadata of the row they met, which keeps its id.
+def changes(batch: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows that a batch leaves behind, under their ids: inserted ones, and merged ones under the id of the row they met.
 
-    Where several rows merge into one, the last by ordinal counts.
+    Where several rows merge into one, the last by ordinal counts; so does a merge over the insert that it met.
     """
-    cols = [c for c in index.columns if c != "id"]
-    b = batch.join(decisions.select("id", "decision", "existing_id"), "id")
-    last = Window.partitionBy("existing_id").orderBy(F.desc("ordinal"))
-    merged = b.where("decision = 'merge'").withColumn("n", F.row_number().over(last)).where("n = 1")
-    merged = merged.select(F.col("existing_id").alias("id"), *cols)
-    inserted = b.where("decision = 'insert'").select("id", *cols)
-    whole = index.select("id", *cols).unionByName(inserted)
-    return whole.join(merged.select("id"), "id", "left_anti").unionByName(merged)
+    b = batch.drop("existing_id").join(decisions.select("id", "decision", "existing_id"), "id").where("decision <> 'skip'")
+    last = Window.partitionBy("to").orderBy(F.col("decision") == "insert", F.desc("ordinal"))
+    b = b.withColumn("to", F.when(F.col("decision") == "merge", F.col("existing_id")).otherwise(F.col("id"))).withColumn("nth", F.row_number().over(last)).where("nth = 1")
+    return b.select(F.col("to").alias("id"), *[c for c in batch.columns if c not in ("id", "existing_id", "ordinal")])
+
 
+def decision_counts(decisions: DataFrame, *by) -> DataFrame:
+    """How often each decision was taken, by some columns."""
+    return decisions.groupBy(*by, "decision").agg(F.count("*").alias("n"))

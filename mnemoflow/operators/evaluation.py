@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,13 +28,17 @@ def summary(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.count("*").alias("queries"), *[F.avg(c).alias(c) for c in metrics.columns if c != "query_id"])
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """The element at place floor(n * p) of the sorted values of a group, from 0."""
-    return F.element_at(F.sort_array(F.collect_list(values)), F.least(F.floor(F.count(values) * F.lit(p)) + 1, F.count(values)).cast("int"))
+def percentiles(values: DataFrame, column: str, by: tuple[str, ...] = (), ps: dict[str, float] | None = None) -> DataFrame:
+    """For each group the element at place floor(n * p), from 0, of its sorted values. Values are counted first, so a group costs its different values; nulls are left out."""
+    counted = values.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*(by or [F.lit(0)]))
+    counted = counted.withColumns({"upto": F.sum("n").over(w.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(w)})
+    pick = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("total") * F.lit(p)), F.col("total") - 1), F.col(column)))
+    return counted.groupBy(*by).agg(*[pick(p).alias(name) for name, p in (ps or {"p50": 0.5, "p95": 0.95}).items()])
 
 
 def latency(times: DataFrame, column: str) -> DataFrame:
-    return times.agg(nearest_rank(F.col(column), 0.5).alias("p50"), nearest_rank(F.col(column), 0.95).alias("p95"))
+    return percentiles(times, column)
 
 
 def report(summary_row: dict, title: str = "Retrieval evaluation") -> str:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
+#: Bytes for each core below which input is dealt out. Trigrams that are looked up by a filter on the postings' files at most.
+SMALL_PART, PUSHED = 16 << 20, 2000
 COLUMNS = ("text", "project", "entities")
 _CJK = re.compile("[一-鿿]")
 
@@ -59,9 +61,10 @@ def _lowered(chunks: DataFrame, id_col: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Input of fewer partitions than cores (a few small files) is dealt to all of them; larger input stays as it is read."""
+    """Input that the optimizer knows to be small is dealt to all cores; larger input stays as it is read. Nothing is run to find out."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if known < cores * SMALL_PART else df
 
 
 def doc_length() -> Column:
@@ -118,6 +121,9 @@ def bm25_by_postings(postings: DataFrame, lengths: DataFrame, chunks: DataFrame,
         return spark.createDataFrame([], f"query_id {id_type}, id {dict(lengths.dtypes)['id']}, score double")
     grams = [(t, g, len({t[i : i + 3] for i in range(len(t) - 2)}), len(t), _overlaps_itself(t)) for t in terms for g in {t[i : i + 3] for i in range(len(t) - 2)}]
     wanted = spark.createDataFrame(grams, "term string, trigram string, need int, k int, own boolean")
+    looked_up = sorted({g for _, g, *_ in grams})
+    if len(looked_up) <= PUSHED:  # the postings are sorted by trigram, so the filter leaves most of them unread
+        postings = postings.where(F.col("trigram").isin(looked_up))
     found = postings.join(F.broadcast(wanted), "trigram").groupBy("term", "id", "need", "k", "own").agg(F.count("*").alias("have"), F.max("tf").alias("tf")).where("have = need")
     low = _lowered(chunks, id_col)
     f = sum((occurrences(F.col(c), F.col("term"), F.col("own")) for c in COLUMNS[1:]), occurrences(F.col(COLUMNS[0]), F.col("term"), F.col("own")))

@@ -21,17 +21,24 @@ def project_or_none(name: str = "project", label: str = vocab.NO_PROJECT) -> Col
 
 
 def distill(chunks: DataFrame, now: Column, project: str | None = None, top: int = TOP, purge_below: float = PURGE_BELOW, tau_days: float = 90.0) -> DataFrame:
-    """Every chunk with its project, score, rank in the project (from 1) and verdict: keep, purge or stay.
+    """Every chunk with its project, score, rank in the project (from 1; null beyond the first rows) and verdict: keep, purge or stay.
 
-    The first ``top`` of a project are kept; of the others those with a score below ``purge_below`` are purged.
+    The first ``top`` of a project are kept; of the others those with a score below ``purge_below`` are
+    purged. Only the first rows of a project are ranked, so each task drops the others before the
+    shuffle, and a project may hold any share of the chunks.
     """
     rows = chunks.withColumn("project", project_or_none())
     if project is not None:
         rows = rows.where(F.col("project") == project)
     rows = rows.withColumn("score", scalar.distill_score(F.col("confidence"), F.col("ts"), F.col("access_count"), now, tau_days))
-    rank = F.row_number().over(Window.partitionBy("project").orderBy(F.desc(F.round("score", 12)), "id"))
+    rank = F.row_number().over(Window.partitionBy("project").orderBy(*by_score()))
+    first = rows.select("project", "id", "score").withColumn("rank", rank).where(F.col("rank") <= max(top, PROJECT_ROWS))
     verdict = F.when(F.col("rank") <= top, "keep").when(F.col("score") < purge_below, "purge").otherwise("stay")
-    return rows.withColumn("rank", rank).withColumn("verdict", verdict)
+    return rows.join(first.select("project", "id", "rank"), ["project", "id"], "left").withColumn("verdict", verdict)
+
+
+def by_score() -> list[Column]:
+    return [F.desc(F.round("score", 12)), F.col("id")]
 
 
 def distill_report(distilled: DataFrame) -> DataFrame:
@@ -47,7 +54,7 @@ def kept_rows(distilled: DataFrame) -> DataFrame:
 
 def purge_rows(distilled: DataFrame, most: int = 20) -> DataFrame:
     """What the report lists of chunks to purge: the best ``most`` of each project, text cut to 80 characters."""
-    n = F.row_number().over(Window.partitionBy("project").orderBy("rank"))
+    n = F.row_number().over(Window.partitionBy("project").orderBy(*by_score()))
     return distilled.where("verdict = 'purge'").withColumn("n", n).where(F.col("n") <= most).select("project", "n", "id", F.substring("text", 1, 80).alias("text"), F.round("score", 4).alias("score"), F.col("access_count").alias("access"), "ts")
 
 
@@ -78,11 +85,29 @@ def unknown_listing(chunks: DataFrame) -> DataFrame:
     return chunks.where("source = 'unknown'").orderBy(F.desc("access_count"), F.desc("length"), "id")
 
 
+def counts_by(chunks: DataFrame, column: str) -> DataFrame:
+    """Chunks by a column, without those that have none."""
+    return chunks.where(F.col(column).isNotNull() & (F.col(column) != "")).groupBy(column).agg(F.count("*").alias("n"))
+
+
+def totals(chunks: DataFrame) -> DataFrame:
+    return chunks.agg(F.count("*").alias("total"), F.count_distinct(F.nullif("project", F.lit(""))).alias("projects"))
+
+
+def project_groups(chunks: DataFrame) -> DataFrame:
+    """A row for each project: its chunks, their first and last id, their characters."""
+    return chunks.groupBy("project").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum("length").cast("long").alias("chars"))
+
+
 def stats(chunks: DataFrame) -> dict:
     """Rows in all, by source and by project (those that have one), and how many projects."""
-    by = lambda c: {r[0]: r[1] for r in chunks.groupBy(c).count().where(F.col(c).isNotNull() & (F.col(c) != "")).orderBy(F.desc("count"), c).collect()}
-    projects = by("project")
-    return {"total": chunks.count(), "by_source": by("source"), "by_project": projects, "projects": len(projects)}
+    by = lambda c: {r[0]: r[1] for r in counts_by(chunks, c).orderBy(F.desc("n"), c).collect()}
+    return {**totals(chunks).first().asDict(), "by_source": by("source"), "by_project": by("project")}
+
+
+def access_counts(log: DataFrame) -> DataFrame:
+    """(chunk_id, access_count, last_access) of a log (chunk_id, accessed_at)."""
+    return log.groupBy("chunk_id").agg(F.count("*").alias("access_count"), F.max("accessed_at").alias("last_access"))
 
 
 def health_row(chunks: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -9,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemoflow.embedding import loaded
 from mnemoflow.functions import scalar
 
 RRF_K, TAU_DAYS, CANDIDATES, RERANK_TOP = 30, 90.0, 20, 20
@@ -30,6 +33,42 @@ class OverlapScorer:
         return [1 / (1 + math.exp(-(8 * len(own & set(d.lower().split())) / max(1, len(own)) - 4))) for d in documents]
 
 
+#: Of a worker process: models by scorer, and scores by scorer, query and document with the time they were made.
+_MODELS: dict[str, Callable[[list[tuple[str, str]]], list[float]]] = {}
+_SCORES: dict[tuple[str, str, str], tuple[float, float]] = {}
+
+
+class ModelScorer:
+    """Any model: ``load`` runs once in each worker and gives a function from (query, document) pairs to scores. Pairs go in batches, and scores are kept for some time."""
+
+    def __init__(self, load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], batch: int = 8, ttl: float = 300.0, most: int = 10_000) -> None:
+        self.load, self.batch, self.ttl, self.most, self.name = load, batch, ttl, most, uuid.uuid4().hex
+
+    def score(self, query: str, documents: list[str]) -> list[float]:
+        now = time.monotonic()
+        fresh = lambda k: k in _SCORES and now - _SCORES[k][0] < self.ttl
+        keys = [(self.name, query, d) for d in documents]
+        todo = [k for k in dict.fromkeys(keys) if not fresh(k)]
+        if todo and self.name not in _MODELS:
+            _MODELS[self.name] = self.load()
+        new = {}
+        for i in range(0, len(todo), self.batch):
+            part = todo[i : i + self.batch]
+            new |= dict(zip(part, map(float, _MODELS[self.name]([(q, d) for _, q, d in part])), strict=True))
+        out = [new[k] if k in new else _SCORES[k][1] for k in keys]
+        if len(_SCORES) + len(new) > self.most:
+            for k in [k for k, (at, _) in _SCORES.items() if now - at >= self.ttl] or list(_SCORES):
+                del _SCORES[k]
+        _SCORES.update({k: (now, v) for k, v in new.items()})
+        return out
+
+
+def scorer_of(settings: dict) -> Scorer:
+    """The scorer that the settings name: "overlap", or ``module:function``, a function of the device that gives a model of pairs."""
+    name = settings["reranker_model"]
+    return OverlapScorer() if name == "overlap" else ModelScorer(loaded(name, settings["device"]))
+
+
 def fuse(vector_hits: DataFrame, text_hits: DataFrame, rrf_k: int = RRF_K) -> DataFrame:
     """Full outer join of two legs (query_id, id, rank from 0) with the reciprocal rank score; a rank is null where a leg misses."""
     v = vector_hits.select("query_id", "id", F.col("rank").alias("vector_rank"))

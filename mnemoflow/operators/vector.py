@@ -1,78 +1,112 @@
-"""Exact nearest neighbours of a bounded batch of queries over any number of chunks.
+"""Exact nearest neighbours of any number of queries over any number of chunks.
 
-Each task multiplies its chunks with the batch as one matrix product, keeps the k nearest of every
-query and a margin for rounding, and settles those exactly; so what is shuffled is k rows a query and
-task, and never a pair for each chunk. Filters on the chunks come before.
+A task multiplies its chunks with a block of queries as one matrix product, keeps the k nearest of every
+query and a margin for rounding, and settles those exactly; so what is shuffled of the results is k rows
+a query and task, and never a pair for each chunk. Up to ``BATCH`` queries go to all tasks, and the
+chunks are read where they are; more queries meet the chunks in a grid of blocks, and none of it comes to
+the driver. Filters on the chunks come before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries in one pass over the chunks; larger sets are searched in several passes.
-BATCH = 4096
+#: Queries that are sent to all tasks at most, and of a block of the grid; chunks of a block; chunks in one matrix product.
+BATCH, BLOCK, TILE = 4096, 16_384, 1024
 
 
-def _nearest(ids: list, vectors: np.ndarray, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, list, np.ndarray]] | None = None
-        own = (vectors**2).sum(1)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
-                column = part.column(1)
-                rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                if not part.num_rows or rows.shape[1] != vectors.shape[1]:
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors of one length as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Parts of batches (id, vector) with their vectors as a matrix."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, TILE):
+            part = batch.slice(i, TILE)
+            yield part, matrix(part.column(1))
+
+
+def meet(queries: DataFrame, rows: DataFrame, compare: Callable, schema: str) -> DataFrame | None:
+    """compare(ids, vectors)(batches) for all queries (id, vector) against all rows (id, vector, ...); null without queries.
+
+    compare gives a function over Arrow batches of rows, whose results may come in any number of parts.
+    """
+    q, _ = queries.columns
+    some = queries.limit(BATCH + 1).collect()
+    if not some:
+        return None
+    if len(some) <= BATCH:
+        return rows.mapInArrow(compare(pa.array([r[0] for r in some]), np.array([r[1] for r in some], float)), schema)
+    across, down = math.ceil(queries.count() / BATCH), max(1, math.ceil(rows.count() / BLOCK))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("*", dealt(q, across).alias("grid_i"), every(down).alias("grid_j"))
+    right = rows.select("*", every(across).alias("grid_i"), dealt(rows.columns[0], down).alias("grid_j"))
+    width = len(rows.columns)
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        a, b = a.combine_chunks(), b.select(range(width))
+        found = list(compare(a.column(0).combine_chunks(), matrix(a.column(1)))(iter(b.to_batches()))) if len(a) and len(b) else []
+        return pa.Table.from_batches(found) if found else compare(a.column(0).combine_chunks(), None)(iter(()))
+
+    return left.groupBy("grid_i", "grid_j").cogroup(right.groupBy("grid_i", "grid_j")).applyInArrow(cell, schema)
+
+
+def _nearest(k: int, id_type: pa.DataType):
+    names = ["query_id", "id", "distance"]
+
+    def compare(ids: pa.Array, vectors: np.ndarray | None):
+        if vectors is None:
+            return lambda _: pa.table([ids.slice(0, 0), pa.array([], id_type), pa.array([], pa.float64())], names)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = (vectors**2).sum(1)
+            cut = np.full(len(vectors), np.inf)
+            kept = None
+            for part, rows in tiles(batches):
+                if rows.shape[1] != vectors.shape[1]:
                     raise ValueError(f"vectors have {rows.shape[1]} components, queries {vectors.shape[1]}")
-                names = np.array(part.column(0).to_pylist(), object)
                 near = own[:, None] + (rows**2).sum(1)[None] - 2 * vectors @ rows.T
-                out = []
-                for q in range(len(vectors)):
-                    d = near[q]
-                    cut = np.partition(d, k - 1)[k - 1] + 1e-9 * (1 + own[q]) if len(d) > k else np.inf
-                    some = np.flatnonzero(d <= cut)
-                    exact = ((rows[some] - vectors[q]) ** 2).sum(1)
-                    old = kept[q] if kept else (np.zeros(0), np.zeros(0, object))
-                    dist, name = np.concatenate([old[0], exact]), np.concatenate([old[1], names[some]])
-                    best = sorted(range(len(dist)), key=lambda x: (dist[x], name[x]))[:k]
-                    out.append((dist[best], name[best]))
-                kept = out
-        if kept:
-            sizes = [len(d) for d, _ in kept]
-            yield pa.RecordBatch.from_arrays([pa.array([q for q, n in zip(ids, sizes, strict=True) for _ in range(n)]), pa.array([x for _, n in kept for x in n]), pa.array(np.concatenate([d for d, _ in kept]))], ["query_id", "id", "distance"])
-
-    return run
+                bound = np.minimum(cut, np.partition(near, k - 1, axis=1)[:, k - 1]) if len(rows) > k else cut
+                q, j = np.nonzero(near <= (bound + 1e-9 * (1 + own + np.where(np.isfinite(bound), bound, 0)))[:, None])
+                new = (q, ((rows[j] - vectors[q]) ** 2).sum(1), np.array(part.column(0).to_pylist())[j])
+                q, distance, name = new if kept is None else (np.concatenate(x) for x in zip(kept, new, strict=True))
+                order = np.lexsort((name, distance, q))
+                q, distance, name = q[order], distance[order], name[order]
+                first = np.searchsorted(q, np.arange(len(vectors)))
+                best = np.arange(len(q)) - first[q] < k
+                last = np.arange(len(q)) - first[q] == k - 1
+                cut[q[last]] = distance[last]
+                kept = q[best], distance[best], name[best]
+            if kept:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(kept[0])), pa.array(kept[2].tolist(), id_type), pa.array(kept[1])], names)
+
+        return run
+
+    return compare
 
 
 def knn(chunks: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, distance, rank from 0): squared L2 distance, nearest first, ties by id.
 
-    queries: query_id and vector. They are collected in batches of ``BATCH`` rows, which bounds what is
-    sent to the tasks; filters such as a project belong on ``chunks``.
+    queries: query_id and vector; those without a vector find nothing, and chunks without one are not
+    found. Filters such as a project belong on ``chunks``.
     """
-    found = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
-    some = found.toLocalIterator()
-    kinds = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)[id_col]
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
     rows = chunks.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    schema = f"query_id {kinds[0]}, id {kinds[1]}, distance double"
-    out = None
-    batch: list = []
-
-    def search(batch: list) -> DataFrame:
-        return rows.mapInArrow(_nearest([r["query_id"] for r in batch], np.array([r["vector"] for r in batch], float), k), schema)
-
-    for r in some:
-        batch.append(r)
-        if len(batch) == BATCH:
-            out = search(batch) if out is None else out.union(search(batch))
-            batch = []
-    if batch:
-        out = search(batch) if out is None else out.union(search(batch))
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(chunks.dtypes)[id_col]}, distance double"
+    id_type = rows.select("id").limit(0).toArrow().schema.field("id").type
+    out = meet(asked, rows, _nearest(k, id_type), schema)
     if out is None:
         return chunks.sparkSession.createDataFrame([], schema + ", rank int")
     order = Window.partitionBy("query_id").orderBy("distance", "id")

@@ -25,7 +25,7 @@ def _ignore(globs: Iterable[str]) -> str:
 
 
 def scan(spark: SparkSession, folders: Iterable[str], patterns: Iterable[str] = vocab.NOTE_PATTERNS, ignore: Iterable[str] = vocab.IGNORE_PATTERNS, with_content: bool = True) -> DataFrame:
-    """path, name, mtime, size, ignored (and content) of each file once, in any folder below; folders that do not exist are dropped."""
+    """path, name, mtime, size, ignored (and content) of each file once, in any folder below; folders that do not exist are dropped. Without content no file is opened."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     there = []
     for f in folders:
@@ -33,13 +33,25 @@ def scan(spark: SparkSession, folders: Iterable[str], patterns: Iterable[str] =
         if path.getFileSystem(conf).exists(path):
             there.append(f)
     schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(there) if there else spark.createDataFrame([], schema)
-    name = F.element_at(F.split(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "/"), -1)
+    patterns = list(patterns)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if patterns and not any(set("{},") & set(p) for p in patterns):
+        reader = reader.option("pathGlobFilter", "{" + ",".join(patterns) + "}")
+    files = reader.load(there) if there else spark.createDataFrame([], schema)
+    name = F.element_at(F.split("path", "/"), -1)
     files = files.withColumn("name", name).where(F.col("name").rlike(_include(patterns)))
     ignored = F.col("name").rlike(_ignore(ignore)) if list(ignore) else F.lit(False)
     return files.select("path", "name", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), ignored.alias("ignored"), *(["content"] if with_content else [])).dropDuplicates(["path"])
 
 
+def read(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """path, mtime, size and content of files that a scan has listed."""
+    escaped = [re.sub(r"([][{}*?\\])", r"\\\1", p) for p in paths]
+    if not escaped:
+        return spark.createDataFrame([], "path string, mtime timestamp, size long, content binary")
+    return spark.read.format("binaryFile").load(escaped).select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
+
+
 def changed(files: DataFrame, state: DataFrame) -> DataFrame:
     """Files whose time or size differs from the saved state (path, mtime, size), and new ones."""
     return files.join(state.select("path", "mtime", "size"), ["path", "mtime", "size"], "left_anti")

@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where it is unset, a local temporary folder."""
+    """The session's spark.checkpoint.dir; only where it is unset and everything runs on one machine, a local temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="mnemoflow-")
         spark.sparkContext.setCheckpointDir(found)
     return found
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of that name in the shared one; it is not created yet."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
