@@ -7,26 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemoflow.functions import scalar
+from mnemoflow.embedding import ModelEmbedder, Rewriter
+from mnemoflow.functions import scalar, vocab
+from mnemoflow.memory import Memory
 from mnemoflow.operators import chunking, dedup, evaluation, fulltext, maintenance, retrieval
 from mnemoflow.operators.vector import knn
 from mnemoflow.plans import views as v
 from mnemoflow.sources import files
-from mnemoflow.sources.workspace import ensure_checkpoint_dir
+from mnemoflow.sources.store import ChunkStore
+from mnemoflow.sources.workspace import ensure_checkpoint_dir, fresh_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-#: Searches for whole benchmark texts. Their SQL asks for the first words of each text, and is too slow for whole ones but on small tables; tests put the whole texts in.
-SMALL = {"bm25_topk", "bm25_filtered", "bm25_postings", "rrf_fusion", "hybrid_batch", "hybrid_constant_popularity", "source_postfilter", "hybrid_rerank", "fuse_weights"}
-_SMALL_ORACLES: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         _QUERIES[name] = f
         if sql is not None:
-            (_SMALL_ORACLES if name in SMALL else _ORACLES)[name] = sql
+            _ORACLES[name] = sql
         return f
 
     return add
@@ -40,33 +40,29 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
 
 
-def small_oracle_sql() -> dict[str, str]:
-    return dict(_SMALL_ORACLES)
-
-
 def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
 
 # -- statistics and health ---------------------------------------------------------------------------
-@register("stats_by_source", "SELECT source, count(*) AS n FROM documents GROUP BY source")
+@register("stats_by_source", "SELECT source, count(*) AS n FROM documents WHERE source <> '' GROUP BY source")
 def stats_by_source(spark: SparkSession, d: str) -> DataFrame:
-    return v.chunks(spark, d).groupBy("source").agg(F.count("*").alias("n"))
+    return maintenance.counts_by(v.chunks(spark, d), "source")
 
 
 @register("stats_by_project", "SELECT lang AS project, count(*) AS n FROM documents WHERE lang <> '' GROUP BY lang")
 def stats_by_project(spark: SparkSession, d: str) -> DataFrame:
-    return v.chunks(spark, d).where("project <> ''").groupBy("project").agg(F.count("*").alias("n"))
+    return maintenance.counts_by(v.chunks(spark, d), "project")
 
 
 @register("project_count", "SELECT count(*) AS total, count(DISTINCT nullif(lang, '')) AS projects FROM documents")
 def project_count(spark: SparkSession, d: str) -> DataFrame:
-    return v.chunks(spark, d).agg(F.count("*").alias("total"), F.count_distinct(F.nullif("project", F.lit(""))).alias("projects"))
+    return maintenance.totals(v.chunks(spark, d))
 
 
 @register("group_by_project", "SELECT lang AS project, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang")
 def group_by_project(spark: SparkSession, d: str) -> DataFrame:
-    return v.chunks(spark, d).groupBy("project").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum("length").cast("long").alias("chars"))
+    return maintenance.project_groups(v.chunks(spark, d))
 
 
 @register("health_index", f"SELECT count(*) AS total, round(avg(length), 1) AS avg_length, round(avg(confidence), 3) AS avg_confidence, count(*) FILTER (WHERE access_count = 0) AS never_accessed FROM ({v.CHUNKS})")
@@ -76,8 +72,8 @@ def health_index(spark: SparkSession, d: str) -> DataFrame:
 
 @register("access_log_rollup", "SELECT event_id % 200 AS chunk_id, count(*) AS access_count, epoch_us(max(ts)::TIMESTAMP) // 1000 AS last_access_ms FROM events GROUP BY 1")
 def access_log_rollup(spark: SparkSession, d: str) -> DataFrame:
-    e = v.table(spark, d, "events")
-    return e.groupBy((F.col("event_id") % 200).alias("chunk_id")).agg(F.count("*").alias("access_count"), F.unix_millis(F.max("ts").cast("timestamp")).alias("last_access_ms"))
+    log = v.table(spark, d, "events").select((F.col("event_id") % 200).alias("chunk_id"), F.col("ts").cast("timestamp").alias("accessed_at"))
+    return maintenance.access_counts(log).select("chunk_id", "access_count", F.unix_millis("last_access").alias("last_access_ms"))
 
 
 # -- scalar functions --------------------------------------------------------------------------------
@@ -228,12 +224,13 @@ def chunk_filter(spark: SparkSession, d: str) -> DataFrame:
 def _block_notes(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a JSON block about them; every fourth has no other text, and half of those look like a profile."""
     t = v.table(spark, d, "documents")
-    body = F.to_json(F.struct(F.substring("text", 1, 1).alias("head"), F.array("lang", "source").alias("tags"), F.col("n_chars"), F.concat(F.lit("about "), F.col("lang")).alias("summary"), F.when(F.col("doc_id") % 8 == 0, F.col("doc_id")).alias("uid")))
+    body = F.to_json(F.struct(F.col("text").alias("topics"), F.array("lang", "source").alias("tags"), F.col("n_chars"), F.concat(F.lit("about "), F.col("lang")).alias("summary"), F.when(F.col("doc_id") % 8 == 0, F.col("doc_id")).alias("uid")))
     block = F.concat(F.lit("<!-- RAW_JSON_START -->\n"), body, F.lit("\n<!-- RAW_JSON_END -->"))
     return t.select("doc_id", F.concat(F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("A note that is long enough to stand: "), F.col("lang"), F.lit("\n\n"))), block).alias("text"))
 
 
 @register("raw_json_blocks", """SELECT doc_id, 'summary' AS json_key, 'summary: about ' || lang AS text FROM documents WHERE doc_id % 8 <> 0
+  UNION ALL SELECT doc_id, 'topics', 'topics: ' || text FROM documents WHERE doc_id % 8 <> 0
   UNION ALL SELECT doc_id, 'tags', 'tags: ' || lang || '; ' || source FROM documents WHERE doc_id % 8 <> 0
   UNION ALL SELECT doc_id, 'n_chars', 'n_chars: ' || n_chars FROM documents WHERE doc_id % 8 <> 0
   UNION ALL SELECT doc_id, NULL, 'A note that is long enough to stand: ' || lang FROM documents WHERE doc_id % 4 <> 0""")
@@ -257,23 +254,29 @@ def _shown_knn(df: DataFrame) -> DataFrame:
     return df.select("query_id", "id", F.col("rank").cast("long").alias("rank"), r6("distance").alias("distance"))
 
 
-@register("knn_topk", _KNN.format(dist=_KNN_D, queries=v.CENTROIDS, cond="true", k=20))
+def _others(found: DataFrame, k: int) -> DataFrame:
+    """The first k of each query without the query's own row."""
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    return found.where("id <> query_id").withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+
+
+@register("knn_topk", _KNN.format(dist=_KNN_D, queries=v.PROBES, cond="e.vec_id <> q.query_id", k=20))
 def knn_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _shown_knn(knn(v.vectors(spark, d), v.centroids(spark, d), 20))
+    return _shown_knn(_others(knn(v.vectors(spark, d), v.probes(spark, d), 21), 20))
 
 
-@register("knn_filtered", _KNN.format(dist=_KNN_D, queries=v.CENTROIDS, cond="e.label % 2 = 0", k=10))
+@register("knn_filtered", _KNN.format(dist=_KNN_D, queries=v.PROBES, cond="e.vec_id <> q.query_id AND e.label % 2 = 0", k=10))
 def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return _shown_knn(knn(v.vectors(spark, d).where("label % 2 = 0"), v.centroids(spark, d), 10))
+    return _shown_knn(_others(knn(v.vectors(spark, d).where("label % 2 = 0"), v.probes(spark, d), 11), 10))
 
 
 _QTERMS = rf"""SELECT query_id, term, count(*) AS weight FROM (SELECT query_id, lower(unnest(string_split_regex(trim(regexp_replace(text, '[^\p{{L}}\p{{N}}_\s\-]', ' ', 'g')), '\s+'))) AS term FROM ({v.QUESTIONS})) WHERE length(term) >= 3 GROUP BY 1, 2"""
 _BM25 = rf"""WITH d AS MATERIALIZED (SELECT doc_id AS id, lang, lower(text) AS t, lower(lang) AS p FROM documents),
 c AS MATERIALIZED (SELECT count(*)::DOUBLE AS n, avg(greatest(length(t) - 2, 0) + greatest(length(p) - 2, 0)) AS a FROM d),
 q AS MATERIALIZED ({_QTERMS}),
-t AS MATERIALIZED (SELECT DISTINCT term, length(term) AS k, len(list_filter(range(1, length(term)), lambda i: left(term, i) = right(term, i))) > 0 AS own FROM q),
-h AS MATERIALIZED (SELECT id, lang, term, greatest(length(t) - 2, 0) + greatest(length(p) - 2, 0) AS dl,
-    CASE WHEN own THEN len(list_filter(range(1, length(d.t) - k + 2), lambda i: substr(d.t, i, k) = term)) ELSE (length(d.t) - length(replace(d.t, term, ''))) // k END AS f FROM d JOIN t ON contains(d.t, term)),
+t AS MATERIALIZED (SELECT DISTINCT term, length(term) AS k FROM q),
+l AS MATERIALIZED (SELECT id, lang, greatest(length(t) - 2, 0) + greatest(length(p) - 2, 0) AS dl, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, mk))) AS place FROM d, (SELECT max(k) AS mk FROM t)),
+h AS MATERIALIZED (SELECT id, any_value(lang) AS lang, term, any_value(dl) AS dl, count(*) AS f FROM l JOIN t ON left(place, 3) = left(term, 3) AND starts_with(place, term) GROUP BY id, term),
 w AS MATERIALIZED (SELECT q.*, CASE WHEN ln((c.n - m.n + 0.5) / (m.n + 0.5)) <= 0 THEN 1e-6 ELSE ln((c.n - m.n + 0.5) / (m.n + 0.5)) END AS idf FROM q JOIN (SELECT term, count(*) AS n FROM h GROUP BY term) m USING (term), c),
 s AS MATERIALIZED (SELECT query_id, id, any_value(lang) AS lang, -sum(weight * idf * (f * 2.2::DOUBLE) / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / c.a))) AS score FROM h JOIN w USING (term), c GROUP BY query_id, id),
 b AS MATERIALIZED (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), id) - 1 AS rank FROM s __WHERE__)"""
@@ -302,7 +305,7 @@ def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     return _shown_bm25(fulltext.topn(_bm25(spark, d).join(keep, "id", "left_semi")))
 
 
-@register("bm25_postings", _SMALL_ORACLES["bm25_topk"])
+@register("bm25_postings", _ORACLES["bm25_topk"])
 def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
     c = _texts(spark, d)
     posts, lengths = fulltext.build_postings(c)
@@ -385,7 +388,21 @@ def dedup_decide(spark: SparkSession, d: str) -> DataFrame:
     return dedup.decide(v.mixed(spark, d), v.index(spark, d)).select("id", "existing_id", r6("similarity").alias("similarity"), "decision")
 
 
-@register("dedup_sequential")
+_SEQUENTIAL = f"""WITH RECURSIVE m AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ordinal) AS n FROM ({v.MIXED})),
+w(n, kept, id, met, similarity, decision) AS (
+  SELECT 0::BIGINT, (SELECT list({{'id': id, 'v': embedding, 's': source, 'c': confidence}} ORDER BY id) FROM ({v.INDEX})), NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::VARCHAR
+  UNION ALL
+  SELECT n, CASE decision WHEN 'insert' THEN list_append(kept, {{'id': id, 'v': embedding, 's': source, 'c': confidence}})
+      WHEN 'merge' THEN list_transform(kept, lambda e, i: CASE WHEN i = p THEN {{'id': e.id, 'v': embedding, 's': source, 'c': confidence}} ELSE e END) ELSE kept END,
+    id, CASE WHEN similarity >= 0.85 THEN old.id END, CASE WHEN similarity >= 0.85 THEN similarity END, decision
+  FROM (SELECT *, CASE WHEN similarity >= 0.92 THEN CASE WHEN source = 'user-memory' AND old.s <> 'user-memory' THEN 'skip' WHEN confidence >= old.c THEN 'merge' ELSE 'skip' END WHEN similarity >= 0.85 THEN 'skip' ELSE 'insert' END AS decision
+    FROM (SELECT *, list_cosine_similarity(old.v, embedding) AS similarity
+      FROM (SELECT *, kept[p] AS old FROM (SELECT *, list_position(far, list_min(far)) AS p
+        FROM (SELECT m.n, m.id, m.embedding, m.source, m.confidence, w.kept, list_transform(w.kept, lambda e: list_distance(e.v, m.embedding)) AS far FROM w JOIN m ON m.n = w.n + 1))))))
+SELECT id, decision, met AS existing_id, round(similarity, 6) AS similarity FROM w WHERE n > 0"""
+
+
+@register("dedup_sequential", _SEQUENTIAL)
 def dedup_sequential(spark: SparkSession, d: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     return dedup.decide_in_order(v.mixed(spark, d), v.index(spark, d)).withColumn("similarity", r6("similarity"))
@@ -393,7 +410,7 @@ def dedup_sequential(spark: SparkSession, d: str) -> DataFrame:
 
 @register("decision_counts", f"SELECT source_group, decision, count(*) AS n FROM (SELECT id % 4 AS source_group, decision FROM ({_ORACLES['dedup_decide']})) GROUP BY 1, 2")
 def decision_counts(spark: SparkSession, d: str) -> DataFrame:
-    return dedup_decide(spark, d).groupBy((F.col("id") % 4).alias("source_group"), "decision").agg(F.count("*").alias("n"))
+    return dedup.decision_counts(dedup_decide(spark, d), (F.col("id") % 4).alias("source_group"))
 
 
 # -- maintenance -------------------------------------------------------------------------------------
@@ -460,27 +477,211 @@ def incremental_scan(spark: SparkSession, d: str) -> DataFrame:
     return fresh.union(same).groupBy("status").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
-@register("merge_upsert", "SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'new ' || lang ELSE lang END AS text FROM documents WHERE doc_id % 5 <> 2 UNION ALL SELECT doc_id + 1000000000, 'added' FROM documents WHERE doc_id % 50 = 0")
+# -- the store ---------------------------------------------------------------------------------------
+def _store(spark: SparkSession, d: str) -> ChunkStore:
+    """A new store in the shared folder with all documents as chunks."""
+    store = ChunkStore(spark, fresh_folder(spark, "store"))
+    c = v.chunks(spark, d)
+    store.append(c.select(F.col("id").cast("string").alias("id"), "text", "ts", "project", "source", "confidence", "length"))
+    return store
+
+
+def _stored(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("id").cast("long").alias("id"), "text", "project", r6("confidence").alias("confidence"))
+
+
+def _keyed(spark: SparkSession, d: str, where: str, text: str, add: int = 0) -> DataFrame:
+    """Changed rows of the documents that a condition picks."""
+    return v.table(spark, d, "documents").where(where).select((F.col("doc_id") + add).cast("string").alias("id"), F.expr(text).alias("text"), F.col("lang").alias("project"), F.lit(0.25).alias("confidence"))
+
+
+_ROWS = f"SELECT id, text, project, round(confidence, 6) AS confidence FROM ({v.CHUNKS})"
+
+
+@register("store_insert", f"SELECT * FROM ({_ROWS}) WHERE id % 3 <> 0 UNION ALL SELECT doc_id, 'again ' || text, lang, 0.25 FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id + 1000000000, text, lang, 0.25 FROM documents WHERE doc_id % 2 = 0")
+def store_insert(spark: SparkSession, d: str) -> DataFrame:
+    """New rows are added, and rows whose id is there take its place."""
+    store = _store(spark, d)
+    store.append(_keyed(spark, d, "doc_id % 3 = 0", "'again ' || text"))
+    store.append(_keyed(spark, d, "doc_id % 2 = 0", "text", 1_000_000_000))
+    return _stored(store.chunks())
+
+
+@register("store_update", f"SELECT * FROM ({_ROWS}) WHERE id % 4 <> 0 UNION ALL SELECT doc_id, 'new ' || text, lang, 0.25 FROM documents WHERE doc_id % 4 = 0")
+def store_update(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that are there get other values; unknown ids are left out."""
+    store = _store(spark, d)
+    store.update(_keyed(spark, d, "doc_id % 4 = 0", "'new ' || text").union(_keyed(spark, d, "doc_id % 2 = 0", "text", 1_000_000_000)))
+    return _stored(store.chunks())
+
+
+@register("store_delete", f"SELECT * FROM ({_ROWS}) WHERE id % 5 <> 2")
+def store_delete(spark: SparkSession, d: str) -> DataFrame:
+    store = _store(spark, d)
+    store.delete(v.table(spark, d, "documents").where("doc_id % 5 = 2").selectExpr("cast(doc_id AS string) AS id").union(spark.createDataFrame([("absent",)], "id string")))
+    return _stored(store.chunks())
+
+
+@register("merge_upsert", "SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'new ' || text ELSE text END AS text FROM documents WHERE doc_id % 5 <> 2 UNION ALL SELECT doc_id + 1000000000, text FROM documents WHERE doc_id % 50 = 0")
 def merge_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Versions of a table: rows replaced by key, rows added, rows deleted."""
-    base = v.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("text"))
-    update = base.where("id % 4 = 0").select("id", F.concat(F.lit("new "), "text").alias("text"))
-    insert = base.where("id % 50 = 0").select((F.col("id") + 1_000_000_000).alias("id"), F.lit("added").alias("text"))
-    merged = base.join(update.select("id"), "id", "left_anti").unionByName(update)
-    return merged.join(base.where("id % 5 = 2").select("id"), "id", "left_anti").unionByName(insert)
+    """Several changes on top of each other, more than are kept apart, so that a whole version is written between them."""
+    store = _store(spark, d)
+    store.update(_keyed(spark, d, "doc_id % 4 = 0", "'old ' || text"))
+    for k in range(4):
+        store.update(_keyed(spark, d, f"doc_id % 16 = {4 * k}", "'new ' || text"))
+    store.delete(_keyed(spark, d, "doc_id % 5 = 2", "text"))
+    store.append(_keyed(spark, d, "doc_id % 50 = 0", "'first ' || text", 1_000_000_000))
+    store.append(_keyed(spark, d, "doc_id % 50 = 0", "text", 1_000_000_000))
+    store.delete(["none"])
+    return store.chunks().select(F.col("id").cast("long").alias("id"), "text")
+
+
+@register("store_access", f"SELECT id, count(e) AS access_count, epoch_us(max(t)) // 1000 AS last_access_ms FROM (SELECT d.doc_id AS id, e.event_id AS e, e.ts::TIMESTAMP AS t FROM documents d LEFT JOIN events e ON e.event_id % 200 = d.doc_id) GROUP BY id")
+def store_access(spark: SparkSession, d: str) -> DataFrame:
+    """Accesses by lists of ids go to a log, and chunks are read with their counts."""
+    store = _store(spark, d)
+    hits = v.table(spark, d, "events").select((F.col("event_id") % 200).cast("string").alias("id"), F.col("ts").cast("timestamp").alias("at"))
+    store.record_access(hits, F.col("at"))
+    return store.with_access().select(F.col("id").cast("long").alias("id"), F.col("access_count").cast("long").alias("access_count"), F.unix_millis("last_access").alias("last_access_ms"))
+
+
+@register("store_lookup", f"SELECT id, text, project, round(confidence, 6) AS confidence FROM ({v.CHUNKS}) WHERE id IN (SELECT item_id FROM benchmark)")
+def store_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks by their ids."""
+    return _stored(_store(spark, d).lookup(v.table(spark, d, "benchmark").selectExpr("cast(item_id AS string) AS id")))
+
+
+@register("store_by_project", f"SELECT * FROM ({_ROWS}) WHERE project = 'de'")
+def store_by_project(spark: SparkSession, d: str) -> DataFrame:
+    return _stored(_store(spark, d).by_project("de"))
+
+
+@register("store_relabel", f"SELECT id, CASE WHEN id % 2 = 0 THEN source ELSE new_source END AS source FROM ({v.CHUNKS}) JOIN (SELECT doc_id, CASE WHEN {' OR '.join(f"contains(text, '{w}')" for w in v.DECISIONS)} THEN 'user-memory' WHEN contains(text, 'heit') THEN 'test-result' ELSE 'user-memory' END AS new_source FROM documents) ON doc_id = id")
+def store_relabel(spark: SparkSession, d: str) -> DataFrame:
+    store = _store(spark, d)
+    store.update(store.chunks().withColumn("source", F.when(F.col("id").cast("long") % 2 == 1, "unknown").otherwise(F.col("source"))))
+    store.relabel_unknown(decisions=v.DECISIONS, tests=("heit",))
+    return store.chunks().select(F.col("id").cast("long").alias("id"), "source")
+
+
+# -- files -------------------------------------------------------------------------------------------
+def _note_folder(spark: SparkSession, d: str) -> str:
+    """A file for each nation, in a folder of its own, and files of other names."""
+    folder = fresh_folder(spark, "notes")
+    v.table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("A note on "), "n_name").alias("value")).write.partitionBy("n_nationkey").text(f"{folder}/notes")
+    v.table(spark, d, "region").write.csv(f"{folder}/others")
+    return folder
+
+
+def _nation(path: str = "path") -> Column:
+    return F.regexp_extract(path, r"n_nationkey=(\d+)", 1).cast("int")
+
+
+@register("dir_scan", "SELECT n_nationkey, length(n_name) + 11 AS size, false AS ignored FROM nation")
+def dir_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Files in any folder below whose names fit; the folder is named twice, and one that does not exist."""
+    folder = _note_folder(spark, d)
+    found = files.scan(spark, [folder, f"{folder}/notes", f"{folder}/none"], ("part-*.txt",), ("draft-*",), with_content=False)
+    return found.select(_nation().alias("n_nationkey"), "size", "ignored")
+
+
+@register("dir_scan_ignored", "SELECT count(*) AS files, count(*) AS ignored FROM nation")
+def dir_scan_ignored(spark: SparkSession, d: str) -> DataFrame:
+    found = files.scan(spark, [_note_folder(spark, d)], ("*.txt",), ("part-0*",), with_content=False)
+    return found.agg(F.count("*").alias("files"), F.count_if("ignored").alias("ignored"))
+
+
+@register("file_decode", "SELECT n_nationkey, 'A note on ' || n_name || chr(10) AS text FROM nation")
+def file_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Listed files are opened by their paths and decoded."""
+    found = files.scan(spark, [_note_folder(spark, d)], ("part-*.txt",), (), with_content=False)
+    return files.decode(files.read(spark, [r["path"] for r in found.select("path").collect()])).select(_nation().alias("n_nationkey"), "text")
+
+
+@register("scan_state", "SELECT doc_id, length(text) AS size FROM documents WHERE doc_id % 6 <> 0")
+def scan_state(spark: SparkSession, d: str) -> DataFrame:
+    """The state after a scan has the files that are there and are not ignored."""
+    t = v.table(spark, d, "documents")
+    found = t.select("doc_id", F.concat(F.lit("/n/"), F.col("doc_id").cast("string")).alias("path"), F.timestamp_seconds("doc_id").alias("mtime"), F.length("text").cast("long").alias("size"), (F.col("doc_id") % 6 == 0).alias("ignored"))
+    return files.new_state(found).select(F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias("doc_id"), "size")
+
+
+@register("gold_set", "SELECT substr(sha256(text), 1, 16) AS query_id, text AS query, CASE WHEN item_id % 3 = 0 THEN '' ELSE 'd' || item_id || ',x' END AS relevant FROM benchmark")
+def gold_set(spark: SparkSession, d: str) -> DataFrame:
+    """A file of JSON lines, some without relevant ids."""
+    folder = fresh_folder(spark, "gold")
+    ids = F.when(F.col("item_id") % 3 != 0, F.array(F.concat(F.lit("d"), F.col("item_id").cast("string")), F.lit("x")))
+    v.table(spark, d, "benchmark").select(F.to_json(F.struct(F.col("text").alias("query"), ids.alias("relevant_ids"))).alias("value")).write.text(folder)
+    return files.gold_set(spark, folder).select("query_id", "query", F.array_join("relevant_ids", ",").alias("relevant"))
+
+
+@register("inline_add", f"SELECT md5(text) AS hash, length(text) AS chars, project, source FROM (SELECT unnest(l) AS text, 'fixed' AS project, 'unknown' AS source FROM (SELECT list_filter(flatten(list(l ORDER BY para)), lambda x: length(x) >= 8 OR regexp_matches(lower(x), 'rag|ann|ivf')) AS l FROM ({_PIECES.replace(v.NOTES, 'SELECT doc_id, text FROM documents')}) GROUP BY doc_id))")
+def inline_add(spark: SparkSession, d: str) -> DataFrame:
+    """Notes through the facade: cut, described, embedded, judged and written."""
+    memory = Memory(spark, fresh_folder(spark, "memory"))
+    memory.add_notes(v.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"), "fixed")
+    return memory.store.chunks().select(F.md5(F.col("text").cast("binary")).alias("hash"), F.col("length").cast("long").alias("chars"), "project", F.when(F.col("text").startswith("#"), "unknown").otherwise(F.col("source")).alias("source"))
+
+
+@register("chunk_metadata", f"""SELECT doc_id, i, length(text) AS length, round(least(0.5::DOUBLE + CASE WHEN length(text) > 50 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN {_DEC} THEN 0.2::DOUBLE ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(text, '[A-Z][a-z]+(?:[A-Z][a-z]+)+') THEN 0.1::DOUBLE ELSE 0 END, 1), 6) AS confidence,
+    array_to_string(list_filter([{', '.join(repr(e) for e in sorted(v.ENTITIES))}], lambda e: contains(lower(text), e)), ',') AS entities, CASE WHEN starts_with(text, '#') THEN 'user-memory' ELSE 'unknown' END AS source
+  FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS text FROM (SELECT doc_id, list_filter(flatten(list(l ORDER BY para)), lambda x: length(x) >= 8 OR regexp_matches(lower(x), 'rag|ann|ivf')) AS l FROM ({_PIECES}) GROUP BY doc_id))""")
+def chunk_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Each chunk with everything that is read off its text."""
+    c = chunking.metadata(chunking.chunk_notes(v.notes(spark, d), "doc_id", with_blocks=False), entity_terms=v.ENTITIES, decision_words=v.DECISIONS)
+    return c.select("doc_id", F.col("ordinal").cast("long").alias("i"), F.col("length").cast("long").alias("length"), r6("confidence").alias("confidence"), F.array_join("entities", ",").alias("entities"), "source")
+
+
+# -- models ------------------------------------------------------------------------------------------
+def _toy_model():
+    return lambda texts: [[len(t), t.count("e"), 1.0] for t in texts]
+
+
+@register("model_embed", "SELECT doc_id, round(a / sqrt(a * a + b * b + 1), 6) AS x, round(b / sqrt(a * a + b * b + 1), 6) AS y FROM (SELECT doc_id, length(text)::DOUBLE AS a, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS b FROM documents)")
+def model_embed(spark: SparkSession, d: str) -> DataFrame:
+    """A model that each worker loads once; its vectors are brought to unit length."""
+    e = v.table(spark, d, "documents").select("doc_id", ModelEmbedder(_toy_model).embed(F.col("text")).alias("e"))
+    return e.select("doc_id", r6(F.get("e", F.lit(0))).alias("x"), r6(F.get("e", F.lit(1))).alias("y"))
+
+
+@register("rewrite_queries", f"SELECT item_id, rewritten, length(rewritten) AS chars FROM ({_ORACLES['mock_hyde']})")
+def rewrite_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Queries of a request, rewritten one by one without a language model."""
+    rewriter = Rewriter()
+    out = spark.createDataFrame([(i, rewriter.generate(q)) for i, q in v.question_list(spark, d)], "item_id long, rewritten string")
+    return out.withColumn("chars", F.length("rewritten").cast("long"))
+
+
+@register("sigmoid_scores", "SELECT event_id, round(1 / (1 + exp(-(value - 50) / 10)), 6) AS p FROM events")
+def sigmoid_scores(spark: SparkSession, d: str) -> DataFrame:
+    return v.table(spark, d, "events").select("event_id", r6(scalar.sigmoid((F.col("value") - 50) / 10)).alias("p"))
+
+
+_NO_PROJECT = f"SELECT * REPLACE (CASE WHEN id % 3 < 2 OR project = '' THEN '{vocab.NO_PROJECT}' ELSE project END AS project) FROM ({v.CHUNKS})"
+
+
+@register("distill_no_project", f"SELECT project, count(*) AS total, count(*) FILTER (WHERE rank <= 10) AS kept_count, count(*) FILTER (WHERE rank > 10 AND score < 0.3) AS purge_count, round(sum(score) FILTER (WHERE rank <= 10), 6) AS kept_score FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY round(score, 12) DESC, id) AS rank FROM (SELECT *, {_SCORE} AS score FROM ({_NO_PROJECT}))) GROUP BY project")
+def distill_no_project(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks without a project, or with an empty one, are a project of their own."""
+    c = v.chunks(spark, d).withColumn("project", F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, "").otherwise(F.col("project")))
+    return maintenance.distill_report(maintenance.distill(c, v.now(), purge_below=0.3)).withColumn("kept_score", r6("kept_score"))
 
 
 # -- evaluation --------------------------------------------------------------------------------------
 
 
-@register("ir_metrics", f"""WITH r AS ({_ORACLES['knn_topk']}), g AS (SELECT label::BIGINT AS query_id, count(*) AS n FROM embeddings GROUP BY label),
-h AS (SELECT r.query_id, r.rank FROM r JOIN embeddings e ON e.vec_id = r.id AND e.label = r.query_id)
-SELECT g.query_id, round(coalesce(count(rank) FILTER (WHERE rank < 1), 0) / n::DOUBLE, 6) AS recall_1, round(count(rank) FILTER (WHERE rank < 5) / n::DOUBLE, 6) AS recall_5, round(count(rank) FILTER (WHERE rank < 10) / n::DOUBLE, 6) AS recall_10,
-  round(coalesce(1 / (min(rank) + 1)::DOUBLE, 0), 6) AS mrr, round(coalesce(sum(CASE WHEN rank < 10 THEN 1 / log2(rank + 2) END), 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg_10
+@register("ir_metrics", f"""WITH r AS ({_ORACLES['knn_topk']}), g AS (SELECT q.vec_id AS query_id, count(e.vec_id) AS n FROM embeddings q LEFT JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id),
+h AS (SELECT r.query_id, r.rank FROM r JOIN embeddings q ON q.vec_id = r.query_id JOIN embeddings e ON e.vec_id = r.id AND e.label = q.label)
+SELECT g.query_id, round(CASE WHEN n = 0 THEN 0 ELSE count(rank) FILTER (WHERE rank < 1) / n::DOUBLE END, 6) AS recall_1, round(CASE WHEN n = 0 THEN 0 ELSE count(rank) FILTER (WHERE rank < 5) / n::DOUBLE END, 6) AS recall_5, round(CASE WHEN n = 0 THEN 0 ELSE count(rank) FILTER (WHERE rank < 10) / n::DOUBLE END, 6) AS recall_10,
+  round(coalesce(1 / (min(rank) + 1)::DOUBLE, 0), 6) AS mrr, round(CASE WHEN n = 0 THEN 0 ELSE coalesce(sum(CASE WHEN rank < 10 THEN 1 / log2(rank + 2) END), 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))) END, 6) AS ndcg_10
 FROM g LEFT JOIN h USING (query_id) GROUP BY g.query_id, n""")
 def ir_metrics(spark: SparkSession, d: str) -> DataFrame:
-    gold = v.table(spark, d, "embeddings").groupBy(F.col("label").cast("long").alias("query_id")).agg(F.collect_list(F.col("vec_id")).alias("relevant_ids"))
-    m = evaluation.per_query(knn(v.vectors(spark, d), v.centroids(spark, d), 20), gold)
+    """Rows of the same label are the relevant ones of a row."""
+    e = v.table(spark, d, "embeddings").select("vec_id", "label")
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    gold = asked.join(e, "label").groupBy("query_id").agg(F.collect_list(F.when(F.col("vec_id") != F.col("query_id"), F.col("vec_id"))).alias("relevant_ids"))
+    m = evaluation.per_query(_others(knn(v.vectors(spark, d), v.probes(spark, d), 21), 20), gold)
     return m.select("query_id", *[r6(c).alias(c) for c in m.columns if c != "query_id"])
 
 
@@ -492,11 +693,7 @@ def ir_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @register("latency_pctl", "SELECT event_type, l[len(l) // 2 + 1] AS p50, l[floor(len(l) * 0.95)::INTEGER + 1] AS p95 FROM (SELECT event_type, list(value ORDER BY value) AS l FROM events GROUP BY event_type)")
 def latency_pctl(spark: SparkSession, d: str) -> DataFrame:
-    """By rank and not by collecting a group: the values are numbered in order, and two of them are picked."""
-    w = Window.partitionBy("event_type")
-    e = v.table(spark, d, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("r"), F.count("*").over(w).alias("n"))
-    pick = lambda p: F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * F.lit(p)) + 1, F.col("n")), F.col("value")))
-    return e.groupBy("event_type").agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"))
+    return evaluation.percentiles(v.table(spark, d, "events"), "value", ("event_type",))
 
 
 @register("unknown_listing", f"SELECT id, access_count, length FROM ({v.CHUNKS}) WHERE id % 4 = 1")

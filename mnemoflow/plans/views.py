@@ -10,9 +10,6 @@ NOW = "2024-02-01 00:00:00"
 ENTITIES = ("able", "heit", "ment", "ring", "tion")
 DECISIONS = ("tion ", "keit ", "ment ")
 GENERIC = ("That", "This", "With")
-#: Of the SQL alone.
-WORDS_OF_A_QUERY = 4
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,7 +63,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-QUESTIONS = f"SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:{WORDS_OF_A_QUERY}], ' ') AS text FROM benchmark"
+QUESTIONS = "SELECT item_id AS query_id, text FROM benchmark"
 
 
 def question_list(spark: SparkSession, sf_dir: str) -> list[tuple[int, str]]:
@@ -78,15 +75,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
 
 
-def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id (a label) and the mean vector of its rows, rounded so that the order of summation does not show."""
-    e = table(spark, sf_dir, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
-    m = e.groupBy("label", "i").agg(F.round(F.avg("x"), 9).alias("x")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
-    return m.select(F.col("label").cast("long").alias("query_id"), F.transform("v", lambda s: s["x"]).alias("vector"))
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id and vector: every row whose id is divisible by 50."""
+    return vectors(spark, sf_dir).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-CENTROIDS = """SELECT label::BIGINT AS query_id, list(x ORDER BY i) AS vector FROM (
-    SELECT label, i, round(avg(x), 9) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY label, i) GROUP BY label"""
+PROBES = "SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS vector FROM embeddings WHERE vec_id % 50 = 0"
 
 #: The similarity batch: vectors near to, in the middle of and far from the index, so that every decision occurs.
 MIXED = """SELECT vec_id AS id, vec_id AS ordinal, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS embedding,

@@ -45,7 +45,7 @@ def test_scan_is_incremental(spark, notes, tmp_path):
     assert dry["scanned"] == 3 and len(dry["files"]) == 3 and m.stats()["total"] == 0
     first = m.scan([f"file://{notes}", f"file://{tmp_path}/none"])
     assert first["inserted"] == first["chunks_total"] == 4 and first["unchanged"] == 0
-    assert m.scan([f"file://{notes}"])["unchanged"] == 3
+    assert first["search_width"] == 0 and m.scan([f"file://{notes}"])["unchanged"] == 3
     (notes / "sub" / "2024-01-05.md").write_text("a new and longer line of the log about something else\n")
     (notes / "gbk_memory.md").unlink()
     again = m.scan([f"file://{notes}"], project="forced")
@@ -54,6 +54,14 @@ def test_scan_is_incremental(spark, notes, tmp_path):
     assert "天狼星" in m.stats()["by_project"]
 
 
+def test_files_of_any_name_are_read(spark, tmp_path):
+    for n in ("a b_memory.md", "c [1]_memory.md", "d+e%20{x},y_memory.md"):
+        (tmp_path / n).write_text("note " + n)
+    found = files.scan(spark, [f"file://{tmp_path}"], with_content=False)
+    got = {r["text"] for r in files.decode(files.read(spark, [r["path"] for r in found.collect()])).collect()}
+    assert got == {"note a b_memory.md", "note c [1]_memory.md", "note d+e%20{x},y_memory.md"}
+
+
 def test_name_patterns(spark, tmp_path):
     for n in ("a_memory.md", "MEMORY.md", "2024-01-02 x.md", "24-01-02.md", "memory.md", "x~y_memory.md", "b.tmp.1_memory.md"):
         (tmp_path / n).write_text("x")
@@ -71,9 +79,13 @@ def test_search_counts_accesses(spark, notes, tmp_path):
     assert {h["project"] for h in m.search("deploy", 3, project="ProjectOrion")} == {"ProjectOrion"}
     assert m.search("sqlite RAG", 1, rerank=True, use_hyde=True)[0]["rerank_score"] is not None
     assert len(m.batch_search(["rag", "deploy", "zzz"], 2)) == 3
-    assert m.health()["overall"] == "green" and m.store.rebuild_postings() > 50
+    plain = [[(h["id"], h["bm25_rank"]) for h in hits] for hits in m.batch_search(["rag", "sqlite deploy"], 5, record=False)]
+    assert m.health()["overall"] == "green" and m.store.rebuild_postings() > 50 and m.store.has_postings()
+    assert [[(h["id"], h["bm25_rank"]) for h in hits] for hits in m.batch_search(["rag", "sqlite deploy"], 5, record=False)] == plain
+    assert len(m.ask("sqlite RAG", 99)) <= 20
     gold = spark.createDataFrame([("q", "sqlite RAG", [first[0]["id"]])], "query_id string, query string, relevant_ids array<string>")
-    assert m.evaluate(gold)["recall_1"] == 1.0
+    figures = m.evaluate(gold)
+    assert figures["recall_1"] == 1.0 and 0 < figures["latency_p50_ms"] <= figures["latency_p95_ms"]
     done = m.run_once([f"file://{notes}"], str(tmp_path / "digest.md"))
     assert "distill" in done and "distill" not in m.run_once([f"file://{notes}"])
     text = (tmp_path / "digest.md").read_text()
@@ -101,9 +113,14 @@ def test_store(spark, tmp_path):
     s.update(spark.createDataFrame([("a", "x3", "q"), ("zz", "no", "q")], rows.schema))
     assert s.get("a")["text"] == "x3" and s.get("a")["access_count"] == 2 and s.get("zz") is None
     s.delete(["b", "absent"])
-    assert s.chunks().count() == 1 and s.by_project("q").count() == 1 and len(s.table.versions()) == 4
+    assert s.chunks().count() == 1 and s.by_project("q").count() == 1 and (s.table.versions(), s.table.changes()) == ([], [0, 1, 2, 3])
+    for k in range(6):  # small writes cost their own rows, and are gathered into a whole version now and then
+        s.append(spark.createDataFrame([("a", f"x{k}", "q")], rows.schema))
+    assert s.table.versions() == [8] and s.table.changes() == [9, 10] and s.get("a")["text"] == "x5" and s.chunks().count() == 1
+    s.replace(s.chunks())
     s.table.retire(1)
-    assert len(s.table.versions()) == 1 and s.chunks().count() == 1
+    assert s.table.versions() == [11] and not s.table.changes() and s.chunks().count() == 1
+    assert not s.has_postings() and s.rebuild_postings() == 0 and s.has_postings()  # no text of three characters
     s.append(spark.createDataFrame([("u", "2024-01-02 决定 x", "unknown")], "id string, text string, source string"))
     s.relabel_unknown()
     assert s.get("u")["source"] == "workspace-log"
@@ -149,6 +166,26 @@ def test_command_line(spark, notes, tmp_path, capsys):
     assert cli.main(["--index-dir", idx, "health"]) == 0
 
 
+def test_every_command(spark, notes, tmp_path, capsys):
+    def run(*args):
+        capsys.readouterr()
+        assert cli.main(["--index-dir", f"file://{tmp_path}/idx", *args]) == 0
+        out = capsys.readouterr().out
+        return json.loads(out) if out.startswith(("{", "[")) else out
+
+    assert run("ingest", f"file://{notes}/MEMORY.md")["written"] == 2
+    assert run("scan", f"file://{notes}", "--dry-run")["scanned"] == 3
+    assert run("stats")["total"] == 2
+    assert run("rebuild")["postings"] > 0
+    assert run("distill", "--dry-run")["summary"]["total_chunks"] == 2
+    assert run("inject", str(tmp_path / "d.md"))["ok"] and (tmp_path / "d.md").exists()
+    assert run("reclassify")["total"] == 2
+    assert run("dedup-noise", "no-such-project")["kept"] == 0 and run("stats")["total"] == 2
+    (tmp_path / "gold.jsonl").write_text('{"query": "sqlite RAG", "relevant_ids": []}\n')
+    assert "latency_p95_ms" in run("eval", f"file://{tmp_path}/gold.jsonl")
+    assert run("oneshot", f"file://{notes}", "--digest", str(tmp_path / "e.md"))["scan"]["scanned"] == 3
+
+
 def test_stream(spark, notes, tmp_path):
     m = Memory(spark, f"file://{tmp_path}/idx")
     watch(m, f"file://{notes}", f"file://{tmp_path}/ck", every=None).awaitTermination()

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from mnemoflow.operators import chunking, dedup, evaluation, fulltext, maintenance, retrieval
+from mnemoflow.operators import chunking, dedup, evaluation, fulltext, maintenance, retrieval, vector
 from mnemoflow.operators.vector import knn
 from mnemoflow.sources.workspace import ensure_checkpoint_dir
 
@@ -105,7 +105,7 @@ def test_bm25_is_the_formula(spark):
     assert fulltext.bm25(df.where("false"), queries).count() == 0
 
 
-def test_knn(spark):
+def test_knn(spark, monkeypatch):
     rng = np.random.default_rng(0)
     v, q = rng.normal(size=(500, 8)), rng.normal(size=(3, 8))
     v[77] = v[33]
@@ -113,6 +113,10 @@ def test_knn(spark):
     got = knn(df, spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, vector array<double>"), 7).orderBy("query_id", "rank").collect()
     want = [(k, i) for k, x in enumerate(q) for i in sorted(range(500), key=lambda i: (((v[i] - x) ** 2).sum(), i))[:7]]
     assert [(r["query_id"], r["id"]) for r in got] == want
+    monkeypatch.setattr(vector, "BATCH", 2)  # more queries than are sent to all tasks: a grid of blocks
+    monkeypatch.setattr(vector, "BLOCK", 90)
+    grid = knn(df, spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, vector array<double>"), 7).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["id"]) for r in grid] == want
     assert knn(df.where("id < 2"), spark.createDataFrame([(0, q[0].tolist())], "query_id long, vector array<double>"), 5).count() == 2
 
 
@@ -163,24 +167,55 @@ def test_decision_table(spark, new, old, nc, oc, want):
     assert {r["decision"] for r in dedup.decide(batch, index.where("false")).collect()} == {"insert"}
 
 
-def test_decisions_in_order_are_those_of_one_writer(spark):
+LEVEL = {"user-memory": "summary"}
+
+
+def one_writer(index, batch):
+    """A plain sequential writer over lists: {id: (decision, existing_id)}."""
+    rows = [dict(id=i, v=v, source=s, conf=c) for i, v, s, c in index]
+    out = {}
+    for i, _, v, source, conf in sorted(batch, key=lambda r: r[1]):
+        best = min(rows, key=lambda r: (math.dist(r["v"], v), r["id"]), default=None)
+        cos = sum(x * y for x, y in zip(best["v"], v, strict=True)) / math.hypot(*best["v"]) / math.hypot(*v) if best else -1
+        new = dict(id=i, v=v, source=source, conf=conf)
+        if cos < 0.85:
+            rows.append(new)
+            out[i] = ("insert", None)
+        elif cos < 0.92 or conf < best["conf"] or LEVEL.get(source) == "summary" and LEVEL.get(best["source"]) != "summary":
+            out[i] = ("skip", best["id"])
+        else:
+            best.update(new | {"id": best["id"]})
+            out[i] = ("merge", best["id"])
+    return out
+
+
+@pytest.mark.parametrize("seed,grid", [(0, False), (1, False), (2, True), (3, True)])
+def test_decisions_in_order_are_those_of_one_writer(spark, monkeypatch, seed, grid):
     ensure_checkpoint_dir(spark)
-    for seed in range(4):
-        rng = np.random.default_rng(seed)
-        centres = rng.normal(size=(6, 5))
-        unit = lambda x: (x / np.linalg.norm(x)).tolist()
-        row = lambda k: unit(centres[rng.integers(6)] + rng.normal(size=5) * rng.choice([0.05, 0.3]))
-        src = lambda: str(rng.choice(["user-memory", "workspace-log", "other"]))
-        index = [(f"i{k}", row(k), src(), float(rng.integers(10)) / 10) for k in range(8)]
-        batch = [(f"b{k:02d}", k, row(k), src(), float(rng.integers(10)) / 10) for k in range(25)]
-        got = dedup.decide_in_order(spark.createDataFrame(batch, "id string, ordinal long, embedding array<double>, source string, confidence double"), spark.createDataFrame(index, "id string, embedding array<double>, source string, confidence double"), blocks=3)
-        whole = pd.DataFrame([(i, "n" + i, v, s, c, False, 0) for i, v, s, c in index] + [(i, "n" + i, v, s, c, True, o) for i, o, v, s, c in batch], columns=["id", "node", "v", "source", "confidence", "in_batch", "ordinal"])
-        want = dedup.fold(whole, 0.92, 0.85)
-        have = {r["id"]: (r["decision"], r["existing_id"]) for r in got.collect()}
-        assert have == {r.id: (r.decision, r.existing_id) for r in want.itertuples()}
+    if grid:
+        monkeypatch.setattr(vector, "BATCH", 9)
+        monkeypatch.setattr(vector, "BLOCK", 7)
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, 5))
+    unit = lambda x: (x / np.linalg.norm(x)).tolist()
+    row = lambda: unit(centres[rng.integers(6)] + rng.normal(size=5) * rng.choice([0.05, 0.3]))
+    src = lambda: str(rng.choice(["user-memory", "workspace-log", "other"]))
+    index = [(f"i{k}", row(), src(), float(rng.integers(10)) / 10) for k in range(8)]
+    batch = [(f"b{k:02d}", k, row(), src(), float(rng.integers(10)) / 10) for k in range(25)]
+    df = spark.createDataFrame(batch, "id string, ordinal long, embedding array<double>, source string, confidence double").repartition(3)
+    got = dedup.decide_in_order(df, spark.createDataFrame(index, "id string, embedding array<double>, source string, confidence double"))
+    have = {r["id"]: (r["decision"], r["existing_id"]) for r in got.collect()}
+    assert have == one_writer(index, batch)
     assert {d for d, _ in have.values()} >= {"insert", "skip"}
 
 
+def test_pairs_of_the_index_are_not_compared(spark):
+    rows = lambda *names: spark.createDataFrame([(n, [1.0, 0.0]) for n in names], "node string, v array<double>")
+    got = sorted(tuple(r) for r in dedup.similar_pairs(rows("b:1", "b:2"), rows("i:1", "i:2"), 0.9).collect())
+    assert got == [("b:1", "b:2"), ("b:1", "i:1"), ("b:1", "i:2"), ("b:2", "i:1"), ("b:2", "i:2")]
+    assert dedup.similar_pairs(rows("b:1").where("false"), rows("i:1"), 0.9).count() == 0
+
+
 def test_search_width():
     assert [dedup.search_width(n) for n in (0, 10, 60, 1000, 1001)] == [0, 10, 50, 50, 25]
 
@@ -256,3 +291,19 @@ def test_metrics(spark):
     assert s["queries"] == 3 and s["recall_10"] == pytest.approx(1 / 3) and "| recall_10 | 0.3333 |" in evaluation.report(s)
     t = spark.createDataFrame([(float(x),) for x in (4, 1, 3, 2)], "ms double")
     assert tuple(evaluation.latency(t, "ms").first()) == (3.0, 4.0)
+    many = [(g, float(x)) for g, xs in (("a", [1] * 50 + [2] * 3 + [9]), ("b", [7]), ("c", range(40, 0, -1))) for x in xs] + [("d", None)]
+    got = {r["g"]: (r["p50"], r["p95"]) for r in evaluation.percentiles(spark.createDataFrame(many, "g string, x double"), "x", ("g",)).collect()}
+    assert got == {g: tuple(sorted(xs)[min(len(xs) - 1, int(len(xs) * p))] for p in (0.5, 0.95)) for g, xs in (("a", [1.0] * 50 + [2.0] * 3 + [9.0]), ("b", [7.0]), ("c", [float(x) for x in range(1, 41)]))}
+
+
+def test_scores_of_a_model_are_kept_and_batched():
+    calls = []
+
+    def load():
+        return lambda pairs: calls.append(pairs) or [len(d) for _, d in pairs]
+
+    s = retrieval.ModelScorer(load, batch=2)
+    assert s.score("q", ["a", "bb", "ccc", "a"]) == [1, 2, 3, 1] and [len(c) for c in calls] == [2, 1]
+    assert s.score("q", ["bb", "dddd"]) == [2, 4] and calls[2:] == [[("q", "dddd")]]
+    assert retrieval.ModelScorer(load, ttl=-1).score("q", ["a"]) == [1]
+    assert isinstance(retrieval.scorer_of({"reranker_model": "overlap", "device": "cpu"}), retrieval.OverlapScorer)
