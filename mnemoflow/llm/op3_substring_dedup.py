@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoflow.llm.textkit import buffers, column_words, rolling
+from mnemoflow.llm.scratch import small_batches
+from mnemoflow.llm.textkit import buffers, column_words, give_back, rolling
 
 #: Bytes of text in a block, and of packed hashes in a bucket, on average.
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 24 << 20
@@ -60,6 +61,7 @@ def _bucket(one: np.ndarray, buckets: int) -> np.ndarray:
 
 def _hash_block(width: int, buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        give_back()
         one, two, _, _ = _windows(table["text"], width)
         order, new, number = _distinct(one, two)
         a, b = one[order][new], two[order][new]
@@ -100,6 +102,7 @@ def _count_bucket(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 def _cut_block(width: int, buckets: int, keep_text: bool):
     def run(docs: pa.Table, verdicts: pa.Table) -> pa.Table:
+        give_back()
         one, two, row, at = _windows(docs["text"], width)
         order, new, number = _distinct(one, two)
         a = one[order][new]
@@ -146,6 +149,7 @@ def substring_dedup(docs: DataFrame, width: int = 35, keep_text: bool = True) ->
     repeated doc_id are documents like others, so a text of enough words that comes twice is
     removed in both. An empty table gives no rows. A text of fewer words than ``width`` stays whole.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks, buckets = max(1, math.ceil(size / BLOCK_BYTES)), max(1, math.ceil(size * 1.8 / BUCKET_BYTES))

@@ -22,7 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemoflow.llm.textkit import Words, column_words
+from mnemoflow.llm.scratch import small_batches
+from mnemoflow.llm.textkit import Words, column_words, tidied
 
 #: Labelled rows of the fit at most. Rounds; documents a view hands over in a round; how sure it must be.
 LABELLED, ROUNDS, HANDED, SURE = 12000, 2, 800, 0.95
@@ -222,12 +223,13 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     doc_id is null or whose label is in the fit are never handed over; a doc_id that several rows have is
     one document of the fit, and several labels of one are averaged.
     """
+    small_batches(docs.sparkSession)
     order = F.xxhash64(F.lit(29), "doc_id")
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).dropna()
     known = labels.groupBy("doc_id").agg(F.round(F.avg("quality")).alias("quality")).orderBy(order, "doc_id").limit(labelled)
     # Bounded by the parameter, so it can be broadcast at any size of the corpus.
     rows = _columns(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "lang", "source", "n_chars", "quality")
-    rows = rows.mapInArrow(_features, "doc_id long, quality double, x binary, m binary")
+    rows = rows.mapInArrow(tidied(_features), "doc_id long, quality double, x binary, m binary")
     found = rows.groupBy("doc_id").agg(F.min(F.struct("quality", "x", "m")).alias("r")).select("doc_id", "r.*").toArrow().sort_by("doc_id")
     y = np.array(found["quality"].to_pylist(), float)
     if len(np.unique(y)) < 2:
@@ -237,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     free = _columns(docs).where("doc_id IS NOT NULL").join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti").withColumn("h", order)
     taken = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
     for _ in range(rounds):
-        certain = free.mapInArrow(_certain(state, taken), "view int, label int, h long, doc_id long, x binary, m binary")
+        certain = free.mapInArrow(tidied(_certain(state, taken)), "view int, label int, h long, doc_id long, x binary, m binary")
         certain = certain.groupBy("view", "label", "doc_id").agg(F.min(F.struct("h", "x", "m")).alias("r"))
         rank = F.row_number().over(Window.partitionBy("view", "label").orderBy("r", "doc_id"))
         certain = certain.withColumn("rank", rank).where(F.col("rank") <= HANDED).select("view", "label", "rank", "doc_id", "r.x", "r.m").toArrow().sort_by("rank")
@@ -268,7 +270,8 @@ def classify(docs: DataFrame, model: CoTrained | None, least: float = 0.3, keep_
     extra = (1, 2, 3, 4) if keep_rows else ()
     names = ["doc_id", "text_score", "meta_score", "score", "kept", *(["text", "lang", "source", "n_chars"] if keep_rows else [])]
     schema = "doc_id long, text_score double, meta_score double, score double, kept boolean" + (", text string, lang string, source string, n_chars long" if keep_rows else "")
-    return _columns(docs).mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return _columns(docs).mapInArrow(tidied(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

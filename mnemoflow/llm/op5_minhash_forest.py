@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoflow.llm.scratch import mark, materialize, release
-from mnemoflow.llm.textkit import Words, buffers, column_words, mix, rolling, slices, words
+from mnemoflow.llm.scratch import mark, materialize, release, small_batches
+from mnemoflow.llm.textkit import Words, buffers, column_words, mix, rolling, slices, tidied, words
 
 #: Outsiders and members of a crowded region in a block, and bytes of their texts; every block of outsiders meets every block of members.
 CROWD, CROWD_BYTES = 4096, 8 << 20
@@ -335,14 +335,15 @@ def near_dedup(docs: DataFrame, width: int = 5, least_percent: int = 80) -> Data
     Shingles and classes are told apart by 64-bit hashes of their words.
     """
     spark, began = docs.sparkSession, mark()
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.select("doc_id", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text").alias("row"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), "text")
-    signed = materialize(docs.mapInArrow(_sign(width), "doc_id long, row long, bytes long, n long, cid long, sig binary"), "signed")
+    signed = materialize(docs.mapInArrow(tidied(_sign(width)), "doc_id long, row long, bytes long, n long, cid long, sig binary"), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "bytes")).alias("rep")
     classes = materialize(signed.where("n > 0").groupBy("cid").agg(first, F.first("n").alias("n"), F.first("sig").alias("sig")).select("cid", "n", "sig", "rep.doc_id", "rep.row", "rep.bytes"), "classes")
-    forest = classes.select("cid", "n", "sig").mapInArrow(_forest, "key long, rest binary, cid long, n long")
+    forest = classes.select("cid", "n", "sig").mapInArrow(tidied(_forest), "key long, rest binary, cid long, n long")
     forest = forest.repartitionByRange("key", "rest", "cid").sortWithinPartitions("key", "rest", "cid")
-    walked = materialize(forest.mapInArrow(_walk(least_percent / 100), "a long, b long, star boolean, key long, rest binary, n long, crowd long"), "walked")
+    walked = materialize(forest.mapInArrow(tidied(_walk(least_percent / 100)), "a long, b long, star boolean, key long, rest binary, n long, crowd long"), "walked")
     seams = walked.where("star IS NULL AND crowd IS NULL").select("key", "rest", F.col("a").alias("cid"), "n").groupBy("key").applyInArrow(_seam(least_percent / 100), "a long, b long, star boolean")
     pairs = walked.where("star IS NOT NULL").select("a", "b", "star").union(seams)
     pairs = materialize(pairs.groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
@@ -355,7 +356,7 @@ def near_dedup(docs: DataFrame, width: int = 5, least_percent: int = 80) -> Data
     def confirmed(some: DataFrame) -> DataFrame:
         two = some.hint("merge").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
         two = two.hint("merge").join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
-        return materialize(two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, least_percent), "a long, b long"), "confirmed")
+        return materialize(two.select("a", "b", "text_a", "text_b").mapInArrow(tidied(_confirm(width, least_percent)), "a long, b long"), "confirmed")
 
     labels = components(confirmed(pairs.where("star").select("a", "b")))
     others = _named(pairs.where("NOT star").select("a", "b"), labels).where("a_label <> b_label").select("a", "b")

@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoflow.llm.scratch import materialize
+from mnemoflow.llm.scratch import materialize, small_batches
+from mnemoflow.llm.textkit import tidied
 
 #: Characters of a leaf at most; bytes of a piece that is encoded at once; pieces in a task's memory; tokens or pieces on each side of a join to begin with.
 LEAF, PIECE, MEMORY, WINDOW = 16_384, 2048, 100_000, 4
@@ -269,13 +270,14 @@ def bpe(docs: DataFrame, path: str | None = None, pattern: str | None = None, di
         parts = [Encoded(*(np.frombuffer(x, np.uint32).tolist() for x in r)) for r in zip(rows["ids"].to_pylist(), rows["counts"].to_pylist(), strict=True)]
         return pa.table(table([shown(c, rows["doc_id"][0].as_py(), c.concatenated(parts))]), names)
 
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     long = F.coalesce(F.length("text") > leaf, F.lit(False))
-    short = docs.where(~long).mapInArrow(whole, schema)
+    short = docs.where(~long).mapInArrow(tidied(whole), schema)
     # Rows are numbered in the written table, so that a lost executor's part gets the same numbers again.
     texts = materialize(docs.where(long).withColumn("row", F.monotonically_increasing_id()), "long_texts").select("row", "doc_id", "text")
-    parts = texts.mapInArrow(cut, "row long, doc_id long, leaf int, text string").repartition("row", "leaf")
-    encoded = parts.mapInArrow(leaves, "row long, doc_id long, leaf int, ids binary, counts binary")
+    parts = texts.mapInArrow(tidied(cut), "row long, doc_id long, leaf int, text string").repartition("row", "leaf")
+    encoded = parts.mapInArrow(tidied(leaves), "row long, doc_id long, leaf int, ids binary, counts binary")
     return short.union(encoded.groupBy("row").applyInArrow(concatenate, schema))
 
 

@@ -27,7 +27,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoflow.llm.scratch import mark, materialize, new_folder, release
+from mnemoflow.llm.scratch import mark, materialize, new_folder, release, small_batches
+from mnemoflow.llm.textkit import tidied
 
 #: Bytes of records in a frame and of payloads in a bundle, roughly (one record may exceed either).
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256 << 10, 64 << 20, 3
@@ -165,6 +166,7 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFr
     WARC-Record-ID), page_id, bundle (file name), frame, start and length of the record in the decoded
     frame. Payloads below ``least_bytes`` are all responses.
     """
+    small_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     pages = pages.withColumns({"sha1": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html").cast("long"), "key": F.sha2("html", 256)})
     large = F.col("size") >= least_bytes
@@ -181,7 +183,7 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFr
     hot, others = (first.where(c).select("key", "first") for c in (often, ~often & (F.col("n") > 1)))
     revisits = again.join(F.broadcast(hot), "key").unionByName(again.join(F.broadcast(hot.select("key")), "key", "left_anti").join(others, "key"))
     rows = met.where("own").select(*small, F.lit(None).cast("long").alias("first")).union(revisits.select(*small, "first"))
-    return materialize(rows.mapInArrow(_writer(folder), INDEX), "index")
+    return materialize(rows.mapInArrow(tidied(_writer(folder)), INDEX), "index")
 
 
 def _reader(folder: str):

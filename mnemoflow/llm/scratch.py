@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch between the JVM and a Python worker; Spark's own default is 64 MB, which both sides hold several times.
+ARROW_BYTES = "4m"
 _made: list[str] = []
 
 
@@ -30,6 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return got
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands text to Python workers in small batches, so that their memory does not follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder of that name in the shared folder; it is not created yet."""
     path = f"{shared_dir(spark).rstrip('/')}/mnemoflow/{name}-{uuid.uuid4().hex}"
