@@ -27,6 +27,8 @@ from mnemoflow.llm.textkit import Words, column_words, tidied
 
 #: Labelled rows of the fit at most. Rounds; documents a view hands over in a round; how sure it must be.
 LABELLED, ROUNDS, HANDED, SURE = 12000, 2, 800, 0.95
+#: Slices in which documents to hand over are ranked first.
+SLICES = 16
 HASHED, META_HASHED = 128, 64
 _SYMBOL, _DIGIT, _UPPER, _SHOUT = (np.zeros(256, bool) for _ in range(4))
 _SYMBOL[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:!?'\"-()"]] = True
@@ -241,6 +243,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     for _ in range(rounds):
         certain = free.mapInArrow(tidied(_certain(state, taken)), "view int, label int, h long, doc_id long, x binary, m binary")
         certain = certain.groupBy("view", "label", "doc_id").agg(F.min(F.struct("h", "x", "m")).alias("r"))
+        # Ranked in slices first, so that the last rank sees at most SLICES * HANDED rows of a view and label, however many tasks there are.
+        by = Window.partitionBy("view", "label", F.pmod(F.xxhash64(F.lit(31), "doc_id"), F.lit(SLICES))).orderBy("r", "doc_id")
+        certain = certain.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= HANDED)
         rank = F.row_number().over(Window.partitionBy("view", "label").orderBy("r", "doc_id"))
         certain = certain.withColumn("rank", rank).where(F.col("rank") <= HANDED).select("view", "label", "rank", "doc_id", "r.x", "r.m").toArrow().sort_by("rank")
         for view in (0, 1):
