@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 OPERATORS = (
     "op1_pii", "op2_topk", "op3_substring_dedup", "op4_quality_classifier", "op5_minhash_forest",
     "op6_bpe_tree", "op7_quality_rules", "op8_line_dedup", "op9_warc", "op10_mixing",
+    "op11_periodic_runs", "op12_sharding",
 )
 
 
