@@ -25,14 +25,14 @@ def distill(chunks: DataFrame, now: Column, project: str | None = None, top: int
 
     The first ``top`` of a project are kept; of the others those with a score below ``purge_below`` are
     purged. Only the first rows of a project are ranked, so each task drops the others before the
-    shuffle, and a project may hold any share of the chunks.
+    shuffle, and a project may hold any share of the chunks. A chunk without an id has no rank.
     """
     rows = chunks.withColumn("project", project_or_none())
     if project is not None:
         rows = rows.where(F.col("project") == project)
     rows = rows.withColumn("score", scalar.distill_score(F.col("confidence"), F.col("ts"), F.col("access_count"), now, tau_days))
     rank = F.row_number().over(Window.partitionBy("project").orderBy(*by_score()))
-    first = rows.select("project", "id", "score").withColumn("rank", rank).where(F.col("rank") <= max(top, PROJECT_ROWS))
+    first = rows.where(F.col("id").isNotNull()).select("project", "id", "score").withColumn("rank", rank).where(F.col("rank") <= max(top, PROJECT_ROWS))
     verdict = F.when(F.col("rank") <= top, "keep").when(F.col("score") < purge_below, "purge").otherwise("stay")
     return rows.join(first.select("project", "id", "rank"), ["project", "id"], "left").withColumn("verdict", verdict)
 
