@@ -1,13 +1,13 @@
 """Line dedup over levelled sorted runs of line hashes, in DataFrame functions alone.
 
-A run is a table (k1, k2, n, keeper), bucketed and sorted by the line's 128-bit hash: in how many
-documents of its batches the line stands, and which document owns it. Lines are hashed once, into a
-table by batch; batches are ranges of doc_id, the largest ids first. Each new batch aggregates its
-lines and is merged with the runs, bucket by bucket: a line without a partner in any run (the
-anti-join) is new and gets the batch's largest doc_id as its keeper, of the others only the counts are
-added. The outcome becomes the batch's own run on level 0. Whenever a level has ``fanout`` runs, they
-are compacted into one run of the next level. For a merge only the batch's own lines are shuffled, after
-they were counted on their side; the runs are read in their buckets.
+A run is a table (k1, k2, n, keeper), bucketed and sorted by the line's 128-bit hash; every line is in one
+run only. Lines are hashed once, into a table by batch; batches are ranges of doc_id, the largest ids
+first. Each new batch aggregates its lines and is merged with the runs, bucket by bucket. A line without a
+partner in any run (the anti-join) is new: it goes into the batch's own run, on level 0, with the batch's
+largest doc_id as its keeper. The count of a line that has a partner is sent to the run that owns it, as a
+row of that run's delta. Whenever a level has ``fanout`` runs, they and their deltas are compacted into one
+run of the next level. For a merge only the batch's own lines are shuffled, after they were counted on
+their side; runs and deltas are read in their buckets.
 
 The runs name the shared lines. Those that very many documents hold are met by broadcast (their number
 is bounded, whatever the corpus), the others by a shuffled join. Positions to drop are gathered by
@@ -16,6 +16,7 @@ document, and each document then leaves out its own lines.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,8 @@ BATCH_ROWS, LEAST_BATCHES, MOST_BATCHES = 1 << 21, 5, 16
 HOT = 10_000
 GRID = 240
 RUN = ("k1", "k2")
+#: The owner of a line that is in no run; rows of a batch for which a bucket is made, and buckets at least.
+NEW, BUCKET_ROWS, LEAST_BUCKETS = -1, 1 << 18, 16
 
 
 def n_batches(rows: int) -> int:
@@ -62,46 +65,74 @@ def hashed_lines(text: Column, least_chars: int) -> Column:
     return _let(found, marked)
 
 
+@dataclass
+class Owner:
+    """The run that a batch or a compaction wrote, and the tables in which later batches sent it counts, each with its number there."""
+
+    run: SortedRun
+    deltas: list[tuple[SortedRun, int]] = field(default_factory=list)
+
+    def lines(self) -> DataFrame:
+        return self.run.df.where(F.col("owner") == NEW)
+
+    def total(self) -> DataFrame:
+        """(k1, k2, n, keeper) with the counts of the deltas; nothing is shuffled."""
+        out = self.lines().select(*RUN, "n", "keeper")
+        for table, k in self.deltas:
+            sent = table.df.where(F.col("owner") == k).select(*RUN, F.col("n").alias("more"))
+            out = out.join(sent.hint("merge"), list(RUN), "left").select(*RUN, (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), "keeper")
+        return out
+
+
 class LineRuns:
-    """The levelled runs; every run is a bucketed, sorted table in the shared folder."""
+    """The levelled runs; every one is a bucketed, sorted table in the shared folder."""
 
     def __init__(self, buckets: int, fanout: int = 4) -> None:
         self.buckets, self.fanout = buckets, fanout
-        self.levels: list[list[SortedRun]] = []
+        self.levels: list[list[Owner]] = []
+        self.tables: list[SortedRun] = []
 
-    def runs(self) -> list[SortedRun]:
+    def runs(self) -> list[Owner]:
         return [r for level in self.levels for r in level]
 
-    @staticmethod
-    def _merge(runs: list[SortedRun]) -> DataFrame:
-        return reduce(DataFrame.union, [r.plain for r in runs]).groupBy(*RUN).agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
+    def _owner(self, own: DataFrame) -> DataFrame:
+        """Adds ``owner``: the number of the run that has the line, or NEW where the anti-join with all of them leaves it."""
+        found = F.lit(None).cast("int")
+        for k, r in enumerate(self.runs()):
+            own = own.join(r.lines().select(*RUN, F.lit(k).alias(f"run{k}")).hint("merge"), list(RUN), "left")
+            found = F.coalesce(found, F.col(f"run{k}"))
+        return own.select(*RUN, "n", "keeper", F.coalesce(found, F.lit(NEW)).alias("owner"))
 
     def add(self, keys: DataFrame) -> None:
-        """Takes a batch (k1, k2, doc_id; a document's line once) in; keeper is null in its run where an older run has the line."""
+        """Takes a batch (k1, k2, doc_id; a document's line once) in. One table has its new lines and what it sends to each run."""
         own = keys.groupBy(*RUN).agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
-        known = F.lit(False)
-        for k, run in enumerate(self.runs()):
-            own = own.join(run.df.select(*RUN, F.lit(True).alias(f"run{k}")).hint("merge"), list(RUN), "left")
-            known = known | F.col(f"run{k}").isNotNull()
-        self._put(SortedRun.write(own.select(*RUN, "n", F.when(~known, F.col("keeper")).alias("keeper")), "run", RUN, self.buckets), 0)
+        before = self.runs()
+        table = self._write(self._owner(own))
+        for k, r in enumerate(before):
+            r.deltas.append((table, k))
+        self._put(Owner(table), 0)
+
+    def _write(self, df: DataFrame) -> SortedRun:
+        self.tables.append(SortedRun.write(df, "run", RUN, self.buckets, by=("owner",)))
+        return self.tables[-1]
 
-    def _put(self, run: SortedRun, level: int) -> None:
+    def _put(self, run: Owner, level: int) -> None:
         if len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged = SortedRun.write(self._merge(self.levels[level]), "run", RUN, self.buckets)
-            for old in self.levels[level]:
-                old.drop()
+            whole = reduce(DataFrame.union, [r.total() for r in self.levels[level]]).repartition(self.buckets, *RUN)
+            merged = Owner(self._write(whole.withColumn("owner", F.lit(NEW))))
             self.levels[level] = []
             self._put(merged, level + 1)
 
     def merged(self) -> DataFrame:
-        return self._merge(self.runs())
+        """(k1, k2, n, keeper) of all lines, each from the run that owns it."""
+        return reduce(DataFrame.union, [r.total() for r in self.runs()])
 
     def drop(self) -> None:
-        for run in self.runs():
-            run.drop()
+        for table in self.tables:
+            table.drop()
 
 
 def line_dedup(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int | None = None, fanout: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -116,7 +147,7 @@ def line_dedup(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batc
     A null or empty text is one empty line. Rows with the same doc_id are documents each, and all of
     them keep the line if theirs is the largest id. A row with a null doc_id counts as a document and
     owns a line only where all its holders are such rows. An empty table gives no rows. Lines are told
-    apart by 128-bit hashes.
+    apart by 128-bit hashes. A very long text is one array of its lines in the task that reads it.
     """
     spark, began = docs.sparkSession, mark()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry(keep))
@@ -128,12 +159,12 @@ def line_dedup(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batc
     held = docs.select("doc_id", "t", batch.alias("batch"), F.explode(hashed_lines(F.col("text"), least_chars)).alias("x")).select("doc_id", "t", "batch", "x.*")
     held = materialize(held, "lines", by=("batch",))
 
-    runs = LineRuns(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), fanout)
+    lines = held.count()
+    runs = LineRuns(max(LEAST_BUCKETS, -(-lines // BUCKET_ROWS)), fanout)
     for k in range(len(cuts) + 1):
         runs.add(held.where(F.col("first") & (F.col("batch") == k)).select(*RUN, "doc_id"))
     shared = materialize(runs.merged().where(F.col("n") >= least_docs), "shared")
     runs.drop()
-    lines = held.count()
     often = F.col("n") * HOT > lines
     hot, others = shared.where(often).select(*RUN, "keeper"), shared.where(~often).select(*RUN, "keeper")
     held = held.select("doc_id", "t", "pos", *RUN)

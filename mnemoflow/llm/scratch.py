@@ -55,9 +55,6 @@ def materialize(df: DataFrame, name: str, by: Iterable[str] = ()) -> DataFrame:
 @dataclass(frozen=True)
 class SortedRun:
     """A table in the shared folder, dealt into buckets by its keys and sorted by them in each: joins by the keys read it without a shuffle.
-
-    ``plain`` reads the same rows without the buckets, for unions: a union of bucketed tables is taken for
-    bucketed too, but then read in other parts, and a group by the keys above it would come out in pieces.
     """
 
     name: str
@@ -65,15 +62,13 @@ class SortedRun:
     df: DataFrame
 
     @staticmethod
-    def write(df: DataFrame, name: str, keys: tuple[str, ...], buckets: int) -> SortedRun:
+    def write(df: DataFrame, name: str, keys: tuple[str, ...], buckets: int, by: tuple[str, ...] = ()) -> SortedRun:
+        """Writes df, in folders by some columns if wanted."""
         spark, table, path = df.sparkSession, f"mnemoflow_{name}_{uuid.uuid4().hex}", new_folder(df.sparkSession, name)
-        df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+        writer = df.write.partitionBy(*by) if by else df.write
+        writer.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
         return SortedRun(table, path, spark.table(table))
 
-    @property
-    def plain(self) -> DataFrame:
-        return self.df.sparkSession.read.schema(self.df.schema).parquet(self.path)
-
     def drop(self) -> None:
         """Takes the table out of the catalog; its folder stays until it is released."""
         self.df.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")

@@ -199,19 +199,39 @@ def test_line_dedup_compacts_runs_by_default(mixed_docs, monkeypatch):
 
 
 def test_line_runs_are_merged_without_a_shuffle(spark):
-    """Only the batch's own lines are shuffled; the runs are read in their buckets."""
+    """Only the batch's own lines are shuffled; the runs and their deltas are read in their buckets."""
     runs = op8_line_dedup.LineRuns(4)
     keys = spark.range(1000).selectExpr("id % 50 AS k1", "id % 7 AS k2", "id AS doc_id")
     for k in range(2):
         runs.add(keys.where(f"doc_id % 2 = {k}"))
-    own = keys.groupBy("k1", "k2").count()
-    for run in runs.runs():
-        own = own.join(run.df.select("k1", "k2").hint("merge"), ["k1", "k2"], "left_anti")
-    plan = own._jdf.queryExecution().executedPlan().toString()
+    plan = runs._owner(keys.groupBy("k1", "k2").agg({"*": "count"}).selectExpr("k1", "k2", "`count(1)` AS n", "0L AS keeper"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Bucketed: true") == 2
+    assert "Exchange" not in runs.runs()[0].total()._jdf.queryExecution().executedPlan().toString()
     runs.drop()
 
 
+def test_the_anti_join_decides(mixed_docs, monkeypatch):
+    """Without it, lines stand in several runs, none of which has their count or alone their keeper."""
+    want = sorted(brute.line_dedup(pairs(mixed_docs)), key=repr)
+    columns = ("doc_id", "n_lines", "n_dropped", "kept_text")
+    assert rows(op8_line_dedup.line_dedup(mixed_docs), *columns) == want
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(op8_line_dedup.LineRuns, "_owner", lambda self, own: own.withColumn("owner", F.lit(op8_line_dedup.NEW)))
+    assert rows(op8_line_dedup.line_dedup(mixed_docs), *columns) != want
+
+
+def test_every_line_is_in_one_run(spark):
+    runs = op8_line_dedup.LineRuns(4, fanout=3)
+    keys = spark.range(3000).selectExpr("id % 37 AS k1", "id % 11 AS k2", "5000 - id AS doc_id")
+    for k in range(7):
+        runs.add(keys.where(f"int(({'5000 - doc_id'}) / 430) = {k}"))
+        held = [r for x in runs.runs() for r in rows(x.lines(), "k1", "k2")]
+        assert len(held) == len(set(held))
+    want = {(r["k1"], r["k2"]): (r["n"], r["keeper"]) for r in keys.where("5000 - doc_id < 3010").groupBy("k1", "k2").agg({"*": "count", "doc_id": "max"}).toDF("k1", "k2", "n", "keeper").collect()}
+    assert {(r["k1"], r["k2"]): (r["n"], r["keeper"]) for r in runs.merged().collect()} == want and [len(x) for x in runs.levels] == [1, 2]
+
+
 def test_line_dedup_of_common_lines(spark, monkeypatch):
     """The same rows whether lines are met by broadcast or by a shuffled join, and with lines of one document in any number."""
     import random
