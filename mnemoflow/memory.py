@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +18,17 @@ from mnemoflow.operators import chunking, dedup, evaluation, fulltext, maintenan
 from mnemoflow.operators.vector import knn
 from mnemoflow.sources import config, files
 from mnemoflow.sources.store import ChunkStore
-from mnemoflow.sources.workspace import ensure_checkpoint_dir
+from mnemoflow.sources.workspace import ensure_checkpoint_dir, local_rows
 
 #: Bounds of a request.
 MOST_RESULTS, MOST_BATCH_RESULTS, CANDIDATE_RANGE, MOST_QUERIES = 50, 20, (5, 100), 50
 
 
+LEG = pa.schema([("query_id", pa.int64()), ("id", pa.string()), ("rank", pa.int32())])
+ASKED = pa.schema([("query_id", pa.int64()), ("text", pa.string()), ("embedded", pa.string())])
+FOUND = pa.schema([("id", pa.string()), ("query_text", pa.string())])
+
+
 def check_request(query: str, top_k: int, candidates: int, most: int = MOST_RESULTS) -> None:
     if not query:
         raise ValueError("the query is empty")
@@ -39,6 +47,11 @@ class Memory:
         ensure_checkpoint_dir(spark)
         self.spark, self.settings = spark, settings or config.load(env={})
         self.store = ChunkStore(spark, index_dir)
+        # Searches are small plans with known bounds: planned once, in a session of their own, each is few jobs.
+        self.finder = spark.newSession()
+        for name, value in {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism), "spark.sql.session.timeZone": spark.conf.get("spark.sql.session.timeZone")}.items():
+            self.finder.conf.set(name, value)
+        self.found = ChunkStore(self.finder, index_dir)
         self.embedder = embedder or embedder_of(self.settings)
         self.scorer, self.rewriter = scorer or retrieval.scorer_of(self.settings), rewriter
 
@@ -114,33 +127,45 @@ class Memory:
         """Results of many queries from one plan; the access log gets a row for each result."""
         if len(queries) > MOST_QUERIES:
             raise ValueError(f"{MOST_QUERIES} queries at most")
-        chunks = self.store.with_access().persist()
         at = F.to_timestamp(F.lit(now)) if now else F.current_timestamp()
-        rewriter = self.rewriter or Rewriter()
-        table = self.spark.createDataFrame([(i, q, rewriter.generate(q) if use_hyde else q) for i, q in enumerate(queries)], "query_id long, text string, embedded string")
-        pool = chunks.where(F.col("project") == project) if project else chunks
-        vectors = knn(pool, table.select("query_id", self.embedder.embed(F.col("embedded")).alias("vector")), candidates)
-        asked = list(enumerate(queries))
-        if self.store.has_postings():
-            scored = fulltext.bm25_by_postings(self.store.postings.read(), self.store.lengths.read(), chunks, asked, id_type="long")
-        else:
-            scored = fulltext.bm25(chunks, asked, id_type="long")
-        if project:
-            scored = scored.join(pool.select("id"), "id", "left_semi")
-        texts = fulltext.topn(scored, candidates)
+        rewriter, asked = self.rewriter or Rewriter(), list(enumerate(queries))
+        table = local_rows(self.finder, [(i, q, rewriter.generate(q) if use_hyde else q) for i, q in asked], ASKED)
+        legs = [lambda: self._near(table, project, candidates), lambda: self._worded(asked, project, candidates)]
+        with ThreadPoolExecutor(len(legs)) as pool:  # two small plans at the same time
+            vectors, texts = (f.result() for f in [pool.submit(inheritable_thread_target(self.spark)(leg)) for leg in legs])
+        # A request has at most MOST_QUERIES queries with 2 * candidates hits each: its ids are a filter on the files.
+        fused = retrieval.fuse(local_rows(self.finder, vectors, LEG), local_rows(self.finder, texts, LEG), self.settings["rrf_k"])
+        hits = self.found.with_access(sorted({r[1] for r in [*vectors, *texts]})).drop("embedding").join(F.broadcast(fused), "id")
         again = (lambda h: retrieval.rerank(h, table, self.scorer)) if rerank else None
-        hits = retrieval.hybrid(chunks, vectors, texts, at, top_k, source, again, self.settings["rrf_k"], self.settings["tau_days"], use_decay).drop("embedding").checkpoint()
-        if record:
-            self.store.record_access(hits.join(table.select("query_id", F.col("text").alias("query_text")), "query_id"), at)
+        found = sorted(retrieval.ranked(hits, at, top_k, source, again, self.settings["tau_days"], use_decay).collect(), key=lambda r: (r["query_id"], r["rank"]))
+        if record and found:
+            self.found.record_access(local_rows(self.finder, [(r["id"], queries[r["query_id"]]) for r in found], FOUND), at)
         out: list[list[dict]] = [[] for _ in queries]
-        for r in hits.orderBy("query_id", "rank").collect():
+        for r in found:
             row = r.asDict()
             row["access_count"] += record
             digits = {"score": 4, "rrf_score": 4, "rerank_score": 4, "decay_factor": 3}
             out[row.pop("query_id")].append({k: round(v, digits[k]) if k in digits and v is not None else v for k, v in row.items()})
-        chunks.unpersist()
         return out
 
+    def _near(self, table: DataFrame, project: str | None, candidates: int) -> list[tuple]:
+        """The nearest chunks of each query: (query_id, id, rank)."""
+        chunks = self.found.chunks()
+        pool = chunks.where(F.col("project") == project) if project else chunks
+        found = knn(pool, table.select("query_id", self.embedder.embed(F.col("embedded")).alias("vector")), candidates)
+        return [tuple(r) for r in found.select("query_id", "id", "rank").collect()]
+
+    def _worded(self, asked: list[tuple[int, str]], project: str | None, candidates: int) -> list[tuple]:
+        """The best chunks of each query by its words: (query_id, id, rank). A stored index takes in first what it has missed."""
+        if self.found.index.segments():
+            self.found.index.catch_up()
+            scored = self.found.index.scores(asked, "long")
+        else:
+            scored = fulltext.bm25(self.found.chunks(), asked, id_type="long")
+        if project:
+            scored = scored.join(self.found.by_project(project).select("id"), "id", "left_semi")
+        return [tuple(r) for r in fulltext.topn(scored, candidates).select("query_id", "id", "rank").collect()]
+
     # -- maintenance -------------------------------------------------------------------------------
     def stats(self) -> dict:
         return self.store.stats()

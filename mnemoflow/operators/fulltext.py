@@ -1,21 +1,35 @@
-"""BM25 over three columns with trigram phrases: a term matches wherever it is a substring.
+"""BM25 over three columns with phrases that match wherever they are a substring.
 
-Two physical forms with the same scores: a scan that meets every chunk with the (few) query terms, and
-postings of trigrams, built once and partitioned by trigram, for corpora that are searched often.
+Many queries in one plan meet the texts by their words: a phrase has letters, digits, hyphens and CJK only,
+so each of its places lies inside one word, a longest stretch without white space and punctuation; phrases
+are looked up among the different words, by the trigram they begin with. A stored index
+(``sources.live_index``) has the places of all trigrams. Both give the same scores.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from mnemoflow.sources.workspace import ensure_checkpoint_dir, local_rows
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
-#: Bytes for each core below which input is dealt out. Trigrams that are looked up by a filter on the postings' files at most.
+#: Bytes for each core below which input is dealt out. Trigrams that are looked up by a filter on the index's files at most.
 SMALL_PART, PUSHED = 16 << 20, 2000
+#: Characters whose places are found at a time.
+PLACES = 1 << 20
+#: Characters that no phrase has, at which texts are cut into words; shorter words hold no phrase.
+SEPARATORS = "[\\x00-,./:-@\\[-^`{-\\x7f\\s、。〈-】〔〕！（），．：；？]+"
+SHORTEST = 3
 COLUMNS = ("text", "project", "entities")
+WANTED = pa.schema([("nth", pa.int32()), ("gram", pa.int64()), ("offset", pa.int32()), ("need", pa.int32())])
 _CJK = re.compile("[一-鿿]")
 
 
@@ -38,7 +52,8 @@ def term_table(spark: SparkSession, queries: Iterable[tuple[object, str]], id_ty
         for t in query_terms(text):
             if len(t) >= 3:
                 count[key, t.lower()] = count.get((key, t.lower()), 0) + 1
-    return spark.createDataFrame([(k, t, n) for (k, t), n in count.items()], f"query_id {id_type}, term string, weight int")
+    key = pa.int64() if id_type in ("long", "bigint") else pa.int32() if id_type in ("int", "integer") else pa.string()
+    return local_rows(spark, [(k, t, n) for (k, t), n in count.items()], pa.schema([("query_id", key), ("term", pa.string()), ("weight", pa.int32())]))
 
 
 def _overlaps_itself(term: str) -> bool:
@@ -80,31 +95,166 @@ def scores(hits: DataFrame, terms: DataFrame, rows: Column | int, average: float
     return hits.join(weights, "term").groupBy("query_id", "id").agg((-F.sum(F.col("weight") * F.col("idf") * tf)).alias("score"))
 
 
+def words_of(chunks: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(id, dl, token), a row for each place of a word, and (id, dl) of chunks; null columns are empty."""
+    low = _lowered(chunks, id_col).withColumn("dl", doc_length())
+    cut = F.concat(*[F.split(c, SEPARATORS) for c in COLUMNS])
+    return low.select("id", "dl", F.explode(F.filter(cut, lambda t: F.length(t) >= SHORTEST)).alias("token")), low.select("id", "dl")
+
+
+def grams_of(words: DataFrame) -> DataFrame:
+    """(gram, token): the trigrams of the different words."""
+    tokens = words.select("token").distinct()
+    return tokens.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - 2), lambda i: F.substring("token", i, 3)))).alias("gram"), "token")
+
+
+def term_list(queries: Iterable[tuple[object, str]]) -> list[str]:
+    """The different phrases of some queries that can match."""
+    return sorted({t.lower() for _, q in queries for t in query_terms(q) if len(t) >= SHORTEST})
+
+
+def matching_words(grams: DataFrame, terms: list[str]) -> DataFrame:
+    """(token, term, times): the words that hold a phrase, and how often."""
+    heads = sorted({t[:3] for t in terms})
+    wanted = grams.sparkSession.createDataFrame([(t, t[:3], _overlaps_itself(t)) for t in terms], "term string, gram string, own boolean")
+    if len(heads) <= PUSHED:
+        grams = grams.where(F.col("gram").isin(heads))
+    found = grams.join(F.broadcast(wanted), "gram").where(F.contains("token", "term"))
+    return found.select("token", "term", occurrences(F.col("token"), F.col("term"), F.col("own")).alias("times"))
+
+
 def bm25(chunks: DataFrame, queries: list[tuple[object, str]], id_col: str = "id", id_type: str = "string") -> DataFrame:
-    """Scores of all matching chunks for some queries, by one scan for the corpus statistics and one for the terms.
+    """Scores (query_id, id, score) of all matching chunks for any number of queries, by one pass for the corpus statistics and the words, and one for the hits.
 
     Statistics are those of all chunks; filters on project or source come after (see ``topn``).
     """
-    spark = chunks.sparkSession
-    low = _lowered(spread(chunks), id_col)
-    low = low.withColumn("dl", doc_length())
-    n, average = low.agg(F.count("*"), F.avg("dl")).first()
-    table = term_table(spark, queries, id_type)
-    terms = sorted({t for _, q in queries for t in (x.lower() for x in query_terms(q)) if len(t) >= 3})
+    words, lengths = words_of(spread(chunks), id_col)
+    n, average = lengths.agg(F.count("*"), F.avg("dl")).first()
+    terms = term_list(queries)
     if not terms or not n:
-        return spark.createDataFrame([], f"query_id {id_type}, id {dict(low.dtypes)['id']}, score double")
-    # Every place of the text gives a window as long as the longest term; windows meet the terms by their first trigram.
-    # So a text is read once for all terms, overlapping places count, and a row never carries its text.
-    wanted = spark.createDataFrame([(t, t[:3]) for t in terms], "term string, head string")
-    pattern = F.lit(f"(?s)(?=(.{{3,{max(map(len, terms))}}}))")
-    windows = F.explode(F.concat(*[F.regexp_extract_all(F.col(c), pattern, F.lit(1)) for c in COLUMNS]))
-    places = low.select("id", "dl", windows.alias("w")).withColumn("head", F.substring("w", 1, 3))
-    hits = places.join(F.broadcast(wanted), "head").where(F.startswith("w", "term")).groupBy("id", "dl", "term").agg(F.count("*").alias("f"))
-    return scores(hits, table, n, average)
+        return chunks.sparkSession.createDataFrame([], f"query_id {id_type}, id {dict(lengths.dtypes)['id']}, score double")
+    found = words.join(matching_words(grams_of(words), terms), "token")
+    hits = found.groupBy("id", "dl", "term").agg(F.sum("times").alias("f"))
+    return scores(hits, term_table(chunks.sparkSession, queries, id_type), n, average)
+
+
+def gram_code(gram: str) -> int:
+    """Three characters as one number, in their order."""
+    a, b, c = map(ord, gram)
+    return a << 42 | b << 21 | c
+
+
+def covering(term: str) -> list[tuple[int, int]]:
+    """(offset, gram) of as few trigrams of a phrase as have all its characters."""
+    last = len(term) - SHORTEST
+    return [(k, gram_code(term[k : k + 3])) for k in [*range(0, last, SHORTEST), last]]
+
+
+def _places(id_type: pa.DataType):
+    schema = pa.schema([("gram", pa.int64()), ("id", id_type), ("dl", pa.int64()), ("places", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.to_pylist() for x in batch.columns[2:]]
+            sizes = np.array([[len(t) for t in column] for column in texts], np.int64)
+            ends, i = np.cumsum(sizes.sum(0)), 0
+            while i < batch.num_rows:  # a bounded number of characters at a time, or one chunk
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PLACES, "right")))
+                part = sizes[:, i:j].T.ravel()  # chunk by chunk, column by column
+                codes = np.frombuffer("".join(c[k] for k in range(i, j) for c in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                cell = np.repeat(np.arange(len(part)), part)
+                inside = np.flatnonzero(cell[:-2] == cell[2:]) if len(cell) > 2 else np.zeros(0, np.int64)
+                gram = codes[inside] << 42 | codes[inside + 1] << 21 | codes[inside + 2]
+                chunk = cell[inside] // len(texts)
+                order = np.argsort(gram, kind="stable")
+                gram, owner = gram[order], chunk[order]
+                start = np.cumsum(part.reshape(-1, len(texts)).sum(1)) - part.reshape(-1, len(texts)).sum(1)
+                place = inside[order] - start[owner]
+                new = np.flatnonzero((np.diff(gram, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
+                rows = pa.array(owner[new] + i)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(gram)).astype(np.int32)), pa.array(place.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(gram[new]), batch.column(0).take(rows), batch.column(1).take(rows), lists], schema=schema)
+                i = j
+
+    return run
+
+
+def places_of(chunks: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(gram, id, dl, places) and (id, dl): where each trigram begins in a chunk, its columns one after the other, and how long chunks are.
+
+    The last trigram of a column and the first of the next are never neighbours, so no phrase crosses them.
+    """
+    low = _lowered(chunks, id_col).withColumn("dl", doc_length())
+    id_type = to_arrow_type(low.schema["id"].dataType)
+    return low.select("id", "dl", *COLUMNS).mapInArrow(_places(id_type), f"gram long, id {dict(low.dtypes)['id']}, dl long, places array<int>"), low.select("id", "dl")
+
+
+def _phrases(id_type: pa.DataType):
+    schema = pa.schema([("id", id_type), ("dl", pa.int64()), ("nth", pa.int32()), ("f", pa.int64())])
+
+    def count(table: pa.Table) -> pa.RecordBatch:
+        """How often each phrase stands in each chunk, from all rows of some chunks."""
+        ids = table["id"].combine_chunks().dictionary_encode()
+        doc, lists = ids.indices.to_numpy().astype(np.int64), table["places"].combine_chunks()
+        nth, need = table["nth"].to_numpy().astype(np.int64), table["need"].to_numpy()
+        sizes = np.diff(lists.offsets.to_numpy())
+        at = lists.flatten().to_numpy() - np.repeat(table["offset"].to_numpy(), sizes)
+        pair = np.repeat(doc * (int(nth.max(initial=0)) + 1) + nth, sizes)
+        inside = at >= 0
+        place = np.sort(pair[inside] << 32 | at[inside].astype(np.int64))
+        first = np.flatnonzero(np.diff(place, prepend=-1) != 0)
+        wanted = np.zeros(int(nth.max(initial=0)) + 1, np.int64)
+        wanted[nth] = need
+        whole = place[first][np.diff(np.append(first, len(place))) == wanted[(place[first] >> 32) % len(wanted)]] >> 32
+        pairs, f = np.unique(whole, return_counts=True)
+        length = np.zeros(len(ids.dictionary), np.int64)
+        length[doc] = table["dl"].to_numpy()
+        owner = pairs // len(wanted)
+        return pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(owner)), pa.array(length[owner]), pa.array((pairs % len(wanted)).astype(np.int32)), pa.array(f.astype(np.int64))], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows come by id; the last one of a batch may go on in the next
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = batch.column("id")[batch.num_rows - 1]
+            cut = pc.index(batch.column("id"), last).as_py()
+            if cut:
+                yield count(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield count(pa.Table.from_batches(held))
+
+    return run
+
+
+def bm25_by_places(places: DataFrame, n: int, average: float, queries: list[tuple[object, str]], id_type: str = "string", alive: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+    """The same scores from the places of trigrams, for n chunks of that mean length; no text is read.
+
+    A phrase is where the trigrams that cover it stand at their distances: their places, each less its
+    offset in the phrase, are counted, and all of them must be there. Up to ``PUSHED`` trigrams are a filter on the files, which are
+    sorted by trigram; a batch of more reads all of them once. alive drops rows of chunks that are gone.
+    """
+    spark, terms = places.sparkSession, term_list(queries)
+    if not terms or not n:
+        return spark.createDataFrame([], f"query_id {id_type}, id {dict(places.dtypes)['id']}, score double")
+    wanted = [(nth, g, k, len(covering(t))) for nth, t in enumerate(terms) for k, g in covering(t)]
+    grams = sorted({g for _, g, _, _ in wanted})
+    if len(grams) <= PUSHED:
+        places = places.where(F.col("gram").isin(grams))
+    found = alive(places).join(F.broadcast(local_rows(spark, wanted, WANTED)), "gram")
+    rows = found.select("id", "dl", "nth", "need", "offset", "places").repartition("id").sortWithinPartitions("id")
+    kind = dict(places.dtypes)["id"]
+    there = rows.mapInArrow(_phrases(to_arrow_type(places.schema["id"].dataType)), f"id {kind}, dl long, nth int, f long")
+    names = F.broadcast(local_rows(spark, list(enumerate(terms)), pa.schema([("nth", pa.int32()), ("term", pa.string())])))
+    ensure_checkpoint_dir(spark)
+    hits = there.checkpoint().join(names, "nth").select("id", "dl", "term", "f")  # ``scores`` reads them twice
+    return scores(hits, term_table(spark, queries, id_type), n, average)
 
 
 def build_postings(chunks: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(trigram, id, tf) and (id, dl): the inverted index. Rebuilding is calling this again."""
+    """(trigram, id, tf) and (id, dl): how often chunks have each trigram of their columns, those across words included."""
     low = _lowered(spread(chunks), id_col)
     every = lambda c: F.regexp_extract_all(F.col(c), F.lit("(?s)(?=(...))"), F.lit(1))
     grams = lambda c: F.when(F.length(c) >= 3, every(c)).otherwise(F.array().cast("array<string>"))
@@ -112,26 +262,6 @@ def build_postings(chunks: DataFrame, id_col: str = "id") -> tuple[DataFrame, Da
     return posts, low.select("id", doc_length().alias("dl"))
 
 
-def bm25_by_postings(postings: DataFrame, lengths: DataFrame, chunks: DataFrame, queries: list[tuple[object, str]], id_col: str = "id", id_type: str = "string") -> DataFrame:
-    """The same scores by the inverted index: trigrams are looked up; longer phrases take the chunks that have all their trigrams and are counted there alone."""
-    spark = chunks.sparkSession
-    n, average = lengths.agg(F.count("*"), F.avg("dl")).first()
-    terms = sorted({t for _, q in queries for t in (x.lower() for x in query_terms(q)) if len(t) >= 3})
-    if not terms or not n:
-        return spark.createDataFrame([], f"query_id {id_type}, id {dict(lengths.dtypes)['id']}, score double")
-    grams = [(t, g, len({t[i : i + 3] for i in range(len(t) - 2)}), len(t), _overlaps_itself(t)) for t in terms for g in {t[i : i + 3] for i in range(len(t) - 2)}]
-    wanted = spark.createDataFrame(grams, "term string, trigram string, need int, k int, own boolean")
-    looked_up = sorted({g for _, g, *_ in grams})
-    if len(looked_up) <= PUSHED:  # the postings are sorted by trigram, so the filter leaves most of them unread
-        postings = postings.where(F.col("trigram").isin(looked_up))
-    found = postings.join(F.broadcast(wanted), "trigram").groupBy("term", "id", "need", "k", "own").agg(F.count("*").alias("have"), F.max("tf").alias("tf")).where("have = need")
-    low = _lowered(chunks, id_col)
-    f = sum((occurrences(F.col(c), F.col("term"), F.col("own")) for c in COLUMNS[1:]), occurrences(F.col(COLUMNS[0]), F.col("term"), F.col("own")))
-    longer = found.where("k > 3").join(low, "id").select("id", "term", f.alias("f")).where("f > 0")
-    hits = found.where("k = 3").select("id", "term", F.col("tf").alias("f")).union(longer).join(lengths, "id")
-    return scores(hits, term_table(spark, queries, id_type), n, average)
-
-
 def topn(scored: DataFrame, k: int = 20, digits: int = 9) -> DataFrame:
     """Adds the rank from 0 within each query, lowest score first, ties by id, and keeps k."""
     order = Window.partitionBy("query_id").orderBy(F.round("score", digits), "id")

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from mnemoflow.embedding import loaded
 from mnemoflow.functions import scalar
+from mnemoflow.sources.workspace import ensure_checkpoint_dir
 
 RRF_K, TAU_DAYS, CANDIDATES, RERANK_TOP = 30, 90.0, 20, 20
+#: Hits (three numbers and an id each) that go to all tasks at most.
+BROADCAST_HITS = 200_000
 
 
 class Scorer(Protocol):
@@ -77,6 +80,13 @@ def fuse(vector_hits: DataFrame, text_hits: DataFrame, rrf_k: int = RRF_K) -> Da
     return v.join(b, ["query_id", "id"], "full_outer").withColumn("rrf_score", part("vector_rank") + part("bm25_rank"))
 
 
+def with_chunks(hits: DataFrame, chunks: DataFrame, most: int = BROADCAST_HITS) -> DataFrame:
+    """Hits with their chunks. Hits are few rows for each query: written once and counted, they go to the chunks, up to ``most`` of them; beyond that both are shuffled by id."""
+    ensure_checkpoint_dir(hits.sparkSession)
+    hits = hits.checkpoint()
+    return chunks.join(F.broadcast(hits) if hits.count() <= most else hits, "id")
+
+
 def weigh(hits: DataFrame, now: Column, tau_days: float = TAU_DAYS, use_decay: bool = True, popularity: str = "intent") -> DataFrame:
     """Adds decay_factor and score to hits with rrf_score, ts, confidence and access_count.
 
@@ -125,7 +135,15 @@ def hybrid(
     chunks: id, text, source, project, ts, confidence, access_count, and entities if they are kept. A filter by
     source comes after the legs, so it can leave fewer than top_k; a filter by project belongs in the legs.
     """
-    hits = fuse(vector_hits, text_hits, rrf_k).join(chunks, "id")
+    hits = with_chunks(fuse(vector_hits, text_hits, rrf_k), chunks)
+    return ranked(hits, now, top_k, source, reranker, tau_days, use_decay, popularity)
+
+
+def ranked(
+    hits: DataFrame, now: Column, top_k: int = 5, source: str | None = None, reranker: Callable[[DataFrame], DataFrame] | None = None,
+    tau_days: float = TAU_DAYS, use_decay: bool = True, popularity: str = "intent",
+) -> DataFrame:
+    """The ranking of fused hits that have their chunks."""
     if source is not None:
         hits = hits.where(F.col("source") == source)
     hits = weigh(hits, now, tau_days, use_decay, popularity)

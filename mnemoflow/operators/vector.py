@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Queries that are sent to all tasks at most, and of a block of the grid; chunks of a block; chunks in one matrix product.
 BATCH, BLOCK, TILE = 4096, 16_384, 1024
@@ -105,7 +106,7 @@ def knn(chunks: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "id",
     asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
     rows = chunks.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v IS NOT NULL")
     schema = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(chunks.dtypes)[id_col]}, distance double"
-    id_type = rows.select("id").limit(0).toArrow().schema.field("id").type
+    id_type = to_arrow_type(rows.schema["id"].dataType)
     out = meet(asked, rows, _nearest(k, id_type), schema)
     if out is None:
         return chunks.sparkSession.createDataFrame([], schema + ", rank int")

@@ -307,9 +307,10 @@ def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 @register("bm25_postings", _ORACLES["bm25_topk"])
 def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
-    c = _texts(spark, d)
-    posts, lengths = fulltext.build_postings(c)
-    return _shown_bm25(fulltext.topn(fulltext.bm25_by_postings(posts, lengths, c, v.question_list(spark, d), id_type="long")))
+    """All documents in a stored index, and the questions from its words and postings alone."""
+    store = _store(spark, d)
+    store.rebuild_postings()
+    return _shown_bm25(fulltext.topn(store.index.scores(v.question_list(spark, d), "long").withColumn("id", F.col("id").cast("long"))))
 
 
 @register("postings_build", """SELECT trigram, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest(list_concat(

@@ -1,4 +1,4 @@
-"""The chunk store: versioned Parquet tables, an append-only access log, and derived postings.
+"""The chunk store: versioned Parquet tables, an append-only access log, and an index that follows the chunks.
 
 Every change writes a new folder and never touches those being read; a folder counts once its success
 marker is there. Counts of accesses come from the log, so searches never rewrite chunks.
@@ -7,91 +7,18 @@ marker is there. Counts of accesses come from the log, so searches never rewrite
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoflow.operators import fulltext, maintenance
+from mnemoflow.operators import maintenance
+from mnemoflow.sources.folders import VersionedTable
+from mnemoflow.sources.live_index import LiveIndex
 
 CHUNKS = "id string, text string, ts timestamp, project string, source string, confidence double, entities array<string>, length int, embedding array<double>, block_type string, json_key string, memory_type string"
 ACCESS = "chunk_id string, accessed_at timestamp, query string"
 
 
-class VersionedTable:
-    """Folders v=0, d=1, d=2, v=3, ... of Parquet: whole versions and changes since; those with a success marker count.
-
-    A change has the rows that are new or other, by their id, and the ids that are gone. Reading takes the
-    last whole version and the latest change of each id after it; after ``MOST_CHANGES`` a whole version is
-    written again, so a small write costs its own rows and a read a bounded number of folders.
-    """
-
-    MOST_CHANGES = 8
-
-    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def _fs(self):
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
-
-    def _numbers(self, kind: str) -> list[int]:
-        fs, path = self._fs()
-        if not fs.exists(path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
-        return sorted(int(n[2:]) for n in names if n.startswith(f"{kind}=") and fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
-
-    def versions(self) -> list[int]:
-        """Numbers of the whole versions."""
-        return self._numbers("v")
-
-    def changes(self) -> list[int]:
-        """Numbers of the changes since the last whole version."""
-        last = self.versions()[-1:] or [-1]
-        return [n for n in self._numbers("d") if n > last[0]]
-
-    def current(self) -> int:
-        """The number of what ``read`` gives; -1 for nothing."""
-        return max([*self.versions(), *self.changes()], default=-1)
-
-    def read(self) -> DataFrame:
-        found, since = self.versions(), self.changes()
-        whole = self.spark.read.schema(self.schema).parquet(f"{self.path}/v={found[-1]}") if found else self.spark.createDataFrame([], self.schema)
-        if not since:
-            return whole
-        parts = [self.spark.read.schema(f"{self.schema}, gone boolean").parquet(f"{self.path}/d={n}").withColumn("nth", F.lit(n)) for n in since]
-        last = reduce(DataFrame.union, parts).groupBy("id").agg(F.max_by(F.struct(*whole.columns, "gone"), "nth").alias("row"))
-        return whole.join(last.select("id"), "id", "left_anti").select(*whole.columns).union(last.where("NOT row.gone").select("row.*").drop("gone"))
-
-    def write(self, df: DataFrame) -> int:
-        """A whole version."""
-        n, names = self.current() + 1, self.spark.createDataFrame([], self.schema).columns
-        df.select(*names).write.mode("overwrite").parquet(f"{self.path}/v={n}")
-        return n
-
-    def change(self, rows: DataFrame, gone: bool = False) -> int:
-        """Rows to put under their ids (columns that are missing are null), or ids to take out."""
-        if len(self.changes()) >= self.MOST_CHANGES:
-            self.write(self.read())
-            self.retire()
-        empty = self.spark.createDataFrame([], self.schema)
-        n, rows = self.current() + 1, rows.select(*[c for c in rows.columns if c in empty.columns]).dropDuplicates(["id"])
-        empty.unionByName(rows, allowMissingColumns=True).withColumn("gone", F.lit(gone)).write.mode("overwrite").parquet(f"{self.path}/d={n}")
-        return n
-
-    def retire(self, keep: int = 2) -> None:
-        """Deletes all whole versions but the last ones, and the changes before them."""
-        fs, path = self._fs()
-        found = self.versions()
-        for n in found[:-keep]:
-            fs.delete(path(f"{self.path}/v={n}"), True)
-        for n in self._numbers("d"):
-            if found and n < found[-keep:][0]:
-                fs.delete(path(f"{self.path}/d={n}"), True)
-
-
 class ChunkStore:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -99,9 +26,7 @@ class ChunkStore:
         self.table = table("chunks", CHUNKS)
         self.scan_state = table("scan_state", "path string, mtime timestamp, size long")
         self.distill_state = table("distill_state", "last_distill_ts double, last_total_chunks long")
-        self.postings = table("postings", "trigram string, id string, tf long")
-        self.lengths = table("lengths", "id string, dl long")
-        self.indexed = table("indexed", "version long")
+        self.index = LiveIndex(spark, f"{self.folder}/index", self.table)
 
     def chunks(self) -> DataFrame:
         """All chunks; a missing project is '' and missing entities are an empty list."""
@@ -112,59 +37,60 @@ class ChunkStore:
         where = f"{self.folder}/access_log"
         return self.spark.read.schema(ACCESS).parquet(where) if fs.exists(path(where)) else self.spark.createDataFrame([], ACCESS)
 
-    def with_access(self) -> DataFrame:
-        """The chunks with access_count and last_access."""
-        counts = maintenance.access_counts(self.access_log()).withColumnRenamed("chunk_id", "id")
-        return self.chunks().join(counts, "id", "left").withColumn("access_count", F.coalesce("access_count", F.lit(0)))
+    def with_access(self, ids: list[str] | None = None) -> DataFrame:
+        """The chunks, or those of a list of ids that is short enough for a filter on the files, with access_count and last_access."""
+        mine = lambda df, c: df if ids is None else df.where(F.col(c).isin(ids) if ids else F.lit(False))
+        counts = maintenance.access_counts(mine(self.access_log(), "chunk_id")).withColumnRenamed("chunk_id", "id")
+        return mine(self.chunks(), "id").join(counts, "id", "left").withColumn("access_count", F.coalesce("access_count", F.lit(0)))
 
     def record_access(self, hits: DataFrame, now: Column) -> None:
         """Logs one access for each row (id, and query_text if there is one)."""
         text = F.col("query_text") if "query_text" in hits.columns else F.lit(None).cast("string")
         hits.select(F.col("id").alias("chunk_id"), now.alias("accessed_at"), text.alias("query")).write.mode("append").parquet(f"{self.folder}/access_log")
 
+    def _follow(self, number: int) -> int:
+        """The index takes a change in, if there is one."""
+        if self.index.segments():
+            self.index.catch_up()
+        return number
+
     def append(self, rows: DataFrame) -> int:
         """More chunks; a chunk with an id that is there replaces it."""
-        return self.table.change(rows)
+        return self._follow(self.table.change(rows))
 
     def replace(self, rows: DataFrame) -> int:
         """A whole version that is exactly these chunks."""
-        return self.table.write(rows)
+        return self._follow(self.table.write(rows))
 
     def update(self, rows: DataFrame) -> int:
         """Replaces text, vector and metadata of chunks that are there; ids and accesses stay. Unknown ids are left out."""
-        return self.table.change(rows.join(self.chunks().select("id"), "id", "left_semi"))
+        return self._follow(self.table.change(rows.join(self.chunks().select("id"), "id", "left_semi")))
 
     def delete(self, ids: Iterable[str] | DataFrame) -> int:
         """Removes chunks; absent ids are fine."""
-        return self.table.change(ids.select("id") if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "id string"), gone=True)
+        return self._follow(self.table.change(ids.select("id") if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "id string"), gone=True))
 
     def lookup(self, ids: DataFrame) -> DataFrame:
         """The chunks of some ids, with their accesses."""
         return self.with_access().join(ids.select("id").distinct(), "id", "left_semi")
 
     def get(self, key: str) -> dict | None:
-        rows = self.with_access().where(F.col("id") == key).take(1)
+        rows = self.with_access([key]).take(1)
         return rows[0].asDict(recursive=True) if rows else None
 
     def by_project(self, project: str) -> DataFrame:
         return self.chunks().where(F.col("project") == project)
 
     def relabel_unknown(self, **words) -> int:
-        return self.table.write(maintenance.relabel_unknown(self.chunks(), **words))
+        return self._follow(self.table.write(maintenance.relabel_unknown(self.chunks(), **words)))
 
     def rebuild_postings(self) -> int:
-        """Writes the inverted index of the current chunks anew; returns how many postings there are."""
-        now = self.table.current()
-        posts, lengths = fulltext.build_postings(self.chunks())
-        self.postings.write(posts.repartitionByRange("trigram").sortWithinPartitions("trigram"))
-        self.lengths.write(lengths)
-        self.indexed.write(self.spark.createDataFrame([(now,)], "version long"))
-        return self.postings.read().count()
+        """Writes the index of the current chunks anew, from where it follows every change; returns how many rows it has."""
+        return self.index.rebuild()
 
     def has_postings(self) -> bool:
-        """Whether the inverted index is that of the current chunks."""
-        row = self.indexed.read().take(1)
-        return bool(row) and row[0]["version"] == self.table.current()
+        """Whether the index is that of the current chunks."""
+        return self.index.covers()
 
     def stats(self) -> dict:
         return maintenance.stats(self.chunks())

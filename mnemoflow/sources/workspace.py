@@ -1,11 +1,12 @@
-"""The folder for checkpoints that the driver and all executors share."""
+"""The folder for checkpoints that the driver and all executors share, and rows that the driver has."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -23,3 +24,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new folder of that name in the shared one; it is not created yet."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """Rows that the driver has, as a relation of the plan itself: no task turns them from Python objects."""
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))

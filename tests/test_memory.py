@@ -113,13 +113,15 @@ def test_store(spark, tmp_path):
     s.update(spark.createDataFrame([("a", "x3", "q"), ("zz", "no", "q")], rows.schema))
     assert s.get("a")["text"] == "x3" and s.get("a")["access_count"] == 2 and s.get("zz") is None
     s.delete(["b", "absent"])
-    assert s.chunks().count() == 1 and s.by_project("q").count() == 1 and (s.table.versions(), s.table.changes()) == ([], [0, 1, 2, 3])
+    assert s.chunks().count() == 1 and s.by_project("q").count() == 1 and (s.table.versions(), s.table.spans()) == ([3], [])
     for k in range(6):  # small writes cost their own rows, and are gathered into a whole version now and then
         s.append(spark.createDataFrame([("a", f"x{k}", "q")], rows.schema))
-    assert s.table.versions() == [8] and s.table.changes() == [9, 10] and s.get("a")["text"] == "x5" and s.chunks().count() == 1
+    assert s.table.versions() == [3, 7] and s.table.spans() == [(8, 8), (9, 9)] and s.get("a")["text"] == "x5" and s.chunks().count() == 1
+    s.append(spark.createDataFrame([("a", "x6", "q"), ("a", "x8", "q"), ("a", "x7", "q")], rows.schema))
+    assert s.get("a")["text"] == "x8"  # of rows that share an id in one change, the greatest
     s.replace(s.chunks())
     s.table.retire(1)
-    assert s.table.versions() == [11] and not s.table.changes() and s.chunks().count() == 1
+    assert s.table.versions() == [11] and not s.table.spans() and s.chunks().count() == 1
     assert not s.has_postings() and s.rebuild_postings() == 0 and s.has_postings()  # no text of three characters
     s.append(spark.createDataFrame([("u", "2024-01-02 决定 x", "unknown")], "id string, text string, source string"))
     s.relabel_unknown()

@@ -99,8 +99,10 @@ def test_bm25_is_the_formula(spark):
     got = {(r["query_id"], r["id"]): r["score"] for r in fulltext.bm25(df, queries).collect()}
     want = {(k, i): score(q, i) for k, q in queries for i in low if score(q, i)}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
-    posts, lengths = fulltext.build_postings(df)
-    by_index = {(r["query_id"], r["id"]): r["score"] for r in fulltext.bm25_by_postings(posts, lengths, df, queries).collect()}
+    places, lengths = fulltext.places_of(df)
+    found = fulltext.bm25_by_places(places, len(size), average, queries)
+    assert "text#" not in found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0] and {r["id"]: r["dl"] for r in lengths.collect()} == size
+    by_index = {(r["query_id"], r["id"]): r["score"] for r in found.collect()}
     assert by_index.keys() == want.keys() and all(by_index[k] == pytest.approx(want[k]) for k in got)
     assert fulltext.bm25(df.where("false"), queries).count() == 0
 
