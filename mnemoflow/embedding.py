@@ -102,3 +102,17 @@ class Rewriter:
             self.kept = {k: v for k, v in self.kept.items() if now - v[0] < self.ttl}
         self.kept[query] = (now, text)
         return text
+
+    def rewrite(self, text: Column) -> Column:
+        """The same as a column: without a language model in generated code, else each worker asks and keeps its answers."""
+        if self.llm is None:
+            return scalar.rewrite(text)
+        llm, ttl, most = self.llm, self.ttl, self.most
+
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            own = Rewriter(llm, ttl, most)
+            for queries in batches:
+                yield queries.map(lambda q: None if q is None else own.generate(q))
+
+        run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return F.pandas_udf(run, "string")(text)

@@ -29,6 +29,11 @@ def search_width(rows: int, wanted: int = 50, most: int = 200, large: int = 1000
     return min(large_width, rows, most) if rows > large else min(wanted, rows, most)
 
 
+def search_width_of(rows: Column, wanted: int = 50, most: int = 200, large: int = 1000, large_width: int = 25) -> Column:
+    """``search_width`` as a column."""
+    return F.when(rows > large, F.least(F.lit(large_width), rows, F.lit(most))).otherwise(F.least(F.lit(wanted), rows, F.lit(most))).cast("long")
+
+
 def decision(sim: Column, new_source: Column, old_source: Column, new_conf: Column, old_conf: Column, merge_at: float = MERGE_AT, skip_at: float = SKIP_AT) -> Column:
     """insert without a similar row; a summary never replaces details; else the higher confidence wins, ties to the new row."""
     new_level, old_level = scalar.level_of(F.coalesce(new_source, F.lit("unknown"))), scalar.level_of(F.coalesce(old_source, F.lit("unknown")))

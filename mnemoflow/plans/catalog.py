@@ -409,6 +409,12 @@ def dedup_sequential(spark: SparkSession, d: str) -> DataFrame:
     return dedup.decide_in_order(v.mixed(spark, d), v.index(spark, d)).withColumn("similarity", r6("similarity"))
 
 
+@register("search_widths", "SELECT source, count(*) AS n, CASE WHEN count(*) > 100 THEN least(25, count(*), 200) ELSE least(50, count(*), 200) END AS width FROM documents GROUP BY source")
+def search_widths(spark: SparkSession, d: str) -> DataFrame:
+    """How many neighbours a writer looks at in an index of each size."""
+    return maintenance.counts_by(v.chunks(spark, d).withColumn("source", F.coalesce("source", F.lit(""))), "source").where("n > 0").select("source", "n", dedup.search_width_of(F.col("n"), large=100).alias("width"))
+
+
 @register("decision_counts", f"SELECT source_group, decision, count(*) AS n FROM (SELECT id % 4 AS source_group, decision FROM ({_ORACLES['dedup_decide']})) GROUP BY 1, 2")
 def decision_counts(spark: SparkSession, d: str) -> DataFrame:
     return dedup.decision_counts(dedup_decide(spark, d), (F.col("id") % 4).alias("source_group"))
@@ -508,6 +514,21 @@ def store_insert(spark: SparkSession, d: str) -> DataFrame:
     return _stored(store.chunks())
 
 
+_CHANGED = """SELECT CASE WHEN doc_id % 4 = 0 THEN 'new ' || text ELSE text END AS text, doc_id, lang FROM documents WHERE doc_id % 5 <> 2
+  UNION ALL SELECT 'first ' || text, doc_id + 1000000000, lang FROM documents WHERE doc_id % 50 = 0"""
+
+
+@register("bm25_live", _BM25.replace("__WHERE__", "").replace("FROM documents)", f"FROM ({_CHANGED}))") + " SELECT query_id, id, rank, round(score, 6) AS score FROM b WHERE rank < 20")
+def bm25_live(spark: SparkSession, d: str) -> DataFrame:
+    """Searches after updates, deletions and new rows: the stored index has followed each of them, and is not built again."""
+    store = _store(spark, d)
+    store.rebuild_postings()
+    store.update(_keyed(spark, d, "doc_id % 4 = 0", "'new ' || text"))
+    store.delete(_keyed(spark, d, "doc_id % 5 = 2", "text"))
+    store.append(_keyed(spark, d, "doc_id % 50 = 0", "'first ' || text", 1_000_000_000))
+    return _shown_bm25(fulltext.topn(store.index.scores(v.question_list(spark, d), "long").withColumn("id", F.col("id").cast("long"))))
+
+
 @register("store_update", f"SELECT * FROM ({_ROWS}) WHERE id % 4 <> 0 UNION ALL SELECT doc_id, 'new ' || text, lang, 0.25 FROM documents WHERE doc_id % 4 = 0")
 def store_update(spark: SparkSession, d: str) -> DataFrame:
     """Rows that are there get other values; unknown ids are left out."""
@@ -592,10 +613,17 @@ def dir_scan_ignored(spark: SparkSession, d: str) -> DataFrame:
     return found.agg(F.count("*").alias("files"), F.count_if("ignored").alias("ignored"))
 
 
-@register("file_decode", "SELECT n_nationkey, 'A note on ' || n_name || chr(10) AS text FROM nation")
+@register("file_decode", "SELECT n_nationkey, '关于' || n_name || '的笔记' || chr(10) AS text FROM nation")
 def file_decode(spark: SparkSession, d: str) -> DataFrame:
-    """Listed files are opened by their paths and decoded."""
-    found = files.scan(spark, [_note_folder(spark, d)], ("part-*.txt",), (), with_content=False)
+    """Listed files are opened by their paths and decoded: every other one is in GBK."""
+    folder = fresh_folder(spark, "notes")
+    n = v.table(spark, d, "nation")
+    # The bytes of GBK are written as characters of Latin-1, which Spark writes.
+    gbk = lambda text: F.decode(F.lit(text.encode("gbk")), "ISO-8859-1")
+    for encoding, own in (("UTF-8", F.lit), ("ISO-8859-1", gbk)):
+        some = n.where(F.col("n_nationkey") % 2 == (0 if own is F.lit else 1)).select("n_nationkey", F.concat(own("关于"), "n_name", own("的笔记")).alias("value"))
+        some.write.partitionBy("n_nationkey").option("encoding", encoding).csv(f"{folder}/{encoding}")
+    found = files.scan(spark, [folder], ("part-*.csv",), (), with_content=False)
     return files.decode(files.read(spark, [r["path"] for r in found.select("path").collect()])).select(_nation().alias("n_nationkey"), "text")
 
 
@@ -616,12 +644,13 @@ def gold_set(spark: SparkSession, d: str) -> DataFrame:
     return files.gold_set(spark, folder).select("query_id", "query", F.array_join("relevant_ids", ",").alias("relevant"))
 
 
-@register("inline_add", f"SELECT md5(text) AS hash, length(text) AS chars, project, source FROM (SELECT unnest(l) AS text, 'fixed' AS project, 'unknown' AS source FROM (SELECT list_filter(flatten(list(l ORDER BY para)), lambda x: length(x) >= 8 OR regexp_matches(lower(x), 'rag|ann|ivf')) AS l FROM ({_PIECES.replace(v.NOTES, 'SELECT doc_id, text FROM documents')}) GROUP BY doc_id))")
+@register("inline_add", f"""SELECT md5(text) AS hash, length(text) AS chars, 'fixed' AS project, CASE WHEN starts_with(text, '#') THEN 'user-memory' ELSE 'unknown' END AS source
+  FROM (SELECT unnest(l) AS text FROM (SELECT list_filter(flatten(list(l ORDER BY para)), lambda x: length(x) >= 8 OR regexp_matches(lower(x), 'rag|ann|ivf')) AS l FROM ({_PIECES.replace(v.NOTES, 'SELECT doc_id, text FROM documents')}) GROUP BY doc_id))""")
 def inline_add(spark: SparkSession, d: str) -> DataFrame:
-    """Notes through the facade: cut, described, embedded, judged and written."""
+    """Notes through the facade: cut, described, embedded and written; the hash embedder's vectors carry no meaning, so none is judged by them."""
     memory = Memory(spark, fresh_folder(spark, "memory"))
     memory.add_notes(v.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"), "fixed")
-    return memory.store.chunks().select(F.md5(F.col("text").cast("binary")).alias("hash"), F.col("length").cast("long").alias("chars"), "project", F.when(F.col("text").startswith("#"), "unknown").otherwise(F.col("source")).alias("source"))
+    return memory.store.chunks().select(F.md5(F.col("text").cast("binary")).alias("hash"), F.col("length").cast("long").alias("chars"), "project", "source")
 
 
 @register("chunk_metadata", f"""SELECT doc_id, i, length(text) AS length, round(least(0.5::DOUBLE + CASE WHEN length(text) > 50 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN {_DEC} THEN 0.2::DOUBLE ELSE 0 END
@@ -648,12 +677,23 @@ def model_embed(spark: SparkSession, d: str) -> DataFrame:
 
 @register("rewrite_queries", f"SELECT item_id, rewritten, length(rewritten) AS chars FROM ({_ORACLES['mock_hyde']})")
 def rewrite_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Queries of a request, rewritten one by one without a language model."""
-    rewriter = Rewriter()
-    out = spark.createDataFrame([(i, rewriter.generate(q)) for i, q in v.question_list(spark, d)], "item_id long, rewritten string")
+    """Queries rewritten as a column, by the rewriter without a language model."""
+    out = v.questions(spark, d).select(F.col("query_id").alias("item_id"), Rewriter().rewrite(F.col("text")).alias("rewritten"))
     return out.withColumn("chars", F.length("rewritten").cast("long"))
 
 
+@register("rewrite_by_model", "SELECT item_id, CASE WHEN length(text) % 2 = 0 THEN 'about ' || text ELSE rewritten END AS rewritten FROM benchmark JOIN (" + _ORACLES["mock_hyde"] + ") USING (item_id)")
+def rewrite_by_model(spark: SparkSession, d: str) -> DataFrame:
+    """A function stands for the language model; where it fails the template answers."""
+    return v.questions(spark, d).select(F.col("query_id").alias("item_id"), Rewriter(_half_a_model).rewrite(F.col("text")).alias("rewritten"))
+
+
+def _half_a_model(query: str) -> str:
+    if len(query) % 2:
+        raise RuntimeError("no answer")
+    return f"about {query}"
+
+
 @register("sigmoid_scores", "SELECT event_id, round(1 / (1 + exp(-(value - 50) / 10)), 6) AS p FROM events")
 def sigmoid_scores(spark: SparkSession, d: str) -> DataFrame:
     return v.table(spark, d, "events").select("event_id", r6(scalar.sigmoid((F.col("value") - 50) / 10)).alias("p"))
