@@ -4,8 +4,10 @@ Documents are dealt into blocks by a hash of their content. In each block every
 document gets a rolling hash; equal windows of a block are merged before the shuffle, so that a
 passage which a third of all documents share is sent once per block. The distinct hashes travel as
 packed, sorted binaries, cut by hash range into buckets; a bucket's task counts how many blocks hold
-each hash and answers every block with a bit mask. Blocks and buckets are partitions of their own,
-whose number follows the bytes of the corpus. Back at its block each document turns its
+each hash and answers every block with a bit mask. A block sends a message for each bucket that it has a
+hash of, so there are at most as many messages as blocks times buckets, and never more than windows.
+Blocks and buckets follow the bytes of the corpus; up to ``PARTITIONS`` of them are partitions of their
+own, more share partitions, and a task still has one at a time. Back at its block each document turns its
 repeated windows into maximal removal intervals. Text moves once, hashes once, and no group grows
 with the frequency of a passage.
 
@@ -29,6 +31,8 @@ from mnemoflow.llm.textkit import buffers, column_words, give_back, rolling
 
 #: Bytes of text in a block, and of packed hashes in a bucket, on average.
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 24 << 20
+#: Partitions of a shuffle by number at most.
+PARTITIONS = 20_000
 
 
 def _windows(text: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,8 +70,9 @@ def _hash_block(width: int, buckets: int):
         order, new, number = _distinct(one, two)
         a, b = one[order][new], two[order][new]
         twice = np.bincount(number, minlength=len(a)) > 1 if len(a) else np.zeros(0, bool)
-        cut = np.searchsorted(_bucket(a, buckets), np.arange(buckets + 1))
-        rows = [(k, i, j) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+        bucket = _bucket(a, buckets)
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        rows = list(zip(bucket[first].tolist(), first.tolist(), [*first[1:].tolist(), len(a)], strict=True)) if len(a) else []
         return pa.table({
             "block": pa.array([key[0].as_py()] * len(rows), pa.int32()),
             "bucket": pa.array([k for k, _, _ in rows], pa.int32()),
@@ -106,10 +111,10 @@ def _cut_block(width: int, buckets: int, keep_text: bool):
         one, two, row, at = _windows(docs["text"], width)
         order, new, number = _distinct(one, two)
         a = one[order][new]
-        cut = np.searchsorted(_bucket(a, buckets), np.arange(buckets + 1))
+        bucket, asked = _bucket(a, buckets), verdicts["bucket"].to_numpy()
         again = np.zeros(len(a), bool)
-        for k, mask in zip(verdicts["bucket"].to_pylist(), verdicts["mask"].to_pylist(), strict=True):
-            again[cut[k] : cut[k + 1]] = np.unpackbits(np.frombuffer(mask, np.uint8), count=cut[k + 1] - cut[k])
+        for i, j, mask in zip(np.searchsorted(bucket, asked), np.searchsorted(bucket, asked, "right"), verdicts["mask"].to_pylist(), strict=True):
+            again[i:j] = np.unpackbits(np.frombuffer(mask, np.uint8), count=j - i)
         hit = np.empty(len(one), bool)
         hit[order] = again[number]
         row, at = row[hit], at[hit]
@@ -139,6 +144,10 @@ def _cut_block(width: int, buckets: int, keep_text: bool):
     return run
 
 
+def _dealt(df: DataFrame, column: str, n: int) -> DataFrame:
+    return df.repartitionById(n, column) if n <= PARTITIONS else df.repartition(PARTITIONS, column)
+
+
 def substring_dedup(docs: DataFrame, width: int = 35, keep_text: bool = True) -> DataFrame:
     """Removes each word covered by a window of ``width`` words that starts anywhere else as well.
 
@@ -153,11 +162,12 @@ def substring_dedup(docs: DataFrame, width: int = 35, keep_text: bool = True) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks, buckets = max(1, math.ceil(size / BLOCK_BYTES)), max(1, math.ceil(size * 1.8 / BUCKET_BYTES))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartitionById(blocks, "block")
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    docs = _dealt(docs, "block", blocks)
     hashed = docs.groupBy("block").applyInArrow(_hash_block(width, buckets), "block int, bucket int, one binary, two binary, twice binary")
-    counted = hashed.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(_count_bucket, "block int, bucket int, mask binary")
+    counted = _dealt(hashed, "bucket", buckets).groupBy("bucket").applyInArrow(_count_bucket, "block int, bucket int, mask binary")
     schema = "doc_id long, n_words long, n_removed long, " + ("kept_text string" if keep_text else "kept_sha256 string")
-    return docs.groupBy("block").cogroup(counted.repartitionById(blocks, "block").groupBy("block")).applyInArrow(_cut_block(width, buckets, keep_text), schema)
+    return docs.groupBy("block").cogroup(_dealt(counted, "block", blocks).groupBy("block")).applyInArrow(_cut_block(width, buckets, keep_text), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,6 +188,16 @@ def test_line_dedup(mixed_docs, edge, empty):
     assert op8_line_dedup.line_dedup(empty).count() == 0
 
 
+def test_substring_dedup_where_blocks_share_partitions(spark, monkeypatch):
+    """Many blocks and buckets, more than there are partitions."""
+    for name, value in (("BLOCK_BYTES", 4000), ("BUCKET_BYTES", 4000), ("PARTITIONS", 3)):
+        monkeypatch.setattr(op3_substring_dedup, name, value)
+    passage = " ".join(f"p{k}" for k in range(80))
+    docs = [(k, f"{' '.join(f'w{k}x{j}' for j in range(40))} {passage if k % 3 else ''} tail {k}") for k in range(60)]
+    got = rows(op3_substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), keep_text=False), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(brute.substring_dedup(docs), key=repr) and any(r[2] for r in got)
+
+
 def test_line_dedup_compacts_runs_by_default(mixed_docs, monkeypatch):
     """Runs are compacted with the parameters of production, and the number of batches follows the rows."""
     made, init = [], op8_line_dedup.LineRuns.__init__
