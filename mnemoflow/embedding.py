@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import logging
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -58,10 +59,32 @@ class ModelEmbedder:
         return F.pandas_udf(run, "array<double>")(text)
 
 
+def chosen_device(wanted: str) -> str:
+    """The device to load a model on, in the process that loads it; "auto" takes an accelerator if the runtime there has one."""
+    if wanted != "auto":
+        return wanted
+    try:
+        import onnxruntime
+    except ImportError:
+        return "cpu"
+    return "cuda" if "CUDAExecutionProvider" in onnxruntime.get_available_providers() else "cpu"
+
+
 def loaded(name: str, device: str) -> Callable[[], object]:
-    """What ``module:function`` gives for a device, as a function that a worker calls."""
+    """What ``module:function`` gives for a device, as a function that a worker calls. A model that cannot be loaded on its device is loaded on the CPU."""
     module, _, function = name.partition(":")
-    return lambda: getattr(importlib.import_module(module), function)(device)
+
+    def load() -> object:
+        make, at = getattr(importlib.import_module(module), function), chosen_device(device)
+        try:
+            return make(at)
+        except (RuntimeError, ValueError, OSError) as e:
+            if at == "cpu":
+                raise
+            logging.getLogger(__name__).warning("%s cannot be loaded on %s (%s), so on the CPU", name, at, e)
+            return make("cpu")
+
+    return load
 
 
 def embedder_of(settings: dict) -> Embedder:

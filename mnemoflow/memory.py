@@ -204,7 +204,7 @@ class Memory:
         return {"before": n[0], "kept": n[1], "dropped": n[0] - n[1]}
 
     def evaluate(self, gold: DataFrame, top_k: int = 10, timed: int = 10, **options) -> dict:
-        """Mean metrics over a gold set (query_id, query, relevant_ids), and the latency of its first ``timed`` queries, searched one by one; the others come in batches."""
+        """Mean metrics over a gold set (query_id, query, relevant_ids) and those of each query, and the latency of its first ``timed`` queries, searched one by one; the others come in batches."""
         rows = gold.orderBy("query_id").collect()
         found, times = [], []
         for r in rows[:timed]:
@@ -215,7 +215,10 @@ class Memory:
         ranked = [(r["query_id"], h["id"], h["rank"]) for r, hits in zip(rows, found, strict=True) for h in hits]
         metrics = evaluation.per_query(self.spark.createDataFrame(ranked, "query_id string, id string, rank int"), gold)
         ms = evaluation.latency(self.spark.createDataFrame(times, "ms double"), "ms").first() if times else None
-        return evaluation.summary(metrics).first().asDict() | {"latency_p50_ms": ms["p50"] if ms else None, "latency_p95_ms": ms["p95"] if ms else None}
+        asked, least = {r["query_id"]: r["query"] for r in rows}, {r["query_id"]: t for r, (t,) in zip(rows, times, strict=False)}
+        details = [{"query": asked[r["query_id"]], **{k: v for k, v in r.asDict().items() if k != "query_id"}, "latency_ms": least.get(r["query_id"])} for r in metrics.orderBy("query_id").collect()]
+        about = {"date": datetime.now().isoformat(" ", "minutes"), "chunks": self.store.chunks().count(), "details": details}
+        return evaluation.summary(metrics).first().asDict() | {"latency_p50_ms": ms["p50"] if ms else None, "latency_p95_ms": ms["p95"] if ms else None} | about
 
     def health(self) -> dict:
         return maintenance.health(self.store.with_access(), self.settings["large_index_threshold"], self.store.files())

@@ -26,6 +26,7 @@ class ChunkStore:
         self.table = table("chunks", CHUNKS)
         self.scan_state = table("scan_state", "path string, mtime timestamp, size long")
         self.distill_state = table("distill_state", "last_distill_ts double, last_total_chunks long")
+        self.streams = table("streams", "id string, batch long")
         self.index = LiveIndex(spark, f"{self.folder}/index", self.table)
 
     def chunks(self) -> DataFrame:

@@ -85,6 +85,7 @@ def test_search_counts_accesses(spark, notes, tmp_path):
     assert len(m.ask("sqlite RAG", 99)) <= 20
     gold = spark.createDataFrame([("q", "sqlite RAG", [first[0]["id"]])], "query_id string, query string, relevant_ids array<string>")
     figures = m.evaluate(gold)
+    assert figures["chunks"] == m.store.chunks().count() and [d["query"] for d in figures["details"]] == ["sqlite RAG"] and figures["details"][0]["mrr"] == 1.0 and figures["details"][0]["latency_ms"] > 0
     assert figures["recall_1"] == 1.0 and 0 < figures["latency_p50_ms"] <= figures["latency_p95_ms"]
     done = m.run_once([f"file://{notes}"], str(tmp_path / "digest.md"))
     assert "distill" in done and "distill" not in m.run_once([f"file://{notes}"])
@@ -195,3 +196,41 @@ def test_stream(spark, notes, tmp_path):
     (notes / "late_memory.md").write_text("a note that came later than the others")
     watch(m, f"file://{notes}", f"file://{tmp_path}/ck", every=None).awaitTermination()
     assert m.stats()["total"] == 5 and os.path.isdir(tmp_path / "ck")
+
+
+def test_a_batch_that_comes_again_changes_nothing(spark, notes, tmp_path, monkeypatch):
+    """The stream dies after a batch was taken and before its checkpoint says so."""
+    m = Memory(spark, f"file://{tmp_path}/idx", embedder=ModelEmbedder(bag))
+    change = m.store.streams.change
+
+    def dies(rows):
+        change(rows)
+        raise OSError("lost")
+
+    monkeypatch.setattr(m.store.streams, "change", dies)
+    with pytest.raises(Exception, match="lost"):
+        watch(m, f"file://{notes}", f"file://{tmp_path}/ck", every=None).awaitTermination()
+    before, number = sorted(map(repr, m.store.chunks().drop("ts").collect())), m.store.table.current()
+    monkeypatch.setattr(m.store.streams, "change", change)
+    watch(m, f"file://{notes}", f"file://{tmp_path}/ck", every=None).awaitTermination()
+    assert sorted(map(repr, m.store.chunks().drop("ts").collect())) == before and m.store.table.current() == number
+    (notes / "late_memory.md").write_text("a note that came later than the others")
+    watch(m, f"file://{notes}", f"file://{tmp_path}/ck", every=None).awaitTermination()
+    assert m.store.chunks().count() == len(before) + 1
+
+
+def test_devices(monkeypatch):
+    from mnemoflow import embedding
+
+    assert embedding.chosen_device("cuda:1") == "cuda:1" and embedding.chosen_device("auto") in ("cpu", "cuda")
+
+    def make(device):
+        if device != "cpu":
+            raise RuntimeError(f"no {device}")
+        return "model"
+
+    monkeypatch.setattr(embedding, "made_by_test", make, raising=False)
+    assert embedding.loaded("mnemoflow.embedding:made_by_test", "cuda")() == "model"
+    monkeypatch.setattr(embedding, "made_by_test", lambda device: (_ for _ in ()).throw(RuntimeError("broken")))
+    with pytest.raises(RuntimeError, match="broken"):
+        embedding.loaded("mnemoflow.embedding:made_by_test", "cpu")()

@@ -298,6 +298,22 @@ def test_metrics(spark):
     assert got == {g: tuple(sorted(xs)[min(len(xs) - 1, int(len(xs) * p))] for p in (0.5, 0.95)) for g, xs in (("a", [1.0] * 50 + [2.0] * 3 + [9.0]), ("b", [7.0]), ("c", [float(x) for x in range(1, 41)]))}
 
 
+def test_percentiles_of_many_values(spark):
+    """Without groups no task has all values; null groups are groups."""
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", None, "c"]), round(rng.gauss(0, 9), rng.choice([0, 5]))) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    at = lambda xs, p: sorted(xs)[min(len(xs) - 1, int(len(xs) * p))]
+    ps = {"low": 0.0, "mid": 0.5, "high": 0.999, "top": 1.0}
+    whole = evaluation.percentiles(df, "x", (), ps)
+    assert whole.first().asDict() == {k: at([x for _, x in rows], p) for k, p in ps.items()}
+    got = {r["g"]: (r["low"], r["mid"], r["high"], r["top"]) for r in evaluation.percentiles(df, "x", ("g",), ps).collect()}
+    assert got == {g: tuple(at([x for h, x in rows if h == g], p) for p in ps.values()) for g in ("a", None, "c")}
+    assert evaluation.percentiles(df.where("false"), "x").first().asDict() == {"p50": None, "p95": None}
+    page = evaluation.report({"recall_1": 0.5, "date": "2024-01-01", "chunks": 7, "details": [{"query": "a|b", "mrr": 1.0}]})
+    assert "2024-01-01, 7 chunks" in page and "| a\\|b | 1.0000 |" in page and "details" not in page
+
+
 def test_scores_of_a_model_are_kept_and_batched():
     calls = []
 
