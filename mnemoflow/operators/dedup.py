@@ -1,9 +1,9 @@
 """Write-time near-duplicate decisions: insert, merge or skip.
 
 ``decide`` judges a batch against a frozen index. ``decide_in_order`` gives what a strictly sequential
-writer would: two rows can only influence each other if they are similar, so the fold runs on each connected component
-of the similarity graph alone, in the order of the batch. The graph has the pairs that a row of the
-batch is in, compared as blocks of matrices.
+writer would: two rows can only influence each other by rows that are similar to both, so those that wait for
+nothing are decided at the same time, round by round (``rounds``). Pairs that a row of the batch is in are
+found as blocks of matrices.
 """
 
 from __future__ import annotations
@@ -11,15 +11,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoflow.functions import scalar, vocab
+from mnemoflow.functions import scalar
+from mnemoflow.operators import rounds
 from mnemoflow.operators.vector import knn, meet, tiles
 
 MERGE_AT, SKIP_AT = 0.92, 0.85
+#: Pairs whose distances are computed at once.
+PAIRS = 65_536
 
 
 def search_width(rows: int, wanted: int = 50, most: int = 200, large: int = 1000, large_width: int = 25) -> int:
@@ -55,97 +57,75 @@ def decide(batch: DataFrame, index: DataFrame, merge_at: float = MERGE_AT, skip_
 
 
 def _alike(least: float):
+    names = ["a", "b", "far", "sim"]
+
     def compare(ids: pa.Array, vectors: np.ndarray | None):
         if vectors is None:
-            return lambda _: pa.table([pa.array([], pa.string())] * 2, ["a", "b"])
+            return lambda _: pa.table([pa.array([], pa.string())] * 2 + [pa.array([], pa.float64())] * 2, names)
         unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]
-        own, names = unit(vectors), np.array(ids.to_pylist(), object)
+        own, of = unit(vectors), np.array(ids.to_pylist(), object)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, rows in tiles(batches):
                 i, j = np.nonzero(own @ unit(rows).T >= least - 1e-9)
-                a, b = names[i], np.array(part.column(0).to_pylist(), object)[j]
-                fine = np.array([y[0] == "i" or x < y for x, y in zip(a, b, strict=True)], bool)
-                yield pa.RecordBatch.from_arrays([pa.array(a[fine], pa.string()), pa.array(b[fine], pa.string())], ["a", "b"])
+                there = np.array(part.column(0).to_pylist(), object)
+                for at in range(0, len(i), PAIRS):
+                    p, q = i[at : at + PAIRS], j[at : at + PAIRS]
+                    a, b = of[p], there[q]
+                    fine = np.array([y[0] == "i" or x < y for x, y in zip(a, b, strict=True)], bool)
+                    a, b, v, w = a[fine], b[fine], vectors[p[fine]], rows[q[fine]]
+                    sim = (v * w).sum(1) / (np.linalg.norm(v, axis=1) * np.linalg.norm(w, axis=1))
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(((v - w) ** 2).sum(1)), pa.array(sim)], names)
 
         return run
 
     return compare
 
 
+def links(batch: DataFrame, index: DataFrame, least: float) -> DataFrame:
+    """(a, b, far, sim): the pairs of ``similar_pairs`` with their squared distance and cosine."""
+    schema = "a string, b string, far double, sim double"
+    found = meet(batch, index.union(batch), _alike(least), schema)
+    return batch.sparkSession.createDataFrame([], schema) if found is None else found
+
+
 def similar_pairs(batch: DataFrame, index: DataFrame, least: float) -> DataFrame:
     """(a, b) of cosine ``least`` or more, of rows (node, v): each row of the batch with the index, and the batch's own pairs once. Rows of the index are not compared with each other.
 
     Nodes of the batch begin with another letter than those of the index, whose is an i.
     """
-    found = meet(batch, index.union(batch), _alike(least), "a string, b string")
-    return batch.sparkSession.createDataFrame([], "a string, b string") if found is None else found
-
-
-def connected(pairs: DataFrame) -> DataFrame:
-    """(node, component) of the nodes in pairs: smallest reachable node, by minimum labels and pointer jumping."""
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")).checkpoint()
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        new = labels.join(near, "node", "left").select("node", F.least("component", "near").alias("new"), "component")
-        jump = labels.select(F.col("node").alias("new"), F.col("component").alias("far"))
-        new = new.join(jump, "new").select("node", F.least("new", "far").alias("component"), F.col("component").alias("old")).checkpoint()
-        labels = new.select("node", "component")
-        if new.where("component <> old").isEmpty():
-            return labels
-
-
-def fold(rows: pd.DataFrame, merge_at: float, skip_at: float) -> pd.DataFrame:
-    """One component in order: index rows first, then the batch; each decision sees the effects of those before."""
-    rows = rows.sort_values(["in_batch", "ordinal", "node"])
-    given = np.stack([np.asarray(v, float) for v in rows["v"]])
-    vectors, n = np.empty_like(given), 0
-    out, ids, sources, confs = [], [], [], []
-    level = lambda s: vocab.SOURCE_LEVELS.get(s or "unknown", "full")
-    for r, v in zip(rows.itertuples(), given, strict=True):
-        at, sim, verdict = -1, None, "insert"
-        if r.in_batch and n:
-            far = ((vectors[:n] - v) ** 2).sum(1)
-            at = min(np.flatnonzero(far == far.min()).tolist(), key=lambda k: ids[k])
-            norm = np.linalg.norm(vectors[at]) * np.linalg.norm(v)
-            sim = float(vectors[at] @ v / norm) if norm else 0.0
-            if sim >= merge_at:
-                blocked = level(r.source) == "summary" and level(sources[at]) == "full"
-                verdict = "merge" if not blocked and r.confidence >= confs[at] else "skip"
-            elif sim >= skip_at:
-                verdict = "skip"
-        if r.in_batch:
-            met = sim is not None and sim >= skip_at
-            out.append((r.id, verdict, ids[at] if met else None, sim if met else None))
-        if verdict == "insert":
-            vectors[n], n = v, n + 1
-            ids.append(r.id), sources.append(r.source), confs.append(r.confidence)
-        elif verdict == "merge":
-            vectors[at], sources[at], confs[at] = v, r.source, r.confidence
-    return pd.DataFrame(out, columns=["id", "decision", "existing_id", "similarity"])
+    return links(batch, index, least).select("a", "b")
 
 
 def decide_in_order(batch: DataFrame, index: DataFrame, merge_at: float = MERGE_AT, skip_at: float = SKIP_AT) -> DataFrame:
     """(id, decision, existing_id, similarity) as a sequential writer decides; existing_id and similarity are null below ``skip_at``.
 
     batch: id, ordinal (a number or a string that sorts), embedding, source, confidence; index: the same but
-    ordinal. Rows of the batch that are similar to nothing are inserted without Python, and rows of the
-    index that no row of the batch can reach are only compared. Vectors have unit length, as embedders
-    give them, so that the nearest row is the most similar one. One task decides over a group of rows that
-    are similar by chains, as each of its decisions depends on those before.
+    ordinal. Equal vectors of the batch are compared once. Rows of the batch that are similar to nothing,
+    also those without a vector or with one of zeros, are inserted without Python; the others are decided in rounds.
+    Vectors have unit length, as embedders give them, so that the nearest row is the most similar one. Rows of
+    the index without a vector are met by none.
     """
     kinds = dict(batch.dtypes)
-    conf = F.coalesce(F.col("confidence"), F.lit(0.5)).alias("confidence")
-    one = lambda df, flag, ordinal: df.select(F.concat(F.lit("b:" if flag else "i:"), F.col("id").cast("string")).alias("node"), "id", F.col("embedding").cast("array<double>").alias("v"), "source", conf, F.lit(flag).alias("in_batch"), ordinal.alias("ordinal"))
-    new = one(batch, True, F.col("ordinal")).checkpoint()
-    old = one(index, False, F.lit("" if kinds["ordinal"] == "string" else 0).cast(kinds["ordinal"]))
-    labels = connected(similar_pairs(new.select("node", "v"), old.select("node", "v"), skip_at))
     kind = kinds["id"]
-    schema = f"id {kind}, decision string, existing_id {kind}, similarity double"
-    alone = new.join(labels, "node", "left_anti").select("id", F.lit("insert").alias("decision"), F.lit(None).cast(kind).alias("existing_id"), F.lit(None).cast("double").alias("similarity"))
-    groups = old.unionByName(new).join(labels, "node").select("component", "node", "id", "v", "source", "confidence", "in_batch", "ordinal")
-    return alone.union(groups.groupBy("component").applyInPandas(lambda pdf: fold(pdf, merge_at, skip_at), schema))
+    conf = F.coalesce(F.col("confidence"), F.lit(0.5)).alias("confidence")
+    one = lambda df, mark, *more: df.select(F.concat(F.lit(mark), F.col("id").cast("string")).alias("node"), "id", F.col("embedding").cast("array<double>").alias("v"), "source", conf, *more)
+    points = lambda df: df.where("v IS NOT NULL AND exists(v, x -> x <> 0)")
+    new, old = one(batch, "b:", "ordinal").checkpoint(), points(one(index, "i:"))
+    classes = points(new).groupBy("v").agg(F.min("node").alias("c"), F.count("*").alias("same")).checkpoint()
+    found = links(classes.select(F.col("c").alias("node"), "v"), old.select("node", "v"), skip_at).checkpoint()
+    there = found.select(F.col("a").alias("c"), F.col("b").alias("x"), "far", "sim")
+    back = found.where("b NOT LIKE 'i:%'").select(F.col("b").alias("c"), F.col("a").alias("x"), "far", "sim")
+    busy = there.union(back).select("c").union(classes.where("same > 1").select("c")).distinct()
+    own = busy.select("c", F.col("c").alias("x"), F.lit(0.0).alias("far"), F.lit(1.0).alias("sim"))
+    near = there.union(back).union(own).checkpoint()
+    some = points(new).join(classes.select("v", "c"), "v").join(busy, "c", "left_semi").drop("v").checkpoint()
+    alone = new.join(some.select("node"), "node", "left_anti").select("id", F.lit("insert").alias("decision"), F.lit(None).cast(kind).alias("existing_id"), F.lit(None).cast("double").alias("similarity"))
+    if some.isEmpty():
+        return alone
+    met = near.where("x LIKE 'i:%'").select(F.col("x").alias("node")).distinct()
+    slots = old.join(met, "node", "left_semi").select(F.col("node").alias("x"), F.col("id").alias("slot"), "source", "confidence").checkpoint()
+    return alone.union(rounds.decide(some, near, slots, merge_at, skip_at))
 
 
 def changes(batch: DataFrame, decisions: DataFrame) -> DataFrame:

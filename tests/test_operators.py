@@ -1,6 +1,7 @@
 """Segmentation, full text, vectors, fusion, dedup and maintenance."""
 
 import math
+import os
 import random
 import re
 
@@ -191,9 +192,10 @@ def one_writer(index, batch):
     return out
 
 
-@pytest.mark.parametrize("seed,grid", [(0, False), (1, False), (2, True), (3, True)])
-def test_decisions_in_order_are_those_of_one_writer(spark, monkeypatch, seed, grid):
+@pytest.mark.parametrize("seed,grid,most", [(0, False, None), (1, False, 40), (2, True, 15), (3, True, 1)])
+def test_decisions_in_order_are_those_of_one_writer(spark, monkeypatch, seed, grid, most):
     ensure_checkpoint_dir(spark)
+    monkeypatch.setattr(dedup.rounds, "LINKS", most or dedup.rounds.LINKS)
     if grid:
         monkeypatch.setattr(vector, "BATCH", 9)
         monkeypatch.setattr(vector, "BLOCK", 7)
@@ -211,6 +213,46 @@ def test_decisions_in_order_are_those_of_one_writer(spark, monkeypatch, seed, gr
     assert {d for d, _ in have.values()} >= {"insert", "skip"}
 
 
+BATCH_ROW = "id string, ordinal long, embedding array<double>, source string, confidence double"
+
+
+def test_equal_vectors_and_rows_without_one_are_decided_in_order(spark):
+    ensure_checkpoint_dir(spark)
+    a, b = [1.0, 0.0], [0.96, 0.28]
+    batch = [(f"b{k:02d}", k, b if k % 3 == 0 else a, ("user-memory", "workspace-log")[k % 2], (k * 7 % 10) / 10) for k in range(24)]
+    index = [("i2", a, "workspace-log", 0.1), ("i1", a, "workspace-log", 0.1)]
+    odd = [("null", 30, None, None, None), ("zero", 31, [0.0, 0.0], "user-memory", 0.5), ("far", 32, [0.0, -1.0], None, None)]
+    stored = spark.createDataFrame([*index, ("i0", None, None, None)], "id string, embedding array<double>, source string, confidence double")
+    got = dedup.decide_in_order(spark.createDataFrame(batch + odd, BATCH_ROW), stored)
+    have = {r["id"]: (r["decision"], r["existing_id"]) for r in got.collect()}
+    assert have == one_writer(index, batch) | {k: ("insert", None) for k in ("null", "zero", "far")}
+    assert dedup.decide_in_order(spark.createDataFrame([], BATCH_ROW), stored).count() == 0
+
+
+@pytest.mark.parametrize("shuffled", [True, False])
+def test_a_chain_is_decided_in_blocks(spark, monkeypatch, shuffled):
+    """Each row is similar to a few before and after it along a curve; in an order of chance few rounds settle the chain, else as many as blocks at most."""
+    ensure_checkpoint_dir(spark)
+    rng, n = np.random.default_rng(5), 600
+    place = np.cumsum(rng.uniform(0.13, 0.3, n))
+    vectors = np.zeros((n, int(place[-1]) + 2))
+    for v, s in zip(vectors, place, strict=True):
+        v[int(s)], v[int(s) + 1] = math.cos(s % 1 * math.pi / 2), math.sin(s % 1 * math.pi / 2)
+    order = rng.permutation(n) if shuffled else range(n)
+    batch = [(f"b{k:04d}", int(o), v.tolist(), "other", 0.5) for k, (o, v) in enumerate(zip(order, vectors, strict=True))]
+    folders, blocks, cut, named = [], [], dedup.rounds.in_turns, dedup.rounds.fresh_folder
+    monkeypatch.setattr(dedup.rounds, "in_turns", lambda *a: blocks.append(cut(*a)) or blocks[-1])
+    monkeypatch.setattr(dedup.rounds, "fresh_folder", lambda *a: folders.append(named(*a)) or folders[-1])
+    monkeypatch.setattr(dedup.rounds, "LINKS", 400)
+    got = dedup.decide_in_order(spark.createDataFrame(batch, BATCH_ROW), spark.createDataFrame([], "id string, embedding array<double>, source string, confidence double"))
+    have = {r["id"]: (r["decision"], r["existing_id"]) for r in got.collect()}
+    assert have == one_writer([], batch)
+    sizes = [r["count"] for r in blocks[0][0].groupBy("block").count().collect()]
+    took = len(os.listdir(folders[0].removeprefix("file://")))
+    assert blocks[0][1] >= len(sizes) > 5 and max(sizes) <= 150
+    assert took < len(sizes) if shuffled else took <= blocks[0][1]
+
+
 def test_pairs_of_the_index_are_not_compared(spark):
     rows = lambda *names: spark.createDataFrame([(n, [1.0, 0.0]) for n in names], "node string, v array<double>")
     got = sorted(tuple(r) for r in dedup.similar_pairs(rows("b:1", "b:2"), rows("i:1", "i:2"), 0.9).collect())
