@@ -14,6 +14,7 @@ from mnemoflow.operators import chunking, dedup, evaluation, fulltext, maintenan
 from mnemoflow.operators.vector import knn
 from mnemoflow.plans import views as v
 from mnemoflow.sources import files
+from mnemoflow.sources.cells import VectorCells
 from mnemoflow.sources.store import ChunkStore
 from mnemoflow.sources.workspace import ensure_checkpoint_dir, fresh_folder
 
@@ -270,6 +271,14 @@ def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
     return _shown_knn(_others(knn(v.vectors(spark, d).where("label % 2 = 0"), v.probes(spark, d), 11), 10))
 
 
+@register("knn_cells", _ORACLES["knn_topk"])
+def knn_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The same neighbours from a stored index of cells, of which a search reads those that can hold one."""
+    index = VectorCells(spark, fresh_folder(spark, "cells"))
+    index.build(v.vectors(spark, d))
+    return _shown_knn(_others(index.search(v.probes(spark, d), 21), 20))
+
+
 _QTERMS = rf"""SELECT query_id, term, count(*) AS weight FROM (SELECT query_id, lower(unnest(string_split_regex(trim(regexp_replace(text, '[^\p{{L}}\p{{N}}_\s\-]', ' ', 'g')), '\s+'))) AS term FROM ({v.QUESTIONS})) WHERE length(term) >= 3 GROUP BY 1, 2"""
 _BM25 = rf"""WITH d AS MATERIALIZED (SELECT doc_id AS id, lang, lower(text) AS t, lower(lang) AS p FROM documents),
 c AS MATERIALIZED (SELECT count(*)::DOUBLE AS n, avg(greatest(length(t) - 2, 0) + greatest(length(p) - 2, 0)) AS a FROM d),
