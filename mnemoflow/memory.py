@@ -17,6 +17,7 @@ from mnemoflow.embedding import Embedder, Rewriter, embedder_of
 from mnemoflow.operators import chunking, dedup, evaluation, fulltext, maintenance, retrieval
 from mnemoflow.operators.vector import knn
 from mnemoflow.sources import config, files
+from mnemoflow.sources.scores import StoredScores
 from mnemoflow.sources.store import ChunkStore
 from mnemoflow.sources.workspace import ensure_checkpoint_dir, local_rows
 
@@ -43,7 +44,7 @@ def clamp_results(top_k: int) -> int:
 
 
 class Memory:
-    def __init__(self, spark: SparkSession, index_dir: str, embedder: Embedder | None = None, scorer: retrieval.Scorer | None = None, rewriter: Rewriter | None = None, settings: dict | None = None) -> None:
+    def __init__(self, spark: SparkSession, index_dir: str, embedder: Embedder | None = None, scorer: retrieval.Scorer | StoredScores | None = None, rewriter: Rewriter | None = None, settings: dict | None = None) -> None:
         ensure_checkpoint_dir(spark)
         self.spark, self.settings = spark, settings or config.load(env={})
         self.store = ChunkStore(spark, index_dir)

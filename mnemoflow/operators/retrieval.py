@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from mnemoflow.embedding import loaded
 from mnemoflow.functions import scalar
+from mnemoflow.sources.scores import StoredScores
 from mnemoflow.sources.workspace import ensure_checkpoint_dir
 
 RRF_K, TAU_DAYS, CANDIDATES, RERANK_TOP = 30, 90.0, 20, 20
@@ -98,10 +99,10 @@ def weigh(hits: DataFrame, now: Column, tau_days: float = TAU_DAYS, use_decay: b
     return hits.withColumn("decay_factor", factor).withColumn("score", F.col("rrf_score") * F.col("decay_factor") * weight)
 
 
-def rerank(hits: DataFrame, queries: DataFrame, scorer: Scorer | None = None, top: int = RERANK_TOP, max_length: int = 512, on_error: str = "keep") -> DataFrame:
+def rerank(hits: DataFrame, queries: DataFrame, scorer: Scorer | StoredScores | None = None, top: int = RERANK_TOP, max_length: int = 512, on_error: str = "keep") -> DataFrame:
     """Adds rerank_score to the first ``top`` hits of each query (0 for others).
 
-    Documents are cut to the scorer's room. If scoring fails with a runtime, value or system error, the
+    Documents are cut to the scorer's room. Stored scores are looked up and completed when this is called. If scoring fails with a runtime, value or system error, the
     fused order stays (on_error "keep") or the error is raised.
     """
     scorer = scorer or OverlapScorer()
@@ -121,7 +122,11 @@ def rerank(hits: DataFrame, queries: DataFrame, scorer: Scorer | None = None, to
 
     run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
     score = F.pandas_udf(run, "double")
-    first = ranked.where(F.col("fused_rank") < top).withColumn("rerank_score", score(F.col("query"), scalar.rerank_cut(F.col("text"), max_length)))
+    first, cut = ranked.where(F.col("fused_rank") < top), scalar.rerank_cut(F.col("text"), max_length)
+    if isinstance(scorer, StoredScores):
+        first = scorer.score(first.withColumn("document", cut), on_error=on_error, name="rerank_score").drop("document")
+    else:
+        first = first.withColumn("rerank_score", score(F.col("query"), cut))
     rest = ranked.where(F.col("fused_rank") >= top).withColumn("rerank_score", F.lit(0.0))
     return first.unionByName(rest).drop("query", "fused_rank")
 

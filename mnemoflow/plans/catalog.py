@@ -15,6 +15,7 @@ from mnemoflow.operators.vector import knn
 from mnemoflow.plans import views as v
 from mnemoflow.sources import files
 from mnemoflow.sources.cells import VectorCells
+from mnemoflow.sources.scores import StoredScores
 from mnemoflow.sources.store import ChunkStore
 from mnemoflow.sources.workspace import ensure_checkpoint_dir, fresh_folder
 
@@ -389,6 +390,19 @@ def hybrid_rerank(spark: SparkSession, d: str) -> DataFrame:
     return _hybrid(spark, d, reranker=lambda h: retrieval.rerank(h, asked)).drop("decay_factor")
 
 
+@register("stored_scores", r"""SELECT conv_id, turn, round(1 / (1 + exp(-(8::DOUBLE * len(list_filter(qs, lambda w: list_contains(ds, w))) / greatest(1, len(qs)) - 4))), 6) AS score, 0::BIGINT AS scored_again
+  FROM (SELECT a.conv_id, a.turn, list_filter(list_distinct(string_split_regex(lower(a.text), '\s+')), lambda w: w <> '') AS qs, string_split_regex(lower(b.text), '\s+') AS ds
+    FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)""")
+def stored_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn scored with the next one, twice; the second time all scores are in the table."""
+    c = v.table(spark, d, "conversations")
+    turns = c.select("conv_id", "turn", F.col("text").alias("query")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("document")), ["conv_id", "turn"])
+    table = StoredScores(spark, fresh_folder(spark, "scores"), "overlap", lambda: lambda pairs: [retrieval.OverlapScorer().score(q, [t])[0] for q, t in pairs])
+    table.add(turns)
+    again = table.missing(turns).count()
+    return table.score(turns).select("conv_id", "turn", r6("score").alias("score"), F.lit(again).cast("long").alias("scored_again"))
+
+
 # -- write-time dedup --------------------------------------------------------------------------------
 @register("dedup_decide", f"""WITH m AS MATERIALIZED ({v.MIXED}), i AS MATERIALIZED ({v.INDEX}),
 n AS MATERIALIZED (SELECT m.id, m.source AS s, m.confidence AS c, i.id AS existing_id, i.source AS os, i.confidence AS oc, list_cosine_similarity(m.embedding, i.embedding) AS similarity,
