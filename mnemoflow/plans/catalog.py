@@ -18,6 +18,7 @@ from mnemoflow.sources.cells import VectorCells
 from mnemoflow.sources.scores import StoredScores
 from mnemoflow.sources.store import ChunkStore
 from mnemoflow.sources.workspace import ensure_checkpoint_dir, fresh_folder
+from mnemoflow.streaming import access
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -78,6 +79,18 @@ def access_log_rollup(spark: SparkSession, d: str) -> DataFrame:
     return maintenance.access_counts(log).select("chunk_id", "access_count", F.unix_millis("last_access").alias("last_access_ms"))
 
 
+@register("access_windows", """WITH e AS (SELECT event_id % 200 AS chunk_id, ts::TIMESTAMP AS t FROM events), m AS (SELECT max(t) - INTERVAL 36 HOUR AS mark FROM e)
+  SELECT chunk_id::VARCHAR AS chunk_id, count(*) AS access_count, epoch_us(max(t)) // 1000 AS last_access_ms, count(*) FILTER (WHERE date_trunc('day', t) + INTERVAL 1 DAY <= mark) AS in_windows FROM e, m GROUP BY 1""")
+def access_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Accesses counted by a stream over the log, by days that are over for a day and a half; with the log's later rows."""
+    own = lambda df: df.select((F.col("event_id") % 200).cast("string").alias("chunk_id"), F.col("ts").cast("timestamp").alias("accessed_at"))
+    folder, events = fresh_folder(spark, "access"), v.table(spark, d, "events")
+    access.roll_up(own(spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet")), f"{folder}/windows", f"{folder}/checkpoint", "36 hours")
+    closed = access.read_windows(spark, f"{folder}/windows")
+    all_of = access.counts(own(events), closed).join(closed.groupBy("chunk_id").agg(F.sum("access_count").alias("in_windows")), "chunk_id", "left")
+    return all_of.select("chunk_id", "access_count", F.unix_millis("last_access").alias("last_access_ms"), F.coalesce("in_windows", F.lit(0).cast("long")).alias("in_windows"))
+
+
 # -- scalar functions --------------------------------------------------------------------------------
 _DEC = " OR ".join(f"contains(lower(text), '{w}')" for w in v.DECISIONS)
 

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from mnemoflow.operators import maintenance
 from mnemoflow.sources.folders import VersionedTable
 from mnemoflow.sources.live_index import LiveIndex
+from mnemoflow.streaming import access
 
 CHUNKS = "id string, text string, ts timestamp, project string, source string, confidence double, entities array<string>, length int, embedding array<double>, block_type string, json_key string, memory_type string"
+WINDOWS = "access_windows"
 ACCESS = "chunk_id string, accessed_at timestamp, query string"
 
 
@@ -33,15 +35,28 @@ class ChunkStore:
         """All chunks; a missing project is '' and missing entities are an empty list."""
         return self.table.read().withColumns({"project": F.coalesce("project", F.lit("")), "entities": F.coalesce("entities", F.array().cast("array<string>"))})
 
-    def access_log(self) -> DataFrame:
+    def _has(self, name: str) -> bool:
         fs, path = self.table._fs()
-        where = f"{self.folder}/access_log"
-        return self.spark.read.schema(ACCESS).parquet(where) if fs.exists(path(where)) else self.spark.createDataFrame([], ACCESS)
+        return fs.exists(path(f"{self.folder}/{name}"))
+
+    def access_log(self) -> DataFrame:
+        return self.spark.read.schema(ACCESS).parquet(f"{self.folder}/access_log") if self._has("access_log") else self.spark.createDataFrame([], ACCESS)
+
+    def roll_up_access(self, late: str = "1 hour", every: str = "1 day") -> None:
+        """Counts what is new in the log by windows of time; from then on counts are read from them, and of the log only what is later. One run at a time."""
+        if self._has("access_log"):
+            log = self.spark.readStream.schema(ACCESS).parquet(f"{self.folder}/access_log")
+            access.roll_up(log, f"{self.folder}/{WINDOWS}", f"{self.folder}/{WINDOWS}_checkpoint", late, every)
+
+    def access_windows(self) -> DataFrame:
+        return access.read_windows(self.spark, f"{self.folder}/{WINDOWS}")
 
     def with_access(self, ids: list[str] | None = None) -> DataFrame:
         """The chunks, or those of a list of ids that is short enough for a filter on the files, with access_count and last_access."""
         mine = lambda df, c: df if ids is None else df.where(F.col(c).isin(ids) if ids else F.lit(False))
-        counts = maintenance.access_counts(mine(self.access_log(), "chunk_id")).withColumnRenamed("chunk_id", "id")
+        log = self.access_log()
+        found = access.counts(log, self.access_windows(), mine) if self._has(f"{WINDOWS}/_spark_metadata") else maintenance.access_counts(mine(log, "chunk_id"))
+        counts = found.withColumnRenamed("chunk_id", "id")
         return mine(self.chunks(), "id").join(counts, "id", "left").withColumn("access_count", F.coalesce("access_count", F.lit(0)))
 
     def record_access(self, hits: DataFrame, now: Column) -> None:
