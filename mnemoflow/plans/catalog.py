@@ -85,7 +85,7 @@ def access_windows(spark: SparkSession, d: str) -> DataFrame:
     """Accesses counted by a stream over the log, by days that are over for a day and a half; with the log's later rows."""
     own = lambda df: df.select((F.col("event_id") % 200).cast("string").alias("chunk_id"), F.col("ts").cast("timestamp").alias("accessed_at"))
     folder, events = fresh_folder(spark, "access"), v.table(spark, d, "events")
-    access.roll_up(own(spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet")), f"{folder}/windows", f"{folder}/checkpoint", "36 hours")
+    access.roll_up(own(spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")), f"{folder}/windows", f"{folder}/checkpoint", "36 hours")
     closed = access.read_windows(spark, f"{folder}/windows")
     all_of = access.counts(own(events), closed).join(closed.groupBy("chunk_id").agg(F.sum("access_count").alias("in_windows")), "chunk_id", "left")
     return all_of.select("chunk_id", "access_count", F.unix_millis("last_access").alias("last_access_ms"), F.coalesce("in_windows", F.lit(0).cast("long")).alias("in_windows"))
