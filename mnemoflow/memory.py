@@ -160,12 +160,10 @@ class Memory:
         """The best chunks of each query by its words: (query_id, id, rank). A stored index takes in first what it has missed."""
         if self.found.index.segments():
             self.found.index.catch_up()
-            scored = self.found.index.scores(asked, "long")
+            best = self.found.index.best(asked, candidates, "long", self.found.by_project(project) if project else None)
         else:
-            scored = fulltext.bm25(self.found.chunks(), asked, id_type="long")
-        if project:
-            scored = scored.join(self.found.by_project(project).select("id"), "id", "left_semi")
-        return [tuple(r) for r in fulltext.topn(scored, candidates).select("query_id", "id", "rank").collect()]
+            best = fulltext.bm25_top(self.found.chunks(), asked, candidates, id_type="long", where=F.col("project") == project if project else None)
+        return [tuple(r) for r in best.select("query_id", "id", "rank").collect()]
 
     # -- maintenance -------------------------------------------------------------------------------
     def stats(self) -> dict:

@@ -174,3 +174,32 @@ def test_places_of_little(spark, texts):
     df = spark.createDataFrame([(str(k), t, None, None) for k, t in enumerate(texts)], ROWS)
     places, lengths = fulltext.places_of(df)
     assert places.count() == 0 and lengths.count() == len(texts)
+
+
+def test_the_index_is_no_larger_than_the_texts(spark):
+    """A row for each word and block, none for each trigram and chunk; a batch of many phrases and a small one find the same."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    rows = [(f"n{k}", " ".join(rng.choice(words) for _ in range(300)), "p", None) for k in range(300)]
+    store = ChunkStore(spark, fresh_folder(spark, "live"))
+    store.append(spark.createDataFrame(rows, ROWS))
+    store.rebuild_postings()
+    assert store.table.size(store.index.path) < sum(len(r[1]) for r in rows)
+    asked = [(f"q{k}", " ".join(words[100 * k : 100 * k + 100])) for k in range(25)]
+    found = lambda df: {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 9)) for r in df.collect()}
+    many = found(store.index.best(asked, 5))
+    assert many == found(fulltext.topn(fulltext.bm25(store.chunks(), asked), 5)) and len(many) == 125
+    one = found(store.index.best(asked[:1], 5, wanted=store.chunks().where("id < 'n2'").select("id")))
+    assert one == found(fulltext.topn(fulltext.bm25(store.chunks(), asked[:1]).where("id < 'n2'"), 5))
+
+
+def test_merged_segments_lose_hidden_chunks(spark):
+    store = ChunkStore(spark, fresh_folder(spark, "live"))
+    for k in range(5):
+        store.append(spark.createDataFrame([(f"n{i}", f"shared word{k}a", "p", None) for i in range(k, 6)], ROWS))
+        if not k:
+            store.rebuild_postings()
+    assert len(store.index.segments()) < 5
+    places = store.index._read("places", "token string, block long, docs array<int>, times array<int>, ids array<string>, dls array<long>", store.index.segments()[:1])
+    assert places.where("token = 'shared'").selectExpr("sum(size(docs))").first()[0] == 6
+    assert {r["id"] for r in store.index.scores([("q", "word1a")]).collect()} == {"n1"} and len(rounded(store.index.scores([("q", "shared")]))) == 6

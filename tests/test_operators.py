@@ -108,6 +108,24 @@ def test_bm25_is_the_formula(spark):
     assert fulltext.bm25(df.where("false"), queries).count() == 0
 
 
+def test_best_of_bm25_shuffles_no_row_for_each_match(spark, monkeypatch):
+    """The best k with copies beyond k, ties and a condition; tasks give the best of theirs alone."""
+    rng = np.random.default_rng(4)
+    words = ["alpha", "beta", "gammabeta", "deltadelta", "eps", "zeta", "向量检索"]
+    texts = ["alpha beta eps"] * 700 + [" ".join(rng.choice(words, rng.integers(0, 9))) for _ in range(800)] + [None, ""]
+    df = spark.createDataFrame([(i, t, "pq"[i % 2]) for i, t in enumerate(texts)], "id long, text string, project string").repartition(3)
+    asked = [(k, " ".join(rng.choice(words, 3))) for k in range(12)] + [(99, "nothing-there")]
+    shown = lambda x: sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in x.collect())
+    every = fulltext.bm25(df, asked, id_type="long")
+    for size in (fulltext.CELLS, 200):
+        monkeypatch.setattr(fulltext, "CELLS", size)
+        assert shown(fulltext.bm25_top(df, asked, 7, id_type="long")) == shown(fulltext.topn(every, 7))
+        assert shown(fulltext.bm25_top(df, asked, 7, id_type="long", where=F.col("project") == "p")) == shown(fulltext.topn(every.where("id % 2 = 0"), 7))
+    monkeypatch.setattr(fulltext, "topn", lambda scored, k: scored)
+    sent = fulltext.bm25_top(df, asked, 7, id_type="long")
+    assert sent.count() <= sent.rdd.getNumPartitions() * 7 * 13 < every.count()
+
+
 def test_knn(spark, monkeypatch):
     rng = np.random.default_rng(0)
     v, q = rng.normal(size=(500, 8)), rng.normal(size=(3, 8))
