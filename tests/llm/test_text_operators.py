@@ -280,6 +280,22 @@ def test_line_runs_are_compacted(spark):
     assert got[1, 1] == (5, 10) and got[3, 7] == (1, 7)
 
 
+def test_runs_are_written_by_few_tasks(spark):
+    """With many shuffle partitions a run still has a few files for each bucket."""
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        runs = op8_line_dedup.LineRuns(4)
+        for k in range(2):
+            runs.add(spark.range(2000).selectExpr("id AS k1", "id % 7 AS k2", f"id + {k} AS doc_id"))
+        assert all(len(t.df.inputFiles()) <= 4 * 4 for t in runs.tables)
+        assert {(r["n"]) for r in runs.merged().collect()} == {2}
+    finally:
+        for c, x in old.items():
+            spark.conf.set(c, x)
+
+
 def test_quality_rules(mixed_docs, empty):
     got = {}
     for r in op7_quality_rules.quality_rules(mixed_docs).collect():
