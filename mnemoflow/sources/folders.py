@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 FANOUT, LIKE = 4, 2.0
 #: Seconds after which a number that was taken and never written counts as given up, and for which a folder that others cover stays, for those who read it.
 GIVEN_UP, GRACE = 3600, 600
+#: Changed ids that go to all tasks at most, and bytes of changes below which they are not counted for that.
+KEYS, UNCOUNTED = 500_000, 4 << 20
 
 
 def spans(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -25,6 +27,12 @@ def spans(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def matching(rows: DataFrame, ids: DataFrame, few: bool, how: str) -> DataFrame:
+    """rows with (left_semi) or without (left_anti) some ids, null being an id; few ids go to all tasks, so that rows are not shuffled."""
+    there = ids.select(F.col("id").alias("there"))
+    return rows.join(F.broadcast(there) if few else there, F.col("id").eqNullSafe(F.col("there")), how)
+
+
 def like_size(sized: list[tuple[tuple[int, int], int]]) -> list[tuple[int, int]]:
     """The last ``FANOUT`` or more ranges, if the first of them is not much larger than those after it."""
     for k in range(len(sized) - FANOUT, -1, -1):
@@ -52,6 +60,7 @@ class VersionedTable:
 
     def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self._rows: dict[tuple[int, int], int] = {}
 
     # -- folders -----------------------------------------------------------------------------------
     def _fs(self):
@@ -92,11 +101,15 @@ class VersionedTable:
         """The number of what ``read`` gives; -1 for nothing."""
         return max([*self.versions(), *(b for _, b in self.done(self.path, "d="))], default=-1)
 
-    def _publish(self, df: DataFrame, name: str) -> int:
-        """Writes df and puts it under the next free number; ``name`` has the folder's name for a number."""
-        fs, path = self._fs()
+    def _draft(self, df: DataFrame) -> str:
+        """Writes df into a folder that does not count."""
         draft = f"{self.path}/_draft-{uuid.uuid4().hex}"
         df.write.parquet(draft)
+        return draft
+
+    def _publish(self, draft: str, name: str) -> int:
+        """Puts a draft under the next free number; ``name`` has the folder's name for a number."""
+        fs, path = self._fs()
         fs.mkdirs(path(f"{self.path}/_numbers"))
         while True:
             n = max([self.current(), *(int(x) for x in self._names(f"{self.path}/_numbers") if x.isdigit())]) + 1
@@ -130,33 +143,51 @@ class VersionedTable:
         """The rows of a range of changes, and ``gone``."""
         return self.spark.read.schema(f"{self.schema}, gone boolean").parquet(f"{self.path}/d={a}-{b}")
 
-    def _latest(self, some: list[tuple[int, int]]) -> DataFrame:
-        """The latest row of each id in some ranges of changes, gone ones too."""
-        parts = [self.change_rows(a, b).withColumn("nth", F.lit(b)) for a, b in some]
-        if len(parts) == 1:
-            return parts[0].drop("nth")
-        names = [c for c in parts[0].columns if c != "nth"]
-        return reduce(DataFrame.union, parts).groupBy("id").agg(F.max_by(F.struct(*names), "nth").alias("row")).select("row.*")
-
-    def read(self) -> DataFrame:
-        found, since = self.versions(), self.spans()
-        whole = self.whole(found[-1]) if found else self.spark.createDataFrame([], self.schema)
-        if not since:
-            return whole
-        last = self._latest(since)
-        new = last.where("NOT gone").drop("gone")
-        return whole.join(last.select("id"), "id", "left_anti").select(*whole.columns).union(new) if found else new
+    def _few(self, some: list[tuple[int, int]]) -> bool:
+        """Whether some ranges of changes have so few ids that all tasks can have them."""
+        if sum(self.size(f"{self.path}/d={a}-{b}") for a, b in some) <= UNCOUNTED:
+            return True
+        for s in some:
+            if s not in self._rows:
+                self._rows[s] = self.change_rows(*s).count()
+        return sum(self._rows[s] for s in some) <= KEYS
+
+    def _without(self, rows: DataFrame, some: list[tuple[int, int]]) -> DataFrame:
+        """rows whose id is in none of some ranges of changes."""
+        return matching(rows, reduce(DataFrame.union, [self.change_rows(*s).select("id") for s in some]), self._few(some), "left_anti") if some else rows
+
+    def _latest(self, some: list[tuple[int, int]], *columns: str) -> DataFrame:
+        """The latest row of each id in some ranges of changes, oldest first, gone ones too. An id is in a range once, so rows are those of a range without the ids of later ones."""
+        parts = [self.change_rows(*s).select(*(columns or ("*",)), *(("gone",) if columns else ())) for s in some]
+        return reduce(DataFrame.union, [self._without(p, some[k + 1 :]) for k, p in enumerate(parts)])
+
+    def read(self, *columns: str) -> DataFrame:
+        """The rows as they are now, or some of their columns, with id."""
+        return self._content(self.spans(), *columns)
 
     def write(self, df: DataFrame) -> int:
         """A whole version, which is exactly these rows."""
-        return self._publish(df.select(*self.spark.createDataFrame([], self.schema).columns), "v={}")
+        return self._publish(self._draft(df.select(*self.spark.createDataFrame([], self.schema).columns)), "v={}")
 
     def change(self, rows: DataFrame, gone: bool = False) -> int:
-        """Rows to put under their ids (columns that are missing are null), or ids to take out. Of rows that share an id the greatest counts, by their columns in order."""
+        """Rows to put under their ids (columns that are missing are null), or ids to take out. Of rows that share an id the greatest counts, by their columns in order.
+
+        Rows are written as they come, and only those that turn out to share an id are shuffled and written again with the others.
+        """
         empty = self.spark.createDataFrame([], self.schema)
         names = [c for c in empty.columns if c in rows.columns]
-        one = rows.groupBy("id").agg(F.max(F.struct(*names)).alias("row")).select("row.*") if len(names) > 1 else rows.select("id").distinct()
-        n = self._publish(empty.unionByName(one, allowMissingColumns=True).withColumn("gone", F.lit(gone)), "d={0}-{0}")
+        shaped = lambda df: empty.unionByName(df.select(*names), allowMissingColumns=True).withColumn("gone", F.lit(gone))
+        if len(names) == 1:
+            draft = self._draft(shaped(rows.select("id").distinct()))
+        else:
+            draft = self._draft(shaped(rows))
+            written = self.spark.read.schema(f"{self.schema}, gone boolean").parquet(draft)
+            again = written.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+            if shared := again.limit(KEYS + 1).count():
+                one = matching(written, again, shared <= KEYS, "left_semi").groupBy("id").agg(F.max(F.struct(*names)).alias("row")).select("row.*")
+                first, draft = draft, self._draft(matching(written, again, shared <= KEYS, "left_anti").union(shaped(one)))
+                self.delete_folder(first)
+        n = self._publish(draft, "d={0}-{0}")
         self._tidy()
         return n
 
@@ -179,18 +210,20 @@ class VersionedTable:
             df, name = self._latest(merged), f"d={merged[0][0]}-{merged[-1][1]}"
         else:
             return
-        draft = f"{self.path}/_draft-{uuid.uuid4().hex}"
-        df.write.parquet(draft)
+        draft = self._draft(df)
         if fs.exists(path(f"{self.path}/{name}")) or not fs.rename(path(draft), path(f"{self.path}/{name}")):
             self.delete_folder(draft)  # another writer has done the same
         if name.startswith("v="):
             self.retire(age=GRACE)
 
-    def _content(self, some: list[tuple[int, int]]) -> DataFrame:
-        found, last = self.versions(), self._latest(some)
-        new = last.where("NOT gone").drop("gone")
-        whole = self.whole(found[-1]) if found else None
-        return new if whole is None else whole.join(last.select("id"), "id", "left_anti").select(*whole.columns).union(new)
+    def _content(self, some: list[tuple[int, int]], *columns: str) -> DataFrame:
+        """The rows after some ranges of changes since the last whole version, or some of their columns."""
+        found = self.versions()
+        whole = (self.whole(found[-1]) if found else self.spark.createDataFrame([], self.schema)).select(*(columns or ("*",)))
+        if not some:
+            return whole
+        new = self._latest(some, *columns).where("NOT gone").drop("gone")
+        return self._without(whole, some).union(new) if found else new
 
     def retire(self, keep: int = 2, age: float = 0) -> None:
         """Deletes all whole versions but the last ones, and the changes before them, if they are as old as that."""

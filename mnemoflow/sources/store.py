@@ -80,7 +80,7 @@ class ChunkStore:
 
     def update(self, rows: DataFrame) -> int:
         """Replaces text, vector and metadata of chunks that are there; ids and accesses stay. Unknown ids are left out."""
-        return self._follow(self.table.change(rows.join(self.chunks().select("id"), "id", "left_semi")))
+        return self._follow(self.table.change(rows.join(self.table.read("id"), "id", "left_semi")))
 
     def delete(self, ids: Iterable[str] | DataFrame) -> int:
         """Removes chunks; absent ids are fine."""

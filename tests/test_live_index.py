@@ -56,6 +56,32 @@ def test_ranges():
     assert like_size(sized(1000, 1, 1, 1, 1)) == [(1, 1), (2, 2), (3, 3), (4, 4)] and like_size(sized(3, 1, 1, 1)) == [(0, 0), (1, 1), (2, 2), (3, 3)]
 
 
+def written(spark):
+    """Bytes that all stages have shuffled so far."""
+    context = spark.sparkContext
+    found = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(found.apply(k).shuffleWriteBytes() for k in range(found.size()))
+
+
+def test_changes_shuffle_ids_and_not_rows(spark, monkeypatch):
+    """Appending, updating and reading; rows that share an id are brought together, whether ids go to all tasks or not."""
+    text = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"{k}")), 512) for k in range(8)])
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("id"), text.alias("text"))
+    before, t = written(spark), VersionedTable(spark, fresh_folder(spark, "changes"), "id string, text string")
+    t.change(rows)
+    t.change(rows.where("id % 3 = 0").withColumn("text", F.concat(F.lit("new "), "text")))
+    assert t.read().where("text LIKE 'new %'").count() == 1000 and t.read().count() == 3000 and t.read("id").columns == ["id"]
+    assert written(spark) - before < 500_000  # the texts are 3 MB
+    for keys, uncounted in ((folders.KEYS, folders.UNCOUNTED), (1, 0)):
+        monkeypatch.setattr(folders, "KEYS", keys)
+        monkeypatch.setattr(folders, "UNCOUNTED", uncounted)
+        t = VersionedTable(spark, fresh_folder(spark, "changes"), "id string, text string")
+        t.change(spark.createDataFrame([("a", "1"), ("a", "3"), ("a", "2"), ("b", "1"), (None, "x"), (None, "y"), ("c", None), ("c", "0")], "id string, text string"))
+        t.change(spark.createDataFrame([("b", "2"), (None, "z")], "id string, text string"))
+        t.change(spark.createDataFrame([("c",), ("d",)], "id string"), gone=True)
+        assert sorted(map(repr, map(tuple, t.read().collect()))) == ["('a', '3')", "('b', '2')", "(None, 'z')"]
+
+
 def test_index_follows_every_change(spark):
     """After appends, updates, deletions, a replaced table and merges, without a rebuild: scores of the stored index, of a scan and of the formula are the same."""
     rng = random.Random(8)
