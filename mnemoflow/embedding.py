@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import importlib
 import logging
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +34,30 @@ class HashEmbedder:
     def embed(self, text: Column) -> Column:
         return scalar.hash_embed(text, self.dim)
 
+    def embed_many(self, text: Column) -> Column:
+        """The same vectors, for many rows: each text is hashed once, and its hash continued for every position."""
+        ends = [f":{i}".encode() for i in range(self.dim)]
+
+        def first_bytes(text: str) -> bytes:
+            own, out = hashlib.md5(text.encode("utf-8", "surrogatepass")), bytearray()
+            for end in ends:
+                one = own.copy()
+                one.update(end)
+                out += one.digest()[:1]
+            return bytes(out)
+
+        def run(texts: pd.Series) -> pd.Series:
+            there = texts.notna().to_numpy()
+            v = np.frombuffer(b"".join(map(first_bytes, texts[there])), np.uint8).reshape(-1, len(ends)) / 255 - 0.5
+            total = np.zeros(len(v))
+            for k in range(len(ends)):  # added up in the order of the positions, like the column
+                total += v[:, k] * v[:, k]
+            found = iter(v / np.sqrt(total)[:, None])
+            return pd.Series([next(found) if t else None for t in there], dtype=object)
+
+        run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+        return F.pandas_udf(run, "array<double>")(text)
+
 
 class ModelEmbedder:
     """Any model: ``load`` runs once in each worker and gives a function from a list of texts to vectors, which are normalised here."""

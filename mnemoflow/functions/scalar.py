@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from mnemoflow.functions import vocab
 
-#: Unicode white space at both ends, as Python's strip() has it.
-_ENDS = r"(?U)^\s+|\s+$"
+#: Unicode white space, which is taken off at both ends.
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, _ENDS, "")
+    return F.btrim(x, F.lit(_SPACE))
 
 
 def any_of(x: Column, words: Iterable[str]) -> Column:
@@ -44,8 +44,9 @@ def extract_project(x: Column, label: str = "项目", generic: Iterable[str] = v
 
 def extract_entities(x: Column, terms: Iterable[str] = vocab.ENTITY_TERMS, most: int = 10) -> Column:
     """The terms that are substrings, sorted, ten at most."""
-    low = F.lower(x)
-    return F.slice(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), t) for t in sorted(set(terms))])), 1, most)
+    known = F.array(*map(F.lit, sorted(set(terms)))).cast("array<string>")
+    found = F.transform(F.array(F.lower(x)), lambda low: F.filter(known, lambda t: F.contains(low, t)))  # lower case once, not for each term
+    return F.slice(F.element_at(found, 1), 1, most)
 
 
 def detect_source(text: Column, path: Column | None = None, log_folder: str = "/memory/") -> Column:
@@ -128,7 +129,8 @@ def rewrite(x: Column, templates: Iterable[str] = vocab.REWRITE_TEMPLATES) -> Co
 def hash_embed(x: Column, dim: int = 64) -> Column:
     """A unit vector from hashes of the text and the position; carries no meaning, needs no model."""
     raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substring(F.md5(F.concat(x, F.lit(":"), i.cast("string")).cast("binary")), 1, 2), 16, 10).cast("double") / 255 - 0.5)
-    return F.element_at(F.transform(F.array(raw), lambda v: F.transform(v, lambda a: a / F.sqrt(dot(v, v)))), 1)
+    sized = F.transform(F.array(raw), lambda v: F.struct(v.alias("v"), F.sqrt(dot(v, v)).alias("norm")))  # the norm is taken once
+    return F.element_at(F.transform(sized, lambda s: F.transform(s["v"], lambda a: a / s["norm"])), 1)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -67,20 +67,21 @@ class Memory:
         rows = chunking.metadata(chunking.chunk_notes(notes), "path")
         if project:
             rows = rows.withColumn("project", F.lit(project))
-        rows = rows.withColumn("embedding", self.embedder.embed(F.col("text"))).checkpoint()
+        rows = rows.withColumn("embedding", getattr(self.embedder, "embed_many", self.embedder.embed)(F.col("text")))
         return self.add_chunks(rows.withColumn("ordinal", F.concat_ws("\0", "path", F.lpad(F.col("ordinal").cast("string"), 10, "0"))))
 
     def add_chunks(self, rows: DataFrame) -> DataFrame:
         """rows: the store's columns and an ordinal that settles their order. Returns id, decision, existing_id, similarity, ordinal and path, if there is one."""
-        order = rows.dropDuplicates(["id"]).checkpoint()
-        index = self.store.chunks()
+        order = rows.checkpoint()
+        if not order.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # only then rows are shuffled
+            order = order.dropDuplicates(["id"]).checkpoint()
         if self.embedder.backend == "hash" or order.isEmpty():
-            found = order.select("id", F.lit("insert").alias("decision"), F.lit(None).cast("string").alias("existing_id"), F.lit(None).cast("double").alias("similarity"))
+            found, new = order.select("id", F.lit("insert").alias("decision"), F.lit(None).cast("string").alias("existing_id"), F.lit(None).cast("double").alias("similarity")), order
         else:
-            found = dedup.decide_in_order(order, index, self.settings["dedup_threshold"], self.settings["dedup_skip_low"])
-        found = found.checkpoint()
+            found = dedup.decide_in_order(order, self.store.chunks(), self.settings["dedup_threshold"], self.settings["dedup_skip_low"]).checkpoint()
+            new = dedup.changes(order, found)
         if not order.isEmpty():
-            self.store.append(dedup.changes(order, found))
+            self.store.append(new)
         return found.join(order.select("id", "ordinal", *(["path"] if "path" in order.columns else [])), "id")
 
     def add_file(self, path: str, project: str | None = None) -> int:

@@ -21,6 +21,8 @@ from mnemoflow.functions import scalar, vocab
 BLOCK = r"(?s)" + re.escape(vocab.BLOCK_START) + r"\s*\n(.*?)\n\s*" + re.escape(vocab.BLOCK_END)
 #: Characters that end a sentence.
 STOPS = "。！？；.!?;"
+#: The line break before a heading.
+HEADING = r"\n(?=#{1,3}\s)"
 
 
 def blocks(text: Column) -> Column:
@@ -40,7 +42,7 @@ def is_profile_copy(text: Column, keys: Iterable[str] = vocab.PROFILE_KEYS) -> C
 
 def sections(text: Column) -> Column:
     """Cut before headings of one to three marks; the heading stays with its section."""
-    return F.split(scalar.strip(text), r"\n(?=#{1,3}\s)")
+    return F.split(scalar.strip(text), HEADING)
 
 
 def paragraphs(section: Column) -> Column:
@@ -49,24 +51,19 @@ def paragraphs(section: Column) -> Column:
 
 
 def sentences(paragraph: Column, max_length: int = 500) -> Column:
-    """Sentences packed until a piece ends one and the pack is longer than half the limit; text without a stop stays whole."""
-    kind = "struct<buf:string,out:array<string>>"
-    pieces = F.split(paragraph, f"(?<=[{STOPS}])")
+    """Sentences packed until a piece ends one and the pack is longer than half the limit; text without a stop stays whole.
 
-    def step(acc: Column, piece: Column) -> Column:
-        buf = F.concat(acc["buf"], piece)
-        full = (F.length(buf) > max_length // 2) & piece.rlike(f"[{STOPS}]$")
-        return F.struct(F.when(full, "").otherwise(buf).alias("buf"), F.when(full, F.concat(acc["out"], F.array(buf))).otherwise(acc["out"]).alias("out")).cast(kind)
-
-    start = F.struct(F.lit("").alias("buf"), F.array().cast("array<string>").alias("out")).cast(kind)
-    packed = F.aggregate(pieces, start, step, lambda acc: F.concat(acc["out"], F.array(acc["buf"])))
+    A pack ends with the first stop that has half the limit of characters before it: one expression finds it, without going back.
+    """
+    packed = F.regexp_extract_all(paragraph, F.lit(f"(?s).{{{max_length // 2}}}[^{STOPS}]*+[{STOPS}]|.+"), F.lit(0))
     return F.filter(F.transform(packed, scalar.strip), lambda p: p != "")
 
 
 def text_pieces(text: Column, max_length: int = 500) -> Column:
-    """All pieces of the running text in order."""
+    """All pieces of the running text in order: the paragraphs of its sections, cut at once, and their sentences where they are too long."""
     cut = lambda p: F.when(F.length(p) > max_length, sentences(p, max_length)).otherwise(F.array(p))
-    return F.flatten(F.transform(F.flatten(F.transform(sections(without_blocks(text)), paragraphs)), cut))
+    parts = F.split(scalar.strip(without_blocks(text)), rf"\n\n+|{HEADING}")
+    return F.flatten(F.transform(F.filter(F.transform(parts, scalar.strip), lambda p: p != ""), cut))
 
 
 def block_lines(block: str) -> list[tuple[str, str | None, str | None]]:
@@ -115,7 +112,7 @@ def chunk_notes(notes: DataFrame, key: str = "path", min_length: int = 8, max_le
     kind = "array<struct<text:string,json_key:string,memory_type:string,block_type:string>>"
     t = F.col("text")
     plain = F.transform(text_pieces(t, max_length), lambda p: F.struct(p.alias("text"), F.lit(None).cast("string").alias("json_key"), F.lit(None).cast("string").alias("memory_type"), F.lit(None).cast("string").alias("block_type"))).cast(kind)
-    notes = notes.select(F.col(key), t).where(t.isNotNull() & (scalar.strip(t) != ""))
+    notes = notes.select(F.col(key), t).where(t.rlike(r"(?U)\S"))
 
     def rows(some: DataFrame, pieces: Column) -> DataFrame:
         fine = F.filter(pieces, lambda p: scalar.keeps_length(p["text"], min_length))

@@ -10,6 +10,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from mnemoflow.embedding import HashEmbedder
+from mnemoflow.functions import scalar
 from mnemoflow.operators import chunking, dedup, evaluation, fulltext, maintenance, retrieval, vector
 from mnemoflow.operators.vector import knn
 from mnemoflow.sources.workspace import ensure_checkpoint_dir
@@ -50,6 +52,24 @@ def test_sentences_are_packed_like_a_loop(spark):
     assert all(len(t) <= 600 for t in texts(spark, "One sentence of some words here. " * 100, max_length=200))
 
 
+def test_long_paragraphs_are_packed_without_a_loop(spark):
+    """Packs are found by one expression and sections with paragraphs cut at once; a text is put into lower case once for all terms."""
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(["a\n\n\n# b\n\nc\n", "\u3000 x\u2003\n\n\x85", "\x1c kept \x1c", "aa. bb! cc", None])], "k int, t string")
+    got = {r["k"]: r["s"] for r in df.select("k", chunking.text_pieces(F.col("t"), 4).alias("s")).collect()}
+    assert got == {0: ["a", "# b", "c"], 1: ["x"], 2: ["\x1c kept \x1c"], 3: ["aa.", "bb!", "cc"], 4: None}
+    shown = lambda c: df.select(c.alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in shown(chunking.sentences(F.col("t"))) and shown(scalar.extract_entities(F.col("t"), ("aa", "bb", "cc"))).count("lower(") == 1
+    assert df.select(scalar.extract_entities(F.col("t"), ("cc", "bb", "zz"))).collect()[3][0] == ["bb", "cc"]
+
+
+def test_vectors_of_many_texts_are_those_of_one(spark):
+    """To the last digit; a text is hashed once."""
+    df = spark.createDataFrame([("a",), ("向量 x",), ("",), ("long " * 100,)], "t string")
+    both = df.select(HashEmbedder(64).embed(F.col("t")).alias("a"), HashEmbedder(64).embed_many(F.col("t")).alias("b")).collect()
+    assert all(r["a"] == r["b"] and len(r["a"]) == 64 for r in both)
+    assert df.select(HashEmbedder(4).embed_many(F.nullif("t", F.lit("a"))).alias("b")).first()["b"] is None
+
+
 def test_json_block_by_keys(spark):
     body = '{"tags": ["a", 1, true], "zeta": 1.0, "memory_type": "user_preference", "summary": "likes tests", "key_facts": ["f one", "f two"], "gone": null, "nest": {"a": 1}, "decisions": {"x": "y", "k": 2}}'
     got = chunks(spark, "Some words around the block, enough.\n" + BLOCK.format(body) + "\nand after it")
