@@ -71,14 +71,17 @@ def _nearest(k: int, id_type: pa.DataType):
             return lambda _: pa.table([ids.slice(0, 0), pa.array([], id_type), pa.array([], pa.float64())], names)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = (vectors**2).sum(1)
+            own, twice = (vectors**2).sum(1), -2 * vectors
             cut = np.full(len(vectors), np.inf)
             kept = None
             for part, rows in tiles(batches):
                 if rows.shape[1] != vectors.shape[1]:
                     raise ValueError(f"vectors have {rows.shape[1]} components, queries {vectors.shape[1]}")
-                near = own[:, None] + (rows**2).sum(1)[None] - 2 * vectors @ rows.T
-                bound = np.minimum(cut, np.partition(near, k - 1, axis=1)[:, k - 1]) if len(rows) > k else cut
+                near = twice @ rows.T
+                near += (rows**2).sum(1)
+                near += own[:, None]
+                kth = near.min(1) if k == 1 else np.partition(near, k - 1, axis=1)[:, k - 1] if len(rows) > k else np.inf
+                bound = np.minimum(cut, kth)
                 q, j = np.nonzero(near <= (bound + 1e-9 * (1 + own + np.where(np.isfinite(bound), bound, 0)))[:, None])
                 new = (q, ((rows[j] - vectors[q]) ** 2).sum(1), np.array(part.column(0).to_pylist())[j])
                 q, distance, name = new if kept is None else (np.concatenate(x) for x in zip(kept, new, strict=True))

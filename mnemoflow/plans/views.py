@@ -101,6 +101,8 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.when(F.col("id") % 3 == 0, 0.97).when(F.col("id") % 3 == 1, 0.88).otherwise(0.5)
     b = F.when(F.col("id") % 3 == 0, F.sqrt(F.lit(1 - 0.97 * 0.97))).when(F.col("id") % 3 == 1, F.sqrt(F.lit(1 - 0.88 * 0.88))).otherwise(F.sqrt(F.lit(0.75)))
     raw = F.zip_with("embedding", "next", lambda x, y: a * x + b * y)
-    norm = F.sqrt(F.aggregate(F.transform("v", lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
-    rows = v.join(after, "id").withColumn("v", raw).withColumn("norm", norm)
-    return rows.select("id", F.col("id").alias("ordinal"), F.transform("v", lambda x: x / F.col("norm")).alias("embedding"), F.when(F.col("id") % 5 < 2, "user-memory").otherwise("workspace-log").alias("source"), ((F.col("id") * 7) % 10 / 10.0).alias("confidence"))
+    norm = lambda y: F.sqrt(F.aggregate(F.transform(y, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
+    sized = F.transform(F.array(raw), lambda y: F.struct(y.alias("v"), norm(y).alias("norm")))  # bound, so that it is taken once a row and not for each component
+    unit = F.element_at(F.transform(sized, lambda s: F.transform(s["v"], lambda x: x / s["norm"])), 1)
+    rows = v.join(after, "id")
+    return rows.select("id", F.col("id").alias("ordinal"), unit.alias("embedding"), F.when(F.col("id") % 5 < 2, "user-memory").otherwise("workspace-log").alias("source"), ((F.col("id") * 7) % 10 / 10.0).alias("confidence"))

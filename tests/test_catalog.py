@@ -70,3 +70,10 @@ def test_every_branch_has_rows(spark):
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
+
+
+def test_mixed_vectors_take_a_norm_once_a_row(spark):
+    """Not inside the function of each component."""
+    from mnemoflow.plans import views
+
+    assert "/ sqrt(" not in views.mixed(spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
