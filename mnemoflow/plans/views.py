@@ -29,9 +29,9 @@ ACCESS = "SELECT event_id % 200 AS id, count(*) AS access_count, min(ts)::TIMEST
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, text, project (the language), source, confidence, length, access_count, ts of all documents."""
+    """id, text, project (the language), source, confidence, length, access_count, ts of all documents. Accesses are 200 rows of any number of events, so texts are not shuffled for them."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("project"), "source", (0.5 + (F.col("doc_id") % 6) * 0.1).alias("confidence"), F.length("text").alias("length"))
-    return d.join(access(spark, sf_dir), "id", "left").withColumn("access_count", F.coalesce("access_count", F.lit(0).cast("long")))
+    return d.join(F.broadcast(access(spark, sf_dir)), "id", "left").withColumn("access_count", F.coalesce("access_count", F.lit(0).cast("long")))
 
 
 CHUNKS = f"""SELECT doc_id AS id, text, lang AS project, source, 0.5::DOUBLE + (doc_id % 6) * 0.1::DOUBLE AS confidence, length(text) AS length, coalesce(access_count, 0) AS access_count, ts

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
-from mnemoflow.plans import catalog
+from mnemoflow.plans import catalog, views
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -77,3 +77,13 @@ def test_mixed_vectors_take_a_norm_once_a_row(spark):
     from mnemoflow.plans import views
 
     assert "/ sqrt(" not in views.mixed(spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_accesses_go_to_the_chunks_however_many_events_there_are(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = views.chunks(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

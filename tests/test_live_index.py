@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import time
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +231,29 @@ def test_merged_segments_lose_hidden_chunks(spark):
     places = store.index._read("places", "token string, block long, docs array<int>, times array<int>, ids array<string>, dls array<long>", store.index.segments()[:1])
     assert places.where("token = 'shared'").selectExpr("sum(size(docs))").first()[0] == 6
     assert {r["id"] for r in store.index.scores([("q", "word1a")]).collect()} == {"n1"} and len(rounded(store.index.scores([("q", "shared")]))) == 6
+
+
+def test_a_place_costs_no_more_where_many_phrases_begin_alike():
+    match = fulltext._matcher(["abc", "bcx", *(f"abc{i:05d}" for i in range(20_000))])
+    assert match("abcxabc00007") == [(0, 2), (1, 1), (9, 1)] and match("ab") == [] == match("")
+    began = time.process_time()
+    for _ in range(2000):
+        match("abcxyzabcxyz")
+    assert time.process_time() - began < 1
+
+
+def test_blocks_have_a_bounded_number_of_chunks():
+    n = 3 * fulltext.BLOCK_CHUNKS - 1
+    batch = pa.RecordBatch.from_pydict({"id": list(range(n)), "dl": [1] * n} | {c: ["abc"] * n for c in fulltext.COLUMNS})
+    assert [p.num_rows for p in fulltext._parts(batch)] == [fulltext.BLOCK_CHUNKS, fulltext.BLOCK_CHUNKS, fulltext.BLOCK_CHUNKS - 1]
+
+
+def test_rows_of_the_index_go_to_python_by_their_number(spark):
+    """Spark's limit by bytes takes the size of the batch after each row, and rows of the index are small and many."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(limit), []
+    chunks = spark.createDataFrame([(str(i), f"some words {i} here") for i in range(9)], "id string, text string")
+    places, _ = fulltext.places_of(chunks)
+    got = fulltext.best_by_places(places, 9, 10.0, [(1, "words")], 3, "long", alive=lambda rows: seen.append(spark.conf.get(limit)) or rows)
+    assert [r["id"] for r in got.orderBy("rank").collect()] == ["0", "1", "2"]
+    assert seen == [str(2**31 - 1)] and spark.conf.get(limit) == before
