@@ -12,12 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoflow.functions import scalar
 from mnemoflow.operators import rounds
 from mnemoflow.operators.vector import knn, meet, tiles
+from mnemoflow.sources.workspace import arrow_rows
 
 MERGE_AT, SKIP_AT = 0.92, 0.85
 #: Pairs whose distances are computed at once.
@@ -59,23 +61,19 @@ def decide(batch: DataFrame, index: DataFrame, merge_at: float = MERGE_AT, skip_
 def _alike(least: float):
     names = ["a", "b", "far", "sim"]
 
-    def compare(ids: pa.Array, vectors: np.ndarray | None):
-        if vectors is None:
-            return lambda _: pa.table([pa.array([], pa.string())] * 2 + [pa.array([], pa.float64())] * 2, names)
-        unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]
-        own, of = unit(vectors), np.array(ids.to_pylist(), object)
+    def compare(ids: pa.Array, vectors: np.ndarray):
+        unit = lambda v: (v / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]).astype(np.float32)
+        own, rough = unit(vectors), least - 1e-9 - (vectors.shape[1] + 8) * 2.0**-22  # single precision finds no pair less, and double precision decides
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, rows in tiles(batches):
-                i, j = np.nonzero(own @ unit(rows).T >= least - 1e-9)
-                there = np.array(part.column(0).to_pylist(), object)
+                i, j = np.nonzero(own @ unit(rows).T >= rough)
                 for at in range(0, len(i), PAIRS):
                     p, q = i[at : at + PAIRS], j[at : at + PAIRS]
-                    a, b = of[p], there[q]
-                    fine = np.array([y[0] == "i" or x < y for x, y in zip(a, b, strict=True)], bool)
-                    a, b, v, w = a[fine], b[fine], vectors[p[fine]], rows[q[fine]]
-                    sim = (v * w).sum(1) / (np.linalg.norm(v, axis=1) * np.linalg.norm(w, axis=1))
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(((v - w) ** 2).sum(1)), pa.array(sim)], names)
+                    a, b, v, w = ids.take(pa.array(p)), part.column(0).take(pa.array(q)), vectors[p], rows[q]
+                    sim = (v * w).sum(1) / np.maximum(np.linalg.norm(v, axis=1) * np.linalg.norm(w, axis=1), 1e-300)
+                    some = pa.RecordBatch.from_arrays([a, b, pa.array(((v - w) ** 2).sum(1)), pa.array(sim)], names)
+                    yield some.filter(pc.and_(pc.or_(pc.starts_with(b, "i"), pc.less(a, b)), pa.array(sim >= least - 1e-9)))
 
         return run
 
@@ -113,7 +111,8 @@ def decide_in_order(batch: DataFrame, index: DataFrame, merge_at: float = MERGE_
     points = lambda df: df.where("v IS NOT NULL AND exists(v, x -> x <> 0)")
     new, old = one(batch, "b:", "ordinal").checkpoint(), points(one(index, "i:"))
     classes = points(new).groupBy("v").agg(F.min("node").alias("c"), F.count("*").alias("same")).checkpoint()
-    found = links(classes.select(F.col("c").alias("node"), "v"), old.select("node", "v"), skip_at).checkpoint()
+    with arrow_rows(batch.sparkSession, rounds.ROWS):
+        found = links(classes.select(F.col("c").alias("node"), "v"), old.select("node", "v"), skip_at).checkpoint()
     there = found.select(F.col("a").alias("c"), F.col("b").alias("x"), "far", "sim")
     back = found.where("b NOT LIKE 'i:%'").select(F.col("b").alias("c"), F.col("a").alias("x"), "far", "sim")
     busy = there.union(back).select("c").union(classes.where("same > 1").select("c")).distinct()

@@ -10,17 +10,24 @@ no two tasks change one class in a round, and after round k at least the first k
 
 from __future__ import annotations
 
-from collections import defaultdict
+import sys
+from bisect import bisect_right
+from itertools import islice
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from mnemoflow.functions import vocab
-from mnemoflow.sources.workspace import fresh_folder
+from mnemoflow.sources.workspace import arrow_rows, fresh_folder
 
 #: Links (and rows) of a block, one row's more at most.
 LINKS = 500_000
+#: Rows (a vector, or a link with its kept rows) that go to a worker at once.
+ROWS = 2000
 
 
 def in_turns(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
@@ -44,31 +51,38 @@ def in_turns(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
     return turned.join(F.broadcast(offset), "part").withColumn("block", at).drop("weight", "part", "offset").checkpoint(), before // LINKS + 1
 
 
-def settle(rows: pd.DataFrame, near: pd.DataFrame, merge_at: float, skip_at: float) -> pd.DataFrame:
-    """What one block can decide: rows of decisions (x null), and all kept rows of each class that changed (slot null: none left)."""
+def settle(rows: pa.Table, near: pa.Table, merge_at: float, skip_at: float, schema: pa.Schema) -> pa.Table:
+    """What one block can decide: rows of decisions (x null), and all kept rows of each class that changed (slot null: none left).
+
+    Links are numbers in arrays, the nearest of each class first; only classes are Python objects, one for each.
+    """
     level = lambda s: vocab.SOURCE_LEVELS.get(s or "unknown", "full")
-    kept: dict[str, list[tuple]] = {}
-    closed, around = set(), defaultdict(lambda: defaultdict(list))
-    for c, x, far, sim, shut, slots in zip(near["own"], near["x"], near["far"], near["sim"], near["shut"], near["slots"], strict=True):
-        around[c][far].append((x, sim))
-        if x not in kept:
-            kept[x] = [] if slots is None else [(s["slot"], s["source"], s["confidence"]) for s in slots]
-            if shut:
-                closed.add(x)
-    order = {c: [shells[far] for far in sorted(shells)] for c, shells in around.items()}
+    coded = pa.chunked_array([*near["own"].chunks, *near["x"].chunks, *rows["c"].chunks], pa.string()).combine_chunks().dictionary_encode()
+    own, x, c = np.split(coded.indices.to_numpy(), [len(near), 2 * len(near)])
+    far, sim = near["far"].to_numpy(), near["sim"].to_numpy()
+    seen, first = np.unique(x, return_index=True)
+    shut = np.array(near["shut"].take(pa.array(first)).to_numpy(), bool)
+    closed = set(seen[shut].tolist())
+    slots = near["slots"].take(pa.array(first)).combine_chunks()
+    size, each = pc.fill_null(pc.list_value_length(slots), 0).to_pylist(), slots.flatten()
+    each = zip(each.field("slot").to_pylist(), map(sys.intern, pc.fill_null(each.field("source"), "unknown").to_pylist()), each.field("confidence").to_pylist(), strict=True)
+    kept: dict[int, list[tuple]] = {x: list(islice(each, n)) for x, n in zip(seen.tolist(), size, strict=True)}
+    order = np.lexsort((far, own))
+    x, far, sim, start = x[order], far[order], sim[order], np.searchsorted(own[order], np.arange(len(coded.dictionary) + 1))
+    turns = pc.sort_indices(rows["turn"])
     decided, changed = [], set()
-    for turn, id_, c, source, confidence in rows.sort_values("turn")[["turn", "id", "c", "source", "confidence"]].itertuples(index=False):
-        met = None
-        for shell in order[c]:
-            if any(x in closed for x, _ in shell):
-                break
-            met = min(((slot, x, sim, s, conf) for x, sim in shell for slot, s, conf in kept[x]), default=None, key=lambda m: m[0])
-            if met:
+    for turn, id_, c, source, confidence in zip(*(rows[n].take(turns).to_pylist() for n in ("turn", "id")), c[turns.to_numpy()].tolist(), *(rows[n].take(turns).to_pylist() for n in ("source", "confidence")), strict=True):
+        at, end = int(start[c]), int(start[c + 1])
+        xs, fars, met, waits, i = x[at:end].tolist(), far[at:end].tolist(), None, False, 0
+        while i < len(xs) and not met:
+            j = bisect_right(fars, fars[i])  # those at the same distance
+            if any(x in closed for x in xs[i:j]):
+                waits = True
                 break
-        else:
-            shell = None
-        if met is None and shell is not None:
-            closed.update(x for each in order[c] for x, _ in each)
+            met = min(((slot, xs[k], float(sim[at + k]), s, conf) for k in range(i, j) for slot, s, conf in kept[xs[k]]), default=None, key=lambda m: m[0])
+            i = j
+        if waits:
+            closed.update(xs)
             continue
         verdict = "insert"
         if met and met[2] >= merge_at:
@@ -84,8 +98,9 @@ def settle(rows: pd.DataFrame, near: pd.DataFrame, merge_at: float, skip_at: flo
         if verdict != "skip":
             kept[c] = [*kept[c], (id_ if verdict == "insert" else met[0], source, confidence)]
             changed.add(c)
-    left = [(None,) * 5 + (x, *k) for x in sorted(changed) for k in kept[x] or [(None, None, None)]]
-    return pd.DataFrame(decided + left, columns=["turn", "id", "decision", "existing_id", "similarity", "x", "slot", "source", "confidence"], dtype=object)
+    left = [(None,) * 5 + (coded.dictionary[x].as_py(), *k) for x in sorted(changed) for k in kept[x] or [(None, None, None)]]
+    columns = zip(*decided, *left, strict=True) if decided or left else [[] for _ in schema]
+    return pa.table([pa.array(v, f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def decide(rows: DataFrame, links: DataFrame, index: DataFrame, merge_at: float, skip_at: float) -> DataFrame:
@@ -100,6 +115,8 @@ def decide(rows: DataFrame, links: DataFrame, index: DataFrame, merge_at: float,
     left = left.select("turn", "id", "c", "source", "confidence", "block")
     state = index.select("x", "slot", "source", "confidence")
     schema = f"turn long, id {kind}, decision string, existing_id {kind}, similarity double, x string, slot {kind}, source string, confidence double"
+    own = to_arrow_type(rows.schema["id"].dataType)
+    arrow = pa.schema([("turn", pa.int64()), ("id", own), ("decision", pa.string()), ("existing_id", own), ("similarity", pa.float64()), ("x", pa.string()), ("slot", own), ("source", pa.string()), ("confidence", pa.float64())])
     folder, written = fresh_folder(spark, "rounds"), []
     for k in range(blocks):
         if k and left.isEmpty():
@@ -109,9 +126,10 @@ def decide(rows: DataFrame, links: DataFrame, index: DataFrame, merge_at: float,
         known = first.join(slots, "x", "left")
         near = left.select("block", "c").distinct().join(links, "c").join(known, "x")
         near = near.select(F.col("block").alias("at"), F.col("c").alias("own"), "x", "far", "sim", (F.col("first") < F.col("block")).alias("shut"), "slots")
-        out = left.groupBy("block").cogroup(near.groupBy("at")).applyInPandas(lambda a, b: settle(a, b, merge_at, skip_at), schema)
+        out = left.groupBy("block").cogroup(near.groupBy("at")).applyInArrow(lambda a, b: settle(a, b, merge_at, skip_at, arrow), schema)
         written.append(f"{folder}/{k}")
-        out.write.parquet(written[-1])
+        with arrow_rows(spark, ROWS):
+            out.write.parquet(written[-1])
         if k + 1 < blocks:
             done = spark.read.schema(schema).parquet(written[-1])
             left = left.join(done.where("x IS NULL").select("turn"), "turn", "left_anti").checkpoint()

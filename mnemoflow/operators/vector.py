@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Queries that are sent to all tasks at most, and of a block of the grid; chunks of a block; chunks in one matrix product.
-BATCH, BLOCK, TILE = 4096, 16_384, 1024
+#: Queries that are sent to all tasks at most, and in one matrix product; chunks of a cell of the grid; chunks in one matrix product.
+BATCH, BLOCK, TILE = 4096, 65_536, 1024
+#: Queries of a cell of the grid; bytes of the queries, and of the chunks, of a cell; cells for each core at least, so that they even out.
+WIDE, SIDE_BYTES, CELLS = 32_768, 64 << 20, 3
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -48,28 +50,51 @@ def meet(queries: DataFrame, rows: DataFrame, compare: Callable, schema: str) ->
         return None
     if len(some) <= BATCH:
         return rows.mapInArrow(compare(pa.array([r[0] for r in some]), np.array([r[1] for r in some], float)), schema)
-    across, down = math.ceil(queries.count() / BATCH), max(1, math.ceil(rows.count() / BLOCK))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("*", dealt(q, across).alias("grid_i"), every(down).alias("grid_j"))
-    right = rows.select("*", every(across).alias("grid_i"), dealt(rows.columns[0], down).alias("grid_j"))
-    width = len(rows.columns)
-
-    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-        a, b = a.combine_chunks(), b.select(range(width))
-        found = list(compare(a.column(0).combine_chunks(), matrix(a.column(1)))(iter(b.to_batches()))) if len(a) and len(b) else []
-        return pa.Table.from_batches(found) if found else compare(a.column(0).combine_chunks(), None)(iter(()))
-
-    return left.groupBy("grid_i", "grid_j").cogroup(right.groupBy("grid_i", "grid_j")).applyInArrow(cell, schema)
+    n, m, most = queries.count(), rows.count(), max(1, SIDE_BYTES // (8 * max(1, len(some[0][1]))))
+    cells = CELLS * queries.sparkSession.sparkContext.defaultParallelism
+    across = max(1, math.ceil(n / min(WIDE, most)), round(math.sqrt(cells * n / max(1, m))))
+    down = max(1, math.ceil(m / min(BLOCK, most)), math.ceil(cells / across))
+    dealt = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).alias("own")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("met")
+    nothing = lambda df: F.lit(None).cast(df.schema[0].dataType)
+    left = queries.select("*", dealt(q, across), every(down)).select((F.col("own") * down + F.col("met")).alias("cell"), F.lit(0).alias("side"), F.col(q).alias("q"), nothing(rows).alias("r"), F.col(queries.columns[1]).alias("v"))
+    right = rows.select(*rows.columns[:2], dealt(rows.columns[0], down), every(across)).select(F.col("met") * down + F.col("own"), F.lit(1), nothing(queries), F.col(rows.columns[0]), F.col(rows.columns[1]))
+    both = left.union(right).repartition(across * down, "cell").sortWithinPartitions("cell", "side")
+    return both.mapInArrow(_by_cell(compare), schema)
+
+
+def _by_cell(compare: Callable):
+    """Rows (cell, side, q, r, v), in order of cell and side: the queries (side 0) of each cell with its chunks (side 1). Only one cell is held, and what it gives is sent in parts."""
+
+    def one(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        first = int(np.searchsorted(table["side"].to_numpy(), 1))
+        ids, vectors = table["q"].slice(0, first).combine_chunks(), matrix(table["v"].slice(0, first)) if first else None
+        chunks = table.slice(first).select(["r", "v"]).to_batches()
+        for i in range(0, first, BATCH) if chunks else ():
+            yield from compare(ids.slice(i, BATCH), vectors[i : i + BATCH])(iter(chunks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            cell = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and a < b and held[0].column(0)[0].as_py() != cell[a]:
+                    yield from one(held)
+                    held = []
+                if a < b:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from one(held)
+
+    return run
 
 
 def _nearest(k: int, id_type: pa.DataType):
     names = ["query_id", "id", "distance"]
 
-    def compare(ids: pa.Array, vectors: np.ndarray | None):
-        if vectors is None:
-            return lambda _: pa.table([ids.slice(0, 0), pa.array([], id_type), pa.array([], pa.float64())], names)
-
+    def compare(ids: pa.Array, vectors: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, twice = (vectors**2).sum(1), -2 * vectors
             cut = np.full(len(vectors), np.inf)

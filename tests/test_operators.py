@@ -4,9 +4,12 @@ import math
 import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -414,3 +417,37 @@ def test_scores_of_a_model_are_kept_and_batched():
     assert s.score("q", ["bb", "dddd"]) == [2, 4] and calls[2:] == [[("q", "dddd")]]
     assert retrieval.ModelScorer(load, ttl=-1).score("q", ["a"]) == [1]
     assert isinstance(retrieval.scorer_of({"reranker_model": "overlap", "device": "cpu"}), retrieval.OverlapScorer)
+
+
+def test_the_grid_copies_neither_side_more_than_it_must(spark, monkeypatch):
+    """Each query meets each row once, and rows and queries are copied about as often as the root of the number of cells."""
+    monkeypatch.setattr(vector, "BATCH", 9)
+    n, m = 90, 180
+    rows = lambda name, k: spark.createDataFrame([(i, [float(i), 1.0]) for i in range(k)], f"{name} long, v array<double>")
+
+    def compare(ids, vectors):
+        import pyarrow as pa
+
+        assert len(ids) == len(vectors)
+        return lambda batches: iter([pa.RecordBatch.from_pydict({"q": [len(ids)], "r": [sum(b.num_rows for b in batches)]})])
+
+    counted = lambda: vector.meet(rows("q", n), rows("r", m), compare, "q long, r long").collect()
+    assert sum(r["q"] * r["r"] for r in counted()) == n * m
+    monkeypatch.setattr(vector, "_by_cell", lambda _: lambda batches: compare([], [])(batches))
+    assert sum(r["r"] for r in counted()) < 3 * math.sqrt(12 * n * m)
+
+
+def test_a_block_of_links_is_held_in_arrays():
+    n, each = 2000, 50
+    own = [f"b:{i}" for i in range(n)]
+    links = [(c, own[(i + k) % n], float(k), 0.95 if k else 1.0) for i, c in enumerate(own) for k in range(each)]
+    kind = pa.list_(pa.struct([("slot", pa.int64()), ("source", pa.string()), ("confidence", pa.float64())]))
+    near = pa.table({"own": [x[0] for x in links], "x": [x[1] for x in links], "far": [x[2] for x in links], "sim": [x[3] for x in links], "shut": [False] * len(links), "slots": pa.nulls(len(links), kind)})
+    rows = pa.table({"turn": list(range(n)), "id": list(range(n)), "c": own, "source": ["other"] * n, "confidence": [0.5] * n})
+    schema = pa.schema([("turn", pa.int64()), ("id", pa.int64()), ("decision", pa.string()), ("existing_id", pa.int64()), ("similarity", pa.float64()), ("x", pa.string()), ("slot", pa.int64()), ("source", pa.string()), ("confidence", pa.float64())])
+    tracemalloc.start()
+    got = dedup.rounds.settle(rows, near, 0.92, 0.85, schema)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.filter(pc.is_valid(got["decision"])).num_rows == n and got["decision"][0].as_py() == "insert"
+    assert peak < 100 * len(links), peak / len(links)
